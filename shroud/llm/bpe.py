@@ -90,7 +90,6 @@ class WordBpe:
         keys = left * self.wide + right
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made.astype(np.int32)
-        self.at = np.argsort(order)  # where a rank's pair stands among the keys
         self.cut_words = regex.compile(pattern + "|\n")
         self.reset()
 
@@ -148,7 +147,7 @@ class WordBpe:
                 lead = np.r_[True, ~near]
                 place = np.arange(len(hit)) - np.maximum.accumulate(np.where(lead, np.arange(len(hit)), 0))
                 hit = hit[place % 2 == 0]
-            sym[hit] = self.made[self.at[pair[hit]]]
+            sym[hit] = self.made[pair[hit]]
             stay = np.ones(len(sym), bool)
             stay[hit + 1] = False
             sym, word, pair = sym[stay], word[stay], pair[stay]
@@ -180,7 +179,7 @@ class WordBpe:
             j = after[k]
             if sym[k] != a or j < 0 or sym[j] != b:
                 continue
-            sym[k], sym[j] = int(self.made[self.at[r]]), -1
+            sym[k], sym[j] = int(self.made[r]), -1
             after[k] = after[j]
             if after[j] >= 0:
                 before[after[j]] = k

@@ -161,10 +161,11 @@ def redact(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataF
 def digest(found: DataFrame, id_col: str = "doc_id", pii_col: str = "pii") -> DataFrame:
     """Counts by base kind, the base spans' hash and all spans as text."""
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: lambda s: s["kind"] == kind
     base = F.filter(pii_col, lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select(
         id_col,
-        *[F.size(F.filter(pii_col, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+        *[F.size(F.filter(pii_col, of(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(text(base).cast("binary"), 256).alias("base_sha256"),
         text(F.col(pii_col)).alias("spans"),
         F.transform(pii_col, lambda s: s["score"]).alias("scores"),
