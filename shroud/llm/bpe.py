@@ -3,7 +3,7 @@
 The symbols of many words stand in one flat array. Each round looks every neighbouring pair up by binary search in the
 sorted pair keys, takes each word's lowest rank, and merges that pair wherever the word has it, from left to right.
 Words leave the array when no pair is left. Text is split at white space first, so each distinct chunk is encoded once
-per worker; the cache is cleared when full, which changes speed only. Words of more than LONG symbols go through a heap
+per worker; what is rare leaves the full cache, which changes speed only. Words of more than LONG symbols go through a heap
 instead of rounds, so that one endless word doesn't cost a round per merge.
 
 Null and empty texts have no ids. Strings of special tokens inside a text become their ids, as in the public library.
@@ -15,7 +15,7 @@ import heapq
 import json
 import re
 import unicodedata
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, functions as F
 
 #: White space as the tokenizer file's \s means it; str.split() also cuts at the four separators below.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 LONG = 256
 NONE = np.int64(1 << 40)
 
 
 def chunks(text: str) -> list[str]:
     """The text between white space."""
-    if _SEPARATORS.search(text):
+    if any(c in text for c in _SEPARATORS):
         return [x for x in _SPACE.split(text) if x]
     return text.split()
 
@@ -51,16 +51,31 @@ class _Store:
         self.code: dict = {}
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.hits = np.zeros(1 << 14, np.int32)
 
     def add(self, keys: list, flat: np.ndarray, size: np.ndarray) -> None:
         at, to = len(self.code), len(self.code) + len(keys)
         self.flat, self.start, self.size = (_room(a, n) for a, n in ((self.flat, self.used + len(flat)), (self.start, to), (self.size, to)))
+        self.hits = _room(self.hits, to)
+        self.hits[at:to] = 0
         self.flat[self.used : self.used + len(flat)] = flat
         self.size[at:to], self.start[at:to] = size, self.used + np.cumsum(size) - size
         self.used += len(flat)
         self.code.update(zip(keys, range(at, to), strict=True))
 
+    def trim(self, most: int, ids: int = 1 << 24) -> None:
+        """Over so many keys or ids, only those asked for again since the last time stay, at most half of `most`."""
+        if len(self.code) <= most and self.used <= ids:
+            return
+        hits = self.hits[: len(self.code)]
+        least = max(2, int(np.partition(hits, -most // 2)[-most // 2]) + 1 if len(hits) > most // 2 else 2)
+        stay = np.flatnonzero((hits >= least) & (self.size[: len(hits)] <= LONG))
+        keys, (flat, size) = list(self.code), self.take(stay)
+        self.__init__()
+        self.add([keys[k] for k in stay.tolist()], flat, size)
+
     def take(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.hits[: len(self.code)] += np.bincount(code, minlength=len(self.code)).astype(np.int32)
         size, start = self.size[code], self.start[code]
         total = np.cumsum(size)
         return self.flat[np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - size), size)], size
@@ -214,16 +229,16 @@ class WordBpe:
     def encode(self, texts: list[str | None], most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text ends in them."""
         split = [chunks(t) if t else [] for t in texts]
-        if len(self.chunks.code) > most:
-            self.reset()
+        self.chunks.trim(most)
+        self.words.trim(most)
         flat = list(chain.from_iterable(split))
         known = self.chunks.code
-        code = list(map(known.get, flat))
-        if missing := [k for k, c in enumerate(code) if c is None]:
-            self._learn(list(dict.fromkeys(flat[k] for k in missing)))
-            for k in missing:
-                code[k] = known[flat[k]]
-        ids, size = self.chunks.take(np.array(code, np.int64))
+        code = np.fromiter(map(known.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(missing := np.flatnonzero(code < 0)):
+            new = [flat[k] for k in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            code[missing] = np.fromiter(map(known.__getitem__, new), np.int64, len(new))
+        ids, size = self.chunks.take(code)
         ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
         return ids, np.r_[0, np.cumsum(size)][ends]
 
