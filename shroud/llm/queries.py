@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_search, lm, near_search, ngram_join, packing, pii, quality, toxicity
+from . import bpe, exact_search, lm, near_search, ngram_join, packing, pii, quality, suffix_dedup, toxicity
 from .shared import fold, read_table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -60,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op2_pii, op3_exact_search, op4_near_search, op5_lm, op6_ngram_join, op7_quality, op8_bpe, op9_toxicity, op10_packing)
+    each = (op1_suffix_dedup, op2_pii, op3_exact_search, op4_near_search, op5_lm, op6_ngram_join, op7_quality, op8_bpe, op9_toxicity, op10_packing)
     return {f.__name__: f for f in each}
 
 
