@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import arrow
+
 #: White space as the tokenizer file's \s means it; str.split() also cuts at the four separators below.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -288,7 +290,7 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
                 each = np.split(ids, ends[:-1])
                 yield pa.RecordBatch.from_arrays([names[lo:hi], pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids)), pa.array([model.decode(x) for x in each])], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).transform(arrow, run, "doc_id long, ids array<int>, decoded string")
 
 
 def bpe_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,4 +309,4 @@ def bpe_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 cuts = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays([names[lo:hi], pa.array([y - x for x, y in cuts], pa.int64()), pa.array([sha256(wide[x:y].tobytes()).hexdigest() for x, y in cuts]), pa.array([sha256(" ".join(words[x:y]).encode()).hexdigest() for x, y in cuts])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

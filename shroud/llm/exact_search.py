@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import staged
+from .shared import arrow, staged
 from .vectors import GROUP_ROWS, best_rows, chunk, matrix, some, usable
 
 PIVOTS, SAMPLE, ANNULUS = 16, 512, 256
@@ -54,7 +54,7 @@ def exact_search(vectors: DataFrame, k: int = 5, every: int = 50, scale: float =
             p = d.argmin(1) if len(x) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p.astype(np.int32)), pa.array(d[np.arange(len(x)), p])], names=[*b.schema.names, "pivot", "r"])
 
-    keyed = staged(rows.mapInArrow(key, "vec_id long, vec binary, norm2 double, pivot int, r double"), "exact-index")
+    keyed = staged(rows.transform(arrow, key, "vec_id long, vec binary, norm2 double, pivot int, r double"), "exact-index")
     steps = [i / 256 for i in range(257)]
     marks = {r["pivot"]: (r["n"], r["q"]) for r in keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("r", steps, 2000).alias("q")).collect()}
     cuts = {p: sorted({q[round(256 * i / m)] for i in range(1, m)}) for p, (n, q) in marks.items() if (m := min(256, -(-n // GROUP_ROWS))) > 1}
@@ -93,7 +93,7 @@ def exact_search(vectors: DataFrame, k: int = 5, every: int = 50, scale: float =
             take = pa.array(who)
             yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(salt.astype(np.int32)), b.column(3).take(take), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(least[who])], names=["g", "salt", "chunk", "query_id", "vec", "norm2", "least"])
 
-    sent = chunk(queries, n_queries).select("vec_id", "vec", "norm2", "chunk").mapInArrow(send, "g int, salt int, chunk int, query_id long, vec binary, norm2 double, least double")
+    sent = chunk(queries, n_queries).select("vec_id", "vec", "norm2", "chunk").transform(arrow, send, "g int, salt int, chunk int, query_id long, vec binary, norm2 double, least double")
     index = ringed.select(number.cast("int").alias("g"), F.pmod(F.xxhash64("vec_id", F.lit(5)), salt_of).cast("int").alias("salt"), F.explode(F.array(*[F.lit(c) for c in range(chunks)])).alias("chunk") if chunks > 1 else F.lit(0).alias("chunk"), "vec_id", "vec", "norm2", "pivot", "r")
 
     def meet(qs: pa.Table, xs: pa.Table) -> pa.Table:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import by_size
-from .shared import staged
+from .shared import arrow, staged
 
 END = b""
 CLASSES = SLOTS = 32
@@ -64,7 +64,7 @@ def counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
 
-    return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select("text").transform(arrow, run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -239,7 +239,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = 2) -> np.ndarray:
 
         kinds = "block int, part int, change binary, made binary"
         part = docs.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(rounds)) == r) if rounds > 1 else docs
-        near = part.select("text").mapInArrow(run, kinds).groupBy("block", "part").applyInArrow(add, kinds)  # sums of 32 partitions, then of all
+        near = part.select("text").transform(arrow, run, kinds).groupBy("block", "part").applyInArrow(add, kinds)  # sums of 32 partitions, then of all
         table = table.copy()
         for row in near.groupBy("block").applyInArrow(add, kinds).collect():
             made = np.frombuffer(row["made"], "<i4")
@@ -288,7 +288,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 )
 
     kinds = f"row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, far {rare}"
-    scored = staged(rows.mapInArrow(run, kinds), "lm-scores")
+    scored = staged(rows.transform(arrow, run, kinds), "lm-scores")
     words = scored.select("row", F.explode("far").alias("f")).select("row", "f.token", F.col("f.n").alias("times"))
     met = words.join(counted.where(beyond), "token", "left")
     late = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("found"))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import staged
+from .shared import arrow, staged
 from .vectors import GROUP_ROWS, best_rows, chunk, matrix, some, top, usable
 
 
@@ -80,7 +80,7 @@ def near_search(vectors: DataFrame, k: int = 20, every: int = 20, share: float =
             a, c = lifted(matrix(b.column(1), dim)) if b.num_rows else (np.empty((0, half)), np.empty((0, dim - half + 1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nearest(a, books[0]).astype(np.int32)), pa.array(nearest(c, books[1]).astype(np.int32))], names=["vec_id", "vec", "a", "b"])
 
-    index = staged(rows.mapInArrow(assign, "vec_id long, vec binary, a int, b int"), "near-index")
+    index = staged(rows.transform(arrow, assign, "vec_id long, vec binary, a int, b int"), "near-index")
     count = np.zeros((len(books[0]), wide), np.int64)
     for r in index.groupBy("a", "b").count().collect():  # a row a cell: centroids squared at most
         count[r["a"], r["b"]] = r["count"]
@@ -110,7 +110,7 @@ def near_search(vectors: DataFrame, k: int = 20, every: int = 20, share: float =
             take = pa.array(who, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(salt, pa.int32()), b.column(2).take(take), b.column(0).take(take), b.column(1).take(take), pa.array(cells, pa.binary())], names=["a", "salt", "chunk", "query_id", "vec", "cells"])
 
-    sent = chunk(queries, n_queries).select("vec_id", "vec", "chunk").repartition(max(1, min(n_queries // 64, 4096)), "vec_id").mapInArrow(send, "a int, salt int, chunk int, query_id long, vec binary, cells binary")
+    sent = chunk(queries, n_queries).select("vec_id", "vec", "chunk").repartition(max(1, min(n_queries // 64, 4096)), "vec_id").transform(arrow, send, "a int, salt int, chunk int, query_id long, vec binary, cells binary")
     hot = {a: int(s) for a, s in enumerate(salts) if s > 1}
     salt_of = F.lit(1)
     for a, s in hot.items():

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from .bpe import by_size
 from .features import _ODD, Text, _table, mixed, runs
 from .graph import components
-from .shared import staged, text_or_empty
+from .shared import arrow, staged, text_or_empty
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND = 24, 4
@@ -156,7 +156,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 row += hi - lo
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.select("doc_id", "text", F.unhex(F.md5("text")).alias("md5")).mapInArrow(run, "row long, doc_id long, md5 binary, n long, sig binary")
+    return rows.select("doc_id", "text", F.unhex(F.md5("text")).alias("md5")).transform(arrow, run, "row long, doc_id long, md5 binary, n long, sig binary")
 
 
 def _candidates(one: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _candidates(one: DataFrame) -> DataFrame:
             h = mixed(h + np.arange(BANDS, dtype=np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "t"])
 
-    banded = one.select("t", "sig").mapInArrow(run, "bucket long, t long")
+    banded = one.select("t", "sig").transform(arrow, run, "bucket long, t long")
     shared = banded.groupBy("bucket").agg(F.min("t").alias("b"), F.max("t").alias("z")).where("b < z").select("bucket", "b")
     return banded.join(shared, "bucket").where("t != b").select(F.col("t").alias("a"), "b").distinct()
 

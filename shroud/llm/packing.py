@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import by_size, loaded
-from .shared import staged
+from .shared import arrow, staged
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,7 +40,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([names[lo:hi], pa.array(data, pa.binary()), pa.array(n), pa.array(np.full(hi - lo, part, np.int32)), pa.array(before + ends - n)], names=["doc_id", "ids", "n", "part", "local_start"])
                 before += int(ends[-1])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, n long, part int, local_start long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(arrow, run, "doc_id long, ids binary, n long, part int, local_start long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,4 +63,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, id_
             kinds = [pa.int64()] * 7 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")] + ["ids"])
 
-    return encoded.select("doc_id", "ids", "n", "part", "local_start").mapInArrow(run, PIECES + ", ids binary")
+    return encoded.select("doc_id", "ids", "n", "part", "local_start").transform(arrow, run, PIECES + ", ids binary")

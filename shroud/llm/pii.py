@@ -13,6 +13,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .shared import arrow
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "ssn", "key")
 SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
@@ -134,7 +136,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> D
             spans = [[s._asdict() for s in find(t)] for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, _ARROW_SPAN)], names=[*b.schema.names, out_col])
 
-    return base.mapInArrow(run, schema)
+    return base.transform(arrow, run, schema)
 
 
 def redact(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -155,7 +157,7 @@ def redact(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataF
             k = b.schema.get_field_index(text_col)
             yield b.set_column(k, b.schema.field(k), pa.array([clean(t) for t in b.column(k).to_pylist()], b.schema.field(k).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow, run, docs.schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", pii_col: str = "pii") -> DataFrame:

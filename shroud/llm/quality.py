@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .bpe import by_size
 from .features import style_features
+from .shared import arrow
 from .toxicity import sample
 
 BITS = 18
@@ -86,13 +87,13 @@ def train(docs: DataFrame, labels: DataFrame, among: Column | None = None, label
     def run(batches):
         for b in batches:
             texts = b.column(0).to_pylist()
-            for lo, hi in by_size(texts):
+            for lo, hi in by_size(texts, 500_000):
                 doc, key, value = style_features(texts[lo:hi], bits)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 cuts = list(zip(cut[:-1], cut[1:], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([key[x:y].astype("<u4").tobytes() for x, y in cuts], pa.binary()), pa.array([value[x:y].astype("<f4").tobytes() for x, y in cuts], pa.binary()), b.column(1)[lo:hi]], names=["k", "v", "label"])
 
-    got = sample(docs, labels, label_col, max_rows, among).mapInArrow(run, "k binary, v binary, label long").collect()
+    got = sample(docs, labels, label_col, max_rows, among).transform(arrow, run, "k binary, v binary, label long").collect()
     got.sort(key=lambda r: (bytes(r["k"]), r["label"]))
     return fit([(np.frombuffer(r["k"], "<u4").astype(np.int64), np.frombuffer(r["v"], "<f4").astype(float)) for r in got], np.array([float(r["label"]) for r in got]), bits)
 
@@ -108,12 +109,12 @@ def grade(docs: DataFrame, model: Ordinal, least: float = 1.0, text_col: str = "
         m = shared.value
         for b in batches:
             texts = b.column(text_col).to_pylist()
-            for lo, hi in by_size(texts):
+            for lo, hi in by_size(texts, 500_000):
                 above = m.above(*style_features(texts[lo:hi], bits), hi - lo) if len(m.thresholds) else np.empty((hi - lo, 0))
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.expected(above) if above.shape[1] else np.full(hi - lo, m.grades[0])), pa.array(m.tail(above, least))], names=[*part.schema.names, *out])
 
-    return base.mapInArrow(run, schema)
+    return base.transform(arrow, run, schema)
 
 
 def keep_good(docs: DataFrame, model: Ordinal, least: float = 1.0, probability: float = 0.5) -> DataFrame:

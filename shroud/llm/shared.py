@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -55,3 +60,27 @@ def fold(col: Column, parts: int) -> Column:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Rows of an Arrow batch: texts can be long, and workers share an executor's memory with the JVM.
+BATCH_ROWS = 1000
+
+
+def release() -> None:
+    """Gives a worker's freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow in batches of BATCH_ROWS at most (a setting of the session, lowered here), with memory released at each end."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+    def lean(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(lean, schema)

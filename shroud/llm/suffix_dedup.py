@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .features import _ODD, mixed, powers
-from .shared import staged, text_or_empty
+from .shared import arrow, staged, text_or_empty
 
 LENGTH, KEY = 400, 80
 SPAN = LENGTH - KEY + 1  # how many keys begin in a string
 PERIOD, REACH = 32, 8
 HOT = 50_000
-GROUP_BYTES, BATCH_BYTES = 4_000_000, 1 << 19
+GROUP_BYTES, BATCH_BYTES = 2_000_000, 1 << 19
 
 
 def difference_cover(period: int = PERIOD, reach: int = REACH) -> np.ndarray:
@@ -130,7 +130,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 )
                 row += hi - lo
 
-    return docs.select("doc_id", "md5", "data").mapInArrow(run, "row long, doc_id long, md5 binary, n_bytes long, sha string, keys array<long>, times array<int>")
+    return docs.select("doc_id", "md5", "data").transform(arrow, run, "row long, doc_id long, md5 binary, n_bytes long, sha string, keys array<long>, times array<int>")
 
 
 def _stretches(texts: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _stretches(texts: DataFrame) -> DataFrame:
                     names=["key", "lead", "data", "rows", "ats", "f", "g", "hot"],
                 )
 
-    return texts.select("row", "data", "keys", "hot").mapInArrow(run, "key long, lead int, data binary, rows array<long>, ats array<long>, f long, g long, hot boolean")
+    return texts.select("row", "data", "keys", "hot").transform(arrow, run, "key long, lead int, data binary, rows array<long>, ats array<long>, f long, g long, hot boolean")
 
 
 def sort_bucket(data: list[bytes], lead: np.ndarray, many: np.ndarray) -> list[np.ndarray]:
@@ -314,7 +314,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["first", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     shape = "first long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    done = held.select("row", "data").join(spans, "row").mapInArrow(cut, shape)
+    done = held.select("row", "data").join(spans, "row").transform(arrow, cut, shape)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     met = rows.where(~whole).join(done, "first", "left").select("row", "doc_id", "md5", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
@@ -335,7 +335,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     keyed = docs.withColumn("m__", F.unhex(F.md5(text_or_empty(text_col).cast("binary"))))
     met = keyed.join(once, (F.col("m__") == F.col("md5__")) & F.col(id_col).cast("long").eqNullSafe(F.col("id__")), "left").select(*docs.columns, "kept__")
-    return met.mapInArrow(join, docs.schema)
+    return met.transform(arrow, join, docs.schema)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import by_size
 from .features import term_features
+from .shared import arrow
 
 BITS = 20
 
@@ -95,12 +96,12 @@ def train(docs: DataFrame, labels: DataFrame, among: Column | None = None, label
     def run(batches):
         for b in batches:
             texts = b.column(0).to_pylist()
-            for lo, hi in by_size(texts):
+            for lo, hi in by_size(texts, 500_000):
                 doc, key = term_features(texts[lo:hi], bits)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([key[x:y].astype("<u4").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), b.column(1)[lo:hi]], names=["terms", "label"])
 
-    got = sample(docs, labels, label_col, max_rows, among).mapInArrow(run, "terms binary, label long").collect()
+    got = sample(docs, labels, label_col, max_rows, among).transform(arrow, run, "terms binary, label long").collect()
     got.sort(key=lambda r: (bytes(r["terms"]), r["label"]))  # rows arrive in any order
     return fit([np.frombuffer(r["terms"], "<u4") for r in got], np.array([float(r["label"] > 0) for r in got]))
 
@@ -111,7 +112,7 @@ def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo, hi in by_size(texts):
+            for lo, hi in by_size(texts, 500_000):
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(model.score(*term_features(texts[lo:hi], bits), hi - lo))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(arrow, run, "doc_id long, score double")

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .shared import arrow
+
 #: Rows of the index, and queries, that meet in one task at most (more only where one id has them).
 GROUP_ROWS, CHUNK_QUERIES = 8192, 16384
 
@@ -32,7 +34,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, change: Callable[[n
             x = x[keep] if change is None else change(x[keep])
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array((x * x).sum(1), pa.float64())], names=["vec_id", "vec", "norm2"])
 
-    return rows.where(F.size("v") == dim).mapInArrow(run, "vec_id long, vec binary, norm2 double"), dim
+    return rows.where(F.size("v") == dim).transform(arrow, run, "vec_id long, vec binary, norm2 double"), dim
 
 
 def matrix(column, dim: int) -> np.ndarray:
