@@ -11,6 +11,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import cached_property
+from itertools import accumulate
 
 from .lexicon import AR, DE, EN, ES, FR, SV, LabelRow, Pack
 
@@ -79,6 +80,10 @@ class Word:
             z -= 1
         return s[a:z].rstrip(",;.):")
 
+    @cached_property
+    def digits(self) -> int:
+        return 0 if self.text.isalpha() else sum(map(str.isdigit, self.bare))
+
     @property
     def value_end(self) -> int:
         return self.start + len(self.text.rstrip(",;.):"))
@@ -112,6 +117,10 @@ class Reading:
         w = self.get(k)
         return w if w and not w.break_before else None
 
+    @cached_property
+    def runs(self) -> list:
+        return number_runs(self)
+
     @cached_property
     def lines(self) -> list[list[Word]]:
         out: list[list[Word]] = []
@@ -282,6 +291,8 @@ class People:
         self.salutations, self.greetings = {x.lower() for x in pack.salutations}, {x.lower() for x in pack.greetings}
 
     def shaped(self, word: str) -> bool:
+        if word.islower():
+            return False
         n = as_read(word.strip(",;:.!?\"()»«")).rstrip(".,;:")
         p = self.pack
         return len(n) >= 2 and _upper(n) and all(c.isalpha() or c in "-'’" for c in n) and n not in p.stop_words and n not in p.degrees and n.lower() not in self.openers
@@ -352,7 +363,7 @@ class People:
         k = 0
         while k + 1 < len(self.doc.words):
             a, b = self.doc.words[k : k + 2]
-            if self.shaped(a.text) and self.shaped(b.text) and not b.page_before and a.low not in self.pack.function_words and all(self._known(a, b)):
+            if self.names.is_given(a.bare.rstrip(".,;:")) and self.shaped(a.text) and self.shaped(b.text) and not b.page_before and a.low not in self.pack.function_words and all(self._known(a, b)):
                 yield self.hit(a, b, False, "name-dictionary")
                 k += 1
             k += 1
@@ -383,12 +394,15 @@ class People:
         stops = {x.lower() for x in p.stop_words}
         while k + 1 < len(self.doc.words):
             a, b = self.doc.words[k : k + 2]
+            if not a.text.endswith(","):
+                k += 1
+                continue
             family = a.bare.rstrip(",;:")
             after = self.doc.get(k + 2)
             gap = self.doc.text[b.bare_end : after.start] if after else ""
             ends = after is None or after.break_before or "\t" in gap or "  " in gap
             known = self.names.is_given(as_read(b.bare).rstrip(".,;:"))
-            if a.text.endswith(",") and not b.break_before and self.shaped(family) and self.shaped(b.text) and family.lower() not in p.function_words | stops and b.low not in p.function_words and known and ends:
+            if not b.break_before and self.shaped(family) and self.shaped(b.text) and family.lower() not in p.function_words | stops and b.low not in p.function_words and known and ends:
                 yield self.hit(a, b, False, "name-reversed-pair")
                 k += 1
             k += 1
@@ -585,37 +599,57 @@ class Run:
 
 def runs(doc: Reading, rule: Callable[[Run], tuple[str, bool, str] | None], pack: Pack) -> Iterator[Hit]:
     """From each word the longest of 7 to 1 words that the rule takes."""
-    k = 0
-    while k < len(doc.words):
-        for n in range(7, 0, -1):
-            run = _run(doc, k, n)
-            if run and (verdict := rule(run)):
+    done = 0
+    for k, found in doc.runs:
+        if k < done:
+            continue
+        for run in found:
+            if verdict := rule(run):
                 kind, sure, name = verdict
                 a, z = run.first.start + run.first.text.find(run.first.bare), run.last.start + run.last.text.find(run.last.bare) + len(run.last.bare)
                 yield Hit(a, z, kind, sure, LANGUAGE, f"{pack.id}:{name}")
-                k += n - 1
+                done = run.last.at + 1
                 break
-        k += 1
 
 
 _RUNNABLE = re.compile(r"(?=.*[A-Za-z0-9])[A-Za-z0-9./+-]+")
+#: Every number of a language has as many digits at least; shorter runs aren't read at all.
+LEAST_DIGITS, LONGEST_RUN = 7, 7
 
 
-def _run(doc: Reading, k: int, n: int) -> Run | None:
-    words = doc.words[k : k + n]
-    if len(words) < n:
-        return None
-    for i, w in enumerate(words):
-        if (i and (w.break_before or w.page_before or "+" in w.bare)) or (i + 1 < n and w.text[-1] in ",;:.!?)") or w.labelling or not _RUNNABLE.fullmatch(w.bare) or "+" in w.bare[1:]:
-            return None
-    pieces = [p for w in words for p in re.split("[./-]", w.bare) if p]
-    before: list[str] = []
-    at = words[0]
-    while not at.break_before and at.at > 0 and len(before) < 4:
-        at = doc.words[at.at - 1]
-        if at.low:
-            before.append(at.low)
-    return Run(words[0], words[-1], "".join(pieces), tuple(sum(c.isalnum() for c in p) for p in pieces), frozenset(before))
+def number_runs(doc: Reading) -> list[tuple[int, list[Run]]]:
+    """For each word that can begin a number, its runs from the longest to the shortest."""
+    out = []
+    total = [0, *accumulate(w.digits for w in doc.words)]
+    for w in doc.words:
+        if total[min(w.at + LONGEST_RUN, len(doc.words))] - total[w.at] < LEAST_DIGITS:
+            continue
+        pieces: list[str] = []
+        found: list[Run] = []
+        before: frozenset | None = None
+        for n in range(LONGEST_RUN):
+            x = doc.get(w.at + n)
+            if not x or (n and (x.break_before or x.page_before or "+" in x.bare)) or x.labelling or not _RUNNABLE.fullmatch(x.bare) or "+" in x.bare[1:]:
+                break
+            pieces += [p for p in re.split("[./-]", x.bare) if p]
+            if total[x.at + 1] - total[w.at] >= LEAST_DIGITS:
+                before = _before(doc, w) if before is None else before
+                found.append(Run(w, x, "".join(pieces), tuple(sum(c.isalnum() for c in p) for p in pieces), before))
+            if x.text[-1] in ",;:.!?)":
+                break
+        if found:
+            out.append((w.at, found[::-1]))
+    return out
+
+
+def _before(doc: Reading, w: Word) -> frozenset:
+    """Up to four words before, on its line, in small letters."""
+    out: list[str] = []
+    while not w.break_before and w.at > 0 and len(out) < 4:
+        w = doc.words[w.at - 1]
+        if w.low:
+            out.append(w.low)
+    return frozenset(out)
 
 
 def _luhn(s: str) -> bool:

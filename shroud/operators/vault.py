@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .kernel import Hint
 
@@ -26,7 +26,7 @@ SCHEMAS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no function for it. Arrow batches; ASCII passes at once."""
     return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s))
