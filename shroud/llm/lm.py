@@ -188,18 +188,15 @@ def learn(table: np.ndarray, grown: np.ndarray, b: Batch, rate: float = 0.1, ste
         f, g, kind, slot = _rows(b, a, a + step)
         n = len(kind)
         me = np.arange(n)
-        dz, dy = _logits(table, f, g)
-        for d in (dz, dy):
-            np.exp(d, out=d)
-            d /= d.sum(1, keepdims=True)
-        dz[me, kind] -= 1
-        dy[me, slot] -= 1
+        dz, dy = (_shares(x) for x in _logits(table, f, g))
+        dz[kind, me] -= 1
+        dy[slot, me] -= 1
         for rows, base, d in ((f[0], 0, dz), (f[1], AT_SKIP, dz), (f[2], AT_PAIR, dz), (g[0], AT_SLOT, dy)):
             near = (rows - base).astype(np.uint16)  # numpy sorts these by radix
             order = np.argsort(near, kind="stable")
             at = near[order]
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            grad = np.add.reduceat(np.take(d, order, 0, mode="clip"), first)
+            grad = np.add.reduceat(np.take(d, order, 1, mode="clip"), first, axis=1).T
             at = at[first].astype(np.int64) + base
             grad /= np.sqrt(np.diff(np.r_[first, n])).astype(np.float32)[:, None]
             grown[at] += np.einsum("ij,ij->i", grad, grad) / CLASSES
@@ -207,6 +204,13 @@ def learn(table: np.ndarray, grown: np.ndarray, b: Batch, rate: float = 0.1, ste
             table[at] -= grad
 
 
+def _shares(logits: np.ndarray) -> np.ndarray:
+    """The softmax, a column a token: sums over tokens run along memory."""
+    out = np.exp(logits, out=logits).T.copy()
+    out /= out.sum(0)
+    return out
+
+
 def train(docs: DataFrame, v: Vocabulary, rounds: int = 2) -> np.ndarray:
     """The weight table after `rounds` rounds, each over another part of the texts (by a hash); all are learnt from once."""
     spark = docs.sparkSession
@@ -275,15 +279,15 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 own[in_head] += v.share[x.code[in_head]]
                 own[~in_head] -= rests[x.leaf[~in_head] - LEAVES]
                 first = np.r_[0, x.ends[:-1]]
-                far: list = [[] for _ in range(hi - lo)]
-                if x.far:
-                    where = np.searchsorted(x.ends, [k for k, _ in x.far], "right")
-                    for (d, w), n in Counter(zip(where.tolist(), (w for _, w in x.far), strict=True)).items():
-                        far[d].append({"token": w, "n": n})
+                where = np.searchsorted(x.ends, np.array([k for k, _ in x.far], np.int64), "right")
+                seen = list(Counter(zip(where.tolist(), (w for _, w in x.far), strict=True)).items())  # in the order of documents
+                cut = np.searchsorted(np.array([d for (d, _), _ in seen], np.int64), np.arange(hi - lo + 1)).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array([w for (_, w), _ in seen], pa.binary()), pa.array([n for _, n in seen], pa.int64())], names=["token", "n"])
+                far = pa.ListArray.from_arrays(pa.array(cut), pairs)
                 ids = pa.array(np.int64(part << 33) + np.arange(row, row + hi - lo))
                 row += hi - lo
                 yield pa.RecordBatch.from_arrays(
-                    [ids, b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(np.diff(np.r_[0, x.ends])), pa.array(np.add.reduceat(in_head.astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(own, first)), pa.array(far, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))],
+                    [ids, b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(np.diff(np.r_[0, x.ends])), pa.array(np.add.reduceat(in_head.astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(own, first)), far],
                     names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "far"],
                 )
 
