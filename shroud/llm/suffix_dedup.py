@@ -230,8 +230,22 @@ def sort_bucket(data: list[bytes], lead: np.ndarray, many: np.ndarray) -> list[n
     return np.split(repeated, np.cumsum(room)[:-1])
 
 
+def _merged(row: np.ndarray, a: np.ndarray, z: np.ndarray) -> pa.Table:
+    """A row for each document, with its stretches of bytes in order, those that touch made one."""
+    order = np.lexsort((a, row))
+    row, a, z = row[order], a[order], z[order]
+    names, who = np.unique(row, return_inverse=True)
+    far = who.astype(np.int64) << np.int64(40)
+    reach = np.maximum.accumulate(z + far)
+    first = np.flatnonzero(np.r_[True, a[1:] + far[1:] > reach[:-1]]) if len(a) else np.empty(0, np.int64)
+    ends = np.maximum.reduceat(z, first) if len(a) else z
+    spans = pa.StructArray.from_arrays([pa.array(a[first]), pa.array(ends)], names=["a", "z"])
+    cut = np.searchsorted(who[first], np.arange(len(names) + 1)).astype(np.int32)
+    return pa.table({"row": pa.array(names.astype(np.int64)), "spans": pa.ListArray.from_arrays(pa.array(cut), spans)})
+
+
 def _sorted(stretches: DataFrame, groups: int) -> DataFrame:
-    """row, a, z: stretches of bytes that repeated strings cover."""
+    """row, spans (array of a, z): bytes that repeated strings of a group's buckets cover."""
 
     def meet(g: pa.Table) -> pa.Table:
         key, lead, data = g["key"].to_numpy(), g["lead"].to_numpy(), g["data"].to_pylist()
@@ -257,10 +271,9 @@ def _sorted(stretches: DataFrame, groups: int) -> DataFrame:
                 out_row.append(np.repeat(rows[cut[k] : cut[k + 1]], len(a)))
                 out_a.append((here[:, None] + a[None]).ravel())
                 out_z.append((here[:, None] + z[None]).ravel())
-        cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (out_row, out_a, out_z)]
-        return pa.table(dict(zip(("row", "a", "z"), cols, strict=True)))
+        return _merged(*(np.concatenate(c) if c else np.empty(0, np.int64) for c in (out_row, out_a, out_z)))
 
-    return stretches.where(~F.col("hot")).withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).select("group", "key", "lead", "data", "rows", "ats").groupBy("group").applyInArrow(meet, "row long, a long, z long")
+    return stretches.where(~F.col("hot")).withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).select("group", "key", "lead", "data", "rows", "ats").groupBy("group").applyInArrow(meet, "row long, spans array<struct<a:long,z:long>>")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -293,11 +306,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
         made = staged(made, "suffix-stretches")
         warm = made.where("hot").select("f", "g", F.explode(F.arrays_zip("rows", "ats")).alias("o"))
         twice = warm.groupBy("f", "g").count().where("count > 1")
-        one_by_one = warm.join(twice, ["f", "g"]).select(F.col("o.rows").alias("row"), F.col("o.ats").alias("a"), (F.col("o.ats") + LENGTH).alias("z"))
+        one_by_one = warm.join(twice, ["f", "g"]).select(F.col("o.rows").alias("row"), F.array(F.struct(F.col("o.ats").alias("a"), (F.col("o.ats") + LENGTH).alias("z"))).alias("spans"))
         covered = _sorted(made, groups).union(one_by_one)
     else:
         covered = _sorted(made, groups)
-    spans = covered.groupBy("row").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    spans = covered.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def cut(batches):
         for b in batches:
