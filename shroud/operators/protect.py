@@ -103,12 +103,12 @@ def audit(protected: DataFrame, text_col: str = "text", out: str = "protected")
 
     It may as often as in the original less the places replaced; raw substrings count, so a value inside a longer word does.
     """
-    rows = protected.select(*[c for c in protected.columns if c not in ("protections", "findings")], F.explode(F.array_distinct(F.transform("protections", lambda p: p["value"]))).alias("secret"), "protections")
-    count = lambda text: F.size(F.split(text, F.concat(F.lit(r"\Q"), F.regexp_replace("secret", r"\\E", "")), F.lit(-1))) - 1
-    replaced = F.size(F.filter("protections", lambda p: p["value"] == F.col("secret")))
-    outside = F.regexp_replace(F.col(out), TOKEN, "\x00")
+    rows = protected.withColumn("value__", F.explode(F.array_distinct(F.transform("protections", lambda p: p["value"]))))
+    count = lambda text: F.size(F.split(text, F.concat(F.lit(r"\Q"), F.regexp_replace("value__", r"\\E", "")), F.lit(-1))) - 1
+    replaced = F.size(F.filter("protections", lambda p: p["value"] == F.col("value__")))
+    counted = rows.withColumn("left__", count(F.regexp_replace(F.col(out), TOKEN, "\x00")).cast("long")).withColumn("allowed__", (count(F.col(text_col)) - replaced).cast("long"))
     keep = [c for c in protected.columns if c not in ("protections", "findings", "plain_words", text_col, out)]
-    return rows.select(*keep, F.md5("secret").alias("secret"), count(outside).cast("long").alias("left"), (count(F.col(text_col)) - replaced).cast("long").alias("allowed")).withColumn("leak", F.col("left") > F.col("allowed"))
+    return counted.select(*keep, F.md5("value__").alias("secret"), F.col("left__").alias("left"), F.col("allowed__").alias("allowed"), (F.col("left__") > F.col("allowed__")).alias("leak"))
 
 
 SEGMENTS = "array<struct<text:string,piece:string>>"
@@ -188,18 +188,19 @@ def protect_lines(lines: DataFrame, stores: DataFrame, known, secret: str, text_
 
 
 def find_in_document(scanned: DataFrame, needle: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Places of a value and what covers them: Protected, Waiting (a suggestion) or Clear."""
+    """Places of a value and what covers them: Protected, Waiting (a suggestion) or Clear. Takes scanned or protected documents."""
+    covered = "protections" if "protections" in scanned.columns else None
 
     def run(batches):
         for b in batches:
             out = []
-            for i, text, found in zip(*(b.column(c).to_pylist() for c in (id_col, text_col, "findings")), strict=True):
-                for a, z in occurrences(text or "", needle):
-                    over = [f for f in found or [] if a < f["end"] and f["start"] < z]
-                    out.append((i, a, z, "Protected" if any(f["confidence"] == "auto" for f in over) else "Waiting" if over else "Clear"))
+            for i, text, found, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sure = [f for f in found or [] if f["confidence"] == "auto"] + (more[0] or [] if more else [])
+                over = lambda spans, a, z: any(a < f["end"] and f["start"] < z for f in spans)
+                out += [(i, a, z, "Protected" if over(sure, a, z) else "Waiting" if over(found or [], a, z) else "Clear") for a, z in occurrences(text or "", needle)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "start", "end", "state"])
 
-    return scanned.select(F.col(id_col).cast("long").alias(id_col), text_col, "findings").mapInArrow(run, "doc_id long, start int, end int, state string")
+    return scanned.select(F.col(id_col).cast("long").alias(id_col), text_col, "findings", *[covered] * bool(covered)).mapInArrow(run, "doc_id long, start int, end int, state string")
 
 
 def whole_words(text: str, start: int, end: int) -> tuple[int, int]:

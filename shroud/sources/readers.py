@@ -6,6 +6,7 @@ TooManyPages, NoText, Unreadable, DisplayOrder, TooMuchText, Swells, UnknownKind
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -388,15 +389,32 @@ def user_list(text: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]],
     return names, values, reasons, [h for h in head if h not in ("name", "type", "source", "licence", *COLUMNS)]
 
 
-def registers(spark: SparkSession, city_paths: dict[str, dict[str, str]]) -> DataFrame:
-    """city -> path, sep, encoding of newborn registers (vorname, anzahl, geschlecht in any case): city, name, count, gender."""
-    out = None
-    for city, how in city_paths.items():
-        raw = spark.read.option("header", True).option("sep", how.get("sep", ";")).option("encoding", how.get("encoding", "UTF-8")).csv(how["path"])
-        named = raw.toDF(*[c.strip().lstrip("﻿").lower() for c in raw.columns])
-        one = named.select(F.lit(city).alias("city"), F.trim("vorname").alias("name"), F.col("anzahl").try_cast("long").alias("count"), F.lower(F.trim("geschlecht")).alias("gender"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def registers(spark: SparkSession, city_paths: dict[str, str]) -> DataFrame:
+    """city -> path of newborn registers: city, name, count, gender. Each file is UTF-8 (with or without a mark) or else cp1252,
+    parted by semicolons or commas, with vorname, anzahl and geschlecht among its headings in any case."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for city, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    text = data.decode("utf-8-sig")
+                except UnicodeDecodeError:
+                    text = data.decode("cp1252", "replace")
+                lines = text.splitlines()
+                sep = ";" if lines and ";" in lines[0] else ","
+                for row in csv.DictReader([lines[0].lower(), *lines[1:]] if lines else [], delimiter=sep):
+                    name, n = (row.get("vorname") or "").strip(), (row.get("anzahl") or "").strip()
+                    if name and n.isdigit():
+                        out.append((city, name, int(n), (row.get("geschlecht") or "").strip().lower()))
+            kinds = pa.string(), pa.string(), pa.int64(), pa.string()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["city", "name", "count", "gender"])
+
+    files = [spark.read.format("binaryFile").load(path).select(F.lit(city).alias("city"), "content") for city, path in city_paths.items()]
+    every = files[0]
+    for f in files[1:]:
+        every = every.unionByName(f)
+    return every.mapInArrow(run, "city string, name string, count long, gender string")
 
 
 def arabic_library(lines: DataFrame) -> DataFrame:
