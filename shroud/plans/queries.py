@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X, validators as V
-from ..operators import general, names, protect, report, scan, vault
+from ..operators import general, marks, names, protect, report, scan, vault
+from ..operators.kernel import PACKS
+from ..operators.lexicon import LABELS
 from ..operators.spans import matches, splice
 from ..sources import readers, sinks
 from .kinds import KINDS, kinds
+from .languages import LANGUAGES, languages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -518,3 +521,60 @@ def name_candidates(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (scan_documents, protect_documents, name_candidates)}
+
+
+# -- marks -------------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber * 10 AS INTEGER) AS s, CAST(l_linenumber * 10 + 8 AS INTEGER) AS e, 'Phone' AS kind FROM lineitem),
+a AS (SELECT o_orderkey AS doc_id, 1 AS act, CAST(12 + o_orderkey % 20 AS INTEGER) AS s, CAST(20 + o_orderkey % 20 AS INTEGER) AS e FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0)
+SELECT doc_id, s AS start, e AS "end", kind FROM p WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = p.doc_id AND p.s < a.e AND a.s < p.e)
+UNION ALL SELECT doc_id, s, e, 'Custom' FROM a WHERE doc_id % 4 = 0
+""")
+def marks_overlay(spark, sf_dir):
+    """Marks set or taken by hand on even orders; those of orders that 3 divides are undone."""
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 10).cast("int").alias("start"), (F.col("l_linenumber") * 10 + 8).cast("int").alias("end"), F.lit("Phone").alias("kind"))
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    acts = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("act"), F.when(F.col("o_orderkey") % 4 == 0, "protect").otherwise("unprotect").alias("op"), (F.col("o_orderkey") % 20 + 12).cast("int").alias("start"), (F.col("o_orderkey") % 20 + 20).cast("int").alias("end"), F.lit("Custom").alias("kind"), F.lit(None).cast("int").alias("of"))
+    undo = acts.where("doc_id % 3 = 0").withColumn("of", F.col("act")).withColumn("act", F.lit(2)).withColumn("op", F.lit("undo"))
+    return marks.overlay(p, acts.unionByName(undo))
+
+
+@query("SELECT c_custkey AS doc_id, 1 AS line, 1 AS cell, c_mktsegment AS value FROM customer UNION ALL SELECT c_custkey, 2, 1, CAST(c_custkey AS VARCHAR) FROM customer")
+def marks_column(spark, sf_dir):
+    """A column by example: the second cell of the second and third lines."""
+    c = table(spark, sf_dir, "customer")
+    text = F.concat(F.lit("a  b\n"), "c_name", F.lit("\t"), "c_mktsegment", F.lit("\nx  "), F.col("c_custkey").cast("string"))
+    docs = c.select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    example = docs.select("doc_id", F.lit(1).alias("first_line"), F.lit(2).alias("last_line"), F.lit(1).alias("cell"))
+    return marks.column_by_example(marks.cells(docs), example).select("doc_id", "line", "cell", "value")
+
+
+@query(_FOUND_SQL + "SELECT doc_id, CASE WHEN doc_id % 1 = 0 THEN 2 END::BIGINT AS marks FROM t")
+def marks_lines(spark, sf_dir):
+    """Findings on the first two lines of each letter."""
+    return marks.line_selection(scan.findings(_scanned(spark, sf_dir)), marks.cells(letters(spark, sf_dir)), 0, 1)
+
+
+@query(_FOUND_SQL + "SELECT doc_id, kind, kind || ' is protected' AS headline FROM f")
+def marks_explain(spark, sf_dir):
+    return marks.explain(scan.findings(_scanned(spark, sf_dir))).select("doc_id", "kind", "headline")
+
+
+@query("SELECT payload_id FROM (SELECT o_orderkey AS payload_id, o_orderkey % 10 = 0 AS answered, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 16 OR answered")
+def marks_newest(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return marks.newest(o.select(F.col("o_orderkey").alias("payload_id"), (F.col("o_custkey") % 50).alias("session"), F.col("o_orderdate").alias("made"), (F.col("o_orderkey") % 10 == 0).alias("answered"))).select("payload_id")
+
+
+@query("SELECT id, has_rules FROM (VALUES " + ", ".join(f"('{k}', {k in PACKS})" for k in LANGUAGES) + ") AS t(id, has_rules)")
+def dimension_languages(spark, sf_dir):
+    return languages(spark).select("id", "has_rules")
+
+
+@query("SELECT set, count(*) AS n, count(*) FILTER (WHERE decision = 'auto') AS auto FROM (VALUES " + ", ".join(f"('{r.set}', '{r.decision}')" for rows in LABELS.values() for r in rows) + ") AS t(set, decision) GROUP BY set")
+def dimension_labels(spark, sf_dir):
+    rows = [(r.set, r.id, r.label, r.kind, r.validator, r.decision) for rows in LABELS.values() for r in rows]
+    t = spark.createDataFrame(rows, "set string, id string, label string, kind string, validator string, decision string")
+    return t.groupBy("set").agg(F.count("*").alias("n"), F.count_if(F.col("decision") == "auto").alias("auto"))
