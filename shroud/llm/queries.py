@@ -60,7 +60,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
