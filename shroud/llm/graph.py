@@ -16,8 +16,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = staged(_oriented(edges), "edges")
     seen = None
     for _ in range(most_rounds):
-        small = staged(_small(_large(now)), "edges")
-        drop_staged(now)
+        made = [now]
+        small = staged(_small(_large(now, made), made), "edges")
+        for table in made:
+            drop_staged(table)
         now = small
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
@@ -31,15 +33,18 @@ def _oriented(edges: DataFrame) -> DataFrame:
     return edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, made: list[DataFrame]) -> DataFrame:
     """Larger neighbours of each node go to its smallest neighbour (or itself)."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")  # a table of its own, so a hub's edges can be split
+    made.append(least)
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, made: list[DataFrame]) -> DataFrame:
     """A node and its smaller neighbours go to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    edges = staged(edges, "large")
+    least = staged(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    made += [edges, least]
     met = edges.join(least, "a")
     return _oriented(met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from .bpe import by_size
 from .features import _ODD, Text, _table, mixed, runs
 from .graph import components
-from .shared import arrow, staged, text_or_empty
+from .shared import arrow, release, staged, text_or_empty
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND = 24, 4
@@ -227,6 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             who = np.flatnonzero(links)
             out.append((t[a:z][who], t[a:z][top[who]], links[who], weight[who].astype(np.int64), np.full(len(who), x >= 0)))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4 + [np.empty(0, bool)]
+        release()
         return pa.table(dict(zip(("t", "top", "links", "weight", "cut"), cols, strict=True)))
 
     found = staged(keyed.groupBy("key", "x", "y").applyInArrow(meet, "t long, top long, links long, weight long, cut boolean"), "join-links")
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), n_links, n_text_links, n_copies."""
     rows = staged(near_duplicates(docs, id_col, text_col), "join-rows")
-    names = rows.groupBy("class_row").agg(F.min("doc_id").alias("class_id"))
+    names = staged(rows.groupBy("class_row").agg(F.min("doc_id").alias("class_id")), "join-names")  # a table of its own, so a large class's rows can be split
     return rows.join(names, "class_row").select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .features import _ODD, mixed, powers
-from .shared import arrow, staged, text_or_empty
+from .shared import arrow, release, staged, text_or_empty
 
 LENGTH, KEY = 400, 80
 SPAN = LENGTH - KEY + 1  # how many keys begin in a string
@@ -271,7 +271,9 @@ def _sorted(stretches: DataFrame, groups: int) -> DataFrame:
                 out_row.append(np.repeat(rows[cut[k] : cut[k + 1]], len(a)))
                 out_a.append((here[:, None] + a[None]).ravel())
                 out_z.append((here[:, None] + z[None]).ravel())
-        return _merged(*(np.concatenate(c) if c else np.empty(0, np.int64) for c in (out_row, out_a, out_z)))
+        out = _merged(*(np.concatenate(c) if c else np.empty(0, np.int64) for c in (out_row, out_a, out_z)))
+        release()
+        return out
 
     return stretches.where(~F.col("hot")).withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).select("group", "key", "lead", "data", "rows", "ats").groupBy("group").applyInArrow(meet, "row long, spans array<struct<a:long,z:long>>")
 
@@ -282,7 +284,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     data = F.col("text").cast("binary")
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).select("doc_id", F.unhex(F.md5(data)).alias("md5"), data.alias("data"))
     marked = staged(_anchors(keyed), "suffix-anchors")
-    texts = marked.groupBy("md5").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    texts = staged(marked.groupBy("md5").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "suffix-copies")  # a table of its own, so one text's many rows can be split
     rows = staged(marked.select("row", "doc_id", "md5", "n_bytes", "sha").join(texts.select("md5", F.col("row").alias("first"), "copies"), "md5"), "suffix-rows")
     one = marked.where(F.size("keys") > 0).join(rows.where("row = first").select("row"), "row", "left_semi")
     buckets = one.select("row", F.explode(F.arrays_zip("keys", "times")).alias("k")).select("row", F.col("k.keys").alias("key"), F.col("k.times").alias("times"))
