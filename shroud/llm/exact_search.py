@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import arrow, staged
-from .vectors import GROUP_ROWS, best_rows, chunk, matrix, some, usable
+from .vectors import GROUP_ROWS, best_rows, chunk, every_chunk, matrix, some, usable
 
 PIVOTS, SAMPLE, ANNULUS = 16, 512, 256
 
@@ -64,18 +64,10 @@ def exact_search(vectors: DataFrame, k: int = 5, every: int = 50, scale: float =
     ringed = keyed.withColumn("ring", ring.cast("int"))
     groups = ringed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high"), F.max("norm2").alias("x2")).orderBy("pivot", "ring").collect()
     salts = [-(-g["n"] // (2 * GROUP_ROWS)) for g in groups]
-    at = {(g["pivot"], g["ring"]): i for i, g in enumerate(groups)}
     gp, low, high, x2 = (np.array([g[c] for g in groups]) for c in ("pivot", "low", "high", "x2"))
-    number = F.lit(0)
-    salt_of = F.lit(1)
-    for (p, r), i in at.items():
-        here = (F.col("pivot") == p) & (F.col("ring") == r)
-        number = F.when(here, i).otherwise(number)
-        if salts[i] > 1:
-            salt_of = F.when(here, salts[i]).otherwise(salt_of)
+    places = spark.createDataFrame([(g["pivot"], g["ring"], i, salts[i]) for i, g in enumerate(groups)], "pivot int, ring int, g int, salts int")  # 257 rings a pivot at most
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by("vec", "vec").alias("vec"), F.min_by("norm2", "vec").alias("norm2"))
     n_queries = queries.count()
-    chunks = max(1, -(-n_queries // 16384))
 
     def send(batches):
         for b in batches:
@@ -94,7 +86,7 @@ def exact_search(vectors: DataFrame, k: int = 5, every: int = 50, scale: float =
             yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(salt.astype(np.int32)), b.column(3).take(take), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(least[who])], names=["g", "salt", "chunk", "query_id", "vec", "norm2", "least"])
 
     sent = chunk(queries, n_queries).select("vec_id", "vec", "norm2", "chunk").transform(arrow, send, "g int, salt int, chunk int, query_id long, vec binary, norm2 double, least double")
-    index = ringed.select(number.cast("int").alias("g"), F.pmod(F.xxhash64("vec_id", F.lit(5)), salt_of).cast("int").alias("salt"), F.explode(F.array(*[F.lit(c) for c in range(chunks)])).alias("chunk") if chunks > 1 else F.lit(0).alias("chunk"), "vec_id", "vec", "norm2", "pivot", "r")
+    index = ringed.join(F.broadcast(places), ["pivot", "ring"]).select("g", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("salts")).cast("int").alias("salt"), every_chunk(n_queries), "vec_id", "vec", "norm2", "pivot", "r")
 
     def meet(qs: pa.Table, xs: pa.Table) -> pa.Table:
         out = []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import arrow, staged
-from .vectors import GROUP_ROWS, best_rows, chunk, matrix, some, top, usable
+from .vectors import GROUP_ROWS, best_rows, chunk, every_chunk, matrix, some, top, usable
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -88,7 +88,6 @@ def near_search(vectors: DataFrame, k: int = 20, every: int = 20, share: float =
     least = max(at_least, int(share * count.sum()))
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     n_queries = queries.count()
-    chunks = max(1, -(-n_queries // 16384))
 
     def send(batches):
         for b in batches:
@@ -115,7 +114,7 @@ def near_search(vectors: DataFrame, k: int = 20, every: int = 20, share: float =
     salt_of = F.lit(1)
     for a, s in hot.items():
         salt_of = F.when(F.col("a") == a, s).otherwise(salt_of)
-    placed = index.select("a", F.pmod(F.xxhash64("vec_id", F.lit(5)), salt_of).cast("int").alias("salt"), F.explode(F.array(*[F.lit(c) for c in range(chunks)])).alias("chunk") if chunks > 1 else F.lit(0).alias("chunk"), "vec_id", "vec", "b")
+    placed = index.select("a", F.pmod(F.xxhash64("vec_id", F.lit(5)), salt_of).cast("int").alias("salt"), every_chunk(n_queries), "vec_id", "vec", "b")
 
     def meet(qs: pa.Table, xs: pa.Table) -> pa.Table:
         out = []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared import arrow
 
@@ -48,9 +48,19 @@ def some(rows: DataFrame, n: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["vec_id"] for r in got], np.int64), np.frombuffer(b"".join(bytes(r["vec"]) for r in got), np.float64).reshape(-1, dim)
 
 
+def chunks(n: int) -> int:
+    """Groups that n queries are worked through in."""
+    return max(1, -(-n // CHUNK_QUERIES))
+
+
 def chunk(queries: DataFrame, n: int) -> DataFrame:
-    """Adds `chunk`: which of ceil(n / CHUNK_QUERIES) groups of queries a query is in."""
-    return queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(max(1, -(-n // CHUNK_QUERIES)))).cast("int"))
+    """Adds `chunk`: which of the groups of queries a query is in."""
+    return queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(chunks(n))).cast("int"))
+
+
+def every_chunk(n: int) -> Column:
+    """For rows of the index: one row for each group of queries."""
+    return F.explode(F.sequence(F.lit(0), F.lit(chunks(n) - 1))).alias("chunk")
 
 
 def best_rows(found: DataFrame, k: int) -> DataFrame:

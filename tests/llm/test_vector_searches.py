@@ -29,6 +29,7 @@ def exact(ids, score, queries, k):
 def test_exact_search_is_brute_force(table, rows, monkeypatch):
     monkeypatch.setattr(exact_search, "GROUP_ROWS", rows)
     monkeypatch.setattr(exact_search, "ANNULUS", 16)
+    monkeypatch.setattr(vectors, "CHUNK_QUERIES", rows // 6)
     x, df = table
     ids = [*range(len(x)), 2300]
     y = np.floor(256 * np.vstack([x, np.zeros(16)]).astype(np.float64)).astype(np.int64)
@@ -55,7 +56,7 @@ def test_near_search_recall_and_scores(table):
 
 def test_near_search_groups_of_bounded_size(table, monkeypatch):
     monkeypatch.setattr(near_search, "GROUP_ROWS", 10)
-    monkeypatch.setattr(vectors, "CHUNK_QUERIES", 16384)
+    monkeypatch.setattr(vectors, "CHUNK_QUERIES", 30)
     x, df = table
     z = x.astype(np.float64)
     score = {q: z @ z[q] for q in range(0, 1500, 20)}
