@@ -516,11 +516,7 @@ def protect_documents(spark, sf_dir):
     return made.select("doc_id", "lang", F.md5("protected").alias("protected"), F.size("protections").alias("places"))
 
 
-def name_candidates(spark, sf_dir):
-    return report.name_candidates(documents(spark, sf_dir), scan.knowledge(("de", "en"))).select("word", "rule", "occurrences", "pages", F.size("examples").alias("examples"))
-
-
-QUERIES |= {f.__name__: f for f in (scan_documents, protect_documents, name_candidates)}
+QUERIES |= {f.__name__: f for f in (scan_documents, protect_documents)}
 
 
 # -- marks -------------------------------------------------------------------------------------------------------------------
@@ -578,3 +574,49 @@ def dimension_labels(spark, sf_dir):
     rows = [(r.set, r.id, r.label, r.kind, r.validator, r.decision) for rows in LABELS.values() for r in rows]
     t = spark.createDataFrame(rows, "set string, id string, label string, kind string, validator string, decision string")
     return t.groupBy("set").agg(F.count("*").alias("n"), F.count_if(F.col("decision") == "auto").alias("auto"))
+
+
+# -- languages, candidates, finding a value ------------------------------------------------------------------------------------
+
+_N9_FREE = "CAST((o_orderkey * 7919) % 900000000 + 100000000 AS {s})"
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey AS k, {_N9_FREE.format(s="VARCHAR")} AS siren, lpad(CAST((o_orderkey * 7919) % 100000000 AS VARCHAR), 8, '0') AS dni FROM orders)
+SELECT 'de' AS pack, 'Vehicle' AS kind, 'Protected' AS state, count(*) AS n FROM o
+UNION ALL SELECT 'de', 'Address', 'Suggested', count(*) FROM o
+UNION ALL SELECT 'fr', 'TaxId', 'Protected', count(*) FROM o WHERE {_LUHN_SQL.format(v="siren")}
+UNION ALL SELECT 'es', 'IdCard', 'Protected', count(*) FROM o WHERE CAST(dni AS BIGINT) % 23 = k % 23
+""")
+def scan_packs(spark, sf_dir):
+    """Rules of one language each: plates and addresses (de), company numbers (fr), identity numbers (es)."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    siren = F.expr(_N9_FREE.format(s="STRING"))
+    three = F.concat_ws(" ", F.substring(siren, 1, 3), F.substring(siren, 4, 3), F.substring(siren, 7, 3))
+    letter = F.substr(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), (k % 23 + 1).cast("int"), F.lit(1))
+    plate = F.concat(F.lit("Wagen B-"), F.substr(F.lit("ABCDEFGH"), (k % 8 + 1).cast("int"), F.lit(1)), F.lit(" "), (k % 9999 + 1).cast("string"), F.lit("\nGartenstraße 8, 10115 Berlin"))
+    texts = {"de": plate, "fr": F.concat(F.lit("SIREN "), three), "es": F.concat(F.lit("documento "), F.lpad((k * 7919 % 100000000).cast("string"), 8, "0"), letter)}
+    out = None
+    for pack, text in texts.items():
+        found = scan.findings(scan.scan(o.select(k.alias("doc_id"), text.alias("text")), scan.knowledge((pack,))))
+        one = found.groupBy(F.lit(pack).alias("pack"), "kind", "state").agg(F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_WORD = "'Q' || translate(CAST(c_custkey % 300 AS {s}), '0123456789', 'abcdefghij') || 'ill'"
+
+
+@query(f"SELECT {_WORD.format(s='VARCHAR')} AS word, 'after-a-given-name' AS rule, count(*) AS occurrences, count(*) AS pages, CAST(least(3, count(*)) AS INTEGER) AS examples FROM customer GROUP BY 1")
+def report_name_candidates(spark, sf_dir):
+    """Surnames that no list holds, after a given name that one does."""
+    c = table(spark, sf_dir, "customer")
+    docs = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("we saw Laura "), F.expr(_WORD.format(s="STRING")), F.lit(" there")).alias("text"))
+    return report.name_candidates(docs, scan.knowledge(("en",))).select("word", "rule", "occurrences", "pages", F.size("examples").alias("examples"))
+
+
+@query(_FOUND_SQL + "SELECT doc_id, CAST(strpos(text, 'Mr ') + 2 AS INTEGER) AS start, 'Protected' AS state FROM t WHERE person = 'Cooper'")
+def find_value(spark, sf_dir):
+    """Places of a value and what covers them."""
+    return protect.find_in_document(_scanned(spark, sf_dir), "cooper").select("doc_id", "start", "state")
