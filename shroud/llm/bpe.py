@@ -27,6 +27,8 @@ from .shared import arrow
 #: White space as the tokenizer file's \s means it; str.split() also cuts at the four separators below.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Code points of plane 3 without a letter, which the regex module counts as letters and the tokenizer's own doesn't.
+_UNASSIGNED = re.compile("[\U000323B0-\U0003FFFD]")
 LONG = 256
 NONE = np.int64(1 << 40)
 
@@ -108,6 +110,8 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made.astype(np.int32)
         self.cut_words = regex.compile(pattern + "|\n")
+        strict = pattern.replace("[\\p{L}]", "[\\p{L}--[\U000323B0-\U0003FFFD]]").replace("[^\\s\\p{L}\\p{N}]", "[[^\\s\\p{L}\\p{N}]||[\U000323B0-\U0003FFFD]]")
+        self.strict = regex.compile(strict, regex.V1)
         self.reset()
 
     def reset(self) -> None:
@@ -130,7 +134,7 @@ class WordBpe:
                 out.append(self.special[p])
             elif p:
                 low = p.lower() if p.isascii() else unicodedata.normalize("NFC", p).replace("Σ", "σ").lower()
-                out += self.piece.findall(low)
+                out += (self.strict if _UNASSIGNED.search(low) else self.piece).findall(low)
         return out
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -211,10 +215,10 @@ class WordBpe:
 
     def _learn(self, new: list[str]) -> None:
         """Adds chunks to the cache: all are cut into words at once, and words not seen before are merged."""
-        if self.cut and any("<" in c and self.cut.search(c) for c in new):
+        low = "\n".join([*new, ""])
+        if (self.cut and "<" in low and self.cut.search(low)) or (not low.isascii() and _UNASSIGNED.search(low)):
             parts = list(chain.from_iterable([*self.pieces(c), "\n"] for c in new))
         else:
-            low = "\n".join([*new, ""])
             parts = self.cut_words.findall(low.lower() if low.isascii() else unicodedata.normalize("NFC", low).replace("Σ", "σ").lower())
         if ids := [x for x in dict.fromkeys(parts) if isinstance(x, int) and x not in self.words.code]:
             self.words.add(ids, np.array(ids, np.int32), np.ones(len(ids), np.int64))
