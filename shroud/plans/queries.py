@@ -428,7 +428,8 @@ def vault_teach_names(spark, sf_dir):
     return vault.teach_names(n, new).select("lang", "name", "type")
 
 
-@query(_VAULT_SQL + "SELECT count(*) AS n, max(value_id) AS last, count(*) FILTER (WHERE value = 'unheard') AS fresh FROM (SELECT value_id, value FROM v UNION ALL SELECT (SELECT max(value_id) + 1 FROM v), 'unheard')")
+@query(_VAULT_SQL + """, n AS (SELECT x FROM (VALUES ('unheard'), ('V5'), ('A10')) AS t(x) WHERE x NOT IN (SELECT spelling FROM sp))
+SELECT (SELECT count(*) FROM v) + (SELECT count(*) FROM n) AS n, CAST((SELECT max(value_id) FROM v) + (SELECT count(*) FROM n) AS INTEGER) AS last, (SELECT count(*) FROM n WHERE x = 'unheard') AS fresh""")
 def vault_learn(spark, sf_dir):
     t = _vault(spark, sf_dir)
     new = spark.createDataFrame([("Custom", "unheard"), ("Custom", "V5"), ("Custom", "A10")], "kind string, value string")
