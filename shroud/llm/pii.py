@@ -1,4 +1,4 @@
-"""Personal data: patterns propose spans, checksums confirm them, context words move the score.
+"""Personal data: patterns propose spans, checksums confirm them, context words (outside all spans) move the score.
 
 Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and non-overlapping per kind; a match that
 fails its check is dropped and not tried again. The method adds `iban` (mod-97), `ssn` and `key` spans.
@@ -46,6 +46,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 #: Score of a match alone, and what a passed checksum and a nearby word add or take.
 _START = {"email": 0.8, "ip": 0.6, "card": 0.4, "phone": 0.6, "iban": 0.4, "ssn": 0.5, "key": 0.8}
 CHECKED, NEAR, AGAINST, REACH = 0.4, 0.15, 0.2, 48
+#: Score of a confirmed span before any context word.
+_ALONE = {k: round(v + CHECKED * (k in ("card", "iban")), 4) for k, v in _START.items()}
 
 
 class Span(NamedTuple):
@@ -115,9 +117,14 @@ def find(text: str | None) -> list[Span]:
     """All spans, by kind as listed in BASE_KINDS and EXTRA_KINDS, then by start."""
     if not text:
         return []
-    found = []
-    for kind, a, b, checked in _candidates(text):
-        near = {w.lower() for w in _WORD.findall(text[max(0, a - REACH) : a] + " " + text[b : b + REACH // 2])}
+    found, met = [], [*_candidates(text)]
+    pieces, done = [], 0
+    for _, a, b, _ in sorted(met, key=lambda c: c[1:3]):
+        pieces += [text[done:a], " " * (b - max(a, done))]
+        done = max(done, b)
+    free = "".join([*pieces, text[done:]])  # the text with its spans blanked: a mail address has no context words
+    for kind, a, b, checked in met:
+        near = {w.lower() for w in _WORD.findall(free[max(0, a - REACH) : a] + " " + free[b : b + REACH // 2])}
         score = _START[kind] + CHECKED * checked + NEAR * any(w in near for w in _CONTEXT[kind]) - AGAINST * any(w in near for w in _AGAINST)
         found.append(Span(kind, a, b, round(min(1.0, max(0.0, score)), 4)))
     return found
@@ -140,13 +147,17 @@ def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> D
 
 
 def redact(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """Replaces each span of that score at least by its kind in brackets; of overlapping spans the one that starts first (then the longer) is named."""
+    """Replaces spans by their kind in brackets; of overlapping spans the one that starts first (then the longer) is named.
+
+    Base kinds go whatever their score. Of the added kinds those of that score at least go, and context words only lift a
+    span over it: one that reaches it by its pattern and checksum is never kept for a word that stands nearby.
+    """
 
     def clean(text):
         if not text:
             return text
         out, done = [], 0
-        for s in sorted((s for s in find(text) if s.score >= least), key=lambda s: (s.start, -s.end)):
+        for s in sorted((s for s in find(text) if s.kind in BASE_KINDS or max(s.score, _ALONE[s.kind]) >= least), key=lambda s: (s.start, -s.end)):
             if s.start >= done:
                 out += [text[done : s.start], f"[{s.kind.upper()}]"]
             done = max(done, s.end)

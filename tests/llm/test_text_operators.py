@@ -107,6 +107,19 @@ def test_digest_and_redaction(make):
     assert clean[0] == "call [PHONE] or [EMAIL]" and clean[1] is None and clean[3].startswith("iban [IBAN] of")
 
 
+def test_redaction_takes_every_base_span(make):
+    texts = [f"{before} {value} {after}" for value in ("+1 (068) 555-2748", "10.1.2.3", "a.b@mail7.example.com", "4111 1111 1111 1111") for before in ("order", "invoice part", "version", "x@mail7.example.com") for after in ("sample", "isbn")]
+    texts += ["order 219-09-9999 for the ssn example", "part 219-09-9999"]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(make(texts)).collect()}
+    for k, t in enumerate(texts[:-2]):
+        assert base_spans(t) and base_spans(clean[k]) == [] and clean[k].count("[") == len(base_spans(t))
+    assert clean[len(texts) - 2] == "order [SSN] for the ssn example" and clean[len(texts) - 1] == "part [SSN]"
+
+
+def test_words_inside_other_spans_are_no_context():
+    assert {s.kind: s.score for s in pii.find("+1 (068) 555-2748 the.65@mail7.example.com")} == {"email": 0.8, "phone": 0.6}
+
+
 def test_long_digits_take_linear_time():
     assert pii.find("1" * 200_000 + "a" * 200_000 + "@") == []
 
