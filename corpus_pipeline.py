@@ -8,6 +8,9 @@ from shroud.llm import ngram_join, packing, pii, quality, suffix_dedup
 from shroud.llm.queries import tokenizer_path
 from shroud.llm.shared import read_table, staged
 
+#: Words of the shortest passage that may not repeat.
+PASSAGE = 51
+
 
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars follows a text that a stage has changed."""
@@ -25,8 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the bytes that repeated strings of 400 bytes cover."""
-    return _measured(suffix_dedup.remove_repeats(docs))
+    """Without the bytes that repeated strings of 400 bytes or of over 50 words cover."""
+    return _measured(suffix_dedup.remove_repeats(docs, words=PASSAGE))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,10 @@ built; the rest is sorted bucket by bucket, in groups of bounded size:
 Equal texts stand for each other, and equal stretches are sorted once with their number, so copies cost no more than one.
 A bucket of more than HOT stretches is cut by the 128-bit fingerprint of each start's 400 bytes and counted by it instead.
 Texts are UTF-8 bytes; null counts as empty; a text under 400 bytes keeps everything. Matches never cross documents.
+
+On request (`words`, for the pipeline) repeated strings of so many words go too, however short; those of 400 bytes are found
+already. Windows of so many words get buckets in the same way, by the least key of half as many words, and those of shared
+buckets are counted by their 128-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .features import _ODD, mixed, powers
+from .features import _ODD, _SOLID, _table, mixed, powers
 from .shared import arrow, release, staged, text_or_empty
 
 LENGTH, KEY = 400, 80
@@ -34,6 +38,7 @@ SPAN = LENGTH - KEY + 1  # how many keys begin in a string
 PERIOD, REACH = 32, 8
 HOT = 50_000
 GROUP_BYTES, BATCH_BYTES = 2_000_000, 1 << 19
+_LETTER = _table([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 
 
 def difference_cover(period: int = PERIOD, reach: int = REACH) -> np.ndarray:
@@ -69,7 +74,7 @@ class Starts:
     def __init__(self, texts: list[bytes]) -> None:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.first = np.cumsum(size) - size
+        self.size, self.first = size, np.cumsum(size) - size
         n = len(self.data)
         up, self.down = powers(n + 1)
         values = self.data.astype(np.uint64) + np.uint64(1)
@@ -95,6 +100,66 @@ class Starts:
         return mixed((self.total[z] - self.total[a]) * self.down[a] + n), mixed((self.other[z] - self.other[a]) * self.down[a] ^ n)
 
 
+def _marks(data: np.ndarray) -> np.ndarray:
+    """Bytes of the marks of Latin-1 (U+0080 to U+00BF) and of general and CJK punctuation (U+2000 to U+207F, U+3000 to U+303F)."""
+    second = np.r_[data[1:], np.uint8(0)]
+    three = (data == 0xE2) & ((second == 0x80) | (second == 0x81)) | (data == 0xE3) & (second == 0x80)
+    lead = three | (data == 0xC2)
+    out = lead.copy()
+    out[1:] |= lead[:-1]
+    out[2:] |= three[:-2]
+    return out
+
+
+class Windows:
+    """All strings of so many words (runs without white space, marks at the string's ends left out) under LENGTH bytes: the
+    document, from where to where, where the least key stands, and its hash; n_words of each document."""
+
+    def __init__(self, s: Starts, words: int) -> None:
+        owner = np.repeat(np.arange(len(s.size)), s.size)
+        solid = _SOLID[s.data]
+        joined = solid[1:] & solid[:-1] & (owner[1:] == owner[:-1])
+        a, z = np.flatnonzero(solid & ~np.r_[False, joined][: len(solid)]), np.flatnonzero(solid & ~np.r_[joined, False][: len(solid)]) + 1
+        doc = owner[a]
+        self.n_words = np.bincount(doc, minlength=len(s.size))
+        letters = np.r_[np.flatnonzero(_LETTER[s.data] & ~_marks(s.data)), len(s.data)]
+        low, high = np.searchsorted(letters, a), np.searchsorted(letters, z)
+        some = high > low
+        a, z = np.where(some, letters[low], a), np.where(some, letters[high - 1] + 1, z)
+        if len(a) < words:
+            self.at = self.end = self.doc = self.key_at = np.empty(0, np.int64)
+            self.hash = np.empty(0, np.uint64)
+            return
+        key = (words + 1) // 2
+        from_, to = a[: len(a) - key + 1], z[key - 1 :]
+        keys = mixed((s.total[to] - s.total[from_]) * s.down[from_] + (to - from_).astype(np.uint64))
+        last = z[words - 1 :]
+        keep = np.flatnonzero((doc[: len(last)] == doc[words - 1 :]) & (last - a[: len(last)] < LENGTH))
+        self.at, self.end, self.doc = a[keep], last[keep], doc[keep]
+        self.key_at = _least(keys, words - key + 1)[keep]
+        self.hash = keys[self.key_at]
+
+
+def _asked(doc: np.ndarray, hash_: np.ndarray, keys: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Which strings have a bucket that their document's list in keys names, and where in the flat list it stands."""
+    want, who = keys.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())
+    tag = lambda d, h: mixed(h + d.astype(np.uint64) * _ODD)
+    known = tag(who, want)
+    order = np.argsort(known)
+    known = known[order]
+    mine = tag(doc, hash_)
+    at = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
+    keep = np.flatnonzero(known[at] == mine) if len(known) and len(mine) else np.empty(0, np.int64)
+    return keep, order[at[keep]]
+
+
+def _folded(f: np.ndarray, g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal fingerprints together, and where in it each begins."""
+    order = np.lexsort((at, g, f))
+    same = np.r_[False, (f[order][1:] == f[order][:-1]) & (g[order][1:] == g[order][:-1])]
+    return order, np.flatnonzero(~same)
+
+
 def _batches(b: pa.RecordBatch, column: int):
     """(from, to) of runs of rows of about BATCH_BYTES."""
     size = [x or 0 for x in pc.binary_length(b.column(column)).to_pylist()]
@@ -107,8 +172,8 @@ def _batches(b: pa.RecordBatch, column: int):
         at = to
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """row, doc_id, md5, n_bytes, sha, and the hashes of the text's buckets with 1 or 2 (more than one stretch)."""
+def _anchors(docs: DataFrame, words: int | None = None) -> DataFrame:
+    """row, doc_id, md5, n_bytes, sha, long (a copy of it goes whole), and the hashes of the text's buckets with 1 or 2 (more than one stretch)."""
 
     def run(batches):
         part, row = TaskContext.get().partitionId(), 0
@@ -117,7 +182,11 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 texts = b.column(2)[lo:hi].to_pylist()
                 s = Starts(texts)
                 new = np.flatnonzero(np.r_[True, (s.key_at[1:] != s.key_at[:-1]) | (s.doc[1:] != s.doc[:-1])]) if len(s.at) else np.empty(0, np.int64)
-                doc, h = s.doc[new], s.hash[new]
+                doc, h, long = s.doc[new], s.hash[new], s.size >= LENGTH
+                if words:
+                    w = Windows(s, words)
+                    new = np.flatnonzero(np.r_[True, (w.key_at[1:] != w.key_at[:-1]) | (w.doc[1:] != w.doc[:-1])]) if len(w.at) else np.empty(0, np.int64)
+                    doc, h, long = np.r_[doc, w.doc[new]], np.r_[h, w.hash[new]], long | (w.n_words >= words)
                 order = np.lexsort((h, doc))
                 doc, h = doc[order], h[order]
                 first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.empty(0, np.int64)
@@ -125,12 +194,12 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 doc, h = doc[first], h[first].view(np.int64)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.int64(part << 33) + np.arange(row, row + hi - lo)), b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.ListArray.from_arrays(pa.array(cut), pa.array(h)), pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int32)))],
-                    names=["row", "doc_id", "md5", "n_bytes", "sha", "keys", "times"],
+                    [pa.array(np.int64(part << 33) + np.arange(row, row + hi - lo)), b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(long), pa.ListArray.from_arrays(pa.array(cut), pa.array(h)), pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int32)))],
+                    names=["row", "doc_id", "md5", "n_bytes", "sha", "long", "keys", "times"],
                 )
                 row += hi - lo
 
-    return docs.select("doc_id", "md5", "data").transform(arrow, run, "row long, doc_id long, md5 binary, n_bytes long, sha string, keys array<long>, times array<int>")
+    return docs.select("doc_id", "md5", "data").transform(arrow, run, "row long, doc_id long, md5 binary, n_bytes long, sha string, long boolean, keys array<long>, times array<int>")
 
 
 def _stretches(texts: DataFrame) -> DataFrame:
@@ -145,26 +214,16 @@ def _stretches(texts: DataFrame) -> DataFrame:
             for lo, hi in _batches(b, 1):
                 s = Starts(b.column(1)[lo:hi].to_pylist())
                 rows = b.column(0)[lo:hi].to_numpy()
-                keys = b.column(2)[lo:hi]
-                want, doc = keys.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(hi - lo), keys.value_lengths().to_numpy())
                 hot = b.column(3)[lo:hi].flatten().to_numpy(zero_copy_only=False).astype(bool)
-                tag = lambda d, h: mixed(h + d.astype(np.uint64) * _ODD)
-                known = tag(doc, want)
-                order = np.argsort(known)
-                known, hot = known[order], hot[order]
-                mine = tag(s.doc, s.hash)
-                at = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
-                keep = np.flatnonzero(known[at] == mine) if len(known) and len(mine) else np.empty(0, np.int64)
+                keep, which = _asked(s.doc, s.hash, b.column(2)[lo:hi])
                 if not len(keep):
                     continue
-                start, key_at, h, d, warm = s.at[keep], s.key_at[keep], s.hash[keep], s.doc[keep], hot[at[keep]]
+                start, key_at, h, d, warm = s.at[keep], s.key_at[keep], s.hash[keep], s.doc[keep], hot[which]
                 new = np.flatnonzero(np.r_[True, (key_at[1:] != key_at[:-1]) | (d[1:] != d[:-1]) | (start[1:] != start[:-1] + 1) | warm[1:] | warm[:-1]])
                 last = np.r_[new[1:], len(start)] - 1
                 a, z = start[new], start[last] + LENGTH
                 f, g = s.fingerprint(a, z)
-                order = np.lexsort((a, g, f))
-                same = np.r_[False, (f[order][1:] == f[order][:-1]) & (g[order][1:] == g[order][:-1])]
-                first = np.flatnonzero(~same)
+                order, first = _folded(f, g, a)
                 one = order[first]
                 cut = pa.array(np.r_[first, len(order)].astype(np.int32))
                 warm = warm[new]
@@ -177,6 +236,32 @@ def _stretches(texts: DataFrame) -> DataFrame:
     return texts.select("row", "data", "keys", "hot").transform(arrow, run, "key long, lead int, data binary, rows array<long>, ats array<long>, f long, g long, hot boolean")
 
 
+def _windows(texts: DataFrame, words: int) -> DataFrame:
+    """From row, data, keys: a row for each different string of so many words of a batch of documents whose bucket is shared:
+    its fingerprint (f, g), its bytes, and the document and place of each occurrence."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi in _batches(b, 1):
+                s = Starts(b.column(1)[lo:hi].to_pylist())
+                w = Windows(s, words)
+                keep, _ = _asked(w.doc, w.hash, b.column(2)[lo:hi])
+                if not len(keep):
+                    continue
+                a, z, d = w.at[keep], w.end[keep], w.doc[keep]
+                f, g = s.fingerprint(a, z)
+                order, first = _folded(f, g, a)
+                one, owner = order[first], d[order]
+                cut = pa.array(np.r_[first, len(order)].astype(np.int32))
+                rows = b.column(0)[lo:hi].to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(f[one].view(np.int64)), pa.array(g[one].view(np.int64)), pa.array(z[one] - a[one]), pa.ListArray.from_arrays(cut, pa.array(rows[owner])), pa.ListArray.from_arrays(cut, pa.array(a[order] - s.first[owner]))],
+                    names=["f", "g", "bytes", "rows", "ats"],
+                )
+
+    return texts.select("row", "data", "keys").transform(arrow, run, "f long, g long, bytes long, rows array<long>, ats array<long>")
+
+
 def sort_bucket(data: list[bytes], lead: np.ndarray, many: np.ndarray) -> list[np.ndarray]:
     """For each stretch, which of its starts (len - LENGTH + 1 of them) are repeated, by suffix sorting.
 
@@ -278,14 +363,14 @@ def _sorted(stretches: DataFrame, groups: int) -> DataFrame:
     return stretches.where(~F.col("hot")).withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).select("group", "key", "lead", "data", "rows", "ats").groupBy("group").applyInArrow(meet, "row long, spans array<struct<a:long,z:long>>")
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts, rows). texts: row, data, keys, hot: each different text that shares a bucket, and which; rows: row, doc_id, md5,
-    n_bytes, sha, first (the first row with that text), copies for each row of docs."""
+    n_bytes, sha, long, first (the first row with that text), copies for each row of docs."""
     data = F.col("text").cast("binary")
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).select("doc_id", F.unhex(F.md5(data)).alias("md5"), data.alias("data"))
-    marked = staged(_anchors(keyed), "suffix-anchors")
+    marked = staged(_anchors(keyed, words), "suffix-anchors")
     texts = staged(marked.groupBy("md5").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "suffix-copies")  # a table of its own, so one text's many rows can be split
-    rows = staged(marked.select("row", "doc_id", "md5", "n_bytes", "sha").join(texts.select("md5", F.col("row").alias("first"), "copies"), "md5"), "suffix-rows")
+    rows = staged(marked.select("row", "doc_id", "md5", "n_bytes", "sha", "long").join(texts.select("md5", F.col("row").alias("first"), "copies"), "md5"), "suffix-rows")
     one = marked.where(F.size("keys") > 0).join(rows.where("row = first").select("row"), "row", "left_semi")
     buckets = one.select("row", F.explode(F.arrays_zip("keys", "times")).alias("k")).select("row", F.col("k.keys").alias("key"), F.col("k.times").alias("times"))
     shared = buckets.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1")
@@ -297,10 +382,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return staged(once.select("row", "data", F.transform(k, lambda x: x["key"]).alias("keys"), F.transform(k, lambda x: x["hot"]).alias("hot")), "suffix-texts"), rows
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, words: int | None = None) -> DataFrame:
     """row, doc_id, md5, n_bytes, n_removed, n_spans, kept_sha256, and kept: what is left where something short of all is
-    removed, else null."""
-    held, rows = candidates(docs, id_col, text_col, hot)
+    removed, else null. With words, repeated strings of so many words count as well, and copies of a text that has as many."""
+    held, rows = candidates(docs, id_col, text_col, hot, words)
     pieces = held.select(F.sum(F.size("keys"))).first()[0] or 0
     groups = max(1, int(pieces * (LENGTH + SPAN // 2) // GROUP_BYTES))
     made = _stretches(held)
@@ -312,6 +397,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
         covered = _sorted(made, groups).union(one_by_one)
     else:
         covered = _sorted(made, groups)
+    if words:
+        alike = staged(_windows(held, words), "suffix-windows")
+        twice = alike.groupBy("f", "g").agg(F.sum(F.size("rows")).alias("n")).where("n > 1").select("f", "g")
+        at = alike.join(twice, ["f", "g"]).select("bytes", F.explode(F.arrays_zip("rows", "ats")).alias("o"))
+        covered = covered.union(at.select(F.col("o.rows").alias("row"), F.array(F.struct(F.col("o.ats").alias("a"), (F.col("o.ats") + F.col("bytes")).alias("z"))).alias("spans")))
     spans = covered.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def cut(batches):
@@ -330,15 +420,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
 
     shape = "first long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     done = held.select("row", "data").join(spans, "row").transform(arrow, cut, shape)
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+    whole = (F.col("copies") > 1) & F.col("long")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     met = rows.where(~whole).join(done, "first", "left").select("row", "doc_id", "md5", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
     return met.union(rows.where(whole).select("row", "doc_id", "md5", "n_bytes", F.col("n_bytes"), F.lit(1), empty, F.lit(b"").cast("binary")))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """docs with repeated bytes cut from the text; a character that a cut leaves incomplete goes too. All rows and other columns stay."""
-    changed = dedup(docs, id_col, text_col).where(F.col("kept").isNotNull()).select(F.col("doc_id").alias("id__"), F.col("md5").alias("md5__"), "kept")
+    changed = dedup(docs, id_col, text_col, words=words).where(F.col("kept").isNotNull()).select(F.col("doc_id").alias("id__"), F.col("md5").alias("md5__"), "kept")
     once = staged(changed.groupBy("id__", "md5__").agg(F.first("kept").alias("kept__")), "suffix-kept")
 
     def join(batches):

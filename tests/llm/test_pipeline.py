@@ -82,6 +82,15 @@ def test_stages(spark, folder, tmp_path):
         assert zlib.crc32(part.tobytes()) == p["ids_crc32"] and p["doc_tokens"] == len(ids[p["doc_id"]])
 
 
+def test_repeated_passages_of_over_fifty_short_words(spark):
+    rng = random.Random(4)
+    passage, line = words(rng, 51), words(rng, 50)
+    texts = [f"{words(rng, 80)} {p} {words(rng, 80)}" for p in (passage, passage, line, line)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    after = texts_of(corpus_pipeline.repeated_passages(spark, docs, ""))
+    assert len(passage) < 400 and [after[k] for k in range(4)] == [t.replace(passage, "") for t in texts]
+
+
 def test_run_is_the_stages_in_order(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 100

@@ -60,6 +60,40 @@ def test_a_whole_repeated_row(make):
     assert by_id(suffix_dedup.digest(make([text, text], [7, 7])).select("doc_id", "n_removed", "n_spans")) == [(7, len(text), 1)] * 2
 
 
+def windows(text, count):
+    """(start, end) in bytes of each string of so many words, marks at its ends left out."""
+    cores = []
+    for m in re.finditer(rb"[^\t-\r ]+", text):
+        mark = lambda c: c < "\x80" and not c.isalnum() or "\x80" <= c < "\xc0" or "\u2000" <= c < "\u2080" or "\u3000" <= c < "\u3040"
+        marks = "".join(filter(mark, m[0].decode()))
+        left, right = len(m[0]) - len(m[0].decode().lstrip(marks).encode()), len(m[0].decode().rstrip(marks).encode())
+        cores.append((m.start() + left, m.start() + right) if left < right else m.span())
+    return [(cores[k][0], cores[k + count - 1][1]) for k in range(len(cores) - count + 1)]
+
+
+def test_repeated_strings_of_words_are_exact(make):
+    rng = random.Random(8)
+    short, other = " ".join(rng.choice("abcdefg") for _ in range(51)), words(rng, 58)
+    texts = [f"{words(rng, 30)} ({short}), {words(rng, 20)}", f"{short}. {words(rng, 9)}", f"{words(rng, 70)} “{other}” {words(rng, 4)}", f"{words(rng, 7)}\n{other}\n{short}", words(rng, 90)]
+    texts += [f"{words(rng, 20)} {' '.join(other.split()[3:53])} {words(rng, 20)}", "x " * 60, " ".join(["-"] * 70), None, "", words(rng, 600), "q r s"]
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[a:z] for d in data for a, z in windows(d, 51))
+    got = {r["doc_id"]: r for r in suffix_dedup.dedup(make(texts), words=51).collect()}
+    for k, d in enumerate(data):
+        gone = np.zeros(len(d), bool)
+        for a, z in windows(d, 51):
+            gone[a:z] |= seen[d[a:z]] > 1
+        kept = bytes(b for b, g in zip(d, gone, strict=True) if not g)
+        assert (got[k]["n_removed"], got[k]["kept_sha256"]) == (gone.sum(), hashlib.sha256(kept).hexdigest()), k
+    assert [got[k]["n_removed"] for k in (0, 1)] == [101] * 2 and got[3]["n_removed"] >= 101 + len(other) and not got[5]["n_removed"]
+
+
+def test_copies_of_over_fifty_words(make):
+    text = words(random.Random(3), 51)
+    assert len(text) < 400 and [r["n_removed"] for r in suffix_dedup.dedup(make([text, text, "a b"]), words=51).orderBy("n_bytes").collect()] == [0, len(text), len(text)]
+    assert {r["n_removed"] for r in suffix_dedup.dedup(make([text, text, "a b"])).collect()} == {0}
+
+
 def test_cover_gives_all_differences():
     d = suffix_dedup.difference_cover()
     assert {(a - b) % 32 for a in d for b in d} == set(range(32)) and max(b - a for a, b in pairwise([*d, 32])) <= 8
