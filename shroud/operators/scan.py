@@ -18,13 +18,15 @@ def knowledge(packs: tuple[str, ...] = ("de",), taught_labels: list[LabelRow] =
     known: dict[str, Names] = {p: Names(*dictionary(p)) for p in packs if p in PACKS}
     if names is not None:
         for p in known:
-            got = names.where((F.col("lang") == p) & F.col("name").isNotNull()).select(F.lower("name").alias("name"), "type").distinct().limit(MOST_NAMES).collect()
+            got = names.where((F.col("lang") == p) & F.col("name").isNotNull()).select(F.lower("name").alias("name"), "type").distinct().limit(MOST_NAMES + 1).collect()
+            if len(got) > MOST_NAMES:
+                raise ValueError(f"over {MOST_NAMES} names of {p}; cut the bank by tier first")
             known[p] = Names(known[p].given | {r["name"] for r in got if r["type"] == "given"}, known[p].family | {r["name"] for r in got if r["type"] == "family"})
     honorifics = frozenset().union(*(PACKS[p].honorifics for p in packs if p in PACKS))
     return Knowledge(tuple(packs), Labels(rows), honorifics, known, list(hints), frozenset((k, nfc(v)) for k, v in exceptions))
 
 
-#: Names of one language that a scan takes at most; a larger bank has to be cut by tier first.
+#: Names of one language that a scan takes at most; knowledge() refuses a larger bank, which has to be cut by tier first.
 MOST_NAMES = 200_000
 
 

@@ -26,6 +26,16 @@ PROBES = [
 ]
 
 
+def test_a_name_bank_is_taken_whole_or_refused(spark, monkeypatch):
+    bank = spark.createDataFrame([("de", n, "given") for n in ("Aba", "Bebe", "Cici", "ABA")] + [("en", "Dodo", "given")], "lang string, name string, type string")
+    monkeypatch.setattr(scan, "MOST_NAMES", 3)
+    assert {"aba", "bebe", "cici"} <= scan.knowledge(("de",), names=bank).names["de"].given
+    monkeypatch.setattr(scan, "MOST_NAMES", 2)
+    with pytest.raises(ValueError, match="over 2 names of de"):
+        scan.knowledge(("de",), names=bank)
+    scan.knowledge(("en",), names=bank)
+
+
 def test_validators_and_their_twins(spark):
     row = spark.range(1).select(*[c for k, (rule, good, bad) in enumerate(PROBES) for c in (V.ALL[rule](F.lit(good)).alias(f"g{k}"), V.ALL[rule](F.lit(bad)).alias(f"b{k}"), V.ALL[rule](F.lit(None).cast("string")).alias(f"n{k}"))]).first()
     for k, probe in enumerate(PROBES):
