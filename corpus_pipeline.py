@@ -38,8 +38,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
-    return packing.pack(docs, tokenizer_path(), with_ids=False)
+    """Pieces of sequences of 4096 tokens, with their ids (little-endian, 4 bytes each)."""
+    return packing.pack(docs, tokenizer_path())
 
 
 STAGES = [("quality", good_quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("personal_data", personal_data), ("packing", packed)]
@@ -48,10 +48,16 @@ STAGES = [("quality", good_quality), ("near_duplicates", near_duplicates), ("rep
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order: what the last one gives."""
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = staged(docs, f"pipeline-{name}")
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of all pieces, without their ids."""
+    return sequences(spark, sf_dir).drop("ids")

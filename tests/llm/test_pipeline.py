@@ -94,3 +94,10 @@ def test_repeated_passages_of_over_fifty_short_words(spark):
 def test_run_is_the_stages_in_order(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 100
+
+
+def test_the_query_gives_the_ids(spark, folder):
+    from __spark_entry__ import queries
+
+    pieces = queries()["pipeline"](spark, folder[0]).collect()
+    assert len(pieces) > 100 and all(len(p["ids"]) == 4 * p["length"] and zlib.crc32(p["ids"]) == p["ids_crc32"] for p in pieces)
