@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context words (outside all spans) move the score.
 
 Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and non-overlapping per kind; a match that
-fails its check is dropped and not tried again. The method adds `iban` (mod-97), `ssn` and `key` spans.
+fails its check is dropped and not tried again. The method adds `iban` (mod-97; of space-joined groups the longest run that
+passes), `ssn` and `key` spans.
 Null and empty texts have no spans. Whole texts are read; every pattern runs in time linear in the text.
 """
 
@@ -86,6 +87,17 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str):
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1  # a match is of bounded length, so trying again inside it stays linear
+        for n in [len(m[0]), *(k for k in range(len(m[0]) - 1, 0, -1) if m[0][k] == " ")]:
+            if 15 <= len(s := m[0][:n].replace(" ", "")) <= 34 and mod97(s):
+                yield m.start(), m.start() + n
+                at = m.start() + n
+                break
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -103,9 +115,8 @@ def _candidates(text: str):
     for m in _PHONE.finditer(text):
         if 8 <= len(_digits(m[0])) <= 15:
             yield "phone", m.start(), m.end(), False
-    for m in _IBAN.finditer(text):
-        if 15 <= len(s := m[0].replace(" ", "")) <= 34 and mod97(s):
-            yield "iban", m.start(), m.end(), True
+    for a, b in _ibans(text):
+        yield "iban", a, b, True
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", m.start(), m.end(), False

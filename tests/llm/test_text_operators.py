@@ -154,6 +154,14 @@ def test_words_inside_other_spans_are_no_context():
     assert {s.kind: s.score for s in pii.find("+1 (068) 555-2748 the.65@mail7.example.com")} == {"email": 0.8, "phone": 0.6}
 
 
+def test_ibans_before_and_after_other_groups():
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"
+    for text in (f"IBAN {de} BIC COBADEFFXXX", f"{de} 2 times", f"{de} {gb}", f"AB12 CODE {de}", f"{gb} {de} {gb}", f"{de.replace(' ', '')} 2 times", f"{de} BIC and {gb} X"):
+        found = [text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"]
+        assert found == [x.strip() for x in re.findall("DE89 ?3704 ?0044 ?0532 ?0130 ?00|" + gb, text)], text
+    assert [s for s in pii.find("DE88 3704 0044 0532 0130 00 BIC") if s.kind == "iban"] == []
+
+
 def test_long_digits_take_linear_time():
     assert pii.find("1" * 200_000 + "a" * 200_000 + "@") == []
 
