@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shroud.llm import ngram_join, packing, pii, quality, suffix_dedup
-from shroud.llm.queries import tokenizer_path
+from shroud.llm.queries import PASSAGE, tokenizer_path
 from shroud.llm.shared import read_table, staged
 
-#: Words of the shortest passage that may not repeat.
-PASSAGE = 51
-
-
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars follows a text that a stage has changed."""
     return docs.withColumn("n_chars", F.length("text").cast("long"))

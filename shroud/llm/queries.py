@@ -10,6 +10,10 @@ from . import bpe, exact_search, lm, near_search, ngram_join, packing, pii, qual
 from .shared import fold, read_table
 
 
+#: Words of the shortest passage that counts as a repeat.
+PASSAGE = 51
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -17,7 +21,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(read_table(spark, sf_dir, "documents"))
+    """The contract's figures of the 400-byte rule, and n_passage_bytes: bytes in repeats of 400 bytes or of over 50 words."""
+    return suffix_dedup.digest(read_table(spark, sf_dir, "documents"), words=PASSAGE)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,10 @@ Equal texts stand for each other, and equal stretches are sorted once with their
 A bucket of more than HOT stretches is cut by the 128-bit fingerprint of each start's 400 bytes and counted by it instead.
 Texts are UTF-8 bytes; null counts as empty; a text under 400 bytes keeps everything. Matches never cross documents.
 
-On request (`words`, for the pipeline) repeated strings of so many words go too, however short; those of 400 bytes are found
-already. Windows of so many words get buckets in the same way, by the least key of half as many words, and those of shared
-buckets are counted by their 128-bit fingerprints.
+On request (`words`) repeated strings of so many words are found too, however short; those of 400 bytes are found already.
+Windows of so many words get buckets in the same way, by the least key of half as many words, and those of shared buckets
+are counted by their 128-bit fingerprints. They count in n_passage_bytes and in what the pipeline keeps, not in the figures
+of the 400-byte rule.
 """
 
 from __future__ import annotations
@@ -173,7 +174,7 @@ def _batches(b: pa.RecordBatch, column: int):
 
 
 def _anchors(docs: DataFrame, words: int | None = None) -> DataFrame:
-    """row, doc_id, md5, n_bytes, sha, long (a copy of it goes whole), and the hashes of the text's buckets with 1 or 2 (more than one stretch)."""
+    """row, doc_id, md5, n_bytes, sha, long (of LENGTH bytes), wordy (of so many words), and the hashes of the text's buckets with 1 or 2 (more than one stretch)."""
 
     def run(batches):
         part, row = TaskContext.get().partitionId(), 0
@@ -182,11 +183,11 @@ def _anchors(docs: DataFrame, words: int | None = None) -> DataFrame:
                 texts = b.column(2)[lo:hi].to_pylist()
                 s = Starts(texts)
                 new = np.flatnonzero(np.r_[True, (s.key_at[1:] != s.key_at[:-1]) | (s.doc[1:] != s.doc[:-1])]) if len(s.at) else np.empty(0, np.int64)
-                doc, h, long = s.doc[new], s.hash[new], s.size >= LENGTH
+                doc, h, long, wordy = s.doc[new], s.hash[new], s.size >= LENGTH, np.zeros(hi - lo, bool)
                 if words:
                     w = Windows(s, words)
                     new = np.flatnonzero(np.r_[True, (w.key_at[1:] != w.key_at[:-1]) | (w.doc[1:] != w.doc[:-1])]) if len(w.at) else np.empty(0, np.int64)
-                    doc, h, long = np.r_[doc, w.doc[new]], np.r_[h, w.hash[new]], long | (w.n_words >= words)
+                    doc, h, wordy = np.r_[doc, w.doc[new]], np.r_[h, w.hash[new]], w.n_words >= words
                 order = np.lexsort((h, doc))
                 doc, h = doc[order], h[order]
                 first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.empty(0, np.int64)
@@ -194,12 +195,12 @@ def _anchors(docs: DataFrame, words: int | None = None) -> DataFrame:
                 doc, h = doc[first], h[first].view(np.int64)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.int64(part << 33) + np.arange(row, row + hi - lo)), b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(long), pa.ListArray.from_arrays(pa.array(cut), pa.array(h)), pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int32)))],
-                    names=["row", "doc_id", "md5", "n_bytes", "sha", "long", "keys", "times"],
+                    [pa.array(np.int64(part << 33) + np.arange(row, row + hi - lo)), b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(long), pa.array(wordy), pa.ListArray.from_arrays(pa.array(cut), pa.array(h)), pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int32)))],
+                    names=["row", "doc_id", "md5", "n_bytes", "sha", "long", "wordy", "keys", "times"],
                 )
                 row += hi - lo
 
-    return docs.select("doc_id", "md5", "data").transform(arrow, run, "row long, doc_id long, md5 binary, n_bytes long, sha string, long boolean, keys array<long>, times array<int>")
+    return docs.select("doc_id", "md5", "data").transform(arrow, run, "row long, doc_id long, md5 binary, n_bytes long, sha string, long boolean, wordy boolean, keys array<long>, times array<int>")
 
 
 def _stretches(texts: DataFrame) -> DataFrame:
@@ -365,12 +366,12 @@ def _sorted(stretches: DataFrame, groups: int) -> DataFrame:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts, rows). texts: row, data, keys, hot: each different text that shares a bucket, and which; rows: row, doc_id, md5,
-    n_bytes, sha, long, first (the first row with that text), copies for each row of docs."""
+    n_bytes, sha, long, wordy, first (the first row with that text), copies for each row of docs."""
     data = F.col("text").cast("binary")
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).select("doc_id", F.unhex(F.md5(data)).alias("md5"), data.alias("data"))
     marked = staged(_anchors(keyed, words), "suffix-anchors")
     texts = staged(marked.groupBy("md5").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "suffix-copies")  # a table of its own, so one text's many rows can be split
-    rows = staged(marked.select("row", "doc_id", "md5", "n_bytes", "sha", "long").join(texts.select("md5", F.col("row").alias("first"), "copies"), "md5"), "suffix-rows")
+    rows = staged(marked.select("row", "doc_id", "md5", "n_bytes", "sha", "long", "wordy").join(texts.select("md5", F.col("row").alias("first"), "copies"), "md5"), "suffix-rows")
     one = marked.where(F.size("keys") > 0).join(rows.where("row = first").select("row"), "row", "left_semi")
     buckets = one.select("row", F.explode(F.arrays_zip("keys", "times")).alias("k")).select("row", F.col("k.keys").alias("key"), F.col("k.times").alias("times"))
     shared = buckets.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1")
@@ -382,9 +383,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return staged(once.select("row", "data", F.transform(k, lambda x: x["key"]).alias("keys"), F.transform(k, lambda x: x["hot"]).alias("hot")), "suffix-texts"), rows
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, words: int | None = None) -> DataFrame:
-    """row, doc_id, md5, n_bytes, n_removed, n_spans, kept_sha256, and kept: what is left where something short of all is
-    removed, else null. With words, repeated strings of so many words count as well, and copies of a text that has as many."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, words: int | None = None, with_kept: bool = True) -> DataFrame:
+    """row, doc_id, md5, n_bytes; n_removed, n_spans, kept_sha256 by the rule of 400 bytes; n_passage_bytes: bytes that it or, with
+    `words`, repeated strings of so many words cover (all of a copied text that has as many); and kept: what these leave where
+    that is less than all, else null (always null without with_kept)."""
     held, rows = candidates(docs, id_col, text_col, hot, words)
     pieces = held.select(F.sum(F.size("keys"))).first()[0] or 0
     groups = max(1, int(pieces * (LENGTH + SPAN // 2) // GROUP_BYTES))
@@ -397,33 +399,43 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
         covered = _sorted(made, groups).union(one_by_one)
     else:
         covered = _sorted(made, groups)
+    covered = covered.withColumn("exact", F.lit(True))
     if words:
         alike = staged(_windows(held, words), "suffix-windows")
         twice = alike.groupBy("f", "g").agg(F.sum(F.size("rows")).alias("n")).where("n > 1").select("f", "g")
         at = alike.join(twice, ["f", "g"]).select("bytes", F.explode(F.arrays_zip("rows", "ats")).alias("o"))
-        covered = covered.union(at.select(F.col("o.rows").alias("row"), F.array(F.struct(F.col("o.ats").alias("a"), (F.col("o.ats") + F.col("bytes")).alias("z"))).alias("spans")))
-    spans = covered.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        covered = covered.union(at.select(F.col("o.rows").alias("row"), F.array(F.struct(F.col("o.ats").alias("a"), (F.col("o.ats") + F.col("bytes")).alias("z"))).alias("spans"), F.lit(False)))
+    gathered = lambda exact: F.flatten(F.collect_list(F.when(F.col("exact") == exact, F.col("spans"))))
+    spans = covered.groupBy("row").agg(gathered(True).alias("spans"), gathered(False).alias("passages"))
+
+    def left(data: bytes, spans: list) -> tuple[bytes, int]:
+        """What the spans leave, and how many runs they make."""
+        out, end, n = [], 0, 0
+        for s in sorted(spans, key=lambda s: s["a"]):
+            if s["a"] > end or not n:
+                n += 1
+                out.append(data[end : s["a"]])
+            end = max(end, s["z"])
+        return b"".join([*out, data[end:]]), n
 
     def cut(batches):
         for b in batches:
             out = []
-            for row, data, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                left, end, n = [], 0, 0
-                for s in sorted(spans, key=lambda s: s["a"]):
-                    if s["a"] > end or not n:
-                        n += 1
-                        left.append(data[end : s["a"]])
-                    end = max(end, s["z"])
-                kept = b"".join([*left, data[end:]])
-                out.append((row, len(data) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["first", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    shape = "first long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+            for row, data, spans, passages in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                kept, n = left(data, spans)
+                both = left(data, spans + passages)[0] if passages else kept
+                out.append((row, len(data) - len(kept), n, hashlib.sha256(kept).hexdigest(), len(data) - len(both), both if with_kept else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["first", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "kept"])
+
+    shape = "first long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, kept binary"
     done = held.select("row", "data").join(spans, "row").transform(arrow, cut, shape)
     whole = (F.col("copies") > 1) & F.col("long")
-    empty = F.lit(hashlib.sha256(b"").hexdigest())
-    met = rows.where(~whole).join(done, "first", "left").select("row", "doc_id", "md5", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
-    return met.union(rows.where(whole).select("row", "doc_id", "md5", "n_bytes", F.col("n_bytes"), F.lit(1), empty, F.lit(b"").cast("binary")))
+    gone = (F.col("copies") > 1) & (F.col("long") | F.col("wordy"))
+    nothing = F.lit(b"" if with_kept else None).cast("binary")
+    figure = lambda name, other: F.coalesce(name, other).alias(name)
+    met = rows.where(~gone).join(done, "first", "left").select("row", "doc_id", "md5", "n_bytes", figure("n_removed", F.lit(0)), figure("n_spans", F.lit(0)), figure("kept_sha256", F.col("sha")), figure("n_passage_bytes", F.lit(0)), "kept")
+    sha = F.when(whole, hashlib.sha256(b"").hexdigest()).otherwise(F.col("sha")).alias("kept_sha256")
+    return met.union(rows.where(gone).select("row", "doc_id", "md5", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(0), F.when(whole, 1).otherwise(0), sha, "n_bytes", nothing))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
@@ -443,5 +455,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return met.transform(arrow, join, docs.schema)
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return dedup(docs, id_col, text_col).select("doc_id", "n_bytes", F.col("n_removed").cast("long").alias("n_removed"), F.col("n_spans").cast("long").alias("n_spans"), "kept_sha256")
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 by the rule of 400 bytes; with words also n_passage_bytes: bytes that it
+    or repeated passages of so many words cover."""
+    made = dedup(docs, id_col, text_col, words=words, with_kept=False)
+    figures = [F.col(c).cast("long").alias(c) for c in ("n_removed", "n_spans")]
+    return made.select("doc_id", "n_bytes", *figures, "kept_sha256", *([F.col("n_passage_bytes").cast("long").alias("n_passage_bytes")] if words else []))

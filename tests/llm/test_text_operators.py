@@ -84,13 +84,16 @@ def test_repeated_strings_of_words_are_exact(make):
         for a, z in windows(d, 51):
             gone[a:z] |= seen[d[a:z]] > 1
         kept = bytes(b for b, g in zip(d, gone, strict=True) if not g)
-        assert (got[k]["n_removed"], got[k]["kept_sha256"]) == (gone.sum(), hashlib.sha256(kept).hexdigest()), k
-    assert [got[k]["n_removed"] for k in (0, 1)] == [101] * 2 and got[3]["n_removed"] >= 101 + len(other) and not got[5]["n_removed"]
+        assert (got[k]["n_passage_bytes"], d if got[k]["kept"] is None else bytes(got[k]["kept"])) == (gone.sum(), kept), k
+    assert [got[k]["n_passage_bytes"] for k in (0, 1)] == [101] * 2 and got[3]["n_passage_bytes"] >= 101 + len(other) and not got[5]["n_passage_bytes"]
+    assert [(got[k]["n_removed"], got[k]["kept_sha256"]) for k in range(len(texts))] == [(gone, sha) for _, gone, _, sha in removed(texts)]
 
 
 def test_copies_of_over_fifty_words(make):
     text = words(random.Random(3), 51)
-    assert len(text) < 400 and [r["n_removed"] for r in suffix_dedup.dedup(make([text, text, "a b"]), words=51).orderBy("n_bytes").collect()] == [0, len(text), len(text)]
+    got = suffix_dedup.digest(make([text, text, "a b"]), words=51).orderBy("n_bytes").collect()
+    assert len(text) < 400 and [r["n_passage_bytes"] for r in got] == [0, len(text), len(text)]
+    assert {r["n_removed"] for r in got} == {0} and [r["kept_sha256"] for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in ("a b", text, text)]
     assert {r["n_removed"] for r in suffix_dedup.dedup(make([text, text, "a b"])).collect()} == {0}
 
 
