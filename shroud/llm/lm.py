@@ -8,7 +8,8 @@ of one hashed weight table: previous word, word before it (skip), both together,
 with the class, and bias, for the slot.
 
 Training is distributed: in each round every partition takes AdaGrad steps over its part of all training texts from
-the shared weights and emits its changes; a change's mean over the partitions that made it is added to the weights.
+the shared weights and emits its changes; a change's mean over the partitions that made it is added to the weights. Changes
+are added up by a tree of fixed width.
 Scoring runs in numpy batches; rare words get their counts by a join. Null and empty texts have the end token alone.
 """
 
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import by_size
-from .shared import arrow, staged
+from .shared import arrow, drop_staged, staged
 
 END = b""
 CLASSES = SLOTS = 32
@@ -211,6 +212,31 @@ def _shares(logits: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Changes that are added up in one group, and groups in one task: a task reads about WIDE * GROUPS * 132 KB at any size of corpus.
+WIDE, GROUPS = 8, 12
+_CHANGE = "block int, part int, change binary, made binary"
+
+
+def _added(t: pa.Table) -> pa.Table:
+    """One block's changes added up, and how many partitions made each row of it."""
+    total, made = np.zeros((1, 1), np.float32), 0
+    for c, m in zip(t["change"].to_pylist(), t["made"].to_pylist(), strict=True):
+        x = np.frombuffer(c, "<f4" if m else "<f2").astype(np.float32).reshape(-1, CLASSES)
+        total = total + x
+        made = made + (np.frombuffer(m, "<i4") if m else x.any(1).astype("<i4"))
+    return pa.table({"block": t["block"][:1], "part": t["part"][:1], "change": pa.array([total.astype("<f4").tobytes()], pa.binary()), "made": pa.array([made.astype("<i4").tobytes()], pa.binary())})
+
+
+def _summed(changes: DataFrame, parts: int, blocks: int) -> DataFrame:
+    """A row a block: the sum over all `parts` partitions, by a tree WIDE changes broad, so no group grows with the corpus."""
+    while True:
+        parts = -(-parts // WIDE)
+        groups = changes.withColumn("part", F.floor(F.col("part") / WIDE).cast("int")).repartition(max(1, parts * blocks // GROUPS), "block", "part")
+        changes = groups.groupBy("block", "part").applyInArrow(_added, _CHANGE)
+        if parts <= 1:
+            return changes
+
+
 def train(docs: DataFrame, v: Vocabulary, rounds: int = 2) -> np.ndarray:
     """The weight table after `rounds` rounds, each over another part of the texts (by a hash); all are learnt from once."""
     spark = docs.sparkSession
@@ -231,24 +257,17 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = 2) -> np.ndarray:
                 own -= now.value
                 part = TaskContext.get().partitionId()
                 data = [own[k * BLOCK : (k + 1) * BLOCK].astype("<f2").tobytes() for k in range(blocks)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([part // 32] * blocks, pa.int32()), pa.array(data, pa.binary()), pa.array([b"\1" * 0] * blocks, pa.binary())], names=["block", "part", "change", "made"])
-
-        def add(t: pa.Table) -> pa.Table:
-            total, made = 0.0, 0
-            for c, m in zip(t["change"].to_pylist(), t["made"].to_pylist(), strict=True):
-                x = np.frombuffer(c, "<f4" if m else "<f2").astype(np.float32).reshape(-1, CLASSES)
-                total = total + x
-                made = made + (np.frombuffer(m, "<i4") if m else x.any(1).astype("<i4"))
-            return pa.table({"block": t["block"][:1], "part": pa.array([0], pa.int32()), "change": pa.array([total.astype("<f4").tobytes()], pa.binary()), "made": pa.array([made.astype("<i4").tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([part] * blocks, pa.int32()), pa.array(data, pa.binary()), pa.array([b""] * blocks, pa.binary())], names=["block", "part", "change", "made"])
 
-        kinds = "block int, part int, change binary, made binary"
         part = docs.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(rounds)) == r) if rounds > 1 else docs
-        near = part.select("text").transform(arrow, run, kinds).groupBy("block", "part").applyInArrow(add, kinds)  # sums of 32 partitions, then of all
+        changes = staged(part.select("text").transform(arrow, run, _CHANGE), "lm-changes", "snappy")
+        last = changes.agg(F.max("part")).first()[0]
         table = table.copy()
-        for row in near.groupBy("block").applyInArrow(add, kinds).collect():
+        for row in _summed(changes, 0 if last is None else last + 1, blocks).collect():  # a row a block of the table, whose size is fixed
             made = np.frombuffer(row["made"], "<i4")
             change = np.frombuffer(row["change"], "<f4").reshape(-1, CLASSES) / np.maximum(made, 1)[:, None]
             table[row["block"] * BLOCK : row["block"] * BLOCK + len(change)] += change
+        drop_staged(changes)
     return table
 
 

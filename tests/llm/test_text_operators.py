@@ -412,3 +412,15 @@ def test_only_nulls(spark, make):
             assert run(docs).count() == 3
         except AssertionError:
             raise AssertionError(run) from None
+
+
+def test_changes_are_summed_by_a_tree(spark):
+    rng = np.random.default_rng(2)
+    own = rng.normal(size=(20, 2, 3, lm.CLASSES)).astype("<f2")
+    own[3:, 1, 2] = 0
+    rows = [(b, p, own[p, b].tobytes(), b"") for p in range(20) for b in range(2)]
+    got = {r["block"]: r for r in lm._summed(spark.createDataFrame(rows, lm._CHANGE), 20, 2).collect()}
+    for b in range(2):
+        assert np.allclose(np.frombuffer(got[b]["change"], "<f4").reshape(3, -1), own[:, b].astype(np.float32).sum(0), atol=1e-3)
+    assert np.frombuffer(got[0]["made"], "<i4").tolist() == [20] * 3 and np.frombuffer(got[1]["made"], "<i4").tolist() == [20, 20, 3]
+    assert lm._summed(spark.createDataFrame([], lm._CHANGE), 0, 2).count() == 0
