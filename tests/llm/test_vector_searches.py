@@ -43,7 +43,7 @@ def test_near_search_recall_and_scores(table):
     z = x.astype(np.float64)
     score = {q: z @ z[q] for q in range(0, 1500, 20)}
     want = {(q, i) for q, _, i, _ in exact(range(1500), score, score, 20)}
-    got = near_search.near_search(df, at_least=300, share=0.3).collect()
+    got = near_search.near_search(df, centroids=128).collect()
     assert {r["query_id"] for r in got} == set(score) and len(got) == 20 * len(score)
     assert len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(want)
     for r in got:
@@ -72,8 +72,31 @@ def test_few_and_no_rows(spark):
     assert exact_search.exact_search(none).count() == 0 and near_search.near_search(none).count() == 0
 
 
-def test_traversal_is_by_summed_distance():
-    d1, d2 = np.array([3.0, 1.0]), np.array([0.5, 2.5, 0.1])
-    cells = near_search.traverse(d1, d2, np.ones((2, 3), int), 6)
-    sums = [d1[a] + d2[b] for a, b in cells]
-    assert len(set(cells)) == 6 and sums == sorted(sums)
+@pytest.mark.parametrize("edge", [1, 3, 32])
+def test_the_reach_is_that_of_pairs_in_order(edge):
+    rng = np.random.default_rng(edge)
+    for _ in range(40):
+        d1, d2, count = rng.normal(size=11), rng.normal(size=7), rng.integers(0, 4, (11, 7))
+        for least in (1, 9, 40, int(count.sum())):
+            pairs = sorted((d1[a] + d2[b], count[a, b]) for a in range(11) for b in range(7))
+            held, want = 0, np.inf
+            for far, n in pairs:
+                held += n
+                if held >= least:
+                    want = far
+                    break
+            assert near_search.reach(d1, d2, count, least, edge) == (np.inf if least >= count.sum() else want)
+
+
+@pytest.mark.parametrize("rows", [500, 3000])
+def test_near_search_at_the_query_s_parameters(spark, rows, tmp_path):
+    """Vectors without clusters, the hardest ones: recall 0.9 from a share of the rows."""
+    from shroud.llm.queries import op4_near_search
+
+    x = np.random.default_rng(1).normal(size=(rows, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["query_id"], r["vec_id"]) for r in op4_near_search(spark, str(tmp_path)).collect()}
+    score = {q: x @ x[q] for q in range(0, rows, 20)}
+    want = {(q, i) for q, _, i, _ in exact(range(rows), score, score, 20)}
+    assert len(got) == len(want) and 0.9 * len(want) <= len(want & got) < len(want) + (rows == 500)  # 500 rows are their own centroids
