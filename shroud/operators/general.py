@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import validators as V
+from .batches import spread
 from .spans import first_of_overlapping, matches
 
 SPAN = "struct<start:int,end:int,value:string>"
@@ -98,4 +99,4 @@ def general(docs: DataFrame, text_col: str = "text", rules: tuple[str, ...] | No
     """A row for each span of a rule, with the other columns of docs; overlapping spans of different rules all stay."""
     shape = F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.kind").alias("kind"), F.col("f.confidence").alias("confidence"), F.col("f.rule").alias("rule")
     rest = [c for c in docs.columns if c not in ("start", "end", "kind", "confidence", "rule", "value", text_col)]
-    return docs.withColumn("f", F.explode(found(F.col(text_col), rules))).select(*rest, *shape, F.substr(F.col(text_col), F.col("f.start") + 1, F.col("f.end") - F.col("f.start")).alias("value"))
+    return spread(docs).withColumn("f", F.explode(found(F.col(text_col), rules))).select(*rest, *shape, F.substr(F.col(text_col), F.col("f.start") + 1, F.col("f.end") - F.col("f.start")).alias("value"))

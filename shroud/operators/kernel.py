@@ -1,899 +1,21 @@
-"""What needs a walk over one document: labels, tables, names, language rules, known values, and the settling of overlaps.
-
-Plain Python on one text, called in Arrow batches by scan.py. A document is read once into words with flags; each rule is a
-generator of hits over that reading. Offsets are code points. The general rules come from general.py as spans.
-"""
+"""The walk over one document: all layers of findings, the laws, and settling. Plain Python on one text, called in Arrow batches."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import accumulate
-
-from .lexicon import AR, DE, EN, ES, FR, SV, LabelRow, Pack
-
-PACKS = {p.id: p for p in (DE, EN, SV, AR, FR, ES)}
-GENERAL, VAULT, LANGUAGE, HAND = "GeneralRule", "Vault", "LanguagePack", "Hand"
-SOURCE_RANK = {GENERAL: 0, VAULT: 1, LANGUAGE: 2, HAND: 3}
-JOINERS = frozenset({"von", "van", "de", "der", "zu"})
-_INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2060, 0xFEFF])
-_NUMBER_WORDS = frozenset({"nr", "nr.", "-nr", "-nr.", "nummer"})
-
-
-@dataclass
-class Hit:
-    start: int
-    end: int
-    kind: str
-    sure: bool
-    source: str
-    rule: str
-    also: list[str] = field(default_factory=list)
-    entities: list[int] = field(default_factory=list)
-
-
-def nfc(s: str) -> str:
-    return s if s.isascii() else unicodedata.normalize("NFC", s)
-
-
-def as_read(s: str) -> str:
-    """Without invisible characters, composed."""
-    return s if s.isascii() else unicodedata.normalize("NFC", s.translate(_INVISIBLE))
-
-
-def _upper(s: str) -> bool:
-    return bool(s) and s[0].isupper()
-
-
-class Word:
-    """A stretch between white space. Two trims: `bare` for language rules, `value` for labels (keeps + @ . - / inside)."""
-
-    __slots__ = ("__dict__", "at", "break_before", "end", "gap_before", "page_before", "start", "text")
-
-    def __init__(self, at: int, start: int, text: str, between: str) -> None:
-        self.at, self.start, self.text, self.end = at, start, text, start + len(text)
-        self.break_before, self.page_before = "\n" in between, "\f" in between
-        self.gap_before = len(between) > 1 or "\t" in between
-
-    @cached_property
-    def bare(self) -> str:
-        return self.text.strip(",;:.!?\"()»«")
-
-    @cached_property
-    def bare_dot(self) -> str:
-        return self.text.strip(",;:!?\"()»«")
-
-    @cached_property
-    def low(self) -> str:
-        return self.bare.lower()
-
-    @cached_property
-    def value(self) -> str:
-        s = self.text
-        a, z = 0, len(s)
-        while a < z and not (s[a].isalnum() or s[a] in "+@.-/"):
-            a += 1
-        while z > a and not (s[z - 1].isalnum() or s[z - 1] in "+@.-/"):
-            z -= 1
-        return s[a:z].rstrip(",;.):")
-
-    @cached_property
-    def digits(self) -> int:
-        return 0 if self.text.isalpha() else sum(map(str.isdigit, self.bare))
-
-    @property
-    def value_end(self) -> int:
-        return self.start + len(self.text.rstrip(",;.):"))
-
-    @property
-    def bare_end(self) -> int:
-        return self.start + len(self.text.rstrip(",;:.!?\"()»«"))
-
-    @property
-    def numberish(self) -> bool:
-        b = self.value
-        return any(c.isdigit() for c in b) and all(c.isdigit() or c in "+-/.()" for c in b)
-
-    @property
-    def labelling(self) -> bool:
-        return self.text.endswith(":")
-
-
-class Reading:
-    def __init__(self, text: str) -> None:
-        self.text, self.words, done = text, [], 0
-        for m in re.finditer(r"\S+", text):
-            self.words.append(Word(len(self.words), m.start(), m[0], text[done : m.start()]))
-            done = m.end()
-
-    def get(self, k: int) -> Word | None:
-        return self.words[k] if 0 <= k < len(self.words) else None
-
-    def on_line(self, k: int) -> Word | None:
-        """The word, if it stands on the line of the one before."""
-        w = self.get(k)
-        return w if w and not w.break_before else None
-
-    @cached_property
-    def runs(self) -> list:
-        return number_runs(self)
-
-    @cached_property
-    def lines(self) -> list[list[Word]]:
-        out: list[list[Word]] = []
-        for w in self.words:
-            if w.break_before or not out:
-                out.append([])
-            out[-1].append(w)
-        return out
-
-
-# -- labels --------------------------------------------------------------------------------------------------------------
-
-
-def _group(s: str) -> bool:
-    return s.isalnum() and (any(c.isdigit() for c in s) or not any(c.islower() for c in s))
-
-
-_REFERENCE = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9/-]+")
-_DATE = re.compile(r"(?=.*[0-9]{2})[0-9]{1,4}[/.\-][0-9]{1,4}[/.\-][0-9]{1,4}")
-_INSURANCE = re.compile(r"[A-Za-z]{2}[0-9]{6}[A-Za-z]")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9.-]*\.)[A-Za-z]{2,}")
-#: Whether a word can be the n-th (from 0) of a value, by validator.
-_FITS: dict[str, Callable[[Word, int], bool]] = {
-    "Number": lambda w, n: w.numberish or (n == 0 and w.value.startswith("+") and len(w.value) > 1),
-    "Word": lambda w, n: n == 0 and bool(w.value),
-    "Any": lambda w, n: n == 0 and bool(w.value),
-    "Mail": lambda w, n: n == 0 and bool(_EMAIL.fullmatch(w.value)),
-    "Grouped": lambda w, n: _group(w.value),
-    "NationalInsurance": lambda w, n: _group(w.value),
-    "Reference": lambda w, n: n == 0 and bool(_REFERENCE.fullmatch(w.value)),
-    "Date": lambda w, n: n == 0 and w.numberish,
-    "Name": lambda w, n: n < 4 and _upper(w.value),
-    "NamePair": lambda w, n: n < 4 and _upper(w.value),
-}
-#: What the assembled value has to be.
-_WHOLE: dict[str, Callable[[str], bool]] = {
-    "NationalInsurance": lambda v: bool(_INSURANCE.fullmatch(re.sub("[ -]", "", v))),
-    "Reference": lambda v: bool(_REFERENCE.fullmatch(v)),
-    "Date": lambda v: bool(_DATE.fullmatch(v.strip())),
-}
-
-
-class Labels:
-    """Label rows made ready: by label (prose takes the last row of a label, tables the first), last words, and widest."""
-
-    def __init__(self, rows: list[LabelRow]) -> None:
-        self.last = {r.label: r for r in rows}
-        self.first = {r.label: r for r in reversed(rows)}
-        self.tails = {r.label.split()[-1] for r in rows if r.label.split()}
-        self.widest = min(4, max((len(r.label.split()) for r in rows), default=1))
-
-    @staticmethod
-    def key(written: str) -> str:
-        return nfc(written.rstrip(":")).lower()
-
-    def names(self, word: str) -> bool:
-        return self.key(word.strip(",;.():")) in self.last or self.key(word) in self.last
-
-    def ending_at(self, doc: Reading, k: int) -> LabelRow | None:
-        """The longest label whose last word is the k-th; no line break inside."""
-        if self.key(doc.words[k].text) not in self.tails:
-            return None
-        best, run = None, []
-        for n in range(self.widest):
-            w = doc.get(k - n)
-            if not w:
-                break
-            run.insert(0, w.text)
-            best = self.last.get(self.key(" ".join(run))) or best
-            if w.break_before:
-                break
-        return best
-
-    def hits(self, doc: Reading, honorifics: frozenset) -> Iterator[Hit]:
-        for w in doc.words:
-            if (row := self.ending_at(doc, w.at)) and (span := self._value(doc, w, row, honorifics)):
-                yield Hit(*span, row.kind, row.decision == "auto", row.source, row.id)
-        yield from self._columns(doc)
-
-    def _value(self, doc: Reading, label: Word, row: LabelRow, honorifics: frozenset) -> tuple[int, int] | None:
-        kind, k = row.validator, label.at + 1
-        w = doc.on_line(k)
-        if w and (nfc(w.value).lower() in _NUMBER_WORDS or w.text.lower().strip(",;:()") in _NUMBER_WORDS):
-            k += 1
-        if kind == "Name":
-            while (w := doc.on_line(k)) and (nfc(w.value).lower() in honorifics or w.text.lower() in honorifics):
-                k += 1
-        start = w = doc.on_line(k)
-        if not w:
-            return None
-        if not label.labelling:
-            capital_group = kind == "Grouped" and len(w.value) >= 8 and _group(w.value) and not re.search("[a-z]", w.value)
-            if not (re.search("[0-9]", w.value) or capital_group):
-                return None
-        last, n = None, 0
-        while (w := doc.on_line(k + n)) and n < 8:
-            named = w.labelling and self.key(w.text) in self.last
-            stop = named or (n and ((kind in ("Grouped", "Name", "NamePair") and self.names(w.text)) or (kind in ("Number", "Grouped") and w.gap_before)))
-            if stop or not _FITS[kind](w, n):
-                break
-            last, n = w, n + 1
-            if kind in ("Name", "NamePair") and n >= 2 and w.text.endswith(","):
-                break
-        if last is None or (kind == "NamePair" and last is start):
-            return None
-        span = start.start, last.value_end
-        return span if kind not in _WHOLE or _WHOLE[kind](doc.text[slice(*span)]) else None
-
-    def _columns(self, doc: Reading) -> Iterator[Hit]:
-        """Blocks of lines with as many cells as their header; a cell belongs to the header cell it starts under."""
-        at, rows = 0, []
-        for line in doc.text.split("\n"):
-            cells = [(m.start(), m[0]) for m in re.finditer(r"[^\t ]+(?: [^\t ]+)*", line)]
-            rows.append((at, line, cells))
-            at += len(line) + 1
-        k = 0
-        while k < len(rows):
-            head = rows[k][2]
-            wanted = [(c, self.first[self.key(t.strip())]) for c, t in head if self.key(t.strip()) in self.first] if len(head) >= 2 else []
-            z = k + 1
-            while len(head) >= 2 and z < len(rows) and len(rows[z][2]) == len(head):
-                z += 1
-            for base, line, cells in rows[k + 1 : z] if wanted else []:
-                for column, row in wanted:
-                    for c, cell in cells:
-                        if abs(c - column) <= 2 and (value := self._cell(cell, row)):
-                            start = base + line.find(value)
-                            yield Hit(start, start + len(value), row.kind, row.decision == "auto", row.source, row.id)
-            k = z if wanted and z > k + 1 else k + 1
-
-    @staticmethod
-    def _cell(cell: str, row: LabelRow) -> str | None:
-        words = Reading(cell).words
-        value = cell.strip().rstrip(",;.):")
-        if not words or not value:
-            return None
-        single = row.validator in ("Word", "Any", "Mail", "Reference", "Date")
-        fits = all(_FITS[row.validator](w, n) for n, w in enumerate(words[: 1 if single else 8]))
-        if not fits or (row.validator == "NamePair" and len(words) < 2) or (row.validator in _WHOLE and not _WHOLE[row.validator](value)):
-            return None
-        return value
-
-
-# -- names ---------------------------------------------------------------------------------------------------------------
-
-
-@dataclass
-class Names:
-    given: frozenset
-    family: frozenset
-    taught_given: frozenset = frozenset()
-    taught_family: frozenset = frozenset()
-
-    def is_given(self, s: str) -> bool:
-        return s.lower() in self.given or s.lower() in self.taught_given
-
-    def is_family(self, s: str) -> bool:
-        return s.lower() in self.family or s.lower() in self.taught_family
-
-
-class People:
-    """The rules for names that languages share; each gives hits of one pack."""
-
-    def __init__(self, doc: Reading, pack: Pack, names: Names) -> None:
-        self.doc, self.pack, self.names = doc, pack, names
-        self.openers = {x.lower() for x in pack.salutations | pack.greetings | pack.titles | pack.title_parts}
-        self.titles, self.parts = {x.lower() for x in pack.titles}, {x.lower() for x in pack.title_parts}
-        self.salutations, self.greetings = {x.lower() for x in pack.salutations}, {x.lower() for x in pack.greetings}
-
-    def shaped(self, word: str) -> bool:
-        if word.islower():
-            return False
-        n = as_read(word.strip(",;:.!?\"()»«")).rstrip(".,;:")
-        p = self.pack
-        return len(n) >= 2 and _upper(n) and all(c.isalpha() or c in "-'’" for c in n) and n not in p.stop_words and n not in p.degrees and n.lower() not in self.openers
-
-    def like_family(self, word: str) -> bool:
-        p, b = self.pack, word.strip(",;:.!?\"()»«")
-        low = b.lower()
-        if len(b) < 5 or not _upper(b) or low in {x.lower() for x in p.stop_words} or low in p.function_words or low in p.roles or low in p.closings:
-            return False
-        return any(len(low) > len(s) and low.endswith(s) for s in p.family_suffixes)
-
-    def hit(self, a: Word, z: Word, sure: bool, rule: str, kind: str = "Person") -> Hit:
-        return Hit(a.start, z.bare_end, kind, sure, LANGUAGE, f"{self.pack.id}:{rule}")
-
-    def chain(self, k: int) -> int:
-        """Where a run of titles that begins at k ends (k if there is none)."""
-        at = k
-        while (w := self.doc.get(at)) and not (at > k and w.break_before):
-            low = w.bare_dot.lower()
-            if low not in self.titles and not (at > k and low in self.parts):
-                break
-            at += 1
-        return at
-
-    def name(self, k: int, over_break: bool = False) -> tuple[Word, Word] | None:
-        """Up to three name-shaped words or joiners from k on."""
-        last = None
-        for n in range(3):
-            w = self.doc.get(k + n)
-            if not w or (w.break_before and not (n == 0 and over_break)) or w.labelling or w.text[0] in "([{«\"":
-                break
-            if not (self.shaped(w.text) or w.bare in JOINERS):
-                break
-            last = w
-            if w.text[-1] in ",.;):?!":
-                break
-        return (self.doc.words[k], last) if last else None
-
-    def salutation(self) -> Iterator[Hit]:
-        for w in self.doc.words:
-            low = w.bare_dot.lower()
-            proof = low in self.salutations
-            if not proof and low not in self.greetings:
-                continue
-            after = self.doc.get(w.at + 1)
-            alone = (w.at == 0 or w.break_before) and (after is None or after.break_before)
-            k = self.chain(w.at + 1)
-            if span := self.name(k, proof and alone and k == w.at + 1):
-                yield self.hit(*span, proof, "salutation" if proof else "greeting")
-
-    def title(self) -> Iterator[Hit]:
-        k = 0
-        while k < len(self.doc.words):
-            end = self.chain(k)
-            before = self.doc.get(k - 1)
-            if end == k or (before and before.bare_dot.lower() in self.titles | self.parts | self.salutations):
-                k += 1
-                continue
-            if span := self.name(end):
-                yield self.hit(*span, True, "title")
-            k = end
-
-    def _known(self, a: Word, b: Word) -> tuple[bool, bool]:
-        given, family = as_read(a.bare).rstrip(".,;:"), as_read(b.bare).rstrip(".,;:")
-        return self.names.is_given(given), self.names.is_family(family) or self.like_family(b.text)
-
-    def dictionary(self) -> Iterator[Hit]:
-        k = 0
-        while k + 1 < len(self.doc.words):
-            a, b = self.doc.words[k : k + 2]
-            if self.names.is_given(a.bare.rstrip(".,;:")) and self.shaped(a.text) and self.shaped(b.text) and not b.page_before and a.low not in self.pack.function_words and all(self._known(a, b)):
-                yield self.hit(a, b, False, "name-dictionary")
-                k += 1
-            k += 1
-
-    def by_shape(self) -> Iterator[Hit]:
-        p = self.pack
-        form = lambda w: w.bare_dot in p.company_forms or w.bare in p.company_forms
-
-        def fits(w: Word) -> bool:
-            short = len(w.bare) <= 3 and not any(c.islower() for c in w.bare)
-            return not (w.labelling or w.text[0] in "([{«\"" or short or form(w) or w.low in p.function_words) and self.shaped(w.text)
-
-        k = 0
-        while w := self.doc.get(k):
-            if not fits(w):
-                k += 1
-                continue
-            run = [w]
-            while run[-1].text[-1] not in ",.;:!?)" and (n := self.doc.on_line(run[-1].at + 1)) and not n.page_before and fits(n):
-                run.append(n)
-            after = self.doc.on_line(run[-1].at + 1)
-            if len(run) in (2, 3) and not (after and form(after)) and any(c.islower() for x in run for c in x.bare[1:]):
-                yield self.hit(run[0], run[-1], False, "name-shape")
-            k = run[-1].at + 1
-
-    def reversed_pair(self) -> Iterator[Hit]:
-        k, p = 0, self.pack
-        stops = {x.lower() for x in p.stop_words}
-        while k + 1 < len(self.doc.words):
-            a, b = self.doc.words[k : k + 2]
-            if not a.text.endswith(","):
-                k += 1
-                continue
-            family = a.bare.rstrip(",;:")
-            after = self.doc.get(k + 2)
-            gap = self.doc.text[b.bare_end : after.start] if after else ""
-            ends = after is None or after.break_before or "\t" in gap or "  " in gap
-            known = self.names.is_given(as_read(b.bare).rstrip(".,;:"))
-            if not b.break_before and self.shaped(family) and self.shaped(b.text) and family.lower() not in p.function_words | stops and b.low not in p.function_words and known and ends:
-                yield self.hit(a, b, False, "name-reversed-pair")
-                k += 1
-            k += 1
-
-    def signature(self) -> Iterator[Hit]:
-        lines = self.doc.lines
-        for n, line in enumerate(lines):
-            if len(line) not in (2, 3) or not all(_upper(w.bare) and not w.numberish and not w.labelling for w in line):
-                continue
-            closing = n > 0 and lines[n - 1][-1].low in self.pack.closings
-            role = n + 1 < len(lines) and lines[n + 1][0].bare_dot.lower() in self.pack.roles
-            if closing or role:
-                yield self.hit(line[0], line[-1], True, "signature")
-
-    def role(self) -> Iterator[Hit]:
-        is_role = lambda w: w.bare_dot.rstrip(",.;:").lower() in self.pack.roles
-
-        def pair(k: int, known: bool) -> tuple[Word, Word] | None:
-            a, b = self.doc.get(k), self.doc.get(k + 1)
-            if not a or not b or b.page_before or not (self.shaped(a.text) and self.shaped(b.text)) or (known and not any(self._known(a, b))):
-                return None
-            return a, b
-
-        for w in self.doc.words if self.pack.roles else []:
-            if is_role(w) and not w.text.endswith(",") and (c := self.doc.on_line(w.at + 1)) and c.low in self.pack.copulas and (span := pair(w.at + 2, False)):
-                yield self.hit(*span, False, "role-beside-a-name")
-            if w.text.endswith(",") and (r := self.doc.on_line(w.at + 1)) and is_role(r) and (a := self.doc.get(w.at - 1)) and not a.labelling and not a.break_before and (span := pair(a.at, True)):
-                yield self.hit(*span, False, "role-beside-a-name")
-
-    def company(self) -> Iterator[Hit]:
-        p = self.pack
-        salutations = self.salutations
-        for w in self.doc.words:
-            if w.bare_dot not in p.company_forms and w.bare_dot.rstrip(".") not in p.company_forms:
-                continue
-            k = w.at
-            while k > 0 and not self.doc.words[k].break_before:
-                b = self.doc.words[k - 1]
-                if b.text[-1] in ":,;.":
-                    break
-                if b.bare in p.conjunctions or b.bare == "+":
-                    c = self.doc.get(k - 2)
-                    if not (c and _upper(c.bare) and c.bare not in p.stop_words and not c.break_before):
-                        break
-                elif b.bare in p.stop_words or not _upper(b.bare) or b.bare.lower() in salutations:
-                    break
-                k -= 1
-            if k == w.at:
-                continue
-            more = [self.doc.get(w.at + n) for n in (1, 2, 3)]
-            long = all(more) and more[0].bare in p.conjunctions and more[1].bare_dot.lower() == "co." and more[2].bare_dot in p.company_forms
-            yield self.hit(self.doc.words[k], more[2] if long else w, False, "company-form", "Company")
-
-    def given_before(self, found: list[Hit]) -> Iterator[Hit]:
-        """The word before one that starts a name found so far."""
-        people = [h for h in found if h.kind == "Person"]
-        begins = {h.start for h in people}
-        known = {as_read(w.bare).lower() for w in self.doc.words if w.start in begins}
-        seen: set[int] = set()
-        for w in self.doc.words:
-            b = self.doc.get(w.at - 1)
-            if w.break_before or not b or as_read(w.bare).lower() not in known or b.text[-1] in ",.;:!?" or not self.shaped(b.text):
-                continue
-            if b.start not in seen and not any(h.start <= b.start < h.end for h in people):
-                seen.add(b.start)
-                yield self.hit(b, b, False, "given-name")
-
-    def all(self) -> list[Hit]:
-        found = [h for rule in (self.salutation, self.title) for h in rule()]
-        found += self.by_shape() if self.pack.names_by_shape else self.dictionary()
-        found += [h for rule in (self.reversed_pair, self.signature, self.role, self.company) for h in rule()]
-        found += list(self.given_before(found))
-        if self.pack.names_by_shape:
-            found = [replace(h, sure=False) if h.kind == "Person" else h for h in found]
-        return found
-
-    def discover(self) -> Iterator[tuple[int, int, bool, str]]:
-        """Unknown surnames: after a known given name, or before a comma and one. (start, end, family, rule)."""
-        for a, b in zip(self.doc.words, self.doc.words[1:], strict=False):
-            if b.break_before or b.page_before or not (self.shaped(a.text) and self.shaped(b.text)):
-                continue
-            left, right = as_read(a.bare).rstrip(".,;:"), as_read(b.bare).rstrip(".,;:")
-            if self.names.is_given(left) and not self.names.is_family(right) and a.text[-1] not in ",.;:!?" and left.lower() not in self.pack.function_words:
-                yield b.start, b.bare_end, True, "after-a-given-name"
-            elif a.text.endswith(",") and self.names.is_given(right) and not self.names.is_family(left):
-                yield a.start, a.bare_end, True, "before-a-given-name"
-
-
-# -- rules of one language -------------------------------------------------------------------------------------------------
-
-
-def _hit(pack: Pack, a: Word, z: Word, kind: str, sure: bool, rule: str) -> Hit:
-    return Hit(a.start, z.bare_end, kind, sure, LANGUAGE, f"{pack.id}:{rule}")
 
+from .known import Hint, Known, occurrences
+from .labels import Labels
+from .lexicon import AR, DE, EN, ES, FR, SV
+from .people import Names, People
+from .rules import EXTRA
+from .settle import one_word_names, settle, token_spans
+from .words import GENERAL, HAND, LANGUAGE, VAULT, Hit, Lexer, Reading, as_read, nfc
 
-def german(doc: Reading, _: Names) -> Iterator[Hit]:
-    for w in doc.words:
-        town, dash, letters = w.bare.partition("-")
-        n = doc.on_line(w.at + 1)
-        if dash and 1 <= len(town) <= 3 and 1 <= len(letters) <= 2 and (town + letters).isalpha() and (town + letters).isupper() and n and re.fullmatch("[0-9]{1,4}", n.bare):
-            yield _hit(DE, w, n, "Vehicle", True, "plate")
-    for w in doc.words:
-        if not re.fullmatch("0[0-9]{2,}", w.bare):
-            continue
-        k, said = w.at - 1, False
-        while k >= 0 and w.at - k <= 6 and not doc.words[k].break_before and not said:
-            said = doc.words[k].low.rstrip(":") in DE.more["phone_words"]
-            k -= 1
-        if said:
-            z = w
-            while (n := doc.on_line(z.at + 1)) and re.fullmatch("[0-9]+", n.bare) and n.at - w.at <= 3:
-                z = n
-            yield _hit(DE, w, z, "Phone", True, "local-phone")
-    for w in doc.words:
-        town = doc.get(w.at + 1)
-        if not re.fullmatch("[0-9]{5}", w.bare) or not town or not _upper(town.text):
-            continue
-        first, house, street = w, doc.get(w.at - 1), doc.get(w.at - 2)
-        if house and street and house.numberish and street.low.endswith(DE.more["streets"]):
-            first = street
-            b = doc.get(street.at - 1)
-            if b and _upper(b.bare) and b.bare not in DE.stop_words and b.text[-1] not in ",.:" and not street.break_before:
-                first = b
-        yield _hit(DE, first, town, "Address", False, "address")
+__all__ = ["EXTRA", "GENERAL", "HAND", "LANGUAGE", "PACKS", "VAULT", "Hint", "Hit", "Knowledge", "Labels", "Names", "People", "Reading", "as_read", "nfc", "occurrences", "scan_text", "settle", "token_spans"]
 
-
-def english(doc: Reading, _: Names) -> Iterator[Hit]:
-    for w in doc.words:
-        out = doc.get(w.at - 1)
-        if not out or not re.fullmatch("[0-9][A-Z]{2}", w.bare) or not re.fullmatch("(?=.{2,4}$)[A-Z]{1,2}[0-9]{1,2}[A-Z]?", out.bare):
-            continue
-        first = out
-        for k in range(out.at - 1, max(-1, out.at - 7), -1):
-            b = doc.words[k]
-            if b.labelling or not (_upper(b.bare) or b.numberish):
-                break
-            if b.numberish:
-                first = b
-                break
-        yield _hit(EN, first, w, "Address", False, "address")
-
-
-_AR_MARKS = re.compile("[ً-ْٰـٓ-ٕ]")
-_AR_EDGE = ".,;:!?\"()»«،؛؟"
-
-
-def arabic(doc: Reading, names: Names) -> Iterator[Hit]:
-    bare = lambda w: w.text.strip(_AR_EDGE)
-    fold = lambda w: _AR_MARKS.sub("", nfc(bare(w)))
-    form = lambda w: w.text in AR.titles or fold(w) in AR.titles | AR.more["courtesies"] | AR.salutations
-    part = lambda w: len(fold(w)) >= 2 and all("؀" <= c <= "ۿ" and c.isalpha() for c in fold(w)) and fold(w) not in AR.function_words | AR.stop_words | AR.more["courtesies"] and not w.labelling
-    made = lambda a, z, kind, sure, rule: Hit(a.start, z.start + len(z.text.rstrip(_AR_EDGE)), kind, sure, LANGUAGE, f"ar:{rule}")
-    k = 0
-    while w := doc.get(k):
-        k += 1
-        if fold(w) not in AR.salutations | AR.titles and w.text not in AR.titles:
-            continue
-        first = w.at + 1
-        while (n := doc.on_line(first)) and form(n):
-            first += 1
-        last = None
-        for n in range(4):
-            x = doc.on_line(first + n)
-            if not x or not part(x):
-                break
-            last = x
-            if bare(x) != x.text:
-                break
-        if last:
-            yield made(doc.words[first], last, "Person", True, "salutation")
-            k = last.at + 1
-    for w in doc.words:
-        after = doc.on_line(w.at + 1)
-        if part(w) and names.is_given(fold(w)) and not (after and (fold(w), fold(after)) in AR.more["fixed"]):
-            yield made(w, w, "Person", False, "name-library")
-    for m in re.finditer(r"(?<!\S)[.,;:!?\"()»«،؛؟]*([٠-٩۰-۹–-]+(?:[^\S\n]+[٠-٩۰-۹–-]+)*)(?=[.,;:!?\"()»«،؛؟]*(?!\S))", doc.text):
-        if 8 <= sum(c.isdigit() for c in m[1]) <= 15:
-            yield Hit(m.start(1), m.end(1), "Phone", False, LANGUAGE, "ar:digits-local")
-
-
-@dataclass
-class Run:
-    """Words on a line read as one number: its characters, the lengths of its groups, and the words before it."""
-
-    first: Word
-    last: Word
-    text: str
-    groups: tuple[int, ...]
-    before: frozenset
-
-    def in_groups(self, *shapes: tuple[int, ...]) -> bool:
-        return self.groups in shapes
-
-
-def runs(doc: Reading, rule: Callable[[Run], tuple[str, bool, str] | None], pack: Pack) -> Iterator[Hit]:
-    """From each word the longest of 7 to 1 words that the rule takes."""
-    done = 0
-    for k, found in doc.runs:
-        if k < done:
-            continue
-        for run in found:
-            if verdict := rule(run):
-                kind, sure, name = verdict
-                a, z = run.first.start + run.first.text.find(run.first.bare), run.last.start + run.last.text.find(run.last.bare) + len(run.last.bare)
-                yield Hit(a, z, kind, sure, LANGUAGE, f"{pack.id}:{name}")
-                done = run.last.at + 1
-                break
-
-
-_RUNNABLE = re.compile(r"(?=.*[A-Za-z0-9])[A-Za-z0-9./+-]+")
-#: Every number of a language has as many digits at least; shorter runs aren't read at all.
-LEAST_DIGITS, LONGEST_RUN = 7, 7
-
-
-def number_runs(doc: Reading) -> list[tuple[int, list[Run]]]:
-    """For each word that can begin a number, its runs from the longest to the shortest."""
-    out = []
-    total = [0, *accumulate(w.digits for w in doc.words)]
-    for w in doc.words:
-        if total[min(w.at + LONGEST_RUN, len(doc.words))] - total[w.at] < LEAST_DIGITS:
-            continue
-        pieces: list[str] = []
-        found: list[Run] = []
-        before: frozenset | None = None
-        for n in range(LONGEST_RUN):
-            x = doc.get(w.at + n)
-            if not x or (n and (x.break_before or x.page_before or "+" in x.bare)) or x.labelling or not _RUNNABLE.fullmatch(x.bare) or "+" in x.bare[1:]:
-                break
-            pieces += [p for p in re.split("[./-]", x.bare) if p]
-            if total[x.at + 1] - total[w.at] >= LEAST_DIGITS:
-                before = _before(doc, w) if before is None else before
-                found.append(Run(w, x, "".join(pieces), tuple(sum(c.isalnum() for c in p) for p in pieces), before))
-            if x.text[-1] in ",;:.!?)":
-                break
-        if found:
-            out.append((w.at, found[::-1]))
-    return out
-
-
-def _before(doc: Reading, w: Word) -> frozenset:
-    """Up to four words before, on its line, in small letters."""
-    out: list[str] = []
-    while not w.break_before and w.at > 0 and len(out) < 4:
-        w = doc.words[w.at - 1]
-        if w.low:
-            out.append(w.low)
-    return frozenset(out)
-
-
-def _luhn(s: str) -> bool:
-    return sum(int(c) if k % 2 == 0 else (2 * int(c)) // 10 + (2 * int(c)) % 10 for k, c in enumerate(reversed(s))) % 10 == 0
-
-
-def _digits(s: str, n: int) -> bool:
-    return len(s) == n and s.isascii() and s.isdigit()
-
-
-def _nir(r: Run):
-    t = r.text
-    m = re.fullmatch(r"([123478][0-9]{4})([0-9]{2}|2[AB])([0-9]{6})([0-9]{2})", t)
-    if m and 97 - int(m[1] + {"2A": "19", "2B": "18"}.get(m[2], m[2]) + m[3]) % 97 == int(m[4]):
-        return "SocialInsuranceNo", r.in_groups((1, 2, 2, 2, 3, 3, 2), (13, 2)) or bool(r.before & {"nir", "sécurité", "sociale", "insee", "sécu"}), "nir"
-    return None
-
-
-def _siret(r: Run):
-    t = r.text
-    if _digits(t, 14) and (_luhn(t) or (t.startswith("356000000") and sum(map(int, t)) % 5 == 0)):
-        return "TaxId", r.in_groups((3, 3, 3, 5), (9, 5)) or "siret" in r.before, "siret"
-    if _digits(t, 9) and _luhn(t) and r.in_groups((3, 3, 3), (9,)):
-        return "TaxId", bool(r.before & {"siren", "siret", "rcs"}), "siren"
-    return None
-
-
-def _french_vat(r: Run):
-    m = re.fullmatch("FR([0-9A-Z]{2})([0-9]{9})", r.text)
-    if not m:
-        return None
-    if m[1].isdigit():
-        return ("TaxId", True, "vat") if int(m[1]) == (12 + 3 * (int(m[2]) % 97)) % 97 else None
-    return ("TaxId", False, "vat") if _luhn(m[2]) else None
-
-
-def _fiscal(r: Run):
-    if _digits(r.text, 13) and r.text[0] in "0123" and r.in_groups((13,), (2, 2, 3, 3, 3)):
-        return "TaxId", bool(r.before & {"fiscal", "spi"}), "numero-fiscal"
-    return None
-
-
-def _french_phone(r: Run):
-    if r.text.startswith("+33"):
-        return ("Phone", True, "phone") if re.fullmatch("[1-9][0-9]{8}", r.text[3:]) else None
-    if re.fullmatch("0[1-9][0-9]{8}", r.text) and r.in_groups((2, 2, 2, 2, 2), (10,)):
-        return "Phone", r.in_groups((2, 2, 2, 2, 2)), "phone"
-    return None
-
-
-_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
-
-
-def _dni(t: str) -> bool:
-    return bool(re.fullmatch("[0-9]{8}[A-Z]", t)) and _LETTERS[int(t[:8]) % 23] == t[8]
-
-
-def _nie(t: str) -> bool:
-    return bool(re.fullmatch("[XYZ][0-9]{7}[A-Z]", t)) and _dni(str("XYZ".index(t[0])) + t[1:])
-
-
-def _cif(t: str) -> bool:
-    if not re.fullmatch("[ABCDEFGHJNPQRSUVW][0-9]{7}[0-9A-J]", t):
-        return False
-    d = [int(c) for c in t[1:8]]
-    check = -sum(sum(divmod(2 * x, 10)) if k % 2 == 0 else x for k, x in enumerate(d)) % 10
-    digit, letter = t[8] == str(check), t[8] == "JABCDEFGHI"[check]
-    return letter if t[0] in "KPQRSNW" else digit if t[0] in "ABEH" else digit or letter
-
-
-def _spanish_id(r: Run):
-    return ("IdCard", True, "dni") if _dni(r.text) else ("IdCard", True, "nie") if _nie(r.text) else None
-
-
-def _spanish_social(r: Run):
-    t = r.text
-    if not _digits(t, 12) or not 1 <= int(t[:2]) <= 53 or not r.in_groups((2, 8, 2), (12,)):
-        return None
-    p, m = int(t[:2]), int(t[2:10])
-    if (p * 10**7 + m if m < 10**7 else p * 10**8 + m) % 97 != int(t[10:]):
-        return None
-    return "SocialInsuranceNo", r.in_groups((2, 8, 2)) or bool(r.before & {"social", "nuss", "naf", "afiliación"}), "seguridad-social"
-
-
-_FRENCH = (_nir, _siret, _french_vat, _fiscal, _french_phone)
-_SPANISH = (
-    _spanish_id,
-    lambda r: ("TaxId", True, "cif") if _cif(r.text) else None,
-    lambda r: ("TaxId", True, "vat") if r.text.startswith("ES") and (_dni(r.text[2:]) or _nie(r.text[2:]) or _cif(r.text[2:])) else None,
-    _spanish_social,
-    lambda r: ("Phone", True, "phone") if re.fullmatch(r"\+34[6-9][0-9]{8}", r.text) else None,
-)
-
-
-def french(doc: Reading, _: Names) -> Iterator[Hit]:
-    for rule in _FRENCH:
-        yield from runs(doc, rule, FR)
-
-
-def spanish(doc: Reading, _: Names) -> Iterator[Hit]:
-    for rule in _SPANISH:
-        yield from runs(doc, rule, ES)
-
-
-#: Extension point: more rules of a language can be added here before a scan.
-EXTRA: dict[str, list[Callable[[Reading, Names], Iterator[Hit]]]] = {"de": [german], "en": [english], "ar": [arabic], "fr": [french], "es": [spanish], "sv": []}
-
-# -- known values ----------------------------------------------------------------------------------------------------------
-
-_OPEN = [("฀", "໿"), ("က", "႟"), ("ក", "៿"), ("぀", "ヿ"), ("㐀", "鿿"), ("가", "힯")]
-_CLITICS = "وبلفك"
-_HYPHENS = "-‐‑‒–"
-
-
-def _letter(c: str) -> bool:
-    return c.isalnum()
-
-
-def _alone(text: str, a: int, z: int) -> bool:
-    """Whether a place is a word of its own, as its script has words."""
-    first = text[a]
-    if any(lo <= first <= hi for lo, hi in _OPEN):
-        return True
-    while z < len(text) and unicodedata.combining(text[z]):
-        z += 1
-    after = z >= len(text) or not _letter(text[z])
-    if "؀" <= first <= "ۿ":
-        k = a
-        while k > 0 and text[k - 1] in _CLITICS:
-            k -= 1
-        return k == 0 or not _letter(text[k - 1])
-    return after and (a == 0 or not _letter(text[a - 1]))
-
-
-def _blind(needle: str) -> re.Pattern:
-    """Any case, any white space for white space, and a line's end hyphen inside a word if a small letter follows."""
-    parts = []
-    for k, c in enumerate(needle):
-        if c.isspace():
-            parts.append(r"\s+" if k == 0 or not needle[k - 1].isspace() else "")
-            continue
-        parts.append(f"[{re.escape(_HYPHENS)}]" if c == "-" else re.escape(c))
-        if k + 1 < len(needle) and c.isalpha() and needle[k + 1].isalpha():
-            parts.append(r"(?:[-‐­]\n(?=(?-i:[^\W\d_A-ZÄÖÜÅÉÈ])))?")
-    return re.compile("".join(parts), re.IGNORECASE)
-
-
-_patterns: dict[str, re.Pattern] = {}
-
-
-def occurrences(text: str, needle: str) -> list[tuple[int, int]]:
-    """Every place of a value: in any case, as a word of its own."""
-    if not needle.strip():
-        return []
-    if needle not in _patterns:
-        if len(_patterns) > 10_000:
-            _patterns.clear()
-        _patterns[needle] = _blind(needle)
-    return [m.span() for m in _patterns[needle].finditer(text) if _alone(text, *m.span())]
-
-
-@dataclass(frozen=True)
-class Hint:
-    """A spelling of a known value."""
-
-    text: str
-    kind: str
-    policy: str  # Always, Suggest or Manual
-    entity: int
-
-
-def known_values(text: str, hints: list[Hint]) -> Iterator[Hit]:
-    """Spellings that more than one entity claims are only suggested."""
-    by: dict[str, list[Hint]] = {}
-    for h in hints:
-        if h.policy != "Manual":
-            by.setdefault(nfc(h.text), []).append(h)
-    low = text.lower()
-    for spelling, claims in by.items():
-        head = re.split(r"[\s\-‐-–]", spelling.lower())[0]
-        if len(head) > 2 and head.isascii() and head[:2] not in low:
-            continue
-        owners = sorted({c.entity for c in claims})
-        sure = len(owners) == 1 and any(c.policy == "Always" for c in claims)
-        for a, z in occurrences(text, spelling):
-            yield Hit(a, z, claims[0].kind, sure, VAULT, "vault", entities=list(owners))
-
-
-# -- laws and settling -----------------------------------------------------------------------------------------------------
-
-_TOKEN = re.compile("__Z_[A-Za-z0-9]{4}_[A-Z0-9]+_[A-Za-z0-9]{4,8}__")
-
-
-def token_spans(text: str) -> list[tuple[int, int]]:
-    """Tokens from left to right; what begins like one and isn't hides whatever stands before its own end."""
-    out, at = [], text.find("__Z_")
-    while at >= 0:
-        end = text.find("__", at + 4)
-        if end < 0:
-            break
-        end += 2
-        if _TOKEN.fullmatch(text, at, end):
-            out.append((at, end))
-        at = text.find("__Z_", end)
-    return out
-
-
-def _edge(c: str) -> bool:
-    return not (c.isalnum() or c.isspace() or unicodedata.combining(c))
-
-
-def one_word_names(text: str, hits: list[Hit]) -> list[Hit]:
-    """A name of several words becomes a hit a word, unless a person wrote it into the vault."""
-    out = []
-    for h in hits:
-        words = [m.span() for m in re.finditer(r"\S+", text[h.start : h.end])]
-        if h.kind != "Person" or h.source in (VAULT, HAND) or len(words) < 2:
-            out.append(h)
-            continue
-        for a, z in words:
-            a, z = a + h.start, z + h.start
-            while a < z and _edge(text[a]):
-                a += 1
-            while z > a and _edge(text[z - 1]):
-                z -= 1
-            if a < z:
-                out.append(replace(h, start=a, end=z, also=[], entities=list(h.entities)))
-    return out
-
-
-def settle(hits: list[Hit]) -> list[Hit]:
-    """By place, then certainty, length and source; an overlap folds into the hit that was kept first."""
-    kept: list[Hit] = []
-    for h in sorted(hits, key=lambda h: (h.start, not h.sure, h.start - h.end, SOURCE_RANK[h.source])):
-        keeper = next((k for k in reversed(kept[-64:]) if h.start < k.end and k.start < h.end), None)
-        if keeper is None:
-            kept.append(h)
-            continue
-        keeper.entities += [e for e in h.entities if e not in keeper.entities]
-        if keeper.kind == h.kind:
-            if h.rule not in keeper.also:
-                keeper.also.append(h.rule)
-            keeper.sure = keeper.sure or h.sure
-    return sorted(kept, key=lambda h: h.start)
+PACKS = {p.id: p for p in (DE, EN, SV, AR, FR, ES)}
 
 
 @dataclass
@@ -907,20 +29,34 @@ class Knowledge:
     hints: list[Hint] = field(default_factory=list)
     exceptions: frozenset = frozenset()  # (kind, NFC value)
 
+    @cached_property
+    def people(self) -> dict[str, People]:
+        """The rules for names by pack (Arabic has its own), made ready in each worker."""
+        return {p: People(PACKS[p], self.names[p]) for p in self.packs if p in PACKS and p != "ar"}
+
+    @cached_property
+    def lexer(self) -> Lexer:
+        return Lexer(*(p.facts for p in self.people.values()))
 
-def scan_text(text: str, general: list[Hit], k: Knowledge) -> list[Hit]:
+    @cached_property
+    def known(self) -> Known:
+        return Known(self.hints)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("people", "lexer", "known")}
+
+
+def scan_document(doc: Reading, general: list[Hit], k: Knowledge) -> list[Hit]:
     """Layers in order (general, packs, labels, known values), then the laws, then settling."""
-    doc = Reading(text)
-    hits = list(general)
+    text, hits = doc.text, list(general)
+    classes = k.lexer.of(doc)
     for p in k.packs:
-        if p in PACKS:
-            names = k.names[p]
-            if p != "ar":
-                hits += People(doc, PACKS[p], names).all()
-            for rule in EXTRA[p]:
-                hits += rule(doc, names)
+        if p in k.people:
+            hits += k.people[p].all(doc, classes)
+        for rule in EXTRA.get(p, ()):
+            hits += rule(doc, k.names.get(p))
     hits += k.labels.hits(doc, k.honorifics)
-    hits += known_values(text, k.hints)
+    hits += k.known.hits(text)
     hits = one_word_names(text, hits)
     hits = [h for h in hits if h.source in (VAULT, HAND) or not k.labels.names(text[h.start : h.end])]
     if k.exceptions:
@@ -930,11 +66,5 @@ def scan_text(text: str, general: list[Hit], k: Knowledge) -> list[Hit]:
     return settle(hits)
 
 
-def plain_words(text: str, hits: list[Hit]) -> int:
-    """Words that no hit touches."""
-    spans, n, k = sorted((h.start, h.end) for h in hits), 0, 0
-    for m in re.finditer(r"\S+", text):
-        while k < len(spans) and spans[k][1] <= m.start():
-            k += 1
-        n += not (k < len(spans) and spans[k][0] < m.end())
-    return n
+def scan_text(text: str, general: list[Hit], k: Knowledge) -> list[Hit]:
+    return scan_document(Reading(text), general, k)

@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..plans.kinds import KINDS
+from .batches import by_batch
 from .kernel import Reading, nfc, occurrences, token_spans
+from .known import Stretches, key
 
 TOKEN = "__Z_[A-Za-z0-9]{4}_[A-Z0-9]+_[A-Za-z0-9]{4,8}__"
 PROTECTION = "array<struct<start:int,end:int,kind:string,value:string,token:string>>"
@@ -41,8 +43,9 @@ def fan_out(text: str, findings: list[dict], suggestions: bool = False) -> list[
     sure = [f for f in findings if suggestions or f["confidence"] == "auto"]
     taken = [(f["start"], f["end"], f["kind"]) for f in sure]
     out = list(taken)
+    stretches = Stretches(text) if sure else None
     for value, kind in dict.fromkeys((text[f["start"] : f["end"]], f["kind"]) for f in sure):
-        for a, z in occurrences(text, value):
+        for a, z in occurrences(text, value) if stretches.has(*key(value)) > 1 else ():  # one place is its own
             if not any(a < e and s < z for s, e, _ in out) and not any(a < f["end"] and f["start"] < z and f["kind"] != kind for f in findings):
                 out.append((a, z, kind))
     return sorted(out)
@@ -57,24 +60,24 @@ def protect(scanned: DataFrame, secret: str, text_col: str = "text", col: str =
     schema = T.StructType([*base.schema.fields, *T._parse_datatype_string(f"protections {PROTECTION}, protected string").fields])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("token", pa.string())]))
 
-    def run(batches):
-        naming = Naming(secret)
-        for b in batches:
-            spans, texts = [], []
-            for text, found in zip(b.column(text_col).to_pylist(), b.column(col).to_pylist(), strict=True):
-                first: dict[str, str] = {}
-                made, parts, at = [], [], 0
-                for a, z, k in fan_out(text or "", found or [], suggestions):
-                    value = text[a:z]
-                    token = naming.token(first.setdefault(nfc(value), k), value)
-                    made.append({"start": a, "end": z, "kind": k, "value": value, "token": token})
-                    parts += [text[at:a], token]
-                    at = z
-                spans.append(made)
-                texts.append(None if text is None else "".join([*parts, text[at:]]).replace("\f", "\n"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind), pa.array(texts, pa.string())], names=[*b.schema.names, "protections", "protected"])
+    naming = Naming(secret)
 
-    return base.mapInArrow(run, schema)
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        spans, texts = [], []
+        for text, found in zip(b.column(text_col).to_pylist(), b.column(col).to_pylist(), strict=True):
+            first: dict[str, str] = {}
+            made, parts, at = [], [], 0
+            for a, z, k in fan_out(text or "", found or [], suggestions):
+                value = text[a:z]
+                token = naming.token(first.setdefault(nfc(value), k), value)
+                made.append({"start": a, "end": z, "kind": k, "value": value, "token": token})
+                parts += [text[at:a], token]
+                at = z
+            spans.append(made)
+            texts.append(None if text is None else "".join([*parts, text[at:]]).replace("\f", "\n"))
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind), pa.array(texts, pa.string())], names=[*b.schema.names, "protections", "protected"])
+
+    return by_batch(base, run, schema)
 
 
 def protections(protected: DataFrame) -> DataFrame:
@@ -224,4 +227,5 @@ def whole_words(text: str, start: int, end: int) -> tuple[int, int]:
 
 def words_of(text: str) -> list[tuple[int, int, str]]:
     """Words with marks trimmed off their edges."""
-    return [(w.start, w.end, w.text) for w in Reading(text).words]
+    doc = Reading(text)
+    return list(zip(doc.starts, doc.ends, doc.words, strict=True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .kernel import Knowledge, People, PACKS, Reading
+from .kernel import Knowledge, Reading
 
 
 def scan_report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -57,11 +57,11 @@ def name_candidates(docs: DataFrame, known: Knowledge, id_col: str = "doc_id", t
             out = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 doc = Reading(text or "")
-                for p in k.packs:
-                    if p in PACKS and p != "ar":
-                        for a, z, _, rule in People(doc, PACKS[p], k.names[p]).discover():
-                            line = text[text.rfind("\n", 0, a) + 1 : (text.find("\n", z) + 1 or len(text) + 1) - 1]
-                            out.append((i, text[a:z], rule, text.count("\f", 0, a) + 1, a, line[:160]))
+                classes = k.lexer.of(doc)
+                for people in k.people.values():
+                    for a, z, _, rule in people.discover(doc, classes):
+                        line = text[text.rfind("\n", 0, a) + 1 : (text.find("\n", z) + 1 or len(text) + 1) - 1]
+                        out.append((i, text[a:z], rule, text.count("\f", 0, a) + 1, a, line[:160]))
             kinds = pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["doc_id", "word", "rule", "page", "start", "line"])
 
