@@ -1,12 +1,12 @@
 """N-gram Jaccard join: texts whose sets of five-word shingles have a similarity of 0.8 or more.
 
 1. Equal texts fold into one; each text gets HASHES MinHash values. Candidates share all values of a band; with 24 bands
-   of 4, a pair of similarity 0.8 shares none with probability 3e-6 (0.85: 2e-8), and pairs are compared within whole candidate
-   components, which lowers this further.
-2. Candidate components are worked through in groups of bounded size: small ones bundled, large ones as pairs of blocks.
-3. In a group, MinHash values are compared a few at a time and a pair is dropped once the posterior probability that its
-   similarity reaches the threshold (uniform prior) is below TOLERANCE; the rest is verified on the whole shingle sets.
-   Links are counted and united there; no pair leaves the group.
+   of 4, a pair of similarity 0.8 shares none with probability 3e-6 (0.85: 2e-8).
+2. Texts that share a band's bucket are joined only where all their MinHash values leave the threshold a posterior above
+   TOLERANCE (in a bucket, each text is compared with those that nothing reached yet, so copies of one text cost one pass).
+   Chance meetings at half the similarity thus never chain a corpus into one component.
+3. The components left are worked through in groups of bounded size: small ones bundled, large ones as pairs of blocks. In a group, MinHash values are compared a few at a time and a pair is dropped once the posterior probability that its
+   similarity reaches the threshold (uniform prior) is below TOLERANCE; the rest is verified on the whole shingle sets. Links are counted and united there; no pair leaves the group.
 
 Words are lower-cased stretches between white space. A text of one to four words is one shingle; a text without words
 (null, empty) links to nothing, not even to its copies. Rows with the same text count as copies, also under one id.
@@ -30,7 +30,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND = 24, 4
 HASHES = BANDS * BAND
 STEP, TOLERANCE = 8, 1e-6
-BLOCK = 256
+BLOCK, MEMBERS = 256, 4096  # texts of a component's block; rows of buckets in a group
 _FACTORS = np.random.default_rng(20).integers(1, 1 << 63, HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _SOLID = ~_table([*range(9, 14), 32])
 
@@ -159,8 +159,23 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select("doc_id", "text", F.unhex(F.md5("text")).alias("md5")).transform(arrow, run, "row long, doc_id long, md5 binary, n long, sig binary")
 
 
+def reached(sig: np.ndarray, least: int) -> np.ndarray:
+    """For each text of a bucket the first text of its component, where texts join that agree on `least` values."""
+    top, left, root, front = np.zeros(len(sig), np.int64), np.arange(1, len(sig)), 0, [0]
+    while len(left):
+        if not front:
+            root, left = int(left[0]), left[1:]
+            top[root], front = root, [root]
+            continue
+        near = (sig[left] == sig[front.pop()]).sum(1) >= least
+        joined, left = left[near], left[~near]
+        top[joined] = root
+        front.extend(joined.tolist())
+    return top
+
+
 def _candidates(one: DataFrame) -> DataFrame:
-    """Edges (a, b) from each text to the first text of a bucket that it shares; one: t, sig of the distinct texts."""
+    """Edges (a, b) from each text to the first text of its component in a bucket that it shares; one: t, sig of the distinct texts."""
 
     def run(batches):
         for b in batches:
@@ -172,8 +187,33 @@ def _candidates(one: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "t"])
 
     banded = one.select("t", "sig").transform(arrow, run, "bucket long, t long")
-    shared = banded.groupBy("bucket").agg(F.min("t").alias("b"), F.max("t").alias("z")).where("b < z").select("bucket", "b")
-    return banded.join(shared, "bucket").where("t != b").select(F.col("t").alias("a"), "b").distinct()
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = staged(banded.join(shared, "bucket"), "join-shared")
+    bundles = max(1, met.count() // MEMBERS)
+    blocks = F.when(F.col("n") > MEMBERS, F.ceil(F.col("n") * 2 / MEMBERS).cast("int")).otherwise(1)
+    placed = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("t"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    whole = F.col("blocks") == 1
+    keyed = placed.select(
+        F.when(whole, F.pmod(F.xxhash64("bucket"), F.lit(bundles))).otherwise(F.col("bucket")).alias("key"),
+        F.when(whole, -1).otherwise(F.least("block", "other")).alias("x"), F.when(whole, -1).otherwise(F.greatest("block", "other")).alias("y"), "bucket", "t",
+    ).join(one.select("t", "sig"), "t")
+
+    def meet(g: pa.Table) -> pa.Table:
+        g = g.sort_by([("bucket", "ascending"), ("t", "ascending")])
+        bucket, t = g["bucket"].to_numpy(), g["t"].to_numpy()
+        sig = np.frombuffer(b"".join(g["sig"].to_pylist()), np.uint32).reshape(-1, HASHES)
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        size = np.diff(np.r_[starts, len(t)])
+        first = np.arange(len(t))
+        two = starts[size == 2]
+        near = (sig[two] == sig[two + 1]).sum(1) >= _LEAST[HASHES]
+        first[two[near] + 1] = two[near]
+        for a, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            first[a : a + n] = a + reached(sig[a : a + n], _LEAST[HASHES])
+        edge = np.unique(np.stack([t, t[first]])[:, t != t[first]], axis=1)
+        return pa.table({"a": edge[0], "b": edge[1]})
+
+    return keyed.groupBy("key", "x", "y").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     signed = staged(signatures(docs, id_col, text_col), "join-signatures")
     texts = staged(signed.where("n > 0").groupBy("md5").agg(F.min("row").alias("t"), F.count("*").alias("copies")), "join-texts")
-    one = signed.where("n > 0").join(texts.select(F.col("t").alias("row"), "copies"), "row").select(F.col("row").alias("t"), "doc_id", "md5", "sig", "copies")
+    one = staged(signed.where("n > 0").join(texts.select(F.col("t").alias("row"), "copies"), "row").select(F.col("row").alias("t"), "doc_id", "md5", "sig", "copies"), "join-distinct")
     edges = staged(_candidates(one), "join-candidates")
     comp = staged(components(edges), "join-components")
     sizes = comp.groupBy("root").agg(F.count("*").alias("size"))

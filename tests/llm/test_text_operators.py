@@ -267,6 +267,40 @@ def test_join_over_several_blocks(make, monkeypatch):
     assert by_id(got) == sorted(join_of(texts), key=str)
 
 
+def test_a_bucket_joins_what_may_reach_the_threshold():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 32, (5, ngram_join.HASHES), dtype=np.uint32)
+    sig = base[rng.integers(0, 5, 60)].copy()
+    for row in sig:
+        row[rng.choice(ngram_join.HASHES, rng.integers(0, 60), replace=False)] = rng.integers(0, 1 << 32)
+    agree = (sig[:, None] == sig[None]).sum(2)
+    for least in (30, 57, 90):
+        root = np.arange(60)
+        for _ in range(60):
+            root = np.array([root[agree[k] >= least].min() for k in range(60)])
+        assert ngram_join.reached(sig, least).tolist() == root.tolist()
+
+
+def test_a_chain_of_weak_likeness_never_meets(make):
+    """A chain in which neighbours share two fifths of their shingles gives many buckets but no component."""
+    rng = random.Random(2)
+    line = words(rng, 3000).split()
+    texts = [" ".join(line[k * 50 : k * 50 + 120]) for k in range(56)]
+    signed = ngram_join.signatures(make(texts)).withColumnRenamed("row", "t")
+    assert ngram_join._candidates(signed).count() == 0
+    assert {(r["class_id"], r["n_links"]) for r in ngram_join.classes(make(texts)).collect()} == {(k, 0) for k in range(56)}
+
+
+@pytest.mark.parametrize("members", [8, 4096])
+def test_buckets_over_several_blocks(make, monkeypatch, members):
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
+    rng = random.Random(11)
+    base = words(rng, 90).split()
+    texts = [" ".join(w if rng.random() > 0.004 else f"v{k}" for w in base) for k in range(40)] + [words(rng, 60) for _ in range(5)]
+    got = ngram_join.classes(make(texts)).select("doc_id", "class_id", "n_links", "n_text_links")
+    assert by_id(got) == sorted(join_of(texts), key=str)
+
+
 def test_one_of_each_class_stays(make, corpus):
     want = {k for k, root, *_ in join_of(corpus) if k == root or not shingles(corpus[k])}
     kept = ngram_join.keep_one(make(corpus))
