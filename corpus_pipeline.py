@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shroud.llm import ngram_join, packing, pii, quality, suffix_dedup
 from shroud.llm.queries import PASSAGE, tokenizer_path
-from shroud.llm.shared import read_table, staged
+from shroud.llm.shared import drop_staged, read_table, staged_alone
 
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars follows a text that a stage has changed."""
@@ -47,11 +47,11 @@ ORACLE_SQL = None
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order: what the last one gives."""
     docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = staged(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, staged_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if name != STAGES[0][0]:
+            drop_staged(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

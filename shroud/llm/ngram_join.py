@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from .bpe import by_size
 from .features import _ODD, Text, _table, mixed, runs
 from .graph import components
-from .shared import arrow, release, staged, text_or_empty
+from .shared import arrow, drop_staged, release, staged, text_or_empty
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND = 24, 4
@@ -271,6 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table(dict(zip(("t", "top", "links", "weight", "cut"), cols, strict=True)))
 
     found = staged(keyed.groupBy("key", "x", "y").applyInArrow(meet, "t long, top long, links long, weight long, cut boolean"), "join-links")
+    drop_staged(one, edges, comp)
     large = components(found.where("cut").select(F.col("t").alias("a"), F.col("top").alias("b")))
     classes = found.where(~F.col("cut")).select("t", F.col("top").alias("first")).union(large.select(F.col("node").alias("t"), F.col("root").alias("first")))
     links = found.groupBy("t").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))

@@ -19,10 +19,12 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; in local mode (tests) one of our own where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="shroud-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -37,10 +39,21 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Removes a table that staged() wrote, once nothing reads it any more."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
+def drop_staged(*tables: DataFrame) -> None:
+    """Removes tables that staged() wrote, once nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def staged_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() gives, staged; the tables that were staged on the way are removed."""
+    before = len(_written)
+    out = staged(make(), name)
+    on_the_way, _written[before:] = _written[before:-1], _written[-1:]
+    for path in on_the_way:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def clear(spark: SparkSession) -> None:

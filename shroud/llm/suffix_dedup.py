@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .features import _ODD, _SOLID, _table, mixed, powers
-from .shared import arrow, release, staged, text_or_empty
+from .shared import arrow, drop_staged, release, staged, text_or_empty
 
 LENGTH, KEY = 400, 80
 SPAN = LENGTH - KEY + 1  # how many keys begin in a string
@@ -380,7 +380,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     k = F.col("k")
     met = named.join(keyed.withColumnRenamed("doc_id", "id").withColumnRenamed("md5", "m"), (F.col("md5") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("id")))
     once = met.dropDuplicates(["md5", "doc_id"])  # a row repeated whole brings its text twice
-    return staged(once.select("row", "data", F.transform(k, lambda x: x["key"]).alias("keys"), F.transform(k, lambda x: x["hot"]).alias("hot")), "suffix-texts"), rows
+    held = staged(once.select("row", "data", F.transform(k, lambda x: x["key"]).alias("keys"), F.transform(k, lambda x: x["hot"]).alias("hot")), "suffix-texts")
+    drop_staged(marked, texts, wanted)
+    return held, rows
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, words: int | None = None, with_kept: bool = True) -> DataFrame:
