@@ -129,6 +129,10 @@ class Known:
             found += [n for g in self.grams.keys() & grams for n in self.grams[g]]
         return sorted(found)
 
+    def places(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, spelling) of every place."""
+        return [(a, z, self.claims[n][0]) for n in self._named(text) for a, z in occurrences(text, self.claims[n][0])]
+
     def hits(self, text: str) -> Iterator[Hit]:
         for n in self._named(text) if self.claims else ():
             spelling, claims = self.claims[n]

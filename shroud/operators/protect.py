@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..plans.kinds import KINDS
 from .batches import by_batch
 from .kernel import Reading, nfc, occurrences, token_spans
-from .known import Stretches, key
+from .known import Hint, Known, Stretches, key
+from .spans import matches, utf16
 
 TOKEN = "__Z_[A-Za-z0-9]{4}_[A-Z0-9]+_[A-Za-z0-9]{4,8}__"
 PROTECTION = "array<struct<start:int,end:int,kind:string,value:string,token:string>>"
@@ -51,10 +52,11 @@ def fan_out(text: str, findings: list[dict], suggestions: bool = False) -> list[
     return sorted(out)
 
 
-def protect(scanned: DataFrame, secret: str, text_col: str = "text", col: str = "findings", suggestions: bool = False) -> DataFrame:
+def protect(scanned: DataFrame, secret: str, text_col: str = "text", col: str = "findings", suggestions: bool = False, already: str | None = None) -> DataFrame:
     """Adds protections (array) and protected: the text with each protected place as its token, form feeds as line feeds.
 
     Columns of these names are replaced. The kind of a value's first place names its token everywhere.
+    already: a column of protections made before, which stay and which no other place may touch.
     """
     base = scanned.drop("protections", "protected")
     schema = T.StructType([*base.schema.fields, *T._parse_datatype_string(f"protections {PROTECTION}, protected string").fields])
@@ -64,15 +66,18 @@ def protect(scanned: DataFrame, secret: str, text_col: str = "text", col: str =
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         spans, texts = [], []
-        for text, found in zip(b.column(text_col).to_pylist(), b.column(col).to_pylist(), strict=True):
+        before = b.column(already).to_pylist() if already else [None] * b.num_rows
+        for text, found, old in zip(b.column(text_col).to_pylist(), b.column(col).to_pylist(), before, strict=True):
             first: dict[str, str] = {}
-            made, parts, at = [], [], 0
+            made, parts, at = list(old or []), [], 0
             for a, z, k in fan_out(text or "", found or [], suggestions):
-                value = text[a:z]
-                token = naming.token(first.setdefault(nfc(value), k), value)
-                made.append({"start": a, "end": z, "kind": k, "value": value, "token": token})
-                parts += [text[at:a], token]
-                at = z
+                if not any(a < p["end"] and p["start"] < z for p in old or ()):
+                    value = text[a:z]
+                    made.append({"start": a, "end": z, "kind": k, "value": value, "token": naming.token(first.setdefault(nfc(value), k), value)})
+            made.sort(key=lambda p: p["start"])
+            for p in made:
+                parts += [text[at : p["start"]], p["token"]]
+                at = p["end"]
             spans.append(made)
             texts.append(None if text is None else "".join([*parts, text[at:]]).replace("\f", "\n"))
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind), pa.array(texts, pa.string())], names=[*b.schema.names, "protections", "protected"])
@@ -96,22 +101,31 @@ def collisions(protected: DataFrame) -> DataFrame:
     return protections(protected).groupBy("token").agg(F.count_distinct("value").alias("values")).where(F.col("values") > 1)
 
 
-def payload(protected: DataFrame, request: Column, out_col: str = "payload") -> DataFrame:
-    """Adds the text that may leave: the protected text, then the request; and the tokens that its answer may carry."""
-    return protected.withColumn(out_col, F.concat(F.col("protected"), F.lit(REQUEST), request)).withColumn("allowed", F.array_sort(F.array_distinct(F.transform("protections", lambda p: p["token"]))))
+def payload(protected: DataFrame, request: Column, out_col: str = "payload", text_col: str = "text") -> DataFrame:
+    """Adds the text that may leave: the protected text, then the request; the tokens that its answer may carry; `counts`, how many
+    there are of each kind; and `pages`, where pages after the first begin in it, in UTF-16 units."""
+    places = F.col("protections")
+    tokens = F.array_sort(F.array_distinct(F.transform(places, lambda p: p["token"])))
+    kind = lambda t: F.split(t, "_")[4]
+    counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.transform("allowed", kind))), lambda k: F.struct(k, F.size(F.filter("allowed", lambda t: kind(t) == k)))))
+    shift = lambda at: F.aggregate(F.filter(places, lambda p: p["end"] <= at), F.lit(0), lambda a, p: a + F.length(p["token"]) - (p["end"] - p["start"]))
+    breaks = F.filter(matches(F.col(text_col), "\f"), lambda m: ~F.exists(places, lambda p: (p["start"] <= m["start"]) & (m["start"] < p["end"])))
+    out = protected.withColumn(out_col, F.concat(F.col("protected"), F.lit(REQUEST), request)).withColumn("allowed", tokens).withColumn("counts", counts)
+    return out.withColumn("pages", F.transform(breaks, lambda m: utf16(F.col("protected"), m["end"] + shift(m["start"]))))
 
 
 def audit(protected: DataFrame, text_col: str = "text", out: str = "protected") -> DataFrame:
     """A row for each protected value: how often it stands in the text that leaves, outside tokens, and how often it may.
 
     It may as often as in the original less the places replaced; raw substrings count, so a value inside a longer word does.
+    All values of a document are counted before they part, so no text is copied.
     """
-    rows = protected.withColumn("value__", F.explode(F.array_distinct(F.transform("protections", lambda p: p["value"]))))
-    count = lambda text: F.size(F.split(text, F.concat(F.lit(r"\Q"), F.regexp_replace("value__", r"\\E", "")), F.lit(-1))) - 1
-    replaced = F.size(F.filter("protections", lambda p: p["value"] == F.col("value__")))
-    counted = rows.withColumn("left__", count(F.regexp_replace(F.col(out), TOKEN, "\x00")).cast("long")).withColumn("allowed__", (count(F.col(text_col)) - replaced).cast("long"))
+    times = lambda text, value: ((F.length(text) - F.length(F.replace(text, value))) / F.length(value)).cast("long")
+    bare, places = without_tokens(F.col(out)), F.col("protections")
+    counted = lambda v: F.struct(F.md5(v).alias("secret"), times(F.col("bare__"), v).alias("left"), (times(F.col(text_col), v) - F.size(F.filter(places, lambda p: p["value"] == v))).alias("allowed"))
     keep = [c for c in protected.columns if c not in ("protections", "findings", "plain_words", text_col, out)]
-    return counted.select(*keep, F.md5("value__").alias("secret"), F.col("left__").alias("left"), F.col("allowed__").alias("allowed"), (F.col("left__") > F.col("allowed__")).alias("leak"))
+    rows = protected.withColumn("bare__", bare).select(*keep, F.explode(F.transform(F.array_distinct(F.transform(places, lambda p: p["value"])), counted)).alias("c"))
+    return rows.select(*keep, "c.*", (F.col("c.left") > F.col("c.allowed")).alias("leak"))
 
 
 SEGMENTS = "array<struct<text:string,piece:string>>"
@@ -151,10 +165,26 @@ def restore(returned: DataFrame, text_col: str = "text", values_col: str = "toke
     return base.mapInArrow(run, schema)
 
 
+#: What begins like a token, up to the next pair of underscores: one that isn't a token hides what stands before its own end.
+LIKE_A_TOKEN = "(?s)__Z_.*?__"
+
+
+def _tokens(text: Column) -> Column:
+    """The tokens of a text, in order."""
+    return F.filter(F.regexp_extract_all(text, F.lit(LIKE_A_TOKEN), F.lit(0)), lambda t: t.rlike(f"^{TOKEN}$"))
+
+
+def without_tokens(text: Column, by: str = "\x00") -> Column:
+    """The text with each token as one character."""
+    between, like = F.split(text, LIKE_A_TOKEN, -1), F.regexp_extract_all(text, F.lit(LIKE_A_TOKEN), F.lit(0))
+    kept = F.zip_with(between, like, lambda p, t: F.concat(p, F.when(t.isNull(), "").when(t.rlike(f"^{TOKEN}$"), by).otherwise(t)))
+    return F.array_join(kept, "")
+
+
 def tokens_in(returned: DataFrame, text_col: str = "text") -> DataFrame:
     """A row for each token of a text: its place in order, token and namespace. Native."""
     rest = [c for c in returned.columns if c not in (text_col, "n", "token", "namespace")]
-    exploded = returned.select(*rest, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))).alias("n", "token"))
+    exploded = returned.select(*rest, F.posexplode(_tokens(F.col(text_col))).alias("n", "token"))
     return exploded.withColumn("namespace", F.substr("token", F.lit(5), F.lit(4)))
 
 
@@ -176,18 +206,50 @@ def returned_statistics(resolved: DataFrame) -> DataFrame:
 
 def rename_all(texts: DataFrame, old_to_new: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Each token replaced by its new name (old, new); others stay. The pieces between tokens are joined again in order."""
-    pieces = texts.select(id_col, F.posexplode(F.split(F.col(text_col), TOKEN, -1)).alias("n", "between"))
-    tokens = tokens_in(texts.select(id_col, text_col), text_col).join(old_to_new, F.col("token") == F.col("old"), "left").select(F.col(id_col).alias("i__"), F.col("n").alias("n__"), F.coalesce("new", "token").alias("t"))
-    met = pieces.join(tokens, (pieces[id_col] == F.col("i__")) & (pieces["n"] == F.col("n__")), "left")
-    both = F.array_sort(F.collect_list(F.struct("n", F.concat("between", F.coalesce("t", F.lit(""))).alias("s"))))
+    like = F.regexp_extract_all(F.col(text_col), F.lit(LIKE_A_TOKEN), F.lit(0))
+    pieces = texts.select(id_col, F.posexplode(F.zip_with(F.split(F.col(text_col), LIKE_A_TOKEN, -1), like, lambda p, t: F.struct(p.alias("between"), F.coalesce(t, F.lit("")).alias("token")))).alias("n", "p"))
+    met = pieces.select(id_col, "n", "p.*").join(old_to_new.where(F.col("old").rlike(f"^{TOKEN}$")), F.col("token") == F.col("old"), "left")
+    both = F.array_sort(F.collect_list(F.struct("n", F.concat("between", F.coalesce("new", "token")).alias("s"))))
     return met.groupBy(id_col).agg(F.array_join(F.transform(both, lambda x: x["s"]), "").alias(text_col))
 
 
+_KIND_OF = {word: kind for kind, word in KINDS.items()}
+#: Values that a session knows at most where a question is protected; more have to be split by session.
+MOST_STORED = 200_000
+
+
 def protect_lines(lines: DataFrame, stores: DataFrame, known, secret: str, text_col: str = "text") -> DataFrame:
-    """A question's text: tokens it carries stay, the rest is scanned, and suggestions are protected too."""
+    """A question's text: tokens it carries stay, values that the session already has (stores: token, value) take their tokens,
+    of those that begin together the longest; the rest is scanned, and suggestions are protected too.
+
+    The store is one session's, of bounded size: it is refused beyond MOST_STORED values, never cut.
+    """
     from .scan import scan
 
-    return protect(scan(lines, known, text_col), secret, text_col, suggestions=True)
+    rows = stores.where(F.trim("value") != "").select("token", "value").distinct().orderBy("value", "token").limit(MOST_STORED + 1).collect()
+    if len(rows) > MOST_STORED:
+        raise ValueError(f"over {MOST_STORED} values in the store; take one session's")
+    tokens = {nfc(r["value"]): r["token"] for r in reversed(rows)}
+    session = lines.sparkSession.sparkContext.broadcast((Known([Hint(v, "Custom", "Always", 0) for v in tokens]), tokens))
+    scanned = scan(lines, known, text_col)
+    schema = T._parse_datatype_string(f"known__ {PROTECTION}")
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("token", pa.string())]))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        index, names = session.value
+        out = []
+        for text in b.column(text_col).to_pylist():
+            held, taken, end = token_spans(text or ""), [], 0
+            for a, z, spelling in sorted(index.places(text or ""), key=lambda p: (p[0], -p[1])):
+                if a >= end and not any(a < y and x < z for x, y in held):
+                    taken.append({"start": a, "end": z, "kind": _KIND_OF.get(names[spelling].split("_")[4], "Custom"), "value": text[a:z], "token": names[spelling]})
+                    end = z
+            out.append(taken)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], names=[*b.schema.names, "known__"])
+
+    met = by_batch(scanned, run, T.StructType([*scanned.schema.fields, *schema.fields]))
+    free = F.filter("findings", lambda f: ~F.exists("known__", lambda k: (f["start"] < k["end"]) & (k["start"] < f["end"])))
+    return protect(met.withColumn("findings", free), secret, text_col, suggestions=True, already="known__").drop("known__")
 
 
 def find_in_document(scanned: DataFrame, needle: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -73,6 +73,11 @@ def name_candidates(docs: DataFrame, known: Knowledge, id_col: str = "doc_id", t
 
 
 def chat_so_far(turns: DataFrame) -> DataFrame:
-    """conv_id, request, answer of the last turn that has both roles, and how many turns stand before."""
+    """conv_id, request, answer of the last turn that has both roles, and how many turns there are; where turns carry `allowed`
+    (tokens), also all of them that any turn of the conversation allows, in order."""
     last = lambda role: F.max_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
-    return turns.groupBy("conv_id").agg(last("user").alias("request"), last("assistant").alias("answer"), F.count("*").alias("turns"))
+    out = turns.groupBy("conv_id").agg(last("user").alias("request"), last("assistant").alias("answer"), F.count("*").alias("turns"))
+    if "allowed" not in turns.columns:
+        return out
+    tokens = turns.select("conv_id", F.explode("allowed").alias("t")).distinct().groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("allowed"))
+    return out.join(tokens, "conv_id", "left").withColumn("allowed", F.coalesce("allowed", F.array().cast("array<string>")))

@@ -45,11 +45,11 @@ def hints(entities: DataFrame, values: DataFrame, aliases: DataFrame, lists: Dat
     """spelling, kind, policy, entity_id of all that a scan should know, longest first.
 
     A list never registered counts as enabled. Blocks are Always, share one entity (-1), give way to a value of the same
-    spelling, and skip those exempted for this conversation or profile.
+    spelling, and skip those exempted everywhere, or for this conversation or profile.
     """
     live = values.where(F.col("policy") != "Manual").join(entities.where(in_scope(profile)).select("entity_id"), "entity_id").join(lists.select(F.col("name").alias("list"), "enabled"), "list", "left").where(F.coalesce("enabled", F.lit(True)))
     known = live.join(spellings(values, aliases), "value_id").select(nfc("spelling").alias("spelling"), "kind", "policy", "entity_id")
-    free = blocks.join(exemptions.where(((F.col("reach") == "conversation") & (F.col("ref") == F.lit(conversation))) | ((F.col("reach") == "profile") & (F.col("ref") == F.lit(profile)))), "block_id", "left_anti")
+    free = blocks.join(exemptions.where((F.col("reach") == "everywhere") | ((F.col("reach") == "conversation") & (F.col("ref") == F.lit(conversation))) | ((F.col("reach") == "profile") & (F.col("ref") == F.lit(profile)))), "block_id", "left_anti")
     more = free.select(nfc("value").alias("spelling"), "kind", F.lit("Always").alias("policy"), F.lit(-1).alias("entity_id")).join(known.select("spelling"), "spelling", "left_anti")
     return known.unionByName(more).distinct().orderBy(F.desc(F.octet_length("spelling")), "spelling", "entity_id")
 
@@ -115,30 +115,80 @@ def list_sizes(lists: DataFrame, names: DataFrame, values: DataFrame) -> DataFra
     return met.select("list", F.coalesce("enabled", F.lit(True)).alias("enabled"), (F.coalesce("taught", z) + F.coalesce("named", z)).alias("names"), F.coalesce("other", z).alias("values")).orderBy("list")
 
 
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Adds 1, 2, … in the order of a string column: a number inside rows of equal first letters plus the rows before them,
+    so no task sees all rows."""
+    led = rows.withColumn("lead__", F.substring(by, 1, 3))
+    sizes = led.groupBy("lead__").agg(F.count("*").alias("n__"))  # a row for each beginning of three letters
+    above = sizes.select("lead__", (F.sum("n__").over(Window.orderBy("lead__")) - F.col("n__")).alias("above__"))
+    inside = F.row_number().over(Window.partitionBy("lead__").orderBy(by))
+    return led.withColumn("inside__", inside).join(above, "lead__").withColumn(name, (F.col("above__") + F.col("inside__")).cast("int")).drop("lead__", "inside__", "above__")
+
+
 def upsert_blocks(blocks: DataFrame, new: DataFrame) -> DataFrame:
-    """new: kind, value, token. The same value gets the token appended and the newer kind; blank values and tokens are ignored."""
+    """new: kind, value, token, act (when it came: the number orders the rows). The same value gets the token appended and the
+    kind of its latest row; blank values and tokens are ignored. New blocks are numbered in the order of their values."""
     good = new.where((F.trim("value") != "") & (F.trim("token") != "")).withColumn("v", nfc("value"))
-    by_value = good.groupBy("v").agg(F.max("kind").alias("kind_n"), F.min("value").alias("value_n"), F.array_sort(F.collect_set("token")).alias("tokens_n"))
-    top = F.coalesce(F.max("block_id").over(Window.partitionBy(F.lit(1))), F.lit(0))
-    met = blocks.withColumn("v", nfc("value")).join(by_value, "v", "full").withColumn("top", top)
-    fresh = F.row_number().over(Window.partitionBy(F.col("block_id").isNull()).orderBy("v"))
-    return met.select(F.coalesce("block_id", F.col("top") + fresh).alias("block_id"), F.coalesce("kind_n", "kind").alias("kind"), F.coalesce("value", "value_n").alias("value"), F.array_distinct(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.coalesce("tokens_n", F.array().cast("array<string>")))).alias("tokens"))
+    none = F.array().cast("array<string>")
+    by_value = good.groupBy("v").agg(F.max_by("kind", "act").alias("kind_n"), F.min_by("value", "act").alias("value_n"), F.array_sort(F.collect_set("token")).alias("tokens_n"))
+    old = blocks.withColumn("v", nfc("value")).join(by_value, "v", "left").select("block_id", F.coalesce("kind_n", "kind").alias("kind"), "value", F.array_distinct(F.concat(F.coalesce("tokens", none), F.coalesce("tokens_n", none))).alias("tokens"))
+    fresh = numbered(by_value.join(blocks.select(nfc("value").alias("v")), "v", "left_anti"), "v", "place")
+    top = blocks.agg(F.coalesce(F.max("block_id"), F.lit(0)).alias("top"))
+    return old.unionByName(fresh.crossJoin(F.broadcast(top)).select((F.col("top") + F.col("place")).cast("int").alias("block_id"), F.col("kind_n").alias("kind"), F.col("value_n").alias("value"), F.col("tokens_n").alias("tokens")))  # top is one row
+
+
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def teach_names(names: DataFrame, new: DataFrame) -> DataFrame:
-    """Adds names not there yet (letters in any case, same type and profile); null never equals a profile but null."""
-    key = lambda d: d.withColumn("k", F.concat_ws("\x00", "lang", F.lower(F.trim("name")), "type", F.coalesce("profile_id", F.lit("\x01"))))
-    fresh = key(new.where(F.trim("name") != "")).dropDuplicates(["k"]).join(key(names).select("k"), "k", "left_anti")
-    return names.unionByName(fresh.drop("k"))
+    """Adds names not there yet (A to Z in any case, same type and profile); of new ones that are alike the least in code
+    points; null never equals a profile but null."""
+    key = lambda d: d.withColumn("k", F.concat_ws("\x00", "lang", F.translate(F.trim(nfc("name")), _CAPITALS, _SMALL), "type", F.coalesce("profile_id", F.lit("\x01"))))
+    fresh = key(new.where(F.trim("name") != "")).join(key(names).select("k"), "k", "left_anti")
+    columns = [c for c in names.columns if c in new.columns]
+    one = fresh.groupBy("k").agg(F.min_by(F.struct(*columns), "name").alias("row")).select("row.*")
+    return names.unionByName(one, allowMissingColumns=True)
+
+
+def user_names(names: DataFrame, values: DataFrame, new: DataFrame, custom_entity: int) -> tuple[DataFrame, DataFrame]:
+    """A person's own names (lang, name, type, always, profile_id, list) -> names and values after them.
+
+    Given and family names are taught, and become Always values only where `always`; persons and companies become values, Always
+    or else Suggest. Values that a spelling matches already aren't added again.
+    """
+    single = F.col("type").isin("given", "family")
+    taught = teach_names(names, new.where(single).select("lang", "name", "type", "profile_id", "list"))
+    wanted = new.where(~single | F.col("always")).withColumn("s", nfc("name")).where(F.trim("name") != "")
+    missing = wanted.join(values.select(nfc("value").alias("s")).distinct(), "s", "left_anti")
+    one = missing.groupBy("s").agg(F.min("name").alias("value"), F.max("always").alias("always"), F.min(F.when(F.col("type") == "company", "Company").otherwise("Person")).alias("kind"), F.min("list").alias("list"))
+    return taught, values.unionByName(_added(values, one, custom_entity, F.when(F.col("always"), "Always").otherwise("Suggest"), F.col("list")))
+
+
+def _added(values: DataFrame, fresh: DataFrame, entity: int, policy: Column, list_: Column) -> DataFrame:
+    top = values.agg(F.coalesce(F.max("value_id"), F.lit(0)).alias("top"))
+    met = numbered(fresh, "s", "place").crossJoin(F.broadcast(top))  # top is one row
+    return met.select((F.col("top") + F.col("place")).cast("int").alias("value_id"), F.lit(entity).alias("entity_id"), "kind", "value", policy.alias("policy"), F.lit(0).cast("long").alias("learned_at"), list_.cast("string").alias("list"))
 
 
 def learn_values(values: DataFrame, aliases: DataFrame, new: DataFrame, custom_entity: int) -> DataFrame:
-    """Values answered with Always: those no spelling matches yet go to the catch-all entity."""
+    """Values answered with Always (kind, value): those no spelling matches yet go to the catch-all entity; of rows that are
+    one value the least kind and writing stay."""
     known = spellings(values, aliases).select(nfc("spelling").alias("s")).distinct()
-    fresh = new.withColumn("s", nfc("value")).dropDuplicates(["s"]).join(known, "s", "left_anti")
-    top = values.agg(F.coalesce(F.max("value_id"), F.lit(0)).alias("top"))
-    numbered = fresh.crossJoin(F.broadcast(top)).withColumn("value_id", (F.col("top") + F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("s"))).cast("int"))  # top is one row
-    return values.unionByName(numbered.select("value_id", F.lit(custom_entity).alias("entity_id"), "kind", "value", F.lit("Always").alias("policy"), F.lit(0).cast("long").alias("learned_at"), F.lit(None).cast("string").alias("list")))
+    fresh = new.withColumn("s", nfc("value")).groupBy("s").agg(F.min_by("kind", F.struct("kind", "value")).alias("kind"), F.min("value").alias("value")).join(known, "s", "left_anti")
+    return values.unionByName(_added(values, fresh, custom_entity, F.lit("Always"), F.lit(None)))
+
+
+def answered(findings: DataFrame, decisions: DataFrame, values: DataFrame, aliases: DataFrame, exceptions: DataFrame, custom_entity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A person's answers (doc_id, kind, value, answer, act) -> findings, values and exceptions after them.
+
+    Always learns the value besides protecting it; NotSensitive makes it an exception (kind, value, for all profiles), which is
+    never found again.
+    """
+    learnt = learn_values(values, aliases, decisions.where("answer = 'Always'").select("kind", "value"), custom_entity)
+    said = decisions.where("answer = 'NotSensitive'").select("kind", nfc("value").alias("value")).distinct().join(exceptions.where("profile_id IS NULL").select("kind", nfc("value").alias("value")), ["kind", "value"], "left_anti")
+    top = exceptions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    more = numbered(said.withColumn("by__", F.concat_ws("\x00", "value", "kind")), "by__", "place").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("place")).cast("int").alias("id"), "kind", "value", F.lit(None).cast("string").alias("profile_id"))  # top is one row
+    return decide(findings, decisions), learnt, exceptions.unionByName(more)
 
 
 def decide(findings: DataFrame, decisions: DataFrame, keys: tuple[str, ...] = ("doc_id", "kind", "value")) -> DataFrame:

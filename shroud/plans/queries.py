@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X, validators as V
 from ..operators import general, marks, names, protect, report, scan, vault
-from ..operators.kernel import PACKS
 from ..operators.lexicon import LABELS
 from ..operators.spans import matches, splice
 from ..sources import readers, sinks
-from .kinds import KINDS, kinds
-from .languages import LANGUAGES, languages
+from . import rule_cases
+from .kinds import kinds
+from .languages import languages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,6 +162,12 @@ _checked("is_a_national_insurance_number", *_both("substring('ABCDEFGH', CAST(o_
 _checked("tax_id_ok", *_both("lpad(CAST((o_orderkey * 7919000003 + 11) % 100000000000 AS {s}), 11, '0')"), "v[1] <> '0' AND len(list_filter(range(0, 10), lambda d: (10 - length(replace(v[1:10], CAST(d AS VARCHAR), ''))) IN (2, 3))) = 1 AND len(list_filter(range(0, 10), lambda d: (10 - length(replace(v[1:10], CAST(d AS VARCHAR), ''))) > 3)) = 0 AND len(list_filter(range(0, 10), lambda d: length(replace(v[1:10], CAST(d AS VARCHAR), '')) = 10)) > 0 AND (11 - list_reduce(list_prepend(10::BIGINT, list_transform(range(1, 11), lambda i: CAST(v[i] AS BIGINT))), lambda a, x: ((CASE WHEN (a + x) % 10 = 0 THEN 10 ELSE (a + x) % 10 END) * 2) % 11)) % 10 = CAST(v[11] AS BIGINT)")
 _checked("social_insurance_ok", *_both("lpad(CAST(o_orderkey % 90 AS {s}), 2, '0') || lpad(CAST(o_orderkey % 31 + 1 AS {s}), 2, '0') || lpad(CAST(o_orderkey % 12 + 1 AS {s}), 2, '0') || lpad(CAST(o_orderkey % 100 AS {s}), 2, '0') || substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(o_orderkey % 26 AS INT) + 1, 1) || lpad(CAST((o_orderkey * 7) % 1000 AS {s}), 3, '0')"), "CAST(v[5:6] AS INTEGER) BETWEEN 1 AND 12 AND CAST(v[3:4] AS INTEGER) BETWEEN 1 AND (CASE WHEN CAST(v[5:6] AS INTEGER) = 2 THEN 29 WHEN CAST(v[5:6] AS INTEGER) IN (4, 6, 9, 11) THEN 30 ELSE 31 END) AND list_sum(list_transform(range(1, 13), lambda i: (CAST((v[1:8] || lpad(CAST(ascii(v[9]) - 64 AS VARCHAR), 2, '0') || v[10:11])[i] AS INTEGER) * ([2, 1, 2, 5, 7, 1, 2, 1, 2, 1, 2, 1])[i]) // 10 + (CAST((v[1:8] || lpad(CAST(ascii(v[9]) - 64 AS VARCHAR), 2, '0') || v[10:11])[i] AS INTEGER) * ([2, 1, 2, 5, 7, 1, 2, 1, 2, 1, 2, 1])[i]) % 10)) % 10 = CAST(v[12] AS INTEGER)")
 
+_checked("siret_ok", *_both("lpad(CAST((o_orderkey * 7919 + 31) % 1000000000 AS {s}), 9, '0') || lpad(CAST(o_orderkey % 100000 AS {s}), 5, '0')"), _LUHN_SQL.format(v="v") + " OR (v[1:9] = '356000000' AND list_sum(list_transform(range(1, 15), lambda i: CAST(v[i] AS INTEGER))) % 5 = 0)")
+_checked("cif_ok", *_both("substring('ABCDEFGHJNPQRSUVW', CAST(o_orderkey % 17 AS INT) + 1, 1) || lpad(CAST((o_orderkey * 7919) % 10000000 AS {s}), 7, '0') || substring('0123456789ABCDEFGHIJ', CAST((o_orderkey * 7) % 20 AS INT) + 1, 1)"), "CASE WHEN v[1] IN ('K', 'P', 'Q', 'R', 'S', 'N', 'W') THEN v[9] = substring('JABCDEFGHI', CAST(" + (_CIF := "(10 - list_sum(list_transform(range(1, 8), lambda i: CASE WHEN i % 2 = 1 THEN (2 * CAST(v[i + 1] AS INTEGER)) // 10 + (2 * CAST(v[i + 1] AS INTEGER)) % 10 ELSE CAST(v[i + 1] AS INTEGER) END)) % 10) % 10") + " AS INTEGER) + 1, 1) WHEN v[1] IN ('A', 'B', 'E', 'H') THEN v[9] = CAST(" + _CIF + " AS VARCHAR) ELSE v[9] = CAST(" + _CIF + " AS VARCHAR) OR v[9] = substring('JABCDEFGHI', CAST(" + _CIF + " AS INTEGER) + 1, 1) END")
+_checked("is_an_inward_postcode", *_both("CAST(o_orderkey % 10 AS {s}) || substring('ABCDEFGH', CAST(o_orderkey % 8 AS INT) + 1, CAST(o_orderkey % 3 AS INT) + 1)"), "regexp_full_match(v, '[0-9][A-Z]{2}')")
+_checked("is_a_group", *_both("CASE WHEN o_orderkey % 3 = 0 THEN 'AB' || CAST(o_orderkey AS {s}) WHEN o_orderkey % 3 = 1 THEN 'Ab' ELSE 'AB C' END"), "regexp_full_match(v, '[A-Za-z0-9]+') AND (regexp_matches(v, '[0-9]') OR NOT regexp_matches(v, '[a-z]'))")
+_checked("looks_like_a_date", *_both("CAST(o_orderkey % 40 AS {s}) || '.' || CAST(o_orderkey % 15 AS {s}) || '.' || CAST(o_orderkey % 3000 AS {s})"), "regexp_full_match(v, '[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}') AND CAST(split_part(v, '.', 2) AS INTEGER) BETWEEN 1 AND 12 AND CAST(split_part(v, '.', 1) AS INTEGER) BETWEEN 1 AND (CASE WHEN CAST(split_part(v, '.', 2) AS INTEGER) = 2 THEN 29 WHEN CAST(split_part(v, '.', 2) AS INTEGER) IN (4, 6, 9, 11) THEN 30 ELSE 31 END)")
+
 
 # -- text primitives ---------------------------------------------------------------------------------------------------------
 
@@ -292,9 +299,14 @@ def protect_round_trip(spark, sf_dir):
     return back.select("doc_id", "restored", F.size("tokens").alias("tokens"), F.size("unresolved").alias("unresolved"))
 
 
-@query(_FOUND_SQL + "SELECT doc_id, md5(value) AS secret, FALSE AS leak FROM f")
+@query(_FOUND_SQL + "SELECT doc_id, md5(value) AS secret, CAST(CASE WHEN kind = 'Person' AND doc_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS \"left\", 0::BIGINT AS allowed, kind = 'Person' AND doc_id % 5 = 0 AS leak FROM f WHERE kind <> 'CustomerNo'")
 def protect_audit(spark, sf_dir):
-    return protect.audit(protect.protect(_scanned(spark, sf_dir), SECRET)).select("doc_id", "secret", "leak")
+    """The audit of letters of which a fifth let a name slip out after their tokens."""
+    made = protect.protect(_scanned(spark, sf_dir), SECRET)
+    person = F.element_at(F.filter("protections", lambda p: p["kind"] == "Person"), 1)["value"]
+    leaky = made.withColumn("protected", F.when(F.col("doc_id") % 5 == 0, F.concat("protected", F.lit(" by "), person)).otherwise(F.col("protected")))
+    number = F.md5(F.col("doc_id").cast("string"))  # customer numbers also stand inside other values, so their counts are no constants
+    return protect.audit(leaky).where(F.col("secret") != number).select("doc_id", "secret", "left", "allowed", "leak")
 
 
 @query("SELECT count(*) AS documents, 0::BIGINT AS collisions FROM customer")
@@ -305,10 +317,26 @@ def protect_take_out(spark, sf_dir):
     return out.crossJoin(protect.collisions(made).agg(F.count("*").alias("collisions")))  # one row each
 
 
-@query(_FOUND_SQL + "SELECT doc_id, length(text)::INTEGER AS n, strpos(text, 'Request')::INTEGER AS none, 4 AS allowed FROM t")
+_SENT = "concat('Customer number: [CUSTOMER]', {n}, 'E-mail: [EMAIL]', {n}, 'Phone: [PHONE]', {n}, 'We met Mr [PERSON] there.', {n}, {n}, '--- Request ---', {n}, 'Summarise this.')"
+
+
+@query(_FOUND_SQL + f"SELECT doc_id, md5({_SENT.format(n='chr(10)')}) AS sent, 'CUSTOMER,EMAIL,PERSON,PHONE' AS kinds, 4 AS allowed, 4 AS carried FROM t")
 def protect_payload(spark, sf_dir):
+    """What leaves, each token as its kind; and how many of the allowed tokens it carries."""
     sent = protect.payload(protect.protect(_scanned(spark, sf_dir), SECRET), F.lit("Summarise this."))
-    return sent.select("doc_id", F.length("text").alias("n"), F.instr("text", "Request").alias("none"), F.size("allowed").alias("allowed"))
+    kinds_only = F.regexp_replace("payload", "__Z_[A-Za-z0-9]{4}_([A-Z0-9]+)_[A-Za-z0-9]{4,8}__", r"[$1]")
+    carried = F.size(F.filter("allowed", lambda t: F.col("payload").contains(t)))
+    return sent.select("doc_id", F.md5(kinds_only).alias("sent"), F.array_join(F.array_sort(F.map_keys("counts")), ",").alias("kinds"), F.size("allowed").alias("allowed"), carried.alias("carried"))
+
+
+@query(_FOUND_SQL + f"SELECT doc_id, 'Did [PERSON] of __Z_ab12_PHONE_0000000A__ write to __Z_zz99_EMAIL_00000001__ on [PHONE]?' AS said FROM t")
+def protect_questions(spark, sf_dir):
+    """Questions about letters: a value that the session has takes its token, tokens stay, the rest is scanned anew."""
+    made = letters(spark, sf_dir).select("doc_id", F.regexp_extract("text", "We met Mr ([A-Za-z]+) there", 1).alias("name"), F.regexp_extract("text", "Phone: (.+)", 1).alias("phone"))
+    store = spark.createDataFrame([("__Z_zz99_EMAIL_00000001__", "Northern Light"), ("__Z_zz99_EMAIL_00000002__", "Northern")], "token string, value string")
+    asked = made.select("doc_id", F.concat(F.lit("Did Mr "), "name", F.lit(" of __Z_ab12_PHONE_0000000A__ write to NORTHERN light on "), "phone", F.lit("?")).alias("text"))
+    said = F.regexp_replace(F.col("protected"), "__Z_(?!ab12|zz99)[A-Za-z0-9]{4}_([A-Z0-9]+)_[A-Za-z0-9]{4,8}__", r"[$1]")
+    return protect.protect_lines(asked, store, scan.knowledge(("en",)), SECRET).select("doc_id", F.replace(said, F.lit("Mr ["), F.lit("[")).alias("said"))
 
 
 _TOKENS_SQL = """
@@ -398,9 +426,9 @@ def vault_forget_plan(spark, sf_dir):
     return vault.forget_plan(t["entities"], t["values"], t["aliases"], "V5")
 
 
-@query(_VAULT_SQL + "SELECT entity_id, count(*) FILTER (WHERE policy = 'Always') AS always, count(*) FILTER (WHERE policy = 'Suggest') AS suggest, count(*) FILTER (WHERE policy = 'Manual') AS manual FROM v GROUP BY entity_id")
+@query(_VAULT_SQL + "SELECT entity_id, count(*) FILTER (WHERE policy = 'Always') AS always, count(*) FILTER (WHERE policy = 'Suggest') AS suggest, count(*) FILTER (WHERE policy = 'Manual') AS manual, concat_ws(' · ', CASE WHEN count(*) FILTER (WHERE policy = 'Always') > 0 THEN count(*) FILTER (WHERE policy = 'Always') || ' always' END, CASE WHEN count(*) FILTER (WHERE policy = 'Suggest') > 0 THEN count(*) FILTER (WHERE policy = 'Suggest') || ' suggest' END, CASE WHEN count(*) FILTER (WHERE policy = 'Manual') > 0 THEN count(*) FILTER (WHERE policy = 'Manual') || ' manual' END) AS summary FROM v GROUP BY entity_id")
 def vault_policies(spark, sf_dir):
-    return vault.policy_summary(_vault(spark, sf_dir)["values"]).drop("summary")
+    return vault.policy_summary(_vault(spark, sf_dir)["values"])
 
 
 @query(_VAULT_SQL + "SELECT list, list <> 'L1' AS enabled, count(*) FILTER (WHERE kind IN ('Person', 'Company')) AS names, count(*) FILTER (WHERE kind NOT IN ('Person', 'Company')) AS \"values\" FROM v WHERE list IS NOT NULL GROUP BY list")
@@ -415,16 +443,16 @@ def vault_search(spark, sf_dir):
     return vault.search(t["entities"], t["values"], t["aliases"], "V1").select("entity_id", "label")
 
 
-@query("SELECT CAST(n_nationkey AS INTEGER) AS block_id, 'Custom' AS kind, 'B' || n_nationkey AS value, CASE WHEN n_nationkey = 1 THEN 't,u' ELSE 't' END AS tokens FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 3, 'Iban', 'new', 'w'")
+@query("SELECT CAST(n_nationkey AS INTEGER) AS block_id, 'Custom' AS kind, 'B' || n_nationkey AS value, CASE WHEN n_nationkey = 1 THEN 't,u' ELSE 't' END AS tokens FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 3, 'Email', 'later', 'y' UNION ALL SELECT 4, 'Iban', 'new', 'w'")
 def vault_upsert_blocks(spark, sf_dir):
-    new = spark.createDataFrame([("Custom", "B1", "u"), ("Iban", "new", "w"), ("Iban", " ", "x")], "kind string, value string, token string")
+    new = spark.createDataFrame([("Person", "B1", "u", 1), ("Custom", "B1", "u", 2), ("Phone", "new", "w", 3), ("Iban", "new", "w", 4), ("Iban", " ", "x", 5), ("Email", "later", "y", 6)], "kind string, value string, token string, act int")
     return vault.upsert_blocks(_vault(spark, sf_dir)["blocks"], new).select("block_id", "kind", "value", F.array_join("tokens", ",").alias("tokens"))
 
 
-@query("SELECT 'de' AS lang, CAST(n_name AS VARCHAR) AS name, 'given' AS type FROM nation UNION ALL SELECT 'de', 'Zora', 'given'")
+@query("SELECT 'de' AS lang, CAST(n_name AS VARCHAR) AS name, 'given' AS type FROM nation UNION ALL SELECT 'de', x, 'given' FROM (VALUES ('ZORA'), ('émile'), ('Émile')) AS t(x)")
 def vault_teach_names(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.lit("de").alias("lang"), F.col("n_name").alias("name"), F.lit("given").alias("type"), F.lit(None).cast("string").alias("profile_id"), F.lit(None).cast("string").alias("list"))
-    new = n.select("lang", F.lower("name").alias("name"), "type", "profile_id", "list").unionByName(spark.createDataFrame([("de", "Zora", "given", None, None), ("de", "ZORA", "given", None, None)], vault.SCHEMAS["names"]).limit(1))
+    new = n.select("lang", F.lower("name").alias("name"), "type", "profile_id", "list").unionByName(spark.createDataFrame([("de", "Zora", "given", None, None), ("de", "ZORA", "given", None, None), ("de", "Émile", "given", None, None), ("de", "émile", "given", None, None)], "lang string, name string, type string, profile_id string, list string"))
     return vault.teach_names(n, new).select("lang", "name", "type")
 
 
@@ -499,7 +527,9 @@ def read_txt(spark, sf_dir):
     return got.select(F.col("path").cast("long").alias("doc_id"), F.length("text").alias("chars"), "pages", F.aggregate("places", F.lit(1), lambda a, p: F.greatest(a, p["paragraph"])).alias("paragraphs"))
 
 
-@query("SELECT kind, word FROM (VALUES " + ", ".join(f"('{k}', '{w}')" for k, w in KINDS.items()) + ") AS t(kind, word)")
+@query("""SELECT kind, word FROM (VALUES ('Person', 'PERSON'), ('Company', 'COMPANY'), ('Phone', 'PHONE'), ('Email', 'EMAIL'), ('Address', 'ADDRESS'), ('Iban', 'IBAN'), ('Bic', 'BIC'),
+('Account', 'ACCOUNT'), ('CustomerNo', 'CUSTOMER'), ('TaxId', 'TAX'), ('IdCard', 'IDCARD'), ('Vehicle', 'VEHICLE'), ('Birthdate', 'BIRTHDATE'), ('EmployeeNo', 'EMPLOYEE'),
+('SocialInsuranceNo', 'SOCIAL'), ('Contract', 'CONTRACT'), ('Amount', 'AMOUNT'), ('Date', 'DATE'), ('Custom', 'CUSTOM')) AS t(kind, word)""")
 def dimension_kinds(spark, sf_dir):
     return kinds(spark)
 
@@ -554,9 +584,9 @@ def marks_lines(spark, sf_dir):
     return marks.line_selection(scan.findings(_scanned(spark, sf_dir)), marks.cells(letters(spark, sf_dir)), 0, 1)
 
 
-@query(_FOUND_SQL + "SELECT doc_id, kind, kind || ' is protected' AS headline FROM f")
+@query(_FOUND_SQL + "SELECT doc_id, kind, kind || ' is protected' AS headline, CASE kind WHEN 'CustomerNo' THEN 'a rule of the language fits: en-14' WHEN 'Person' THEN 'a rule of the language fits: en:salutation' WHEN 'Email' THEN 'the rule for email fits, and its arithmetic comes out' ELSE 'the rule for phone-intl fits, and its arithmetic comes out' END AS because FROM f")
 def marks_explain(spark, sf_dir):
-    return marks.explain(scan.findings(_scanned(spark, sf_dir))).select("doc_id", "kind", "headline")
+    return marks.explain(scan.findings(_scanned(spark, sf_dir))).select("doc_id", "kind", "headline", "because")
 
 
 @query("SELECT payload_id FROM (SELECT o_orderkey AS payload_id, o_orderkey % 10 = 0 AS answered, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 16 OR answered")
@@ -565,12 +595,13 @@ def marks_newest(spark, sf_dir):
     return marks.newest(o.select(F.col("o_orderkey").alias("payload_id"), (F.col("o_custkey") % 50).alias("session"), F.col("o_orderdate").alias("made"), (F.col("o_orderkey") % 10 == 0).alias("answered"))).select("payload_id")
 
 
-@query("SELECT id, has_rules FROM (VALUES " + ", ".join(f"('{k}', {k in PACKS})" for k in LANGUAGES) + ") AS t(id, has_rules)")
+@query("""SELECT id, id IN ('de', 'en', 'sv', 'ar', 'fr', 'es') AS has_rules FROM (SELECT unnest(string_split(replace('af am ar az be bg bn bs ca cs cy da de el en es et eu fa fi fr ga gl gu he hi hr hu hy id is it
+ja ka kk km kn ko ku ky lo lt lv mk ml mn mr ms my nb ne nl nn pa pl ps pt ro ru si sk sl sq sr sv sw ta te th tl tr uk ur uz vi zh', chr(10), ' '), ' ')) AS id)""")
 def dimension_languages(spark, sf_dir):
     return languages(spark).select("id", "has_rules")
 
 
-@query("SELECT set, count(*) AS n, count(*) FILTER (WHERE decision = 'auto') AS auto FROM (VALUES " + ", ".join(f"('{r.set}', '{r.decision}')" for rows in LABELS.values() for r in rows) + ") AS t(set, decision) GROUP BY set")
+@query("SELECT * FROM (VALUES ('zz', 3::BIGINT, 3::BIGINT), ('de', 45, 39), ('en', 50, 50), ('sv', 20, 18)) AS t(set, n, auto)")
 def dimension_labels(spark, sf_dir):
     rows = [(r.set, r.id, r.label, r.kind, r.validator, r.decision) for rows in LABELS.values() for r in rows]
     t = spark.createDataFrame(rows, "set string, id string, label string, kind string, validator string, decision string")
@@ -606,6 +637,23 @@ def scan_packs(spark, sf_dir):
     return out
 
 
+def _literal(x: object) -> str:
+    return str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
+
+
+_CASES = len(rule_cases.TEXTS)
+
+
+@query(f"SELECT \"case\", rule, kind, state, value, count(*) AS n FROM (VALUES {', '.join('(' + ', '.join(map(_literal, row)) + ')' for row in rule_cases.FINDINGS)}) AS f(\"case\", rule, kind, state, value) JOIN customer ON c_custkey % {_CASES} = \"case\" GROUP BY ALL")
+def scan_rules(spark, sf_dir):
+    """Each rule for names, companies, tables, phones and addresses on a line of its own; the findings are written out beside them."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % _CASES).cast("int").alias("case"))
+    made = spark.createDataFrame([(k, pack, text) for k, (pack, text) in enumerate(rule_cases.TEXTS)], "case int, pack string, text string")
+    docs = c.join(F.broadcast(made), "case")  # some twenty lines
+    parts = [scan.findings(scan.scan(docs.where(F.col("pack") == p), scan.knowledge((p,)))) for p in dict.fromkeys(p for p, _ in rule_cases.TEXTS)]
+    return reduce(DataFrame.unionByName, parts).groupBy("case", "rule", "kind", "state", "value").agg(F.count("*").alias("n"))
+
+
 _WORD = "'Q' || translate(CAST(c_custkey % 300 AS {s}), '0123456789', 'abcdefghij') || 'ill'"
 
 
