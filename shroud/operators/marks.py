@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .spans import matches
+
 
 def overlay(protections: DataFrame, acts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Protections after a person's acts: act (its number), op (protect, unprotect or undo), start, end, kind; undo names the
@@ -20,11 +22,9 @@ def overlay(protections: DataFrame, acts: DataFrame, id_col: str = "doc_id") ->
 
 def cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a cell: line, cell, start, end, value. A tab or two spaces part the cells of a line."""
-    lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("line", "l"), text_col)
-    at = F.length(F.array_join(F.slice(F.split(text_col, "\n", -1), F.lit(1), F.col("line")), "\n")) + F.when(F.col("line") > 0, 1).otherwise(0)
-    from .spans import matches
-
-    each = lines.withColumn("at", at).select(id_col, "line", "at", F.posexplode(matches(F.col("l"), "[^\t ]+(?: [^\t ]+)*")).alias("cell", "m"))
+    starts = F.concat(F.array(F.lit(0)), F.transform(matches(F.col(text_col), "\n"), lambda m: m["end"]))
+    lines = docs.select(id_col, F.posexplode(F.arrays_zip(starts.alias("at"), F.split(text_col, "\n", -1).alias("l"))).alias("line", "x")).select(id_col, "line", "x.at", "x.l")
+    each = lines.select(id_col, "line", "at", F.posexplode(matches(F.col("l"), "[^\t ]+(?: [^\t ]+)*")).alias("cell", "m"))
     return each.select(id_col, "line", "cell", (F.col("at") + F.col("m.start")).alias("start"), (F.col("at") + F.col("m.end")).alias("end"), F.col("m.value").alias("value"))
 
 

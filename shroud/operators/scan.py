@@ -54,11 +54,13 @@ def scan(docs: DataFrame, known: Knowledge | None = None, text_col: str = "text"
 
 def findings(scanned: DataFrame, text_col: str = "text", col: str = "findings") -> DataFrame:
     """A row a finding: start, end, kind, state, source, rule, value, and how often the same stands in the document."""
-    f = F.explode(F.transform(col, lambda x: x.withField("value", F.substr(F.col(text_col), x["start"] + 1, x["end"] - x["start"]))))
+    valued = F.transform(col, lambda x: x.withField("value", F.substr(F.col(text_col), x["start"] + 1, x["end"] - x["start"])))
     rest = [c for c in scanned.columns if c not in (col, text_col, "plain_words", "start", "end", "kind", "state", "source", "rule", "value", "occurrences")]
-    same = F.size(F.filter(F.col(col), lambda x: (x["kind"] == F.col("f.kind")) & (x["confidence"] == F.col("f.confidence")) & (F.substr(F.col(text_col), x["start"] + 1, x["end"] - x["start"]) == F.col("f.value"))))
+    key = lambda x: F.struct(x["kind"], x["confidence"], x["value"])
+    met = scanned.withColumn("v__", valued).withColumn("k__", F.transform("v__", key))
+    counted = F.explode(F.transform("v__", lambda x: x.withField("same", F.size(F.filter("k__", lambda k: k == key(x))))))
     state = F.when(F.col("f.confidence") == "auto", "Protected").otherwise("Suggested")
-    return scanned.withColumn("f", f).select(*rest, F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.kind").alias("kind"), state.alias("state"), F.col("f.source").alias("source"), F.col("f.rule").alias("rule"), F.col("f.value").alias("value"), same.cast("long").alias("occurrences"))
+    return met.select(*rest, counted.alias("f")).select(*rest, F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.kind").alias("kind"), state.alias("state"), F.col("f.source").alias("source"), F.col("f.rule").alias("rule"), F.col("f.value").alias("value"), F.col("f.same").cast("long").alias("occurrences"))
 
 
 def register(spark: SparkSession, known: Knowledge | None = None) -> None:

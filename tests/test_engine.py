@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shroud.functions import text as X, validators as V
 from shroud.operators import general, names, protect, report, scan, vault
 from shroud.operators.kernel import Hint, Hit, occurrences, settle, token_spans
-from shroud.operators.spans import utf16
+from shroud.operators.spans import matches as spans_of, utf16
 from shroud.plans import queries
 from shroud.sources import readers, sinks
 from shroud.streaming import scan as streaming
@@ -251,3 +251,105 @@ def test_sql_function(spark):
 def test_queries_have_names_and_sql(spark):
     assert set(queries.SQL) <= set(queries.QUERIES) and len(queries.QUERIES) > 60
     json.dumps(queries.SQL)
+
+
+# -- laws and tables that a second look asked for
+
+
+def test_one_law_for_tokens(spark):
+    good = "__Z_ab12_PERSON_1A2B3C4D__"
+    texts = [(1, f"{good} and {good}"), (2, f"__Z_x {good}"), (3, f"__Z_x__ {good}"), (4, None), (5, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    seen = sorted((r["doc_id"], r["n"]) for r in protect.tokens_in(docs).collect())
+    assert seen == sorted((i, n) for i, t in texts for n in range(len(token_spans(t or "")))) == [(1, 0), (1, 1), (3, 0)]
+    named = spark.createDataFrame([(good, "NEW")], "old string, new string")
+    assert {r["doc_id"]: r["text"] for r in protect.rename_all(docs, named).collect()} == {1: "NEW and NEW", 2: f"__Z_x {good}", 3: "__Z_x__ NEW", 5: ""}
+    assert docs.where("doc_id = 2").select(protect.without_tokens(F.col("text"))).first()[0] == f"__Z_x {good}"
+
+
+def test_questions_take_a_session_s_tokens(spark):
+    store = spark.createDataFrame([("__Z_ab12_PERSON_00000001__", "Anna Krüger"), ("__Z_ab12_PERSON_00000002__", "Anna")], "token string, value string")
+    lines = spark.createDataFrame([(1, "anna  krüger, Anna und Frau Weber"), (2, "__Z_ab12_PERSON_00000009__ Anna"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["protected"] for r in protect.protect_lines(lines, store, scan.knowledge(("de",)), "s").collect()}
+    assert got[1].startswith("__Z_ab12_PERSON_00000001__, __Z_ab12_PERSON_00000002__ und Frau __Z_") and "Weber" not in got[1]
+    assert got[2] == "__Z_ab12_PERSON_00000009__ __Z_ab12_PERSON_00000002__" and got[3] is None
+
+
+def test_payload_counts_and_pages(spark):
+    d = protect.protect(scan.scan(spark.createDataFrame([(1, "Frau Krüger 😀\fmail a@b.de\fEnde")], "doc_id long, text string"), scan.knowledge(("de",))), "s")
+    row = protect.payload(d, F.lit("?")).first()
+    units = row["payload"].encode("utf-16-le")
+    assert row["counts"] == {"PERSON": 1, "EMAIL": 1} and len(row["pages"]) == 2
+    assert [units[2 * p :].decode("utf-16-le")[:4] for p in row["pages"]] == ["mail", "Ende"]
+
+
+def test_fifty_thousand_spellings_are_looked_up():
+    import time
+
+    from shroud.operators.known import Known
+
+    hints = [Hint(f"Name{k:05d} Stamm{k % 977:03d}", "Person", "Always", k) for k in range(50_000)]
+    known = Known(hints)
+    text = " ".join(f"Name{k:05d}  stamm{k % 977:03d} und so weiter" for k in range(0, 50_000, 1500))
+    began = time.time()
+    found = list(known.hits(text))
+    assert len(found) == 34 and time.time() - began < 0.5  # 50 ms on a quiet machine
+    began = time.time()
+    assert not list(known.hits("kein Name steht hier " * 50)) and time.time() - began < 0.05
+
+
+def test_known_values_of_all_scripts_are_found_as_one_by_one():
+    from shroud.operators.known import Known
+
+    spellings = ["Straße", "İzmir", "Kran-Ken", "Krankenhaus", "ليلى", "上海", "+49 30", "--", "O'Neil", "ǅemal", "K"]
+    texts = ["STRASSE straße ſtraße", "izmir İZMİR ızmir", "Kran-\nkenhaus kran‑ken", "وليلى ليلىx", "在上海市", "x+49 30 +49\n30", "a -- b", "o'neil O'NEILL", "ǆemal", "K k kk", "", " "]
+    for text in texts:
+        want = sorted((a, z, s) for s in spellings for a, z in occurrences(text, s))
+        assert sorted(Known([Hint(s, "Custom", "Always", 1) for s in spellings]).places(text)) == want, text
+
+
+def test_matches_keep_their_places_over_many_folds(spark):
+    text = "ab1c22é333 " * 300
+    got = spark.createDataFrame([(text,)], "t string").select(spans_of(F.col("t"), "[0-9]+")).first()[0]
+    import re
+
+    assert [(r["start"], r["end"], r["value"]) for r in got] == [(*m.span(), m[0]) for m in re.finditer("[0-9]+", text)]
+
+
+def test_blocks_exempted_everywhere(spark):
+    t = {k: spark.createDataFrame([], vault.SCHEMAS[k]) for k in ("entities", "values", "aliases", "lists")}
+    blocks = spark.createDataFrame([(1, "Custom", "one", ["t"]), (2, "Custom", "two", ["t"]), (3, "Custom", "three", ["t"])], vault.SCHEMAS["blocks"])
+    off = spark.createDataFrame([(1, "everywhere", None), (2, "profile", "p")], vault.SCHEMAS["block_exemptions"])
+    see = lambda p: {r["spelling"] for r in vault.hints(*t.values(), blocks, off, profile=p).collect()}
+    assert see(None) == {"two", "three"} and see("p") == {"three"}
+
+
+def test_answers_learn_and_forget(spark):
+    values = spark.createDataFrame([(7, 1, "Person", "Anna", "Always", 0, None)], vault.SCHEMAS["values"])
+    none = {k: spark.createDataFrame([], vault.SCHEMAS[k]) for k in ("aliases", "exceptions")}
+    found = spark.createDataFrame([(1, "Person", "Bea", "Suggested"), (1, "Person", "Cem", "Suggested"), (1, "Person", "Anna", "Suggested")], "doc_id long, kind string, value string, state string")
+    said = spark.createDataFrame([(1, "Person", "Bea", "Always", 1), (1, "Person", "Cem", "NotSensitive", 2), (1, "Person", "Anna", "Always", 3)], "doc_id long, kind string, value string, answer string, act int")
+    left, learnt, exceptions = vault.answered(found, said, values, none["aliases"], none["exceptions"], 9)
+    assert {(r["value"], r["state"]) for r in left.collect()} == {("Bea", "Protected"), ("Anna", "Protected")}
+    assert {(r["value_id"], r["value"], r["entity_id"]) for r in learnt.collect()} == {(7, "Anna", 1), (8, "Bea", 9)}
+    assert [(r["id"], r["kind"], r["value"], r["profile_id"]) for r in exceptions.collect()] == [(1, "Person", "Cem", None)]
+
+
+def test_user_names_become_names_and_values(spark):
+    names_ = spark.createDataFrame([("de", "ANNA", "given", None, None)], vault.SCHEMAS["names"])
+    values = spark.createDataFrame([], vault.SCHEMAS["values"])
+    new = spark.createDataFrame([("de", "Anna", "given", False, None, "L"), ("de", "Quast", "family", True, None, "L"), ("de", "Ada Quist", "person", True, None, "L"), ("de", "Nord AG", "company", False, None, "L")], "lang string, name string, type string, always boolean, profile_id string, list string")
+    taught, known = vault.user_names(names_, values, new, 5)
+    assert {(r["name"], r["type"]) for r in taught.collect()} == {("ANNA", "given"), ("Quast", "family")}
+    assert {(r["value"], r["kind"], r["policy"], r["list"]) for r in known.collect()} == {("Quast", "Person", "Always", "L"), ("Ada Quist", "Person", "Always", "L"), ("Nord AG", "Company", "Suggest", "L")}
+
+
+def test_all_tokens_of_a_chat_stay_allowed(spark):
+    turns = spark.createDataFrame([(1, 1, "user", "a", ["t2", "t1"]), (1, 2, "assistant", "b", ["t3"]), (2, 1, "user", "c", [])], "conv_id long, turn int, role string, text string, allowed array<string>")
+    assert {r["conv_id"]: r["allowed"] for r in report.chat_so_far(turns).collect()} == {1: ["t1", "t2", "t3"], 2: []}
+
+
+def test_cells_of_a_table_stand_where_they_stand(spark):
+    text = "Personalnummer  Konto\n5512            5512"
+    d = scan.findings(scan.scan(spark.createDataFrame([(1, text)], "id long, text string"), scan.knowledge(("de",))))
+    assert {(r["start"], r["kind"]) for r in d.collect()} == {(22, "EmployeeNo"), (38, "Account")}
