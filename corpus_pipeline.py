@@ -1,4 +1,7 @@
-"""A corpus from raw documents to packed sequences; each stage calls one operator of shroud.llm and works on all that the one before kept."""
+"""A corpus from raw documents to packed sequences; each stage calls one operator of shroud.llm and works on all that the one before kept.
+
+Every stage takes null ids, null, empty and very long texts, repeated rows and empty tables, and passes further columns on.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +17,28 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the upper grade is a half or more; learnt from the labelled ones among docs."""
+    """Documents whose probability of the upper grade is a half or more; learnt from the labelled ones among docs. Null and empty
+    texts are judged by their figures; without labels all stay, ties at a half stay."""
     return quality.keep_good(docs, quality.train(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near duplicates."""
+    """The first document of each class of near duplicates; a row repeated whole is a duplicate too. Texts without words all stay."""
     return ngram_join.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the bytes that repeated strings of 400 bytes or of over 50 words cover."""
+    """Without the bytes that repeated strings of 400 bytes or of over 50 words cover; all rows stay, a null text stays null."""
     return _measured(suffix_dedup.remove_repeats(docs, words=PASSAGE))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind in brackets."""
+    """Personal data replaced by its kind in brackets; all rows stay, a null text stays null."""
     return _measured(pii.redact(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens, with their ids (little-endian, 4 bytes each)."""
+    """Pieces of sequences of 4096 tokens, with their ids (little-endian, 4 bytes each); a null or empty text is its end token alone."""
     return packing.pack(docs, tokenizer_path())
 
 

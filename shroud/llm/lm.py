@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import by_size
-from .shared import arrow, drop_staged, staged
+from .shared import arrow, drop_staged, parts_for, staged
 
 END = b""
 CLASSES = SLOTS = 32
@@ -65,7 +65,7 @@ def counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
 
-    return docs.select("text").transform(arrow, run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select("text").transform(arrow, run, "token binary, n long").repartition(parts_for(docs), "token").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 @dataclass

@@ -3,7 +3,9 @@
 P(grade > k) = sigmoid(w.x - t_k) with one shared weight vector over hashed text features and ordered thresholds t; the
 grades are the distinct ratings in order. Gives the expected grade and the tail probability of reaching `least`.
 Fitted on the driver on at most `max_rows` rated rows (those with the smallest id hashes); scored on executors. Null and
-empty texts are scored by their figures alone. Rows with a null rating or id are left out of the fit.
+empty texts are scored by their figures alone. Rows with a null rating or id are left out of the fit; of several ratings of
+one id the largest counts. Repeated rows are graded as often as they stand there, alike. Without ratings, or with one grade
+alone, every text is expected to have that grade (0 without any). An empty table gives no rows; whole texts are read.
 """
 
 from __future__ import annotations

@@ -71,6 +71,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_for(df: DataFrame, each: int = 32 << 20) -> int:
+    """Partitions for a shuffle in proportion to the input, by the plan's own estimate: a task's share stays the same at any size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(-(-size // each), 200_000))
+
+
 def id_text(col: Column) -> Column:
     """An id as text; a null id counts as the empty text."""
     return F.coalesce(col.cast("string"), F.lit(""))

@@ -2,8 +2,12 @@
 
 A text is the set of its hashed words and word beginnings. score = sigmoid(w0 + sum w + sum over pairs of <v_i, v_j>), so
 a pair of terms (an insult and a group) can weigh what neither does alone. Fitted on the driver on at most `max_rows`
-labelled rows (those with the smallest id hashes), of which terms kept are the `kept` most telling; scored on executors.
-Null and empty texts have no terms and get the prior's score. Label rows with a null label or id are left out.
+labelled rows (those with the smallest id hashes), of which terms kept are the `kept` most telling: those that tell alone,
+and those of the `paired` commonest that tell together with another. Scored on executors; whole texts are read.
+
+Null and empty texts have no terms and get the prior's score. Label rows with a null label or id are left out; of several
+labels of one id the largest counts. Repeated rows are scored as often as they stand there, alike. Without labels every score
+is a half. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,8 +47,32 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, kept: int = 4096, rank: int = 8, rounds: int = 60, seed: int = 7) -> Machine:
-    """rows: distinct buckets of each text. Terms are chosen by the size of their score test, then learnt by AdaGrad."""
+def together(doc: np.ndarray, at: np.ndarray, label: np.ndarray, common: np.ndarray, alone: np.ndarray, least: float = 6.0, times: int = 8) -> np.ndarray:
+    """Of the terms `common`, those in a pair whose texts are labelled more or less often than either term's own texts are.
+
+    alone: the share of labels among each common term's texts. A pair counts from `times` texts on; `least` is high, as some
+    half a million pairs are tested.
+    """
+    place = np.full(int(at.max(initial=0)) + 1, -1)
+    place[common] = np.arange(len(common))
+    own = place[at] if len(at) else at
+    doc, own = doc[own >= 0], own[own >= 0]
+    both, marked = np.zeros((2, len(common), len(common)), np.float32)
+    for lo in range(0, len(label), 2000):  # a few thousand texts at a time bound the memory
+        a, z = np.searchsorted(doc, [lo, lo + 2000])
+        x = np.zeros((min(2000, len(label) - lo), len(common)), np.float32)
+        x[doc[a:z] - lo, own[a:z]] = 1
+        both += x.T @ x
+        marked += (x * label[lo : lo + 2000, None].astype(np.float32)).T @ x
+    np.fill_diagonal(both, 0)
+    rate = np.clip(alone, 0.01, 0.99)
+    off = [np.abs(marked - both * r) / np.sqrt(np.maximum(both * r * (1 - r), 1e-9)) for r in (rate[:, None], rate[None, :])]
+    telling = (np.minimum(*off) >= least) & (both >= times)
+    return common[telling.any(0)]
+
+
+def fit(rows: list[np.ndarray], label: np.ndarray, kept: int = 4096, rank: int = 8, rounds: int = 60, seed: int = 7, paired: int = 1024) -> Machine:
+    """rows: distinct buckets of each text. Terms are chosen by tests, alone and in pairs, then learnt by AdaGrad."""
     n = len(rows)
     doc = np.repeat(np.arange(n), [len(r) for r in rows])
     all_terms, at = np.unique(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), return_inverse=True)
@@ -52,8 +80,13 @@ def fit(rows: list[np.ndarray], label: np.ndarray, kept: int = 4096, rank: int =
     df, pos = np.bincount(at, minlength=len(all_terms)), np.bincount(at, label[doc], len(all_terms))
     z = np.abs(pos - df * prior) / np.sqrt(np.maximum(df * prior * (1 - prior), 1e-9))
     z[df < 4] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[:kept])
+    chosen = np.argsort(-z, kind="stable")[:kept]
     chosen = chosen[z[chosen] > 3.0]
+    common = np.argsort(-df, kind="stable")[:paired]
+    common = np.sort(common[df[common] >= 8])
+    if len(common) > 1:
+        chosen = np.unique(np.r_[chosen[: kept - paired], together(doc, at, label, common, pos[common] / df[common])])
+    chosen = np.sort(chosen)
     place = np.full(len(all_terms), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[at] >= 0
