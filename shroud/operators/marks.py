@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .protect import find_in_document
 from .spans import matches
 
 
@@ -20,6 +21,12 @@ def overlay(protections: DataFrame, acts: DataFrame, id_col: str = "doc_id") ->
     return kept.unionByName(later)
 
 
+def protect_all_matches(scanned: DataFrame, needle: str, kind: str, act: int, id_col: str = "doc_id") -> DataFrame:
+    """Acts (for overlay) that protect every place of a value that isn't protected yet: one act, so one undo takes all back."""
+    found = find_in_document(scanned, needle, id_col=id_col).where("state != 'Protected'")
+    return found.select(F.col("doc_id").alias(id_col), F.lit(act).alias("act"), F.lit("protect").alias("op"), "start", "end", F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("of"))
+
+
 def cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a cell: line, cell, start, end, value. A tab or two spaces part the cells of a line."""
     starts = F.concat(F.array(F.lit(0)), F.transform(matches(F.col(text_col), "\n"), lambda m: m["end"]))

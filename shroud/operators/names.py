@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import without_marks
+
 
 def given_names(registers: DataFrame, least_share: float = 0.20) -> DataFrame:
     """registers: city, name, count, gender (m, w). -> name, count, cities, tier, gender, rank.
@@ -48,10 +50,11 @@ def bank_faults(bank: DataFrame) -> DataFrame:
     return bank.withColumn("fault", bad).where(F.col("fault").isNotNull())
 
 
-def loaded(bank_lines: DataFrame, tiers: tuple[int, ...] = (1,)) -> DataFrame:
-    """From a bank's lines (value): name, type of rows in the loaded tiers; comments and the header are passed."""
+def loaded(bank_lines: DataFrame, tiers: tuple[int, ...] = (1,), marks: bool = True) -> DataFrame:
+    """From a bank's lines (value): name, type of rows in the loaded tiers; comments and the header are passed. Without marks
+    Arabic names lose their vowel marks and lengthening, as words of a text do before they are looked up."""
     cells = F.split("value", ",")
     last = F.element_at(cells, -1)
     rows = bank_lines.where(~F.col("value").startswith("#") & (F.trim("value") != "") & ~F.lower(F.col("value")).startswith("name,"))
     keep = ~F.trim(last).rlike("^[0-9]{1,3}$") | F.trim(last).cast("string").isin(*map(str, tiers))
-    return rows.where((F.size(cells) >= 2) & keep).select(F.lower(F.trim(cells[0])).alias("name"), F.trim(cells[1]).alias("type"))
+    return rows.where((F.size(cells) >= 2) & keep).select((F.lower(F.trim(cells[0])) if marks else without_marks(F.lower(F.trim(cells[0])))).alias("name"), F.trim(cells[1]).alias("type")).distinct()

@@ -34,8 +34,9 @@ class Naming:
         derived = blake2b(label.encode(), key=self._key, digest_size=32).digest()
         return blake2b(data, key=derived, digest_size=32).hexdigest()
 
-    def token(self, kind: str, value: str) -> str:
-        raw = nfc(value).encode()
+    def token(self, kind: str, value: str, again: int = 0) -> str:
+        """again: a further token for a value whose own one another value has taken."""
+        raw = nfc(value).encode() + (b"\x00%d" % again if again else b"")
         return f"__Z_{self.namespace}_{KINDS[kind]}_{self._mac('session/1/value', len(raw).to_bytes(8, 'big') + raw)[:8].upper()}__"
 
 
@@ -101,6 +102,44 @@ def collisions(protected: DataFrame) -> DataFrame:
     return protections(protected).groupBy("token").agg(F.count_distinct("value").alias("values")).where(F.col("values") > 1)
 
 
+def reminted(protected: DataFrame, secret: str, text_col: str = "text", naming: Naming | None = None) -> DataFrame:
+    """protected with a token of its own for every value: where several share one, the least keeps it and the others get further ones.
+
+    Collisions of 32-bit tails are few (about a hundred in a million values); they are refused beyond MOST_STORED, never cut.
+    """
+    shared = collisions(protected).select("token")
+    rows = protections(protected).join(shared, "token", "left_semi").groupBy("token", "value").agg(F.min("kind").alias("kind")).orderBy("token", "value").limit(MOST_STORED + 1).collect()
+    if len(rows) > MOST_STORED:
+        raise ValueError(f"over {MOST_STORED} values share tokens; take one session's")
+    namer, fresh, taken, before = naming or Naming(secret), {}, {r["token"] for r in rows}, None
+    for r in rows:
+        if r["token"] == before:
+            tokens = (namer.token(r["kind"], r["value"], n) for n in range(1, 65))
+            fresh[r["token"], r["value"]] = one = next(t for t in tokens if t not in taken)
+            taken.add(one)
+        before = r["token"]
+    if not fresh:
+        return protected
+    new = protected.sparkSession.sparkContext.broadcast(fresh)
+    kind = protected.select("protections").schema.fields[0].dataType
+    arrow_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("token", pa.string())]))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        spans, texts = [], []
+        for text, places in zip(b.column(text_col).to_pylist(), b.column("protections").to_pylist(), strict=True):
+            places = [p | {"token": new.value.get((p["token"], p["value"]), p["token"])} for p in places or []]
+            at, parts = 0, []
+            for p in places:
+                parts += [text[at : p["start"]], p["token"]]
+                at = p["end"]
+            spans.append(places)
+            texts.append(None if text is None else "".join([*parts, text[at:]]).replace("\f", "\n"))
+        columns = [pa.array(spans, arrow_kind) if n == "protections" else pa.array(texts, pa.string()) if n == "protected" else b.column(n) for n in b.schema.names]
+        return pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+    return by_batch(protected, run, T.StructType([T.StructField(f.name, kind if f.name == "protections" else f.dataType) for f in protected.schema.fields]))
+
+
 def payload(protected: DataFrame, request: Column, out_col: str = "payload", text_col: str = "text") -> DataFrame:
     """Adds the text that may leave: the protected text, then the request; the tokens that its answer may carry; `counts`, how many
     there are of each kind; and `pages`, where pages after the first begin in it, in UTF-16 units."""
@@ -287,6 +326,18 @@ def whole_words(text: str, start: int, end: int) -> tuple[int, int]:
     return a, z
 
 
+def selections(docs: DataFrame, text_col: str = "text", start_col: str = "start", end_col: str = "end") -> DataFrame:
+    """docs with start and end moved to whole words; a null text or offset stays as it is."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(*(b.column(c).to_pylist() for c in (text_col, start_col, end_col)), strict=True)
+        moved = [(a, z) if None in (t, a, z) else whole_words(t, a, z) for t, a, z in rows]
+        new = {start_col: [a for a, _ in moved], end_col: [z for _, z in moved]}
+        return pa.RecordBatch.from_arrays([pa.array(new[n], b.column(n).type) if n in new else b.column(n) for n in b.schema.names], names=b.schema.names)
+
+    return by_batch(docs, run, docs.schema)
+
+
 def words_of(text: str) -> list[tuple[int, int, str]]:
     """Words with marks trimmed off their edges."""
     doc = Reading(text)

@@ -47,3 +47,11 @@ def utf16(text: Column, at: Column) -> Column:
     """A code-point offset as UTF-16 units."""
     before = F.substr(text, F.lit(1), at.cast("int"))
     return F.length(before) + F.regexp_count(before, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def from_utf16(text: Column, units: Column) -> Column:
+    """An offset in UTF-16 units as a code-point offset; null outside the text and between the halves of a character."""
+    wide = F.transform(matches(text, r"[\x{10000}-\x{10FFFF}]"), lambda m, k: m["start"] + k)  # where each begins, in units
+    before = F.size(F.filter(wide, lambda w: w + 2 <= units))
+    split = F.exists(wide, lambda w: w + 1 == units)
+    return F.when((units >= 0) & (units <= F.length(text) + F.size(wide)) & ~split, units - before)

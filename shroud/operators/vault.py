@@ -178,6 +178,14 @@ def learn_values(values: DataFrame, aliases: DataFrame, new: DataFrame, custom_e
     return values.unionByName(_added(values, fresh, custom_entity, F.lit("Always"), F.lit(None)))
 
 
+def add_aliases(values: DataFrame, aliases: DataFrame, new: DataFrame) -> DataFrame:
+    """aliases with new ones (value_id, alias): those of values that exist, that aren't blank and that the value isn't known by."""
+    known = spellings(values, aliases).select("value_id", nfc("spelling").alias("s"))
+    good = new.where(F.trim("alias") != "").withColumn("s", nfc(F.trim("alias"))).join(values.select("value_id"), "value_id", "left_semi")
+    fresh = good.join(known, ["value_id", "s"], "left_anti").groupBy("value_id", "s").agg(F.min("alias").alias("alias"))
+    return aliases.unionByName(fresh.select("value_id", "alias"))
+
+
 def answered(findings: DataFrame, decisions: DataFrame, values: DataFrame, aliases: DataFrame, exceptions: DataFrame, custom_entity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A person's answers (doc_id, kind, value, answer, act) -> findings, values and exceptions after them.
 

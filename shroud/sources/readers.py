@@ -1,7 +1,7 @@
 """Documents from files: TXT, DOCX and PDF through binaryFile, user lists from CSV, and limits that refuse by name.
 
 A reader gives text, pages, readable (percent) and places, or a refusal: TooLarge, Empty, NotUtf8, Malformed, Encrypted,
-TooManyPages, NoText, Unreadable, DisplayOrder, TooMuchText, Swells, UnknownKind. Nothing is read in part: a file is whole or refused.
+TooManyPages, NoText, Unreadable, UnmappedFont, TooSlow, DisplayOrder, TooMuchText, Swells, UnknownKind. Nothing is read in part: a file is whole or refused.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import time
 import zipfile
 import zlib
 from xml.etree import ElementTree
@@ -16,12 +17,18 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.batches import by_batch
+
 MOST_BYTES, MOST_PAGES, MOST_TEXT = 25 << 20, 2000, 4 << 20
 MOST_ENTRIES, MOST_ENTRY, MOST_RATIO, LEAST_UNPACKED = 512, 8 << 20, 200, 16 << 20
 READABLE, DISPLAY_SHARE, LEAST_ARABIC = 80, 33, 8
 RESULT = "path string, kind string, text string, pages int, readable int, places array<struct<start:int,page:int,paragraph:int>>, refusal string"
 
 
+#: Seconds that a document may take.
+MOST_SECONDS = 20.0
+
+
 class Refused(Exception):
     """Why a document can't be read."""
 
@@ -31,6 +38,7 @@ class _Builder:
 
     def __init__(self) -> None:
         self.parts, self.size, self.places, self.page, self.paragraph = [], 0, [], 1, 1
+        self.until = time.monotonic() + MOST_SECONDS
 
     def add(self, run: str) -> None:
         if run:
@@ -40,6 +48,8 @@ class _Builder:
             self.size += len(run)
             if self.size > MOST_TEXT:
                 raise Refused("TooMuchText")
+            if time.monotonic() > self.until:
+                raise Refused("TooSlow")
 
     def break_page(self) -> None:
         self.page, self.paragraph = self.page + 1, 1
@@ -194,9 +204,11 @@ class _Pdf:
         return {m[1]: self.font(int(m[2])) for m in re.finditer(rb"/([^\s/<>\[\]()]+)\s+" + _REF, fonts)}
 
     def font(self, number: int) -> dict[bytes, str] | None:
-        """Code to text from the font's ToUnicode map; None where it has none."""
+        """Code to text from the font's ToUnicode map; None where it has none. Composite fonts without one can't be read."""
         if number not in self.fonts:
             m = re.search(rb"/ToUnicode\s+" + _REF, self.objects.get(number, b""))
+            if not m and re.search(rb"/Subtype\s*/Type0\b", self.objects.get(number, b"")):
+                raise Refused("UnmappedFont")
             raw = self.stream(self.objects.get(int(m[1]), b"")) if m else None
             self.fonts[number] = _cmap(raw) if raw is not None else None
         return self.fonts[number]
@@ -281,7 +293,10 @@ def read_pdf(data: bytes) -> _Builder:
         refs = re.search(rb"/Contents\s*(?:" + _REF + rb"|\[(.*?)\])", page, re.S)
         numbers = [] if not refs else [int(refs[1])] if refs[1] else [int(x) for x in re.findall(_REF, refs[2])]
         content = b"\n".join(pdf.stream(pdf.objects.get(n, b"")) or b"" for n in numbers)
-        for n, block in enumerate(_page_text(content, pdf.page_fonts(page)).split("\n\n")):
+        text = _page_text(content, pdf.page_fonts(page))
+        if readable_percent(text) < READABLE:
+            raise Refused("Unreadable")
+        for n, block in enumerate(text.split("\n\n")):
             out.paragraph = n + 1
             out.add(("\n\n" if n else "") + block)
     if not out.text.strip("\f \n"):
@@ -312,8 +327,6 @@ def extract(data: bytes, kind: str, protecting: bool = True) -> _Builder:
     if kind not in READERS:
         raise Refused("UnknownKind")
     out = READERS[kind](data)
-    if kind == "pdf" and readable_percent(out.text) < READABLE:
-        raise Refused("Unreadable")
     if protecting and (display_share(out.text) or 0) >= DISPLAY_SHARE:
         raise Refused("DisplayOrder")
     return out
@@ -328,20 +341,20 @@ def read_documents(spark: SparkSession, path: str, protecting: bool = True, glob
 def extracted(files: DataFrame, protecting: bool = True) -> DataFrame:
     """From path, kind, content."""
 
-    def run(batches):
-        places = pa.list_(pa.struct([("start", pa.int32()), ("page", pa.int32()), ("paragraph", pa.int32())]))
-        for b in batches:
-            out = []
-            for path, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                try:
-                    r = extract(bytes(data or b""), kind, protecting)
-                    out.append((path, kind, r.text, r.page, readable_percent(r.text), [{"start": s, "page": p, "paragraph": g} for s, p, g in r.places], None))
-                except Refused as why:
-                    out.append((path, kind, None, None, None, None, str(why)))
-            kinds = pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), places, pa.string()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=["path", "kind", "text", "pages", "readable", "places", "refusal"])
-
-    return files.select("path", "kind", "content").mapInArrow(run, RESULT)
+    places = pa.list_(pa.struct([("start", pa.int32()), ("page", pa.int32()), ("paragraph", pa.int32())]))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for path, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            try:
+                r = extract(bytes(data or b""), kind, protecting)
+                out.append((path, kind, r.text, r.page, readable_percent(r.text), [{"start": s, "page": p, "paragraph": g} for s, p, g in r.places], None))
+            except Refused as why:
+                out.append((path, kind, None, None, None, None, str(why)))
+        kinds = pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), places, pa.string()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["path", "kind", "text", "pages", "readable", "places", "refusal"])
+
+    return by_batch(files.select("path", "kind", "content"), run, RESULT)
 
 
 def place_of(read: DataFrame, start: Column) -> Column:

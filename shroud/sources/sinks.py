@@ -1,8 +1,11 @@
-"""What leaves: protected texts once nothing waits for an answer and the audit is clean, and reports of numbers."""
+"""What leaves: protected texts once nothing waits for an answer and the audit is clean; and what is kept: tables of vaults and sessions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from ..operators import vault
 
 
 def take_out(protected: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -16,3 +19,28 @@ def write_take_out(protected: DataFrame, audit: DataFrame, path: str, id_col: st
     if audit.where("leak").limit(1).count():
         raise ValueError("a protected value is left in a text")
     take_out(protected, id_col).write.mode("errorifexists").parquet(path)
+
+
+#: Tables of a vault and of a session; a folder holds one Parquet table of each name.
+SESSION = {"tokens": "session string, token string, value string, kind string", "payloads": "payload_id long, session string, made timestamp, answered boolean"}
+TABLES = {**vault.SCHEMAS, **SESSION}
+
+
+def save_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Writes tables of a vault or session by name, each whole and in its own schema."""
+    for name, table in tables.items():
+        schema = T._parse_datatype_string(TABLES[name])
+        table.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_tables(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(TABLES)) -> dict[str, DataFrame]:
+    """The tables of a folder by name. A table that isn't there is empty, as all of a locked vault's are to a scan."""
+    out = {}
+    for name in names:
+        try:
+            out[name] = spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}")
+        except AnalysisException as why:
+            if why.getCondition() != "PATH_NOT_FOUND":
+                raise
+            out[name] = spark.createDataFrame([], TABLES[name])
+    return out

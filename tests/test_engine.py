@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shroud.functions import text as X, validators as V
 from shroud.operators import general, names, protect, report, scan, vault
 from shroud.operators.kernel import Hint, Hit, occurrences, settle, token_spans
-from shroud.operators.spans import matches as spans_of, utf16
+from shroud.operators.spans import from_utf16, matches as spans_of, utf16
 from shroud.plans import queries
 from shroud.sources import readers, sinks
 from shroud.streaming import scan as streaming
@@ -353,3 +353,70 @@ def test_cells_of_a_table_stand_where_they_stand(spark):
     text = "Personalnummer  Konto\n5512            5512"
     d = scan.findings(scan.scan(spark.createDataFrame([(1, text)], "id long, text string"), scan.knowledge(("de",))))
     assert {(r["start"], r["kind"]) for r in d.collect()} == {(22, "EmployeeNo"), (38, "Account")}
+
+
+def test_colliding_tokens_are_made_anew(spark):
+    class Narrow(protect.Naming):
+        def token(self, kind, value, again=0):
+            return f"__Z_ab12_PERSON_{'AAAA' if not again else f'BBB{again}'}__"
+
+    made = spark.createDataFrame([(1, "Ann met Bea", "x", [(0, 3, "Person", "Ann", "__Z_ab12_PERSON_AAAA__"), (8, 11, "Person", "Bea", "__Z_ab12_PERSON_AAAA__")]), (2, "Cem\fCem", "x", [(0, 3, "Person", "Cem", "__Z_ab12_PERSON_CCCC__")])], f"doc_id long, text string, protected string, protections {protect.PROTECTION}")
+    got = protect.reminted(made, "s", naming=Narrow("s"))
+    assert got.schema.names == made.schema.names and not protect.collisions(got).count()
+    assert {r["doc_id"]: r["protected"] for r in got.collect()} == {1: "__Z_ab12_PERSON_AAAA__ met __Z_ab12_PERSON_BBB1__", 2: "__Z_ab12_PERSON_CCCC__\nCem"}
+    clean = got.where("doc_id = 2")
+    assert protect.reminted(clean, "s") is clean
+
+
+def test_offsets_from_utf16(spark):
+    text = "a😀b😀"
+    row = spark.createDataFrame([(text,)], "t string").select(*[from_utf16(F.col("t"), F.lit(k)).alias(f"k{k + 1}") for k in range(-1, 8)]).first()
+    assert list(row) == [None, 0, 1, None, 2, 3, None, 4, None]
+
+
+def test_selections_in_tables(spark):
+    d = spark.createDataFrame([("Frau Krüger-Lang, hier", 7, 9), (None, 1, 2)], "text string, start int, end int")
+    assert [(r["start"], r["end"]) for r in protect.selections(d).collect()] == [(5, 16), (1, 2)]
+
+
+def test_every_place_of_a_value_by_one_act(spark):
+    from shroud.operators import marks
+
+    d = scan.scan(spark.createDataFrame([(1, "quirl und Quirl"), (2, "nichts")], "doc_id long, text string"), scan.knowledge(("de",)))
+    acts = marks.protect_all_matches(d, "Quirl", "Person", 3)
+    none = spark.createDataFrame([], "doc_id long, start int, end int, kind string")
+    assert {tuple(r) for r in marks.overlay(none, acts).collect()} == {(1, 0, 5, "Person"), (1, 10, 15, "Person")}
+    undo = acts.limit(1).withColumn("of", F.col("act")).withColumn("act", F.lit(4)).withColumn("op", F.lit("undo"))
+    assert marks.overlay(none, acts.unionByName(undo)).count() == 0
+
+
+def test_aliases_are_added_once(spark):
+    v = spark.createDataFrame([(1, 1, "Person", "Anna", "Always", 0, None)], vault.SCHEMAS["values"])
+    a = spark.createDataFrame([(1, "Anni")], vault.SCHEMAS["aliases"])
+    new = spark.createDataFrame([(1, "Anni"), (1, "Anna"), (1, " "), (1, "Änne"), (1, "Änne"), (9, "x")], vault.SCHEMAS["aliases"])
+    assert sorted(tuple(r) for r in vault.add_aliases(v, a, new).collect()) == [(1, "Anni"), (1, "Änne")]
+
+
+def test_vault_tables_are_kept_and_a_locked_vault_is_empty(spark, tmp_path):
+    v = spark.createDataFrame([(1, 1, "Person", "Anna", "Always", 0, None)], vault.SCHEMAS["values"])
+    sinks.save_tables({"values": v}, str(tmp_path / "vault"))
+    t = sinks.load_tables(spark, str(tmp_path / "vault"))
+    assert [tuple(r) for r in t["values"].collect()] == [tuple(r) for r in v.collect()] and t["tokens"].count() == 0
+    locked = sinks.load_tables(spark, str(tmp_path / "nothing"))
+    assert vault.hints(*(locked[k] for k in ("entities", "values", "aliases", "lists", "blocks", "block_exemptions"))).count() == 0
+
+
+def test_documents_that_can_t_be_trusted_are_refused(spark, monkeypatch):
+    type0 = pdf(b"BT /F1 12 Tf (x) Tj ET").replace(b"/Subtype/Type1", b"/Subtype/Type0")
+    half = pdf(b"BT (all of this page is fine text) Tj ET", b"BT <0102030405060708> Tj ET")
+    files = [("a.pdf", "pdf", type0), ("b.pdf", "pdf", half)]
+    run = lambda: {r["path"]: r["refusal"] for r in readers.extracted(spark.createDataFrame(files, "path string, kind string, content binary")).collect()}
+    assert run() == {"a.pdf": "UnmappedFont", "b.pdf": "Unreadable"}
+    monkeypatch.setattr(readers, "MOST_SECONDS", -1.0)
+    with pytest.raises(readers.Refused, match="TooSlow"):
+        readers.extract(b"text", "txt")
+
+
+def test_a_bank_without_marks(spark):
+    bank = spark.createDataFrame([("مُحَمَّد,given",)], "value string")
+    assert names.loaded(bank, marks=False).first()["name"] == "محمد" and names.loaded(bank).first()["name"] == "مُحَمَّد"
