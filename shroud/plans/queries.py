@@ -12,7 +12,7 @@ from ..operators import general, marks, names, protect, report, scan, vault
 from ..operators.lexicon import LABELS
 from ..operators.spans import matches, splice
 from ..sources import readers, sinks
-from . import rule_cases
+from . import made_files, rule_cases
 from .kinds import kinds
 from .languages import languages
 
@@ -527,6 +527,23 @@ def read_txt(spark, sf_dir):
     return got.select(F.col("path").cast("long").alias("doc_id"), F.length("text").alias("chars"), "pages", F.aggregate("places", F.lit(1), lambda a, p: F.greatest(a, p["paragraph"])).alias("paragraphs"))
 
 
+_FILES_SQL = """
+WITH c AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS seg, c_custkey % 4 AS which FROM customer)
+SELECT k AS doc_id, CASE which WHEN 0 THEN 'docx' WHEN 1 THEN 'pdf' WHEN 2 THEN 'pdf' ELSE 'odt' END AS kind, CASE which WHEN 0 THEN 'Client ' || name || chr(9) || 'x' || chr(10) || chr(10) || seg || chr(10) || chr(10) WHEN 1 THEN 'Client ' || name || chr(10) || seg || chr(12) || 'End' ELSE '' END AS text,
+CASE which WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS pages, CASE which WHEN 2 THEN 'UnmappedFont' WHEN 3 THEN 'UnknownKind' ELSE '' END AS refusal FROM c
+"""
+
+
+@query(_FILES_SQL)
+def read_files(spark, sf_dir):
+    """DOCX and PDF files made from customers, read or refused by name."""
+    which = F.col("c_custkey") % 4
+    kind = F.when(which == 0, "docx").when(which == 3, "odt").otherwise("pdf")
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), kind.alias("kind"), made_files.content(which, "c_name", "c_mktsegment").alias("content"))
+    read = readers.extracted(files)
+    return read.select(F.col("path").cast("long").alias("doc_id"), "kind", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("refusal", F.lit("")).alias("refusal"))
+
+
 @query("""SELECT kind, word FROM (VALUES ('Person', 'PERSON'), ('Company', 'COMPANY'), ('Phone', 'PHONE'), ('Email', 'EMAIL'), ('Address', 'ADDRESS'), ('Iban', 'IBAN'), ('Bic', 'BIC'),
 ('Account', 'ACCOUNT'), ('CustomerNo', 'CUSTOMER'), ('TaxId', 'TAX'), ('IdCard', 'IDCARD'), ('Vehicle', 'VEHICLE'), ('Birthdate', 'BIRTHDATE'), ('EmployeeNo', 'EMPLOYEE'),
 ('SocialInsuranceNo', 'SOCIAL'), ('Contract', 'CONTRACT'), ('Amount', 'AMOUNT'), ('Date', 'DATE'), ('Custom', 'CUSTOM')) AS t(kind, word)""")
