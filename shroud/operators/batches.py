@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Bytes that a function sees at once (one row can have more), and bytes a core under which an input is dealt out anew.
-BATCH_BYTES, SMALL_SHARE = 4 << 20, 8 << 20
+#: Bytes that a function sees at once (one row can have more); bytes a core under which an input is dealt out anew, and bytes
+#: that are worth a task of their own.
+BATCH_BYTES, SMALL_SHARE, LEAST_SHARE = 4 << 20, 8 << 20, 64 << 10
 
 
 def pieces(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -18,16 +19,20 @@ def pieces(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.Record
         yield batch.slice(at, rows)
 
 
-def by_batch(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
-    """mapInArrow over slices of bounded bytes; Spark itself closes a batch at spark.sql.execution.arrow.maxBytesPerBatch."""
+def by_pieces(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow whose batches are slices of bounded bytes."""
 
     def each(batches):
-        for b in batches:
-            yield from map(run, pieces(b))
+        yield from run(p for b in batches for p in pieces(b))
 
     return df.mapInArrow(each, schema)
 
 
+def by_batch(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
+    """The same where a function makes one batch of each."""
+    return by_pieces(df, lambda batches: map(run, batches), schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt out over all cores where it is small for them.
 
@@ -39,4 +44,5 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(4 * cores) if size < cores * SMALL_SHARE else df
+    tasks = min(4 * cores, size // LEAST_SHARE)
+    return df.repartition(tasks) if 1 < tasks and size < cores * SMALL_SHARE else df

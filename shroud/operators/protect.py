@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..plans.kinds import KINDS
-from .batches import by_batch
+from .batches import by_batch, by_pieces
 from .kernel import Reading, nfc, occurrences, token_spans
 from .known import Hint, Known, Stretches, key
 from .spans import matches, utf16
@@ -201,7 +201,7 @@ def restore(returned: DataFrame, text_col: str = "text", values_col: str = "toke
                 names=[*b.schema.names, "segments", "restored", "unresolved"],
             )
 
-    return base.mapInArrow(run, schema)
+    return by_pieces(base, run, schema)
 
 
 #: What begins like a token, up to the next pair of underscores: one that isn't a token hides what stands before its own end.
@@ -304,7 +304,7 @@ def find_in_document(scanned: DataFrame, needle: str, text_col: str = "text", id
                 out += [(i, a, z, "Protected" if over(sure, a, z) else "Waiting" if over(found or [], a, z) else "Clear") for a, z in occurrences(text or "", needle)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "start", "end", "state"])
 
-    return scanned.select(F.col(id_col).cast("long").alias(id_col), text_col, "findings", *[covered] * bool(covered)).mapInArrow(run, "doc_id long, start int, end int, state string")
+    return by_pieces(scanned.select(F.col(id_col).cast("long").alias(id_col), text_col, "findings", *[covered] * bool(covered)), run, "doc_id long, start int, end int, state string")
 
 
 def whole_words(text: str, start: int, end: int) -> tuple[int, int]:

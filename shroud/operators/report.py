@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .batches import by_pieces, spread
 from .kernel import Knowledge, Reading
 
 
@@ -65,7 +66,7 @@ def name_candidates(docs: DataFrame, known: Knowledge, id_col: str = "doc_id", t
             kinds = pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["doc_id", "word", "rule", "page", "start", "line"])
 
-    found = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, word string, rule string, page int, start int, line string")
+    found = by_pieces(spread(docs.select(F.col(id_col).cast("long"), text_col)), run, "doc_id long, word string, rule string, page int, start int, line string")
     w = Window.partitionBy("word").orderBy("doc_id", "start")
     ranked = found.withColumn("r", F.row_number().over(w))
     first = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.struct("r", "line")))), lambda x: x["line"])

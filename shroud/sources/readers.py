@@ -17,7 +17,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.batches import by_batch
+from ..operators.batches import by_batch, by_pieces
 
 MOST_BYTES, MOST_PAGES, MOST_TEXT = 25 << 20, 2000, 4 << 20
 MOST_ENTRIES, MOST_ENTRY, MOST_RATIO, LEAST_UNPACKED = 512, 8 << 20, 200, 16 << 20
@@ -427,7 +427,7 @@ def registers(spark: SparkSession, city_paths: dict[str, str]) -> DataFrame:
     every = files[0]
     for f in files[1:]:
         every = every.unionByName(f)
-    return every.mapInArrow(run, "city string, name string, count long, gender string")
+    return by_pieces(every, run, "city string, name string, count long, gender string")
 
 
 def arabic_library(lines: DataFrame) -> DataFrame:
