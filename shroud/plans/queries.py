@@ -127,8 +127,12 @@ def general_iban(spark, sf_dir):
 _N16 = "lpad(CAST((o_orderkey * 7919 + 104729) % 10000000000000000 AS {s}), 16, '0')"
 
 
+MADE: dict[str, tuple[str, str, str]] = {}
+
+
 def _checked(name: str, made: str, made_sql: str, test_sql: str) -> None:
     """Counts of values that pass a validator, by the last digit of the order's key."""
+    MADE[name] = made, made_sql, test_sql
 
     def run(spark, sf_dir):
         rows = table(spark, sf_dir, "orders").select(F.expr("o_orderkey % 10").alias("k"), F.expr(made).alias("v"))
@@ -169,6 +173,32 @@ _checked("is_a_group", *_both("CASE WHEN o_orderkey % 3 = 0 THEN 'AB' || CAST(o_
 _checked("looks_like_a_date", *_both("CAST(o_orderkey % 40 AS {s}) || '.' || CAST(o_orderkey % 15 AS {s}) || '.' || CAST(o_orderkey % 3000 AS {s})"), "regexp_full_match(v, '[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}') AND CAST(split_part(v, '.', 2) AS INTEGER) BETWEEN 1 AND 12 AND CAST(split_part(v, '.', 1) AS INTEGER) BETWEEN 1 AND (CASE WHEN CAST(split_part(v, '.', 2) AS INTEGER) = 2 THEN 29 WHEN CAST(split_part(v, '.', 2) AS INTEGER) IN (4, 6, 9, 11) THEN 30 ELSE 31 END)")
 
 
+#: General rule, the validator of its number, and what stands after the number in a text.
+_NUMBERED = (("tax identification number", "tax_id_ok", ""), ("social-insurance number", "social_insurance_ok", ""), ("national identity number", "is_a_short_date", "-1234"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, k, count(*) AS n FROM (SELECT o_orderkey % 10 AS k, {MADE[name][1]} AS v FROM orders) WHERE {MADE[name][2]} GROUP BY k" for rule, name, _ in _NUMBERED))
+def general_numbers(spark, sf_dir):
+    """The general rules for national numbers over a line of text for each order: found where the number's checksum or date holds."""
+    o, parts = table(spark, sf_dir, "orders"), []
+    for rule, name, after in _NUMBERED:
+        lines = o.select(F.expr("o_orderkey % 10").alias("k"), F.concat(F.lit("No. "), F.expr(MADE[name][0]), F.lit(after + ", seen")).alias("text"))
+        parts.append(general.general(lines, rules=(rule,)).groupBy(F.col("rule"), "k").agg(F.count("*").alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(r"""
+WITH m AS (SELECT o_orderkey AS k, '0' || (o_orderkey % 3) || (o_orderkey % 7) || ' ' || repeat('5', CAST(o_orderkey % 11 AS INTEGER)) || CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE '' END AS v FROM orders)
+SELECT length(v) AS size, count(*) AS n FROM m WHERE v[1:3] <> '000' AND k % 5 <> 0 AND k % 11 >= 5 GROUP BY ALL
+""")
+def general_local_phones(spark, sf_dir):
+    """Local phones: from 0 but not 000, eight digits at least, ending at a word's end."""
+    k = F.col("o_orderkey")
+    value = F.concat(F.lit("0"), (k % 3).cast("string"), (k % 7).cast("string"), F.lit(" "), F.repeat(F.lit("5"), (k % 11).cast("int")), F.when(k % 5 == 0, "x").otherwise(""))
+    lines = table(spark, sf_dir, "orders").select(F.concat(F.lit("call "), value, F.lit(" soon")).alias("text"))
+    return general.general(lines, rules=("phone-local",)).groupBy(F.length("value").cast("long").alias("size")).agg(F.count("*").alias("n"))
+
+
 # -- text primitives ---------------------------------------------------------------------------------------------------------
 
 
