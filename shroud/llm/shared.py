@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +16,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _own_dir: list[str] = []
-_written: list[str] = []
+
+
+class _Written(threading.local):
+    """Folders that this thread staged, so that queries in several threads never remove each other's."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_written = _Written()
+#: A leaf of the plan that says it has so many bytes doesn't know.
+_UNKNOWN = 1 << 58
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +47,7 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written once as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    _written.append(path)
+    _written.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,18 +60,18 @@ def drop_staged(*tables: DataFrame) -> None:
 
 def staged_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What make() gives, staged; the tables that were staged on the way are removed."""
-    before = len(_written)
+    before = len(_written.paths)
     out = staged(make(), name)
-    on_the_way, _written[before:] = _written[before:-1], _written[-1:]
+    on_the_way, _written.paths[before:] = _written.paths[before:-1], _written.paths[-1:]
     for path in on_the_way:
         _delete(out.sparkSession, path)
     return out
 
 
 def clear(spark: SparkSession) -> None:
-    """Removes all tables that staged() wrote in this process: for after a result is written, as it is read from them."""
-    while _written:
-        _delete(spark, _written.pop())
+    """Removes all tables that staged() wrote in this thread: for after a result is written, as it is read from them."""
+    while _written.paths:
+        _delete(spark, _written.paths.pop())
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -72,9 +84,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parts_for(df: DataFrame, each: int = 32 << 20) -> int:
-    """Partitions for a shuffle in proportion to the input, by the plan's own estimate: a task's share stays the same at any size."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(-(-size // each), 200_000))
+    """Partitions for a shuffle in proportion to the input: a task's share stays the same at any size.
+
+    The input is what the leaves of the plan say of themselves, which for files is their bytes; estimates of joins are not
+    used. Where a leaf doesn't know its size (rows of the driver), spark.sql.shuffle.partitions is the least.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    known = sum(n for n in sizes if n < _UNKNOWN)
+    least = 1 if len(sizes) and max(sizes) < _UNKNOWN else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-known // each))
 
 
 def id_text(col: Column) -> Column:

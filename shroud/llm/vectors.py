@@ -21,8 +21,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, change: Callable[[n
     another length than the commonest (the shorter of equals).
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0))
-    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = most[0]["d"] if most else 1
+    dim = commonest_length(rows)
 
     def run(batches):
         for b in batches:
@@ -37,6 +36,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, change: Callable[[n
     return rows.where(F.size("v") == dim).transform(arrow, run, "vec_id long, vec binary, norm2 double"), dim
 
 
+def commonest_length(rows: DataFrame) -> int:
+    """Of the non-empty arrays in column v; the shorter of equals, 1 if there are none."""
+    most = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    return most[0]["d"] if most else 1
+
+
 def matrix(column, dim: int) -> np.ndarray:
     """Rows of a binary column."""
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
