@@ -24,20 +24,22 @@ import json
 import os
 import re
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import _byte_chars, by_size
+from .bpe import _byte_chars, _Store, by_size
 from .shared import arrow, staged
 
 #: Links that all tasks know the counts of; pairs of a group that are expanded one by one; white space that stands in for an endless run.
-HEAD, WIDE, LONG_RUN = 1 << 16, 4096, 2000
+HEAD, WIDE, LONG_RUN = 1 << 18, 4096, 2000
 _RUN = re.compile(r"\s{%d}" % LONG_RUN)
 _SPACE = "▁"
+_WORDS = re.compile(" +[^ ]*")
+_INNER = re.compile(f"[^{_SPACE}]{_SPACE}")
 
 
 def bits(places: np.ndarray, size: int) -> np.ndarray:
@@ -68,8 +70,6 @@ class _Spelling:
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
-        names = [str(k) for k in range(len(tokens))]
-        self.comma = np.array([n + "," for n in names], object)
 
     def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All bytes of the ids in a row, and where each token ends in them."""
@@ -78,6 +78,11 @@ class _Spelling:
         return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - (ends - size), size)], ends
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n
+
+
 class Aligner:
     """Both tokenizers. file: byte-level BPE as JSON; ranks: the same vocabulary as ranks, if there; pieces: a piece model with byte fallback."""
 
@@ -103,15 +108,35 @@ class Aligner:
                 known = {base64.b64decode(word): int(k) for word, k in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
         self.model = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.b = _Spelling([bytes([int(p[3:-1], 16)]) if self.model.is_byte(k) else p.replace(_SPACE, " ").encode() for k in range(self.model.get_piece_size()) for p in [self.model.id_to_piece(k)]])
-
-    def ids_a(self, texts: list[str]) -> list[list[int]]:
+        names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
+        self.by_word = not any(map(_INNER.search, names))  # then no merge crosses the space before a word
+        self.words, self.lone = _Store(), self.model.piece_to_id(_SPACE)
+        self.b = _Spelling([bytes([int(p[3:-1], 16)]) if self.model.is_byte(k) else p.replace(_SPACE, " ").encode() for k, p in enumerate(names)])
+        sizes = len(self.a.size), len(self.b.size)
+        self.written = np.array([f"{k}{sign}" for n, last in zip(sizes, "|;", strict=True) for sign in ("," + last) for k in range(n)], object)
+        self.at_b = 2 * sizes[0]
+
+    def ids_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has."""
         if self.fast is None:
-            return [e.ids for e in self.library.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        return [self.library.encode(" " + t, add_special_tokens=False).ids if _RUN.search(t) else self.fast.encode_ordinary(" " + t) for t in texts]
-
-    def ids_b(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+            return _flat([e.ids for e in self.library.encode_batch([" " + t for t in texts], add_special_tokens=False)])
+        return _flat([self.library.encode(" " + t, add_special_tokens=False).ids if _RUN.search(t) else self.fast.encode_ordinary(" " + t) for t in texts])
+
+    def ids_b(self, texts: list[str], most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+        """The same; where no piece goes on over a space, a word with the spaces before it is encoded once a worker."""
+        if not self.by_word:
+            return _flat(self.model.encode(texts, num_threads=1))
+        split = [[w[1:] for w in _WORDS.findall(" " + t)] if "  " in t or t[0] == " " or t[-1] == " " else t.split(" ") for t in texts]
+        self.words.trim(most)
+        flat, known = list(chain.from_iterable(split)), self.words.code
+        code = np.fromiter(map(known.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(missing := np.flatnonzero(code < 0)):
+            new = list(dict.fromkeys(flat[k] for k in missing.tolist()))
+            self.words.add(new, *_flat([ids if w else [self.lone] for w, ids in zip(new, self.model.encode(new, num_threads=1), strict=True)]))
+            code[missing] = np.fromiter((known[flat[k]] for k in missing.tolist()), np.int64, len(missing))
+        ids, size = self.words.take(code)
+        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        return ids.astype(np.int64), np.diff(np.r_[0, np.r_[0, np.cumsum(size)][ends]])
 
     def align(self, texts: list[str | None]) -> Aligned:
         """Groups of all texts; those without tokens have none."""
@@ -119,9 +144,7 @@ class Aligner:
         known = [texts[k] for k in some]
         raw = [b" " + t.encode() for t in known]
         both = []
-        for ids, spelling in ((self.ids_a(known), self.a), (self.ids_b(known), self.b)):
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+        for (flat, n), spelling in ((self.ids_a(known), self.a), (self.ids_b(known), self.b)):
             spelt, ends = spelling.spell(flat)
             upto = np.r_[0, ends][np.cumsum(n)]
             both.append((flat, n, spelt.tobytes(), upto.tolist()))
@@ -135,23 +158,20 @@ class Aligner:
             full[some] = n * same
             counts.append(full)
         size = int(sum(len(r) for r, s in zip(raw, same, strict=True) if s))
-        sets = [bits(spelling.spell(ids)[1] - 1, size) for ids, spelling in zip(kept, (self.a, self.b), strict=True)]
+        sets = [bits(np.cumsum(spelling.size[ids]) - 1, size) for ids, spelling in zip(kept, (self.a, self.b), strict=True)]
         cuts = members(sets[0] & sets[1])
         return Aligned(*kept, *counts, *(rank(s, cuts) for s in sets))
 
     def texts_of(self, x: Aligned) -> list[str]:
         """`a1,a2|b1;a3|b2,b3` of each text."""
-        groups = np.arange(len(x.ends_a))
         na, nb = np.diff(np.r_[0, x.ends_a]), np.diff(np.r_[0, x.ends_b])
-        out = np.empty(len(x.a) + len(x.b), object)
-        at_a = np.arange(len(x.a)) + np.repeat(x.ends_b - nb, na)
-        at_b = np.arange(len(x.b)) + np.repeat(x.ends_a, nb)
-        out[at_a], out[at_b] = self.a.comma[x.a], self.b.comma[x.b]
-        for k, sign, where in ((x.ends_a, "|", at_a), (x.ends_b, ";", at_b)):
-            last = where[k[groups] - 1]
-            out[last] = [s[:-1] + sign for s in out[last]]
+        word = np.empty(len(x.a) + len(x.b), np.int64)
+        at_a, at_b = np.arange(len(x.a)) + np.repeat(x.ends_b - nb, na), np.arange(len(x.b)) + np.repeat(x.ends_a, nb)
+        word[at_a], word[at_b] = x.a, x.b + self.at_b
+        for ends, at, size in ((x.ends_a, at_a, self.a.size), (x.ends_b, at_b, self.b.size)):
+            word[at[ends - 1]] += len(size)  # the same with the sign after a group's last
         ends = np.cumsum(x.n_a + x.n_b)
-        parts = out.tolist()
+        parts = self.written[word].tolist()
         return ["".join(parts[u:v])[:-1] for u, v in zip((ends - x.n_a - x.n_b).tolist(), ends.tolist(), strict=True)]
 
 
@@ -176,6 +196,10 @@ class Aligned:
             (u, n), (v, m) = (np.unique(ids[e - k : e], return_counts=True) for ids, e, k in ((self.a, self.ends_a[g], na[g]), (self.b, self.ends_b[g], nb[g])))
             pair = (u[:, None] << 32 | v[None]).ravel()
             found.append((np.full(len(pair), text[g]), pair, (n[:, None] * m[None]).ravel()))
+        if len(found) == 1 and max(self.a.max(initial=0), self.b.max(initial=0)) < 1 << 16 and len(self.n_a) < 1 << 31:
+            text, pair, _ = found[0]  # one number a link sorts faster
+            key, times = np.unique(text << 32 | pair >> 32 << 16 | pair & 0xFFFF, return_counts=True)
+            return key >> 32, (key >> 16 & 0xFFFF) << 32 | key & 0xFFFF, times
         text, pair, times = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.lexsort((pair, text))
         text, pair, times = text[order], pair[order], times[order]
