@@ -52,15 +52,36 @@ def scan(docs: DataFrame, known: Knowledge | None = None, text_col: str = "text"
     return by_batch(base, run, schema)
 
 
+#: Characters of a piece that a finding's value is cut from; a place in a long text is then as near as in a short one.
+_PIECE = 2048
+
+
 def findings(scanned: DataFrame, text_col: str = "text", col: str = "findings") -> DataFrame:
-    """A row a finding: start, end, kind, state, source, rule, value, and how often the same stands in the document."""
-    valued = F.transform(col, lambda x: x.withField("value", F.substr(F.col(text_col), x["start"] + 1, x["end"] - x["start"])))
+    """A row a finding: start, end, kind, state, source, rule, value, and how often the same stands in the document.
+
+    All inside the row: values come from the text's pieces, and equal ones are counted as runs of a sorted array, so a
+    document with many findings takes n log n.
+    """
     rest = [c for c in scanned.columns if c not in (col, text_col, "plain_words", "start", "end", "kind", "state", "source", "rule", "value", "occurrences")]
-    key = lambda x: F.struct(x["kind"], x["confidence"], x["value"])
-    met = scanned.withColumn("v__", valued).withColumn("k__", F.transform("v__", key))
-    counted = F.explode(F.transform("v__", lambda x: x.withField("same", F.size(F.filter("k__", lambda k: k == key(x))))))
+    pieces = F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+    def value(x):
+        first, last = F.floor(x["start"] / _PIECE), F.floor((x["end"] - 1) / _PIECE)
+        near = F.when(first == last, F.get("p__", first.cast("int"))).otherwise(F.array_join(F.slice("p__", (first + 1).cast("int"), (last - first + 1).cast("int")), ""))
+        return F.substr(near, (x["start"] - first * _PIECE + 1).cast("int"), x["end"] - x["start"])
+
+    valued = scanned.withColumn("p__", pieces).withColumn("v__", F.transform(col, lambda x: x.withField("value", value(x))))
+    ordered = F.array_sort(F.transform("v__", lambda x, i: F.struct(x["kind"].alias("a"), x["confidence"].alias("b"), x["value"].alias("c"), i.alias("i"))))
+    last = F.size("s__")
+    same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+    began = F.zip_with("s__", F.slice("s__", F.lit(2), F.greatest(last - 1, F.lit(0))), lambda x, y: ~same(x, y))  # true where a run ends
+    ends = F.filter(F.transform(began, lambda e, i: F.when(e, i + 1)), lambda i: i.isNotNull())
+    runs = F.zip_with("e__", F.slice(F.concat(F.array(F.lit(0)), F.col("e__")), F.lit(1), F.size("e__")), lambda e, b: F.array_repeat(e - b, e - b))
+    counted = F.array_sort(F.zip_with("s__", F.flatten(runs), lambda x, n: F.struct(x["i"].alias("i"), n.alias("n"))))
+    met = valued.withColumn("s__", ordered).withColumn("e__", ends)
+    each = F.explode(F.zip_with("v__", counted, lambda x, n: F.struct(x.alias("f"), n["n"].cast("long").alias("same"))))
     state = F.when(F.col("f.confidence") == "auto", "Protected").otherwise("Suggested")
-    return met.select(*rest, counted.alias("f")).select(*rest, F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.kind").alias("kind"), state.alias("state"), F.col("f.source").alias("source"), F.col("f.rule").alias("rule"), F.col("f.value").alias("value"), F.col("f.same").cast("long").alias("occurrences"))
+    return met.select(*rest, each.alias("x__")).select(*rest, F.col("x__.f").alias("f"), "x__.same").select(*rest, F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.kind").alias("kind"), state.alias("state"), F.col("f.source").alias("source"), F.col("f.rule").alias("rule"), F.col("f.value").alias("value"), F.col("same").alias("occurrences"))
 
 
 def register(spark: SparkSession, known: Knowledge | None = None) -> None:

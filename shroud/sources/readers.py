@@ -248,6 +248,14 @@ def _decode(code: bytes, font: dict[bytes, str] | None) -> str:
     return "".join(font.get(code[k : k + size], "�") for k in range(0, len(code), size))
 
 
+def _number(operand: bytes) -> float:
+    """A number of a content stream; other operands where one has to stand make the file malformed."""
+    try:
+        return float(operand)
+    except ValueError:
+        raise Refused("Malformed") from None
+
+
 def _page_text(content: bytes, fonts: dict) -> str:
     out: list[str] = []
     stack: list[bytes] = []
@@ -267,10 +275,10 @@ def _page_text(content: bytes, fonts: dict) -> str:
             for x in stack:
                 if x[:1] in b"(<":
                     out.append(_decode(_literal(x), font))
-                elif x[:1] in b"-0123456789." and float(x or b"0") < -180:
+                elif x[:1] in b"-0123456789." and _number(x) < -180:
                     out.append(" ")
         elif t in (b"Td", b"TD") and len(stack) >= 2:
-            out.append("\n" if float(stack[-1]) else " ")
+            out.append("\n" if _number(stack[-1]) else " ")
         elif t == b"T*":
             out.append("\n")
         elif t == b"Tm" and len(stack) >= 6:
@@ -326,7 +334,10 @@ def extract(data: bytes, kind: str, protecting: bool = True) -> _Builder:
         raise Refused("Empty")
     if kind not in READERS:
         raise Refused("UnknownKind")
-    out = READERS[kind](data)
+    try:
+        out = READERS[kind](data)
+    except (ArithmeticError, AttributeError, EOFError, LookupError, RecursionError, TypeError, ValueError, zlib.error) as why:  # a file's own faults never stop the others
+        raise Refused("Malformed") from why
     if protecting and (display_share(out.text) or 0) >= DISPLAY_SHARE:
         raise Refused("DisplayOrder")
     return out
