@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from .contains import standing
 from .known import Hint, Known, occurrences
 from .labels import Labels
 from .lexicon import AR, DE, EN, ES, FR, SV
@@ -46,8 +48,8 @@ class Knowledge:
         return {k: v for k, v in self.__dict__.items() if k not in ("people", "lexer", "known")}
 
 
-def scan_document(doc: Reading, general: list[Hit], k: Knowledge) -> list[Hit]:
-    """Layers in order (general, packs, labels, known values), then the laws, then settling."""
+def scan_document(doc: Reading, general: list[Hit], k: Knowledge, met: Iterable[dict] = ()) -> list[Hit]:
+    """Layers in order (general, packs, labels, known values), then the laws, then settling. met: spellings of known values that the text may hold."""
     text, hits = doc.text, list(general)
     classes = k.lexer.of(doc)
     for p in k.packs:
@@ -57,6 +59,8 @@ def scan_document(doc: Reading, general: list[Hit], k: Knowledge) -> list[Hit]:
             hits += rule(doc, k.names.get(p))
     hits += k.labels.hits(doc, k.honorifics)
     hits += k.known.hits(text)
+    for c, places in sorted(standing(text, met), key=lambda x: (-len(x[0]["spelling"].encode()), x[0]["spelling"])):
+        hits += [Hit(a, z, c["kind"], c["sure"], VAULT, "vault", entities=list(c["entities"])) for a, z in places]
     hits = one_word_names(text, hits)
     hits = [h for h in hits if h.source in (VAULT, HAND) or not k.labels.names(text[h.start : h.end])]
     if k.exceptions:

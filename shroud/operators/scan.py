@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from . import general
+from . import contains, general, vault
 from .batches import by_batch, spread
 from .kernel import GENERAL, PACKS, Hint, Hit, Knowledge, Labels, Names, Reading, nfc, scan_document, scan_text
 from .lexicon import LABELS, LabelRow, dictionary
@@ -31,22 +31,29 @@ def knowledge(packs: tuple[str, ...] = ("de",), taught_labels: list[LabelRow] =
 MOST_NAMES = 200_000
 
 
-def scan(docs: DataFrame, known: Knowledge | None = None, text_col: str = "text", out_col: str = "findings") -> DataFrame:
-    """docs with findings (array) and plain_words (words that no finding touches). Null texts have none of either."""
-    known = known or knowledge()
-    base = spread(docs).drop(out_col, "plain_words", "general__").withColumn("general__", general.found(F.col(text_col)))
-    schema = T.StructType([*docs.drop(out_col, "plain_words", "general__").schema.fields, *T._parse_datatype_string(f"{out_col} {FINDING}, plain_words int").fields])
+def scan(docs: DataFrame, known: Knowledge | None = None, text_col: str = "text", out_col: str = "findings", hints: DataFrame | None = None) -> DataFrame:
+    """docs with findings (array) and plain_words (words that no finding touches). Null texts have none of either.
+
+    hints: known values as a table of any size (vault.hints); texts meet them by a contains join.
+    """
+    known, tabled = known or knowledge(), hints is not None
+    base = spread(docs).drop(out_col, "plain_words", "general__", "known__")
+    if tabled:
+        base = contains.with_met(base, vault.claims(hints), text_col, "known__")
+    base = base.withColumn("general__", general.found(F.col(text_col)))
+    schema = T.StructType([*docs.drop(out_col, "plain_words", "general__", "known__").schema.fields, *T._parse_datatype_string(f"{out_col} {FINDING}, plain_words int").fields])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("confidence", pa.string()), ("source", pa.string()), ("rule", pa.string()), ("also", pa.list_(pa.string())), ("entities", pa.list_(pa.int32()))]))
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         k, found, plain = shared.value, [], []
-        for text, spans in zip(b.column(text_col).to_pylist(), b.column("general__").to_pylist(), strict=True):
+        met = b.column("known__").to_pylist() if tabled else [None] * b.num_rows
+        for text, spans, spellings in zip(b.column(text_col).to_pylist(), b.column("general__").to_pylist(), met, strict=True):
             doc = Reading(text or "")
-            hits = scan_document(doc, [Hit(s["start"], s["end"], s["kind"], s["confidence"] == "auto", GENERAL, s["rule"]) for s in spans or []], k)
+            hits = scan_document(doc, [Hit(s["start"], s["end"], s["kind"], s["confidence"] == "auto", GENERAL, s["rule"]) for s in spans or []], k, spellings or ())
             found.append([{"start": h.start, "end": h.end, "kind": h.kind, "confidence": "auto" if h.sure else "suggest", "source": h.source, "rule": h.rule, "also": h.also, "entities": h.entities} for h in hits])
             plain.append(doc.plain(hits))
-        keep = [i for i, n in enumerate(b.schema.names) if n != "general__"]
+        keep = [i for i, n in enumerate(b.schema.names) if n not in ("general__", "known__")]
         return pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(found, kind), pa.array(plain, pa.int32())], names=[*(b.schema.names[i] for i in keep), out_col, "plain_words"])
 
     return by_batch(base, run, schema)

@@ -11,8 +11,6 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .kernel import Hint
-
 SCHEMAS = {
     "entities": "entity_id int, kind string, label string, profile_id string",
     "values": "value_id int, entity_id int, kind string, value string, policy string, learned_at long, list string",
@@ -54,16 +52,12 @@ def hints(entities: DataFrame, values: DataFrame, aliases: DataFrame, lists: Dat
     return known.unionByName(more).distinct().orderBy(F.desc(F.octet_length("spelling")), "spelling", "entity_id")
 
 
-#: Spellings a scan takes at most; more have to be split by profile.
-MOST_HINTS = 200_000
-
-
-def as_hints(table: DataFrame) -> list[Hint]:
-    """For scan.knowledge(): the vault is a person's own table; its size is checked before it is sent out."""
-    rows = table.limit(MOST_HINTS + 1).collect()
-    if len(rows) > MOST_HINTS:
-        raise ValueError(f"over {MOST_HINTS} spellings; split them by profile")
-    return [Hint(r["spelling"], r["kind"], r["policy"], r["entity_id"]) for r in rows]
+def claims(hint_table: DataFrame) -> DataFrame:
+    """What scan.scan() takes: a row a spelling in NFC, the kind of its least entity, its entities, and sure: one entity claims it,
+    Always in one row at least. Manual ones are left out."""
+    live = hint_table.where(F.col("policy") != "Manual").withColumn("spelling", nfc("spelling"))
+    owners = F.array_sort(F.collect_set("entity_id"))
+    return live.groupBy("spelling").agg(F.min_by("kind", F.struct("entity_id", "kind")).alias("kind"), ((F.min("entity_id") == F.max("entity_id")) & F.max(F.col("policy") == "Always")).alias("sure"), owners.alias("entities"))
 
 
 def conflicts(hint_table: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X, validators as V
-from ..operators import general, marks, names, protect, report, scan, vault
+from ..operators import contains, general, marks, names, protect, report, scan, vault
 from ..operators.lexicon import LABELS
 from ..operators.spans import matches, splice
 from ..sources import readers, sinks
@@ -505,15 +505,28 @@ def vault_decisions(spark, sf_dir):
     return vault.decide(f, no.unionByName(yes).unionByName(early)).groupBy("kind", "state").agg(F.count("*").alias("n"))
 
 
-@query(_VAULT_SQL + "SELECT count(*) AS findings FROM customer JOIN hints ON spelling = 'V' || (c_custkey % 60)")
+@query(_VAULT_SQL + """, c AS (SELECT spelling, arg_min(kind, entity_id) AS kind, count(DISTINCT entity_id) = 1 AND bool_or(policy = 'Always') AS sure, count(DISTINCT entity_id) AS owners FROM hints WHERE policy <> 'Manual' GROUP BY spelling)
+SELECT c_custkey AS doc_id, kind, CASE WHEN sure THEN 'Protected' ELSE 'Suggested' END AS state, 4 AS start, owners FROM customer JOIN c ON spelling = 'V' || (c_custkey % 60)""")
 def vault_scan(spark, sf_dir):
-    """Known values found in texts: a place for each customer whose text holds a spelling."""
+    """Known values found in texts; a spelling that two entities claim is only suggested."""
     c = table(spark, sf_dir, "customer")
-    once = _hints(spark, sf_dir).dropDuplicates(["spelling"])
     docs = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("ask v"), (F.col("c_custkey") % 60).cast("string"), F.lit(" now")).alias("text"))
-    found = scan.findings(scan.scan(docs, scan.knowledge(("sv",), hints=vault.as_hints(once)))).where("source = 'Vault'")
-    per = _hints(spark, sf_dir).groupBy("spelling").agg(F.count("*").alias("claims"))
-    return found.join(per, F.upper("value") == F.col("spelling")).agg(F.coalesce(F.sum("claims"), F.lit(0)).alias("findings"))
+    hints = _hints(spark, sf_dir)
+    found = scan.findings(scan.scan(docs, scan.knowledge(("sv",)), hints=hints)).where("source = 'Vault'")
+    owners = vault.claims(hints).select("spelling", F.size("entities").cast("long").alias("owners"))
+    return found.join(owners, F.upper("value") == F.col("spelling")).select("doc_id", "kind", "state", "start", "owners")
+
+
+@query("""
+WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS n FROM lineitem), s AS (SELECT o_orderkey, n FROM orders, range(1, 71) r(n))
+SELECT doc_id, count(*) AS places, CAST(sum(length('order ' || doc_id || ' line ' || t.n)) AS BIGINT) AS chars FROM t JOIN s ON s.o_orderkey = t.doc_id AND s.n = t.n GROUP BY doc_id
+""")
+def vault_contains(spark, sf_dir):
+    """Orders' texts against seventy spellings an order (over a million at sf0.01), most of which no text holds."""
+    line = F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"), F.lit("\nline "), F.col("l_linenumber").cast("string"))
+    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "; ").alias("text"))
+    spellings = table(spark, sf_dir, "orders").select(F.explode(F.sequence(F.lit(1), F.lit(70))).alias("n"), "o_orderkey").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" line "), F.col("n").cast("string")).alias("spelling"))
+    return contains.places(docs, spellings).groupBy("doc_id").agg(F.count("*").alias("places"), F.sum(F.col("end") - F.col("start")).cast("long").alias("chars"))
 
 
 # -- name banks, chats, readers ----------------------------------------------------------------------------------------------
