@@ -272,8 +272,8 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = 2) -> np.ndarray:
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Learns from the rows where not held_out, and scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
+    """Learns from the rows where not held_out (a null condition is false), and scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     learnt = rows.where(~F.col("held_out"))
     counted = staged(counts(learnt), "lm-counts")
     v, beyond = vocabulary(counted)

@@ -174,7 +174,7 @@ def _batches(b: pa.RecordBatch, column: int):
 
 
 def _anchors(docs: DataFrame, words: int | None = None) -> DataFrame:
-    """row, doc_id, md5, n_bytes, sha, long (of LENGTH bytes), wordy (of so many words), and the hashes of the text's buckets with 1 or 2 (more than one stretch)."""
+    """row, doc_id, md5, n_bytes, sha, long (of LENGTH bytes), wordy (of so many words), and the hashes of the text's buckets with the number of its stretches there."""
 
     def run(batches):
         part, row = TaskContext.get().partitionId(), 0
@@ -191,7 +191,7 @@ def _anchors(docs: DataFrame, words: int | None = None) -> DataFrame:
                 order = np.lexsort((h, doc))
                 doc, h = doc[order], h[order]
                 first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.empty(0, np.int64)
-                times = np.minimum(np.diff(np.r_[first, len(h)]), 2)
+                times = np.diff(np.r_[first, len(h)])
                 doc, h = doc[first], h[first].view(np.int64)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
