@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .intervals import untouched
 from .protect import find_in_document
 from .spans import matches
 
@@ -13,11 +14,11 @@ def overlay(protections: DataFrame, acts: DataFrame, id_col: str = "doc_id") ->
     act that it takes back in `of`. Of the acts left, the latest that touches a place decides; protections no act touches stay."""
     undone = acts.where("op = 'undo'").select(id_col, F.col("of").alias("act"))
     live = acts.where("op != 'undo'").join(undone, [id_col, "act"], "left_anti")
-    a = live.select(F.col(id_col).alias("i__"), F.col("act").alias("act__"), F.col("op").alias("op__"), F.col("start").alias("s__"), F.col("end").alias("e__"))
-    touch = lambda d, s, e: (d[id_col] == F.col("i__")) & (F.col(s) < F.col("e__")) & (F.col("s__") < F.col(e))
-    kept = protections.join(a, touch(protections, "start", "end"), "left_anti").select(id_col, "start", "end", "kind")
+    kept = untouched(protections, live, [id_col]).select(id_col, "start", "end", "kind")
+    a = live.select(F.col(id_col).alias("i__"), F.col("act").alias("act__"), F.col("start").alias("s__"), F.col("end").alias("e__"))
     added = live.where("op = 'protect'")
-    later = added.join(a, touch(added, "start", "end") & (F.col("act__") > F.col("act")), "left_anti").select(id_col, "start", "end", "kind")
+    over = (added[id_col] == F.col("i__")) & (F.col("start") < F.col("e__")) & (F.col("s__") < F.col("end")) & (F.col("act__") > F.col("act"))
+    later = added.join(a, over, "left_anti").select(id_col, "start", "end", "kind")  # acts are made by hand, one after the other
     return kept.unionByName(later)
 
 

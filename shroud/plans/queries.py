@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X, validators as V
-from ..operators import contains, general, marks, names, protect, report, scan, vault
+from ..operators import contains, general, intervals, marks, names, protect, report, scan, vault
 from ..operators.lexicon import LABELS
 from ..operators.spans import matches, splice
 from ..sources import readers, sinks
@@ -251,13 +251,25 @@ WITH a AS (SELECT l_orderkey AS k, l_linenumber AS i, CAST(l_linenumber * 10 AS
 SELECT k, count(*) AS free FROM a x WHERE kind = 0 AND NOT EXISTS (SELECT 1 FROM a y WHERE y.k = x.k AND y.kind = 1 AND x.s < y.e AND y.s < x.e) GROUP BY k
 """)
 def spans_anti_overlap(spark, sf_dir):
-    """Candidates that no span of the other kind overlaps: an equi-join on the document with an interval condition."""
+    """Candidates that no span of the other kind overlaps: a sweep over both."""
     a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 10).cast("int").alias("s"), (F.col("l_linenumber") * 10 + F.col("l_suppkey") % 14).cast("int").alias("e"), (F.col("l_suppkey") % 2).alias("kind"))
-    other = a.where("kind = 1").select(F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    free = a.where("kind = 0").join(other, (F.col("k") == F.col("k2")) & (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")), "left_anti")
+    free = intervals.untouched(a.where("kind = 0"), a.where("kind = 1"), ["k"], start="s", end="e")
     return free.groupBy("k").agg(F.count("*").alias("free"))
 
 
+@query(r"""
+WITH w AS (SELECT l_suppkey % 7 AS k, CAST(l_orderkey AS INTEGER) AS s, CAST(l_orderkey + 1 + l_linenumber % 3 AS INTEGER) AS e, l_partkey % 3 AS side FROM lineitem),
+x AS (SELECT DISTINCT k, s, e FROM w WHERE side = 0), y AS (SELECT DISTINCT k, s, e FROM w WHERE side = 1)
+SELECT k, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM y WHERE y.k = x.k AND x.s < y.e AND y.s < x.e)) AS touched FROM x GROUP BY k
+""")
+def spans_semi_overlap(spark, sf_dir):
+    """Seven groups of very many intervals each: how many an interval of the other side overlaps."""
+    w = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 7).alias("k"), F.col("l_orderkey").cast("int").alias("s"), (F.col("l_orderkey") + 1 + F.col("l_linenumber") % 3).cast("int").alias("e"), (F.col("l_partkey") % 3).alias("side"))
+    one = lambda side: w.where(F.col("side") == side).select("k", "s", "e").distinct()
+    got = intervals.marked(one(0), one(1), ["k"], start="s", end="e")
+    return got.groupBy("k").agg(F.count("*").alias("n"), F.count_if("touched").alias("touched"))
+
+
 # -- scan, protect, restore --------------------------------------------------------------------------------------------------
 
 _LETTER = "concat('Customer number: ', c_custkey, {n}, 'E-mail: c', c_custkey, '@example.com', {n}, 'Phone: +', replace({phone}, '-', ' '), {n}, 'We met Mr ', {name}, ' there.')"
