@@ -11,10 +11,10 @@ by its digest, so copies are posted and met once.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .batches import by_batch, by_pieces, spread
 from .bloom import bloom
@@ -64,49 +64,64 @@ def standing(text: str, met: Iterable[dict] | None) -> Iterator[tuple[dict, list
                 yield row, found
 
 
-def text_key(text_col: str):
-    return F.md5(F.col(text_col))
+def substring_keys(spelling: str) -> list[str]:
+    """Keys of a spelling that may stand anywhere, inside words too, in its own writing: all runs of four characters."""
+    return sorted({spelling[k : k + 4] for k in range(max(1, len(spelling) - 3))})
 
 
-def met(docs: DataFrame, spellings: DataFrame, text_col: str = "text") -> DataFrame:
+def substring_text_keys(text: str) -> set[str]:
+    return {text[k : k + n] for n in range(1, 5) for k in range(len(text) - n + 1)}
+
+
+def text_key(text_col: str, scope: str | None = None) -> Column:
+    return F.md5(F.concat(F.coalesce(F.col(scope).cast("string"), F.lit("")), F.lit("\x00"), text_col) if scope else F.col(text_col))
+
+
+def met(docs: DataFrame, spellings: DataFrame, text_col: str = "text", scope: str | None = None, keys_of: Callable = spelling_keys, keys_in: Callable = text_keys) -> DataFrame:
     """text_key, met: for each text that may hold any, its spellings as an array of the rows of `spellings` (column spelling, and
-    any others); a superset of what it holds. Blank and null spellings are never met."""
+    any others); a superset of what it holds. Blank and null spellings are never met.
+
+    scope: a column of both sides; a text meets only spellings of its own scope (null is one). keys_of and keys_in: what a
+    spelling needs and a text has.
+    """
     spark = docs.sparkSession
-    named = kept(spellings.where(F.trim("spelling") != "").dropDuplicates(["spelling"]), "contains-spellings")
+    named = spellings.where(F.trim("spelling") != "").withColumn("at__", F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit(""))
+    named = kept(named.dropDuplicates(["at__", "spelling"]), "contains-spellings")
 
     def keyed(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [(s, k, len(ks)) for s in b.column(0).to_pylist() for ks in [spelling_keys(s)] for k in ks]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))], names=["spelling", "key", "n"])
+        keys = [(at, s, f"{at}\x00{k}", len(ks)) for at, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for ks in [keys_of(s)] for k in ks]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=["at__", "spelling", "key", "n"])
 
-    keys = kept(by_batch(named.select("spelling"), keyed, "spelling string, key string, n int"), "contains-keys")
+    keys = kept(by_batch(named.select("at__", "spelling"), keyed, "at__ string, spelling string, key string, n int"), "contains-keys")
     filter_ = spark.sparkContext.broadcast(bloom(keys, "key"))
 
     def posted(batches):
         for b in batches:
             out = []
-            for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = list(text_keys(text))
+            for at, text, where in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = [f"{where}\x00{k}" for k in keys_in(text)]
                 out += [(at, own[k]) for k in filter_.value.may_hold(own).nonzero()[0].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(2)], names=["text_key", "key"])
 
-    texts = spread(docs.select(text_key(text_col).alias("text_key"), text_col).where(F.length(text_col) > 0))
+    place = F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")
+    texts = spread(docs.where(F.length(text_col) > 0).select(text_key(text_col, scope).alias("text_key"), text_col, place.alias("at__")))
     posts = kept(by_pieces(texts, posted, "text_key string, key string").distinct(), "contains-posts")
     seen = posts.groupBy("key").agg(F.count("*").alias("texts"))
-    whole = keys.join(seen, "key").groupBy("spelling", "n").agg(F.count("*").alias("there"), F.min(F.struct("texts", "key")).alias("rarest")).where("there = n")
-    chosen = kept(whole.select("spelling", "rarest.*").withColumn("deals", F.ceil(F.col("texts") / HEAVY).cast("int")), "contains-chosen")
+    whole = keys.join(seen, "key").groupBy("at__", "spelling", "n").agg(F.count("*").alias("there"), F.min(F.struct("texts", "key")).alias("rarest")).where("there = n")
+    chosen = kept(whole.select("at__", "spelling", "rarest.*").withColumn("deals", F.ceil(F.col("texts") / HEAVY).cast("int")), "contains-chosen")
     heavy = chosen.where("deals > 1").select("key", F.col("deals").alias("d")).distinct()
     dealt = posts.join(chosen.select("key").distinct(), "key", "left_semi").join(heavy, "key", "left").withColumn("deal", F.pmod(F.xxhash64("text_key"), F.coalesce("d", F.lit(1))).cast("int"))
-    pairs = chosen.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).join(dealt, ["key", "deal"]).select("spelling", "text_key")
-    found = pairs.join(named, "spelling").groupBy("text_key").agg(F.collect_list(F.struct(*spellings.columns)).alias("met"))
+    pairs = chosen.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).join(dealt, ["key", "deal"]).select("at__", "spelling", "text_key")
+    found = pairs.join(named, ["at__", "spelling"]).groupBy("text_key").agg(F.collect_list(F.struct(*spellings.columns)).alias("met"))
     out = kept(found, "contains-met")
     dropped(named, keys, posts, chosen)
     return out
 
 
-def with_met(docs: DataFrame, spellings: DataFrame, text_col: str = "text", out_col: str = "met") -> DataFrame:
+def with_met(docs: DataFrame, spellings: DataFrame, text_col: str = "text", out_col: str = "met", scope: str | None = None, **keys) -> DataFrame:
     """docs with an array of the spellings that each text may hold (null: none)."""
-    pairs = met(docs, spellings, text_col).withColumnRenamed("text_key", "text_key__").withColumnRenamed("met", out_col)
-    return docs.drop(out_col).join(pairs, text_key(text_col) == F.col("text_key__"), "left").drop("text_key__")
+    pairs = met(docs, spellings, text_col, scope, **keys).withColumnRenamed("text_key", "text_key__").withColumnRenamed("met", out_col)
+    return docs.drop(out_col).join(pairs, text_key(text_col, scope) == F.col("text_key__"), "left").drop("text_key__")
 
 
 def places(docs: DataFrame, spellings: DataFrame, text_col: str = "text") -> DataFrame:

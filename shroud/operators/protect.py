@@ -7,16 +7,19 @@ values within a namespace and kind is found by collisions() and is an error, nev
 
 from __future__ import annotations
 
-from hashlib import blake2b
+from collections import Counter
+from hashlib import blake2b, md5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..plans.kinds import KINDS
 from .batches import by_batch, by_pieces
+from .contains import substring_keys, substring_text_keys, with_met
 from .kernel import Reading, nfc, occurrences, token_spans
 from .known import Hint, Known, Stretches, key
 from .spans import matches, utf16
+from .vault import nfc as nfc_text
 
 TOKEN = "__Z_[A-Za-z0-9]{4}_[A-Z0-9]+_[A-Za-z0-9]{4,8}__"
 PROTECTION = "array<struct<start:int,end:int,kind:string,value:string,token:string>>"
@@ -153,18 +156,40 @@ def payload(protected: DataFrame, request: Column, out_col: str = "payload", tex
     return out.withColumn("pages", F.transform(breaks, lambda m: utf16(F.col("protected"), m["end"] + shift(m["start"]))))
 
 
-def audit(protected: DataFrame, text_col: str = "text", out: str = "protected") -> DataFrame:
-    """A row for each protected value: how often it stands in the text that leaves, outside tokens, and how often it may.
+def audit(protected: DataFrame, text_col: str = "text", out: str = "protected", request: str | None = None, session: str | None = None) -> DataFrame:
+    """A row for each document and secret that it protects or that stands in what leaves: how often it stands there, outside
+    tokens, and how often it may.
 
-    It may as often as in the original less the places replaced; raw substrings count, so a value inside a longer word does.
-    All values of a document are counted before they part, so no text is copied.
+    Secrets are all values that any document of the session protects (session: its column; without it all rows are one).
+    What leaves is `out`, the payload where a request goes along; what entered is the text and that request (a column). A
+    secret may stand as often as in what entered less the places replaced. Both sides are counted by one expression, in NFC and
+    as raw substrings, so a value inside a longer word counts. Texts meet secrets by their rarest run of four characters
+    (contains.met), however many there are.
     """
-    times = lambda text, value: ((F.length(text) - F.length(F.replace(text, value))) / F.length(value)).cast("long")
-    bare, places = without_tokens(F.col(out)), F.col("protections")
-    counted = lambda v: F.struct(F.md5(v).alias("secret"), times(F.col("bare__"), v).alias("left"), (times(F.col(text_col), v) - F.size(F.filter(places, lambda p: p["value"] == v))).alias("allowed"))
-    keep = [c for c in protected.columns if c not in ("protections", "findings", "plain_words", text_col, out)]
-    rows = protected.withColumn("bare__", bare).select(*keep, F.explode(F.transform(F.array_distinct(F.transform(places, lambda p: p["value"])), counted)).alias("c"))
-    return rows.select(*keep, "c.*", (F.col("c.left") > F.col("c.allowed")).alias("leak"))
+    scope = [session] if session else []
+    keep = [c for c in protected.columns if c not in ("protections", "findings", "plain_words", text_col, out, request, "secret", "left", "allowed", "leak")]
+    entered = F.coalesce(F.col(text_col), F.lit(""))
+    if request:
+        entered = F.concat(entered, F.lit(REQUEST), F.coalesce(request, F.lit("")))
+    values = nfc_text(F.array_join(F.transform("protections", lambda p: p["value"]), "\x01"))
+    sides = protected.select(*keep, values.alias("own__"), nfc_text(without_tokens(entered)).alias("in__"), nfc_text(without_tokens(F.coalesce(out, F.lit("")))).alias("out__"))
+    secrets = sides.select(*scope, F.explode(F.split("own__", "\x01")).alias("spelling")).where("spelling != ''").distinct()
+    met = with_met(sides, secrets, "out__", "met__", session, keys_of=substring_keys, keys_in=substring_text_keys)
+    schema = T.StructType([*(met.schema[c] for c in keep), *T._parse_datatype_string("c__ array<struct<secret:string,left:long,allowed:long,leak:boolean>>").fields])
+    kind = pa.list_(pa.struct([("secret", pa.string()), ("left", pa.int64()), ("allowed", pa.int64()), ("leak", pa.bool_())]))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for own, before, after, found in zip(*(b.column(c).to_pylist() for c in ("own__", "in__", "out__", "met__")), strict=True):
+            replaced, counted = Counter(v for v in (own or "").split("\x01") if v), []
+            for v in sorted({*replaced, *(s["spelling"] for s in found or ())}):
+                left, allowed = after.count(v), max(0, before.count(v) - replaced[v])
+                if left or v in replaced:
+                    counted.append({"secret": md5(v.encode()).hexdigest(), "left": left, "allowed": allowed, "leak": left > allowed})
+            rows.append(counted)
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(rows, kind)], names=[*keep, "c__"])
+
+    return by_batch(met, run, schema).select(*keep, F.explode("c__").alias("c__")).select(*keep, "c__.*")
 
 
 SEGMENTS = "array<struct<text:string,piece:string>>"

@@ -341,14 +341,23 @@ def protect_round_trip(spark, sf_dir):
     return back.select("doc_id", "restored", F.size("tokens").alias("tokens"), F.size("unresolved").alias("unresolved"))
 
 
-@query(_FOUND_SQL + "SELECT doc_id, md5(value) AS secret, CAST(CASE WHEN kind = 'Person' AND doc_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS \"left\", 0::BIGINT AS allowed, kind = 'Person' AND doc_id % 5 = 0 AS leak FROM f WHERE kind <> 'CustomerNo'")
+@query(_FOUND_SQL + """, s AS (SELECT DISTINCT value AS v FROM f),
+w AS (SELECT doc_id, text || chr(10) || chr(10) || '--- Request ---' || chr(10) || 'Summarise this.' AS entered,
+concat('Customer number: ', chr(1), chr(10), 'E-mail: ', chr(1), chr(10), 'Phone: ', chr(1), chr(10), 'We met Mr ', chr(1), ' there.', CASE doc_id % 5 WHEN 0 THEN ' by ' || person WHEN 1 THEN ' by c' || (doc_id + 1) || '@example.com' ELSE '' END,
+chr(10), chr(10), '--- Request ---', chr(10), 'Summarise this.', CASE WHEN doc_id % 5 = 2 THEN ' Call ' || phone ELSE '' END) AS sent FROM t),
+c AS (SELECT w.doc_id, v, (length(sent) - length(replace(sent, v, ''))) // length(v) AS "left", (length(entered) - length(replace(entered, v, ''))) // length(v) AS inside FROM w CROSS JOIN s WHERE contains(sent, v) OR contains(entered, v)),
+o AS (SELECT DISTINCT doc_id, value AS v FROM f)
+SELECT c.doc_id, md5(c.v) AS secret, CAST("left" AS BIGINT) AS "left", CAST(greatest(0, inside - (o.v IS NOT NULL)::INT) AS BIGINT) AS allowed, "left" > greatest(0, inside - (o.v IS NOT NULL)::INT) AS leak
+FROM c LEFT JOIN o ON o.doc_id = c.doc_id AND o.v = c.v WHERE "left" > 0 OR o.v IS NOT NULL""")
 def protect_audit(spark, sf_dir):
-    """The audit of letters of which a fifth let a name slip out after their tokens."""
+    """The audit of payloads over one session: a fifth lets its own name slip out, a fifth another customer's address, a fifth a phone number in its request."""
     made = protect.protect(_scanned(spark, sf_dir), SECRET)
-    person = F.element_at(F.filter("protections", lambda p: p["kind"] == "Person"), 1)["value"]
-    leaky = made.withColumn("protected", F.when(F.col("doc_id") % 5 == 0, F.concat("protected", F.lit(" by "), person)).otherwise(F.col("protected")))
-    number = F.md5(F.col("doc_id").cast("string"))  # customer numbers also stand inside other values, so their counts are no constants
-    return protect.audit(leaky).where(F.col("secret") != number).select("doc_id", "secret", "left", "allowed", "leak")
+    value = lambda kind: F.element_at(F.filter("protections", lambda p: p["kind"] == kind), 1)["value"]
+    which = F.col("doc_id") % 5
+    slip = F.when(which == 0, F.concat(F.lit(" by "), value("Person"))).when(which == 1, F.concat(F.lit(" by c"), (F.col("doc_id") + 1).cast("string"), F.lit("@example.com"))).otherwise("")
+    asked = F.concat(F.lit("Summarise this."), F.when(which == 2, F.concat(F.lit(" Call "), value("Phone"))).otherwise(""))
+    sent = protect.payload(made.withColumn("protected", F.concat("protected", slip)), asked).withColumn("request", F.lit("Summarise this."))
+    return protect.audit(sent, out="payload", request="request").select("doc_id", "secret", "left", "allowed", "leak")
 
 
 @query("SELECT count(*) AS documents, 0::BIGINT AS collisions FROM customer")
