@@ -48,8 +48,48 @@ def line_around(text: Column, start: Column, end: Column, most: int = 160) -> Co
     return F.substr(F.concat(F.substring_index(before, "\n", -1), F.substring_index(after, "\n", 1)), F.lit(1), F.lit(most))
 
 
+#: Lines that stand for a word.
+EXAMPLES = 3
+_TOP = "top array<struct<here:boolean,doc_id:long,start:int,rule:string,line:string>>"
+_PARTIAL = f"word string, doc_id long, page int, n long, pages long, {_TOP}"
+
+
+def _first(top: list[tuple]) -> list[tuple]:
+    return sorted(top, key=lambda x: (x[0], x[1] or 0, *x[2:]))[:EXAMPLES]
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.struct([("here", pa.bool_()), ("doc_id", pa.int64()), ("start", pa.int32()), ("rule", pa.string()), ("line", pa.string())]))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["word", "doc_id", "page", "n", "pages", "top"])
+
+
+def _merged(batches):
+    """Partial rows that come in order of their word (and page): one row a word, with its first lines and its different pages."""
+    word = page = None
+    n = pages = 0
+    top: list[tuple] = []
+    for b in batches:
+        out = []
+        for w, doc, at, more, found, lines in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if w != word:
+                if word is not None:
+                    out.append((word, None, None, n, pages, top))
+                word, page, n, pages, top = w, None, 0, 0, []
+            n += more
+            pages += found if at is None else page != (doc, at)
+            page = (doc, at)
+            top = _first(top + [tuple(x.values()) for x in lines])
+        yield _rows(out)
+    if word is not None:
+        yield _rows([(word, None, None, n, pages, top)])
+
+
 def name_candidates(docs: DataFrame, known: Knowledge, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """word, rule, occurrences, pages (at least 1), examples (the first three lines): surnames no dictionary holds."""
+    """word, rule, occurrences, pages (at least 1), examples (the first three lines): surnames no dictionary holds.
+
+    A word's lines are an aggregate that can be merged: each text keeps the first three of a page, each task of a word's pages
+    the first three of those, and only then a word's partial rows come together, one a task. So a common word is many tasks.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
@@ -57,20 +97,21 @@ def name_candidates(docs: DataFrame, known: Knowledge, id_col: str = "doc_id", t
         for b in batches:
             out = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                doc = Reading(text or "")
+                doc, found = Reading(text or ""), {}
                 classes = k.lexer.of(doc)
                 for people in k.people.values():
                     for a, z, _, rule in people.discover(doc, classes):
                         line = text[text.rfind("\n", 0, a) + 1 : (text.find("\n", z) + 1 or len(text) + 1) - 1]
-                        out.append((i, text[a:z], rule, text.count("\f", 0, a) + 1, a, line[:160]))
-            kinds = pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["doc_id", "word", "rule", "page", "start", "line"])
-
-    found = by_pieces(spread(docs.select(F.col(id_col).cast("long"), text_col)), run, "doc_id long, word string, rule string, page int, start int, line string")
-    w = Window.partitionBy("word").orderBy("doc_id", "start")
-    ranked = found.withColumn("r", F.row_number().over(w))
-    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.struct("r", "line")))), lambda x: x["line"])
-    return ranked.groupBy("word").agg(F.min_by("rule", "r").alias("rule"), F.count("*").alias("occurrences"), F.greatest(F.lit(1), F.count_distinct("doc_id", "page")).alias("pages"), first.alias("examples")).orderBy(F.desc("occurrences"), "word")
+                        found.setdefault((text[a:z], text.count("\f", 0, a) + 1), []).append((i is not None, i, a, rule, line[:160]))
+                out += [(word, i, page, len(places), 1, _first(places)) for (word, page), places in found.items()]
+            yield _rows(out)
+
+    found = by_pieces(spread(docs.select(F.col(id_col).cast("long"), text_col)), run, _PARTIAL)
+    keys = ("word", "doc_id", "page")
+    paged = found.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merged, _PARTIAL)
+    whole = paged.repartition("word").sortWithinPartitions("word").mapInArrow(_merged, _PARTIAL)
+    lines = F.transform("top", lambda x: x["line"])
+    return whole.select("word", F.get("top", F.lit(0))["rule"].alias("rule"), F.col("n").alias("occurrences"), F.greatest(F.lit(1), "pages").alias("pages"), lines.alias("examples")).orderBy(F.desc("occurrences"), "word")
 
 
 def chat_so_far(turns: DataFrame) -> DataFrame:

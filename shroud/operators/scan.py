@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import contains, general, vault
-from .batches import by_batch, spread
+from .batches import by_batch, pieces, spread
 from .kernel import GENERAL, PACKS, Hint, Hit, Knowledge, Labels, Names, Reading, nfc, scan_document, scan_text
 from .lexicon import LABELS, LabelRow, dictionary
 
@@ -92,15 +94,40 @@ def findings(scanned: DataFrame, text_col: str = "text", col: str = "findings")
 
 
 def register(spark: SparkSession, known: Knowledge | None = None) -> None:
-    """SQL: pii_scan(text), a table function with a row a finding (labels, names and known values; no general rules)."""
-    k = known or knowledge()
+    """SQL: pii_scan(TABLE(docs), 'de,en'), a table function over Arrow batches with a row a finding.
 
-    @F.udtf(returnType="start: int, end: int, kind: string, confidence: string, rule: string")
+    docs has doc_id and text; the packs are an argument (blank: those of `known`, whose names, labels and known values hold in
+    any case). Findings of the general rules are among them where docs has the column general__ of readable().
+    """
+    k = known or knowledge()
+    per: dict[str, Knowledge] = {"": k}
+
+    def of(packs: str) -> Knowledge:
+        if packs not in per:
+            asked = tuple(p.strip() for p in packs.split(",") if p.strip())
+            if wrong := [p for p in asked if p not in PACKS]:
+                raise ValueError(f"no pack is called {wrong[0]}; there are {', '.join(PACKS)}")
+            own = knowledge(asked)
+            per[packs] = replace(own, names=own.names | {p: n for p, n in k.names.items() if p in asked}, hints=k.hints, exceptions=k.exceptions)
+        return per[packs]
+
+    @F.arrow_udtf(returnType="doc_id long, start int, end int, kind string, confidence string, source string, rule string, value string")
     class PiiScan:
-        def eval(self, text: str):
-            for h in scan_text(text or "", [], k):
-                yield h.start, h.end, h.kind, "auto" if h.sure else "suggest", h.rule
+        def eval(self, docs: pa.RecordBatch, packs: pa.Array):
+            mine = of((packs[0].as_py() if len(packs) else "") or "")
+            for part in pieces(docs):
+                rows = []
+                general_ = part.column("general__").to_pylist() if "general__" in part.schema.names else [None] * part.num_rows
+                for i, text, spans in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), general_, strict=True):
+                    hits = scan_text(text or "", [Hit(s["start"], s["end"], s["kind"], s["confidence"] == "auto", GENERAL, s["rule"]) for s in spans or []], mine)
+                    rows += [(i, h.start, h.end, h.kind, "auto" if h.sure else "suggest", h.source, h.rule, text[h.start : h.end]) for h in hits]
+                kinds = pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5
+                names = "doc_id", "start", "end", "kind", "confidence", "source", "rule", "value"
+                yield pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=list(names))
 
     spark.udtf.register("pii_scan", PiiScan)
 
 
+def readable(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """docs as a view for pii_scan: doc_id, text and what the general rules find."""
+    docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), general.found(F.col(text_col)).alias("general__")).createOrReplaceTempView(name)

@@ -11,6 +11,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .staging import kept
+
 SCHEMAS = {
     "entities": "entity_id int, kind string, label string, profile_id string",
     "values": "value_id int, entity_id int, kind string, value string, policy string, learned_at long, list string",
@@ -110,13 +112,14 @@ def list_sizes(lists: DataFrame, names: DataFrame, values: DataFrame) -> DataFra
 
 
 def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """Adds 1, 2, … in the order of a string column: a number inside rows of equal first letters plus the rows before them,
-    so no task sees all rows."""
-    led = rows.withColumn("lead__", F.substring(by, 1, 3))
-    sizes = led.groupBy("lead__").agg(F.count("*").alias("n__"))  # a row for each beginning of three letters
-    above = sizes.select("lead__", (F.sum("n__").over(Window.orderBy("lead__")) - F.col("n__")).alias("above__"))
-    inside = F.row_number().over(Window.partitionBy("lead__").orderBy(by))
-    return led.withColumn("inside__", inside).join(above, "lead__").withColumn(name, (F.col("above__") + F.col("inside__")).cast("int")).drop("lead__", "inside__", "above__")
+    """Adds 1, 2, … in the order of a column whose values differ: rows are dealt out by sampled ranges, and a number is the place in
+    its range plus the rows of the ranges before, so no task sees all rows however alike the values begin."""
+    dealt = rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("part__", F.spark_partition_id()).withColumn("at__", F.monotonically_increasing_id())
+    dealt = kept(dealt, "numbered")
+    ranges = dealt.groupBy("part__").agg(F.count("*").alias("n__"), F.min("at__").alias("first__"))  # a row a range
+    before = F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1))
+    above = ranges.select("part__", (F.coalesce(before, F.lit(0)) - F.col("first__") + 1).alias("above__"))
+    return dealt.join(above, "part__").withColumn(name, (F.col("above__") + F.col("at__")).cast("int")).drop("part__", "at__", "above__")
 
 
 def upsert_blocks(blocks: DataFrame, new: DataFrame) -> DataFrame:

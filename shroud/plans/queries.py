@@ -301,6 +301,14 @@ def scan_letters(spark, sf_dir):
     return scan.findings(_scanned(spark, sf_dir)).select("doc_id", "kind", "state", "value", "start")
 
 
+@query(_FOUND_SQL + "SELECT f.doc_id, kind, 'auto' AS confidence, value, CASE WHEN kind = 'CustomerNo' THEN 17 ELSE CAST(strpos(text, value) - 1 AS INTEGER) END AS start FROM f JOIN t ON f.doc_id = t.doc_id")
+def scan_table_function(spark, sf_dir):
+    """The scan as SQL: pii_scan over a view of the letters, with its pack as an argument."""
+    scan.register(spark)
+    scan.readable(letters(spark, sf_dir), "letters_to_scan")
+    return spark.sql("SELECT doc_id, kind, confidence, value, start FROM pii_scan(TABLE(letters_to_scan), 'en')")
+
+
 @query(_FOUND_SQL + "SELECT kind, 'Protected' AS state, count(*) AS n FROM f GROUP BY kind")
 def report_by_kind(spark, sf_dir):
     return report.by_kind(scan.findings(_scanned(spark, sf_dir)))
@@ -608,6 +616,16 @@ def read_files(spark, sf_dir):
     return read.select(F.col("path").cast("long").alias("doc_id"), "kind", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("refusal", F.lit("")).alias("refusal"))
 
 
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN n > 400 THEN '' ELSE repeat('line ' || o_orderkey || chr(10), CAST(o_orderkey % 90 + 1 AS INTEGER)) END AS text, CASE WHEN n > 400 THEN 'TooLarge' ELSE '' END AS refusal
+FROM (SELECT o_orderkey, (6 + length(CAST(o_orderkey AS VARCHAR))) * (o_orderkey % 90 + 1) AS n FROM orders)""")
+def read_refusals(spark, sf_dir):
+    """Files of which the large ones are refused before they are read."""
+    text = F.expr("repeat(concat('line ', o_orderkey, '\n'), CAST(o_orderkey % 90 + 1 AS INT))")
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.lit("txt").alias("kind"), text.cast("binary").alias("content"))
+    read = readers.extracted(files, most_bytes=400)
+    return read.select(F.col("path").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("refusal", F.lit("")).alias("refusal"))
+
+
 @query("""SELECT kind, word FROM (VALUES ('Person', 'PERSON'), ('Company', 'COMPANY'), ('Phone', 'PHONE'), ('Email', 'EMAIL'), ('Address', 'ADDRESS'), ('Iban', 'IBAN'), ('Bic', 'BIC'),
 ('Account', 'ACCOUNT'), ('CustomerNo', 'CUSTOMER'), ('TaxId', 'TAX'), ('IdCard', 'IDCARD'), ('Vehicle', 'VEHICLE'), ('Birthdate', 'BIRTHDATE'), ('EmployeeNo', 'EMPLOYEE'),
 ('SocialInsuranceNo', 'SOCIAL'), ('Contract', 'CONTRACT'), ('Amount', 'AMOUNT'), ('Date', 'DATE'), ('Custom', 'CUSTOM')) AS t(kind, word)""")
@@ -738,12 +756,13 @@ def scan_rules(spark, sf_dir):
 _WORD = "'Q' || translate(CAST(c_custkey % 300 AS {s}), '0123456789', 'abcdefghij') || 'ill'"
 
 
-@query(f"SELECT {_WORD.format(s='VARCHAR')} AS word, 'after-a-given-name' AS rule, count(*) AS occurrences, count(*) AS pages, CAST(least(3, count(*)) AS INTEGER) AS examples FROM customer GROUP BY 1")
+@query(f"""WITH c AS (SELECT {_WORD.format(s='VARCHAR')} AS word, c_custkey, 'we saw Laura ' || {_WORD.format(s='VARCHAR')} || ' there ' || c_custkey AS line FROM customer)
+SELECT word, 'after-a-given-name' AS rule, count(*) AS occurrences, count(*) AS pages, array_to_string(list(line ORDER BY c_custkey)[1:3], ' / ') AS examples FROM c GROUP BY word""")
 def report_name_candidates(spark, sf_dir):
     """Surnames that no list holds, after a given name that one does."""
     c = table(spark, sf_dir, "customer")
-    docs = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("we saw Laura "), F.expr(_WORD.format(s="STRING")), F.lit(" there")).alias("text"))
-    return report.name_candidates(docs, scan.knowledge(("en",))).select("word", "rule", "occurrences", "pages", F.size("examples").alias("examples"))
+    docs = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("we saw Laura "), F.expr(_WORD.format(s="STRING")), F.lit(" there "), F.col("c_custkey").cast("string")).alias("text"))
+    return report.name_candidates(docs, scan.knowledge(("en",))).select("word", "rule", "occurrences", "pages", F.array_join("examples", " / ").alias("examples"))
 
 
 @query(_FOUND_SQL + "SELECT doc_id, CAST(strpos(text, 'Mr ') + 2 AS INTEGER) AS start, 'Protected' AS state FROM t WHERE person = 'Cooper'")

@@ -6,18 +6,21 @@ TooManyPages, NoText, Unreadable, UnmappedFont, TooSlow, DisplayOrder, TooMuchTe
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import io
 import re
+import signal
+import threading
 import time
 import zipfile
 import zlib
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.batches import by_batch, by_pieces
+from ..operators.batches import by_batch, by_pieces, spread
 
 MOST_BYTES, MOST_PAGES, MOST_TEXT = 25 << 20, 2000, 4 << 20
 MOST_ENTRIES, MOST_ENTRY, MOST_RATIO, LEAST_UNPACKED = 512, 8 << 20, 200, 16 << 20
@@ -327,7 +330,26 @@ def display_share(text: str) -> int | None:
     return None if all_ < LEAST_ARABIC else 100 * shown // all_
 
 
-def extract(data: bytes, kind: str, protecting: bool = True) -> _Builder:
+@contextlib.contextmanager
+def _within(seconds: float):
+    """Stops what takes longer, wherever it is: a timer of the worker's main thread, in which Spark runs its functions."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise Refused("TooSlow")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def extract(data: bytes, kind: str, protecting: bool = True, seconds: float = MOST_SECONDS) -> _Builder:
     if len(data) > MOST_BYTES:
         raise Refused("TooLarge")
     if not data:
@@ -335,7 +357,8 @@ def extract(data: bytes, kind: str, protecting: bool = True) -> _Builder:
     if kind not in READERS:
         raise Refused("UnknownKind")
     try:
-        out = READERS[kind](data)
+        with _within(seconds):
+            out = READERS[kind](data)
     except (ArithmeticError, AttributeError, EOFError, LookupError, RecursionError, TypeError, ValueError, zlib.error) as why:  # a file's own faults never stop the others
         raise Refused("Malformed") from why
     if protecting and (display_share(out.text) or 0) >= DISPLAY_SHARE:
@@ -344,13 +367,23 @@ def extract(data: bytes, kind: str, protecting: bool = True) -> _Builder:
 
 
 def read_documents(spark: SparkSession, path: str, protecting: bool = True, glob: str = "*.{txt,docx,pdf}") -> DataFrame:
-    """A row a file under path, read or refused by name; the kind is the file's extension."""
+    """A row a file under path, read or refused by name; the kind is the file's extension. Files over MOST_BYTES are refused by
+    the listing alone: their content is never loaded."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return extracted(files.select("path", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("kind"), "content"), protecting)
+    return extracted(files.select("path", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("kind"), "length", "content"), protecting)
+
+
+def extracted(files: DataFrame, protecting: bool = True, most_bytes: int = MOST_BYTES, seconds: float = MOST_SECONDS) -> DataFrame:
+    """From path, kind, content (and length, where the files' listing gives it): text, pages … or a refusal. A file that is too large
+    doesn't reach the reader; one that takes longer than `seconds` is stopped."""
+    size = F.coalesce(F.col("length") if "length" in files.columns else F.octet_length("content"), F.lit(0))
+    large = files.where(size > most_bytes).select("path", "kind")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(RESULT).fields[2:-1]]
+    refused = large.select("path", "kind", *nothing, F.lit("TooLarge").alias("refusal"))
+    return _read(spread(files.where(size <= most_bytes).select("path", "kind", "content")), protecting, seconds).unionByName(refused)
 
 
-def extracted(files: DataFrame, protecting: bool = True) -> DataFrame:
-    """From path, kind, content."""
+def _read(files: DataFrame, protecting: bool, seconds: float) -> DataFrame:
 
     places = pa.list_(pa.struct([("start", pa.int32()), ("page", pa.int32()), ("paragraph", pa.int32())]))
 
@@ -358,14 +391,14 @@ def extracted(files: DataFrame, protecting: bool = True) -> DataFrame:
         out = []
         for path, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
             try:
-                r = extract(bytes(data or b""), kind, protecting)
+                r = extract(bytes(data or b""), kind, protecting, seconds)
                 out.append((path, kind, r.text, r.page, readable_percent(r.text), [{"start": s, "page": p, "paragraph": g} for s, p, g in r.places], None))
             except Refused as why:
                 out.append((path, kind, None, None, None, None, str(why)))
         kinds = pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), places, pa.string()
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["path", "kind", "text", "pages", "readable", "places", "refusal"])
 
-    return by_batch(files.select("path", "kind", "content"), run, RESULT)
+    return by_batch(files, run, RESULT)
 
 
 def place_of(read: DataFrame, start: Column) -> Column:

@@ -245,7 +245,15 @@ def test_windowed_counts_stream(spark, tmp_path):
 
 def test_sql_function(spark):
     scan.register(spark, scan.knowledge(("de",)))
-    assert [r["kind"] for r in spark.sql("SELECT * FROM pii_scan('Frau Krüger')").collect()] == ["Person"]
+    docs = spark.createDataFrame([(1, "Frau Krüger, a@b.de"), (2, None), (3, "Mr Baker met us")], "doc_id long, text string")
+    scan.readable(docs, "docs_to_scan")
+    found = lambda packs, view="docs_to_scan": sorted((r["doc_id"], r["kind"], r["value"]) for r in spark.sql(f"SELECT * FROM pii_scan(TABLE({view}), '{packs}')").collect())
+    assert found("") == [(1, "Email", "a@b.de"), (1, "Person", "Krüger")]
+    assert found("en, de") == [(1, "Email", "a@b.de"), (1, "Person", "Krüger"), (3, "Person", "Baker")]
+    docs.createOrReplaceTempView("docs_alone")
+    assert found("en", "docs_alone") == [(3, "Person", "Baker")]
+    with pytest.raises(Exception, match="no pack is called xx"):
+        found("xx")
 
 
 def test_queries_have_names_and_sql(spark):

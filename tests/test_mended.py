@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from shroud.operators import scan
+from shroud.operators import report, scan, vault
 from shroud.plans import made_files
 from shroud.sources import readers, sinks, versions
 
@@ -87,3 +87,31 @@ def test_findings_of_a_long_document(spark):
     same = Counter((text[a:z], k % 2) for k, (a, z) in enumerate(places))
     want = [(1, a, z, text[a:z], same[text[a:z], k % 2]) for k, (a, z) in enumerate(places)] + [(4, 0, 1, "a", 1)] * 2
     assert sorted((r["doc_id"], r["start"], r["end"], r["value"], r["occurrences"]) for r in scan.findings(docs).collect()) == sorted(want)
+
+
+def test_files_are_refused_before_they_are_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_text("short")
+    (tmp_path / "b.txt").write_text("long " * 100)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("path", "'txt' AS kind", "length", "content")
+    got = readers.extracted(files, most_bytes=100)
+    assert {r["path"][-5:]: (r["text"], r["refusal"]) for r in got.collect()} == {"a.txt": ("short", None), "b.txt": (None, "TooLarge")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "length" in plan and readers.read_documents(spark, str(tmp_path)).where("refusal IS NULL").count() == 2
+    monkeypatch.setitem(readers.READERS, "slow", lambda data: re.match(r"(a|b|ab)*c", "ab" * 40))
+    with pytest.raises(readers.Refused, match="TooSlow"):
+        readers.extract(b"x", "slow", seconds=0.3)
+    assert readers.extract(b"x", "txt").text == "x"
+
+
+def test_numbers_by_ranges(spark):
+    values = [f"+49 30 {k:07d}" for k in range(5000)]
+    made = spark.createDataFrame([(v,) for v in values[::-1]], "v string").repartition(7)
+    assert {r["v"]: r["place"] for r in vault.numbered(made, "v", "place").collect()} == {v: k + 1 for k, v in enumerate(values)}
+
+
+def test_candidates_lines_pages_and_places(spark):
+    lines = [f"we saw Laura Quill {k} there" for k in range(50)]
+    docs = [(k, "\n".join(lines[k : k + 3]) + "\f" + lines[k]) for k in range(40)] + [(5, lines[5]), (None, "met Laura Quill here")]
+    got = report.name_candidates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), scan.knowledge(("en",))).collect()
+    assert [(r["word"], r["rule"], r["occurrences"], r["pages"], r["examples"]) for r in got] == [("Quill", "after-a-given-name", 162, 81, ["met Laura Quill here", lines[0], lines[1]])]
+    assert "Window" not in report.name_candidates(spark.createDataFrame(docs, "doc_id long, text string"), scan.knowledge(("en",)))._jdf.queryExecution().optimizedPlan().toString()
