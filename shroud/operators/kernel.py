@@ -44,6 +44,18 @@ class Knowledge:
     def known(self) -> Known:
         return Known(self.hints)
 
+    def learn(self, met: Iterable[dict], most: int = 500_000) -> None:
+        """Takes in what a bank says of a text's words, before the text is read. Whether a word is a name hangs on the bank alone and
+        each text brings all of its names, so what has been kept of words before stays right; past `most` all is begun anew."""
+        for row in met or ():
+            for lang, kind in ((x["lang"], x["type"]) for x in row["is"]):
+                if lang in self.names and kind in ("given", "family"):
+                    own = self.names[lang].met_given if kind == "given" else self.names[lang].met_family
+                    if len(own) >= most:
+                        own.clear()
+                        self.lexer.kept.clear()
+                    own.add(row["spelling"])
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("people", "lexer", "known")}
 

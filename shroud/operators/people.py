@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field
 
 from .lexicon import Pack
 from .words import EDGE, EDGE_BUT_DOT, LANGUAGE, Facts, Form, Hit, Kept, Letters, Marks, Reading, as_read, capital
@@ -22,14 +22,14 @@ ANY, LINE, PAGE = "[ \n\f\v]", "[ \f]", "[ \n]"
 class Names:
     given: frozenset
     family: frozenset
-    taught_given: frozenset = frozenset()
-    taught_family: frozenset = frozenset()
+    met_given: set = field(default_factory=set)  # names of a bank that this worker's texts hold
+    met_family: set = field(default_factory=set)
 
     def is_given(self, s: str) -> bool:
-        return s.lower() in self.given or s.lower() in self.taught_given
+        return s.lower() in self.given or s.lower() in self.met_given
 
     def is_family(self, s: str) -> bool:
-        return s.lower() in self.family or s.lower() in self.taught_family
+        return s.lower() in self.family or s.lower() in self.met_family
 
 
 def _all(bits: int, wanted: int, without: int = 0) -> bool:

@@ -7,55 +7,52 @@ from dataclasses import replace
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from . import contains, general, vault
+from . import bank as bank_words, contains, general, vault
 from .batches import by_batch, pieces, spread
 from .kernel import GENERAL, PACKS, Hint, Hit, Knowledge, Labels, Names, Reading, nfc, scan_document, scan_text
 from .lexicon import LABELS, LabelRow, dictionary
 
+#: Columns of the way.
+_OWN = ("general__", "known__", "names__")
 FINDING = "array<struct<start:int,end:int,kind:string,confidence:string,source:string,rule:string,also:array<string>,entities:array<int>>>"
 
 
-def knowledge(packs: tuple[str, ...] = ("de",), taught_labels: list[LabelRow] = (), names: DataFrame | None = None, hints: list[Hint] = (), exceptions: set[tuple[str, str]] = frozenset()) -> Knowledge:
-    """names: lang, name, type (given or family): tables that a person keeps, of bounded size; without it a short own list."""
+def knowledge(packs: tuple[str, ...] = ("de",), taught_labels: list[LabelRow] = (), hints: list[Hint] = (), exceptions: set[tuple[str, str]] = frozenset()) -> Knowledge:
+    """What all tasks know: packs with their own short name lists, labels, a few known values and exceptions. Name banks and vaults are
+    tables, which scan() takes."""
     rows = [*LABELS["zz"], *(r for p in packs for r in LABELS.get(p, [])), *taught_labels]
     known: dict[str, Names] = {p: Names(*dictionary(p)) for p in packs if p in PACKS}
-    if names is not None:
-        for p in known:
-            got = names.where((F.col("lang") == p) & F.col("name").isNotNull()).select(F.lower("name").alias("name"), "type").distinct().limit(MOST_NAMES + 1).collect()
-            if len(got) > MOST_NAMES:
-                raise ValueError(f"over {MOST_NAMES} names of {p}; cut the bank by tier first")
-            known[p] = Names(known[p].given | {r["name"] for r in got if r["type"] == "given"}, known[p].family | {r["name"] for r in got if r["type"] == "family"})
     honorifics = frozenset().union(*(PACKS[p].honorifics for p in packs if p in PACKS))
     return Knowledge(tuple(packs), Labels(rows), honorifics, known, list(hints), frozenset((k, nfc(v)) for k, v in exceptions))
 
 
-#: Names of one language that a scan takes at most; knowledge() refuses a larger bank, which has to be cut by tier first.
-MOST_NAMES = 200_000
-
-
-def scan(docs: DataFrame, known: Knowledge | None = None, text_col: str = "text", out_col: str = "findings", hints: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, known: Knowledge | None = None, text_col: str = "text", out_col: str = "findings", hints: DataFrame | None = None, bank: DataFrame | None = None) -> DataFrame:
     """docs with findings (array) and plain_words (words that no finding touches). Null texts have none of either.
 
-    hints: known values as a table of any size (vault.hints); texts meet them by a contains join.
+    hints: known values as a table of any size (vault.hints); texts meet them by a contains join. bank: lang, name, type (given or
+    family), of any size; texts meet it by their words (bank.met_in).
     """
-    known, tabled = known or knowledge(), hints is not None
-    base = spread(docs).drop(out_col, "plain_words", "general__", "known__")
+    known, tabled, banked = known or knowledge(), hints is not None, bank is not None
+    base = spread(docs).drop(out_col, "plain_words", *_OWN)
     if tabled:
         base = contains.with_met(base, vault.claims(hints), text_col, "known__")
+    if banked:
+        base = bank_words.with_names(base, bank.where(F.col("lang").isin(*known.packs)), text_col, "names__")
     base = base.withColumn("general__", general.found(F.col(text_col)))
-    schema = T.StructType([*docs.drop(out_col, "plain_words", "general__", "known__").schema.fields, *T._parse_datatype_string(f"{out_col} {FINDING}, plain_words int").fields])
+    schema = T.StructType([*docs.drop(out_col, "plain_words", *_OWN).schema.fields, *T._parse_datatype_string(f"{out_col} {FINDING}, plain_words int").fields])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("confidence", pa.string()), ("source", pa.string()), ("rule", pa.string()), ("also", pa.list_(pa.string())), ("entities", pa.list_(pa.int32()))]))
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         k, found, plain = shared.value, [], []
-        met = b.column("known__").to_pylist() if tabled else [None] * b.num_rows
-        for text, spans, spellings in zip(b.column(text_col).to_pylist(), b.column("general__").to_pylist(), met, strict=True):
+        met, named = (b.column(c).to_pylist() if there else [None] * b.num_rows for c, there in (("known__", tabled), ("names__", banked)))
+        for text, spans, spellings, names in zip(b.column(text_col).to_pylist(), b.column("general__").to_pylist(), met, named, strict=True):
+            k.learn(names)
             doc = Reading(text or "")
             hits = scan_document(doc, [Hit(s["start"], s["end"], s["kind"], s["confidence"] == "auto", GENERAL, s["rule"]) for s in spans or []], k, spellings or ())
             found.append([{"start": h.start, "end": h.end, "kind": h.kind, "confidence": "auto" if h.sure else "suggest", "source": h.source, "rule": h.rule, "also": h.also, "entities": h.entities} for h in hits])
             plain.append(doc.plain(hits))
-        keep = [i for i, n in enumerate(b.schema.names) if n not in ("general__", "known__")]
+        keep = [i for i, n in enumerate(b.schema.names) if n not in _OWN]
         return pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(found, kind), pa.array(plain, pa.int32())], names=[*(b.schema.names[i] for i in keep), out_col, "plain_words"])
 
     return by_batch(base, run, schema)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X, validators as V
-from ..operators import contains, general, intervals, marks, names, protect, report, scan, vault
+from ..operators import bank, contains, general, intervals, marks, names, protect, report, scan, vault
 from ..operators.lexicon import LABELS
 from ..operators.spans import matches, splice
 from ..sources import readers, sinks
@@ -753,6 +753,26 @@ def scan_rules(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts).groupBy("case", "rule", "kind", "state", "value").agg(F.count("*").alias("n"))
 
 
+_BANK_WORDS = 40
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, lang, unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents), f AS (SELECT doc_id, lang, lower(trim(w, ',;:.!?"()»«')) AS w FROM w),
+own AS (SELECT DISTINCT doc_id, w FROM f WHERE regexp_full_match(w, '[a-z]+')),
+b AS (SELECT w AS name, lang, CASE WHEN length(w) % 3 = 0 THEN 'given' ELSE 'family' END AS type FROM (SELECT DISTINCT lang, w FROM f WHERE regexp_full_match(w, '[a-z]+') AND length(w) % 2 = 1))
+SELECT doc_id, b.lang AS lang, type, count(*) AS names, min(name) AS first FROM own JOIN b ON name = w GROUP BY doc_id, b.lang, type
+""")
+def names_in_texts(spark, sf_dir):
+    """Words of all documents in a bank of millions: half of their words in their languages, and forty further writings of each
+    distinct word, which no text holds."""
+    docs = documents(spark, sf_dir)
+    words = docs.select("lang", F.explode(F.split("text", r"\s+")).alias("w")).select("lang", F.lower(F.expr("trim(BOTH ',;:.!?\"()»«' FROM w)")).alias("w")).where("w RLIKE '^[a-z]+$'").distinct()
+    kind = F.when(F.length("w") % 3 == 0, "given").otherwise("family").alias("type")
+    real = words.where(F.length("w") % 2 == 1).select("lang", F.col("w").alias("name"), kind)
+    more = words.select("lang", "w", F.explode(F.sequence(F.lit(1), F.lit(_BANK_WORDS))).alias("n")).select("lang", F.concat("w", F.col("n").cast("string")).alias("name"), kind)
+    return bank.met_in(docs.select("doc_id", "text"), real.union(more)).groupBy("doc_id", "lang", "type").agg(F.count("*").alias("names"), F.min("name").alias("first"))
+
+
 _WORD = "'Q' || translate(CAST(c_custkey % 300 AS {s}), '0123456789', 'abcdefghij') || 'ill'"
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shroud.functions import text as X, validators as V
-from shroud.operators import general, names, protect, report, scan, vault
+from shroud.operators import bank as bank_words, general, names, protect, report, scan, vault
 from shroud.operators.kernel import Hint, Hit, occurrences, settle, token_spans
 from shroud.operators.spans import from_utf16, matches as spans_of, utf16
 from shroud.plans import queries
@@ -26,14 +26,14 @@ PROBES = [
 ]
 
 
-def test_a_name_bank_is_taken_whole_or_refused(spark, monkeypatch):
-    bank = spark.createDataFrame([("de", n, "given") for n in ("Aba", "Bebe", "Cici", "ABA")] + [("en", "Dodo", "given")], "lang string, name string, type string")
-    monkeypatch.setattr(scan, "MOST_NAMES", 3)
-    assert {"aba", "bebe", "cici"} <= scan.knowledge(("de",), names=bank).names["de"].given
-    monkeypatch.setattr(scan, "MOST_NAMES", 2)
-    with pytest.raises(ValueError, match="over 2 names of de"):
-        scan.knowledge(("de",), names=bank)
-    scan.knowledge(("en",), names=bank)
+def test_a_name_bank_of_any_size(spark):
+    filler = spark.range(20_000).selectExpr("'de' AS lang", "concat('Zz', id) AS name", "'given' AS type")
+    bank = filler.union(spark.createDataFrame([("de", "Ödöngard", "given"), ("de", "ödöngard", "given"), ("de", "Quassel", "family"), ("en", "Wibble", "given"), ("de", None, "given"), ("de", " ", "family")], "lang string, name string, type string"))
+    docs = spark.createDataFrame([(1, "Gestern kam Ödöngard Quassel."), (2, "(Ödöngard) und O\u0308do\u0308ngard, Wibble"), (3, None), (4, "nichts"), (2, "(Ödöngard) und O\u0308do\u0308ngard, Wibble")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["name"], r["lang"], r["type"]) for r in bank_words.met_in(docs, bank).collect())
+    assert got == sorted([(1, "ödöngard", "de", "given"), (1, "quassel", "de", "family"), *[(2, "ödöngard", "de", "given"), (2, "wibble", "en", "given")] * 2])
+    found = lambda **more: sorted((r["doc_id"], r["value"]) for r in scan.findings(scan.scan(docs, scan.knowledge(("de",)), **more)).where("kind = 'Person'").collect())
+    assert {(1, "Ödöngard"), (1, "Quassel")} <= set(found(bank=bank)) and not [x for x in found() if x[0] == 1]
 
 
 def test_validators_and_their_twins(spark):
