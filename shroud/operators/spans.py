@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def once(value: Column, then) -> Column:
+    """then(value) with value worked out once, however often `then` uses it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 #: Matches whose places are worked out in one fold; a fold copies what it has at each step.
 _FOLD = 256
 
@@ -17,10 +22,10 @@ def matches(text: Column, pattern: str) -> Column:
     """
     shape = "array<struct<start:int,end:int,value:string>>"
     nothing, found, pieces = F.array().cast(shape), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("value"), F.length(p).alias("gap"), F.length(m).alias("size")))
+    gaps = F.filter(F.zip_with(found, pieces, lambda m, p: F.struct(m.alias("value"), F.length(p).alias("gap"), F.length(m).alias("size"))), lambda x: x["value"].isNotNull())
     end = lambda a, x: a["at"] + x["gap"] + x["size"]
     step = lambda a, x: F.struct(end(a, x).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), end(a, x).alias("end"), x["value"].alias("value")))).alias("out"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(_FOLD)), lambda k: F.aggregate(F.slice(pairs, k, F.lit(_FOLD)), F.struct(F.lit(0).alias("at"), nothing.alias("out")), step))
+    runs = once(gaps, lambda all_: F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(_FOLD)), lambda k: F.aggregate(F.slice(all_, k, F.lit(_FOLD)), F.struct(F.lit(0).alias("at"), nothing.alias("out")), step)))
     moved = lambda a, s: F.struct((s["start"] + a["at"]).alias("start"), (s["end"] + a["at"]).alias("end"), s["value"].alias("value"))
     join = lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(F.transform(x["out"], lambda s: moved(a, s)))).alias("out"))
     placed = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{shape}>").alias("out")), join, lambda a: F.flatten(a["out"]))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X, validators as V
-from ..operators import bank, contains, general, intervals, marks, names, protect, report, scan, vault
+from ..operators import adjacent, bank, contains, general, intervals, marks, names, protect, report, scan, vault
 from ..operators.lexicon import LABELS
 from ..operators.spans import matches, splice
 from ..sources import readers, sinks
@@ -270,6 +270,39 @@ def spans_semi_overlap(spark, sf_dir):
     return got.groupBy("k").agg(F.count("*").alias("n"), F.count_if("touched").alias("touched"))
 
 
+# -- neighbours of words -----------------------------------------------------------------------------------------------------
+
+_WORDS_SQL = r"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \t\n\r\f]+') AS w, string_split_regex(text, '[^ \t\n\r\f]+') AS g FROM documents),
+u AS (SELECT doc_id, unnest(w) AS w, unnest(g[1:len(w)]) AS g, unnest(range(len(w))) AS k FROM d WHERE len(w) > 0),
+p AS (SELECT *, contains(g, chr(10)) OR contains(g, chr(12)) AS new, sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY k) - length(w) AS pos FROM u)
+"""
+
+
+@query(_WORDS_SQL + r"""
+, n AS (SELECT doc_id, pos, w, lead(w) OVER v AS b, lead(new) OVER v AS b_new FROM p WINDOW v AS (PARTITION BY doc_id ORDER BY k))
+SELECT doc_id, CAST(pos AS INTEGER) AS start, w || ' ' || rtrim(b, '.,;:!?') AS pair FROM n WHERE regexp_full_match(w, '[A-Z][a-z]+') AND regexp_full_match(b, '[A-Z][a-z]+[.,;:!?]*') AND NOT b_new
+""")
+def words_name_pairs(spark, sf_dir):
+    """Two words with capitals beside each other on a line, in native arrays."""
+    d = documents(spark, sf_dir).select("doc_id", adjacent.words(F.col("text")).alias("w"))
+    found = adjacent.pairs(F.col("w"), lambda w: w["value"].rlike("^[A-Z][a-z]+$"), lambda w: w["value"].rlike("^[A-Z][a-z]+[.,;:!?]*$"))
+    return d.select("doc_id", F.explode(found).alias("p")).select("doc_id", F.col("p.a.start").alias("start"), F.concat(F.col("p.a.value"), F.lit(" "), F.regexp_replace("p.b.value", "[.,;:!?]+$", "")).alias("pair"))
+
+
+@query(_WORDS_SQL + r"""
+, l AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY k) AS line FROM p),
+f AS (SELECT *, max(CAST(regexp_full_match(lower(rtrim(w, '.,;:!?')), 'phone|tel|telefon|call|mobile|contact|\+[0-9]{1,3}') AS INTEGER)) OVER (PARTITION BY doc_id, line ORDER BY k ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS led FROM l)
+SELECT doc_id, CAST(pos AS INTEGER) AS start, w AS word FROM f WHERE led = 1 AND regexp_matches(w, '[0-9]{3}')
+""")
+def words_after_phone_words(spark, sf_dir):
+    """Words with digits that a word for telephones or a country's prefix leads, up to six words back on the line."""
+    d = documents(spark, sf_dir).select("doc_id", adjacent.words(F.col("text")).alias("w"))
+    lead = lambda w: F.lower(F.regexp_replace(w["value"], "[.,;:!?]+$", "")).rlike(r"^(phone|tel|telefon|call|mobile|contact|\+[0-9]{1,3})$")
+    found = adjacent.led_by(F.col("w"), lambda w: w["value"].rlike("[0-9]{3}"), lead)
+    return d.select("doc_id", F.explode(found).alias("w")).select("doc_id", F.col("w.start").alias("start"), F.col("w.value").alias("word"))
+
+
 # -- scan, protect, restore --------------------------------------------------------------------------------------------------
 
 _LETTER = "concat('Customer number: ', c_custkey, {n}, 'E-mail: c', c_custkey, '@example.com', {n}, 'Phone: +', replace({phone}, '-', ' '), {n}, 'We met Mr ', {name}, ' there.')"
