@@ -50,11 +50,24 @@ def line_selection(findings: DataFrame, cells_: DataFrame, first: int, last: int
     return met.groupBy(id_col).agg(F.count("*").alias("marks"))
 
 
-def explain(findings: DataFrame) -> DataFrame:
-    """headline and because of each finding, from its kind, state, source and rule."""
-    said = F.when(F.col("source") == "GeneralRule", F.concat(F.lit("the rule for "), F.col("rule"), F.lit(" fits, and its arithmetic comes out"))).when(F.col("source") == "Vault", F.lit("it is a value you keep")).when(F.col("source") == "Hand", F.lit("you marked it")).otherwise(F.concat(F.lit("a rule of the language fits: "), F.col("rule")))
+def explain(findings: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """headline and because of each finding, from its kind, state, source and rule; agreeing, the other rules that found it too; and,
+    with the vault's entities, owners: the labels of those that a known value belongs to, in order.
+
+    A block (entity -1) says that the value was protected before; a value of several entities says that they claim it.
+    """
+    of = F.col("entities") if "entities" in findings.columns else F.array().cast("array<int>")
+    several, block = F.size(of) > 1, F.array_contains(of, -1)
+    vault = F.when(several, F.concat(F.size(of).cast("string"), F.lit(" of your entries claim it"))).when(block, "you protected it before, and it was kept").otherwise("it is a value you keep")
+    said = F.when(F.col("source") == "GeneralRule", F.concat(F.lit("the rule for "), F.col("rule"), F.lit(" fits, and its arithmetic comes out"))).when(F.col("source") == "Vault", vault).when(F.col("source") == "Hand", F.lit("you marked it")).otherwise(F.concat(F.lit("a rule of the language fits: "), F.col("rule")))
     head = F.concat(F.col("kind"), F.when(F.col("state") == "Protected", " is protected").otherwise(" is offered for your word"))
-    return findings.withColumn("headline", head).withColumn("because", said)
+    also = F.array_sort(F.array_distinct(F.coalesce("also", F.array().cast("array<string>")))) if "also" in findings.columns else F.array().cast("array<string>")
+    told = findings.withColumn("headline", head).withColumn("because", said).withColumn("agreeing", F.array_except(also, F.array("rule")))
+    if entities is None:
+        return told
+    sets = told.select(F.col("entities").alias("e__")).where(F.size("e__") > 0).distinct()  # a row a combination of owners
+    named = sets.withColumn("id__", F.explode("e__")).join(entities.select(F.col("entity_id").alias("id__"), "label"), "id__").groupBy("e__").agg(F.array_sort(F.collect_set("label")).alias("owners"))
+    return told.join(named, told["entities"] == named["e__"], "left").drop("e__").withColumn("owners", F.coalesce("owners", F.array().cast("array<string>")))
 
 
 def newest(payloads: DataFrame, keep: int = 16, by: str = "session") -> DataFrame:

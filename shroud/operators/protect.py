@@ -7,8 +7,10 @@ values within a namespace and kind is found by collisions() and is an error, nev
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import Counter
 from hashlib import blake2b, md5
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -43,17 +45,35 @@ class Naming:
         return f"__Z_{self.namespace}_{KINDS[kind]}_{self._mac('session/1/value', len(raw).to_bytes(8, 'big') + raw)[:8].upper()}__"
 
 
+class _Taken:
+    """Spans in order of their starts, with the furthest end so far: what overlaps a place is found by halving."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.spans = sorted(spans)
+        self.starts, self.reach = [a for a, _ in self.spans], list(accumulate((z for _, z in self.spans), max))
+
+    def overlaps(self, a: int, z: int) -> bool:
+        k = bisect_left(self.starts, z)
+        return k > 0 and self.reach[k - 1] > a
+
+
 def fan_out(text: str, findings: list[dict], suggestions: bool = False) -> list[tuple[int, int, str]]:
-    """(start, end, kind): each sure finding protects every place of its text that no finding of another kind overlaps."""
+    """(start, end, kind): each sure finding protects every place of its text that no finding of another kind overlaps.
+
+    Places of one value never overlap each other, so what is taken is put in order once a value.
+    """
     sure = [f for f in findings if suggestions or f["confidence"] == "auto"]
-    taken = [(f["start"], f["end"], f["kind"]) for f in sure]
-    out = list(taken)
+    out = [(f["start"], f["end"], f["kind"]) for f in sure]
     stretches = Stretches(text) if sure else None
+    first, later = _Taken([(a, z) for a, z, _ in out]), []
+    others = {k: _Taken([(f["start"], f["end"]) for f in findings if f["kind"] != k]) for k in {f["kind"] for f in sure}}
     for value, kind in dict.fromkeys((text[f["start"] : f["end"]], f["kind"]) for f in sure):
         for a, z in occurrences(text, value) if stretches.has(*key(value)) > 1 else ():  # one place is its own
-            if not any(a < e and s < z for s, e, _ in out) and not any(a < f["end"] and f["start"] < z and f["kind"] != kind for f in findings):
-                out.append((a, z, kind))
-    return sorted(out)
+            at = bisect_left(later, (a, a, ""))
+            near = later[max(0, at - 1) : at + 1]  # later ones are apart from each other
+            if not first.overlaps(a, z) and not others[kind].overlaps(a, z) and not any(a < e and s < z for s, e, _ in near):
+                insort(later, (a, z, kind))
+    return sorted(out + later)
 
 
 def protect(scanned: DataFrame, secret: str, text_col: str = "text", col: str = "findings", suggestions: bool = False, already: str | None = None) -> DataFrame:

@@ -63,12 +63,13 @@ _PIECE = 2048
 
 
 def findings(scanned: DataFrame, text_col: str = "text", col: str = "findings") -> DataFrame:
-    """A row a finding: start, end, kind, state, source, rule, value, and how often the same stands in the document.
+    """A row a finding: start, end, kind, state, source, rule, value, how often the same stands in the document, the other rules that
+    agree (also), and the entities of a known value.
 
     All inside the row: values come from the text's pieces, and equal ones are counted as runs of a sorted array, so a
     document with many findings takes n log n.
     """
-    rest = [c for c in scanned.columns if c not in (col, text_col, "plain_words", "start", "end", "kind", "state", "source", "rule", "value", "occurrences")]
+    rest = [c for c in scanned.columns if c not in (col, text_col, "plain_words", "start", "end", "kind", "state", "source", "rule", "value", "occurrences", "also", "entities")]
     pieces = F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
 
     def value(x):
@@ -87,7 +88,7 @@ def findings(scanned: DataFrame, text_col: str = "text", col: str = "findings")
     met = valued.withColumn("s__", ordered).withColumn("e__", ends)
     each = F.explode(F.zip_with("v__", counted, lambda x, n: F.struct(x.alias("f"), n["n"].cast("long").alias("same"))))
     state = F.when(F.col("f.confidence") == "auto", "Protected").otherwise("Suggested")
-    return met.select(*rest, each.alias("x__")).select(*rest, F.col("x__.f").alias("f"), "x__.same").select(*rest, F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.kind").alias("kind"), state.alias("state"), F.col("f.source").alias("source"), F.col("f.rule").alias("rule"), F.col("f.value").alias("value"), F.col("same").alias("occurrences"))
+    return met.select(*rest, each.alias("x__")).select(*rest, F.col("x__.f").alias("f"), "x__.same").select(*rest, F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.kind").alias("kind"), state.alias("state"), F.col("f.source").alias("source"), F.col("f.rule").alias("rule"), F.col("f.value").alias("value"), F.col("same").alias("occurrences"), F.col("f.also").alias("also"), F.col("f.entities").alias("entities"))
 
 
 def register(spark: SparkSession, known: Knowledge | None = None) -> None:

@@ -1,12 +1,14 @@
 """Versions of tables, odd PDF files, and counts inside documents of many findings."""
 
+import random
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from shroud.operators import report, scan, vault
+from shroud.operators import marks, protect, report, scan, vault
+from shroud.operators.known import occurrences
 from shroud.plans import made_files
 from shroud.sources import readers, sinks, versions
 
@@ -115,3 +117,27 @@ def test_candidates_lines_pages_and_places(spark):
     got = report.name_candidates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), scan.knowledge(("en",))).collect()
     assert [(r["word"], r["rule"], r["occurrences"], r["pages"], r["examples"]) for r in got] == [("Quill", "after-a-given-name", 162, 81, ["met Laura Quill here", lines[0], lines[1]])]
     assert "Window" not in report.name_candidates(spark.createDataFrame(docs, "doc_id long, text string"), scan.knowledge(("en",)))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_of_values_are_those_of_all_pairs():
+    rng = random.Random(7)
+    for _ in range(60):
+        text = " ".join(rng.choice(["ann", "ann lee", "lee", "bo", "x"]) for _ in range(40))
+        found = []
+        for m in rng.sample([*re.finditer("ann lee|ann|lee|bo", text)], 8):
+            found.append({"start": m.start(), "end": m.end(), "kind": rng.choice(["Person", "Company"]), "confidence": rng.choice(["auto", "suggest"])})
+        sure = [f for f in found if f["confidence"] == "auto"]
+        want = [(f["start"], f["end"], f["kind"]) for f in sure]
+        for value, kind in dict.fromkeys((text[f["start"] : f["end"]], f["kind"]) for f in sure):
+            for a, z in occurrences(text, value):
+                if not any(a < e and s < z for s, e, _ in want) and not any(a < f["end"] and f["start"] < z and f["kind"] != kind for f in found):
+                    want.append((a, z, kind))
+        assert protect.fan_out(text, found) == sorted(want)
+
+
+def test_an_explanation_names_agreeing_rules_and_owners(spark):
+    rows = [(1, "Person", "Protected", "Vault", "vault", ["de:salutation", "vault"], [3]), (2, "Person", "Suggested", "Vault", "vault", [], [3, 4]), (3, "Custom", "Protected", "Vault", "vault", None, [-1]), (4, "Email", "Protected", "GeneralRule", "email", ["de-14"], [])]
+    f = spark.createDataFrame(rows, "doc_id long, kind string, state string, source string, rule string, also array<string>, entities array<int>")
+    e = spark.createDataFrame([(3, "Anna"), (4, "Bea")], "entity_id int, label string")
+    got = {r["doc_id"]: (r["because"], r["agreeing"], r["owners"]) for r in marks.explain(f, e).collect()}
+    assert got == {1: ("it is a value you keep", ["de:salutation"], ["Anna"]), 2: ("2 of your entries claim it", [], ["Anna", "Bea"]), 3: ("you protected it before, and it was kept", [], []), 4: ("the rule for email fits, and its arithmetic comes out", ["de-14"], [])}
