@@ -803,6 +803,40 @@ def scan_rules(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts).groupBy("case", "rule", "kind", "state", "value").agg(F.count("*").alias("n"))
 
 
+@query("""WITH l AS (SELECT c_nationkey, c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'given' WHEN 1 THEN 'Family' WHEN 2 THEN 'company' WHEN 3 THEN 'thing' ELSE 'person' END AS type FROM customer)
+SELECT c_nationkey AS list, count(*) FILTER (WHERE type <> 'thing' AND c_custkey % 7 <> 0) AS names, count(*) FILTER (WHERE type <> 'thing' AND c_custkey % 7 <> 0 AND c_custkey % 2 = 0) AS "values",
+count(*) FILTER (WHERE type = 'thing' OR c_custkey % 7 = 0) AS refused, 'note' AS unused, min('N, ' || c_custkey) FILTER (WHERE type <> 'thing' AND c_custkey % 7 <> 0) AS first FROM l GROUP BY c_nationkey""")
+def lists_of_users(spark, sf_dir):
+    """A list of people for each nation, with quoted names, e-mails, a column of no use and lines that have to be refused."""
+    k = F.col("c_custkey")
+    name = F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit('"N, '), k.cast("string"), F.lit('"')))
+    type_ = F.element_at(F.array(*map(F.lit, ("given", "Family", "company", "thing", "person"))), (k % 5 + 1).cast("int"))
+    line = F.concat_ws(",", name, type_, F.when(k % 2 == 0, F.concat(F.lit("c"), k.cast("string"), F.lit("@example.com"))).otherwise(""), F.lit("x"))
+    files = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("# own\nName,type,Email,note\n"), F.array_join(F.collect_list(line), "\n")).cast("binary").alias("content"))
+    got = readers.user_lists(files.select(F.col("c_nationkey").cast("string").alias("path"), "content"))
+    return got.select(F.col("path").cast("int").alias("list"), F.size("names").cast("long").alias("names"), F.size("values").cast("long").alias("values"), F.size("refused").cast("long").alias("refused"), F.array_join("unused", ",").alias("unused"), F.array_min(F.transform("names", lambda x: x["name"])).alias("first"))
+
+
+@query("""WITH l AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 50 = 1 THEN '[' || CASE (c_custkey // 50) % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'family' END || ']' WHEN c_custkey % 50 = 7 THEN ' ' ELSE ' n' || c_custkey END AS v FROM customer),
+h AS (SELECT *, max(CASE WHEN v LIKE '[%' THEN n END) OVER (ORDER BY n) AS head FROM l)
+SELECT trim(a.v) AS name, trim(b.v, '[]') AS section FROM h a LEFT JOIN l b ON b.n = a.head WHERE a.v NOT LIKE '[%' AND trim(a.v) <> ''""")
+def names_arabic_library(spark, sf_dir):
+    """Lines under headings: each name takes the section above it."""
+    k = F.col("c_custkey")
+    head = F.element_at(F.array(F.lit("[male]"), F.lit("[female]"), F.lit("[family]")), (F.floor(k / 50) % 3 + 1).cast("int"))
+    value = F.when(k % 50 == 1, head).when(k % 50 == 7, " ").otherwise(F.concat(F.lit(" n"), k.cast("string")))
+    return readers.arabic_library(table(spark, sf_dir, "customer").select(k.alias("line_no"), value.alias("value")))
+
+
+@query("""SELECT DISTINCT 'n' || (c_custkey % 400) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'given' ELSE 'family' END AS type FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 3 IN (1, 2) AND c_custkey % 4 <> 3""")
+def names_bank_lines(spark, sf_dir):
+    """A bank's lines: comments, a header and other tiers are passed, names are lower-cased and taken once."""
+    k = F.col("c_custkey")
+    line = F.concat_ws(",", F.concat(F.lit(" N"), (k % 400).cast("string")), F.when(k % 2 == 0, "given").otherwise("family"), (k % 3).cast("string"))
+    line = F.when(k % 9 == 0, F.concat(F.lit("# "), line)).when(k % 4 == 3, F.lit("name,type,tier")).otherwise(line)
+    return names.loaded(table(spark, sf_dir, "customer").select(line.alias("value")), tiers=(1, 2))
+
+
 _BANK_WORDS = 40
 
 

@@ -403,7 +403,7 @@ def _read(files: DataFrame, protecting: bool, seconds: float) -> DataFrame:
 
 def place_of(read: DataFrame, start: Column) -> Column:
     """page and paragraph of an offset: the last place that begins at or before it."""
-    return F.element_at(F.filter("places", lambda p: p["start"] <= start), -1)
+    return F.try_element_at(F.filter("places", lambda p: p["start"] <= start), F.lit(-1))
 
 
 # -- user lists ------------------------------------------------------------------------------------------------------------
@@ -446,6 +446,21 @@ def user_list(text: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]],
     return names, values, reasons, [h for h in head if h not in ("name", "type", "source", "licence", *COLUMNS)]
 
 
+def user_lists(files: DataFrame) -> DataFrame:
+    """From path, content of people's own lists (UTF-8): path, names (name, type), values (kind, value), refused (why), unused (columns)."""
+    pair = lambda a, b: pa.list_(pa.struct([(a, pa.string()), (b, pa.string())]))
+    kinds = pa.string(), pair("name", "type"), pair("kind", "value"), pa.list_(pa.string()), pa.list_(pa.string())
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for path, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            names, values, reasons, unused = user_list((data or b"").decode("utf-8", "replace"))
+            out.append((path, [{"name": n, "type": t} for n, t in names], [{"kind": k, "value": v} for k, v in values], reasons, unused))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["path", "names", "values", "refused", "unused"])
+
+    return by_batch(files.select("path", "content"), run, "path string, names array<struct<name:string,type:string>>, values array<struct<kind:string,value:string>>, refused array<string>, unused array<string>")
+
+
 def registers(spark: SparkSession, city_paths: dict[str, str]) -> DataFrame:
     """city -> path of newborn registers: city, name, count, gender. Each file is UTF-8 (with or without a mark) or else cp1252,
     parted by semicolons or commas, with vorname, anzahl and geschlecht among its headings in any case."""
@@ -475,9 +490,9 @@ def registers(spark: SparkSession, city_paths: dict[str, str]) -> DataFrame:
 
 
 def arabic_library(lines: DataFrame) -> DataFrame:
-    """From line_no, value of a sectioned text (headings in brackets): name, section. Each line takes the last heading above it,
+    """From line_no, value of a sectioned text (headings in brackets): name, section. Each line takes the last heading above it (null: none),
     found by a join on ranges of headings, of which there are a few."""
     heads = lines.where(F.col("value").rlike(r"^\[.*\]$")).select(F.col("line_no").alias("h"), F.regexp_extract("value", r"^\[(.*)\]$", 1).alias("section"))
     few = F.array_sort(F.collect_list(F.struct("h", "section")))
     with_heads = lines.where(~F.col("value").rlike(r"^\[.*\]$") & (F.trim("value") != "")).crossJoin(F.broadcast(heads.agg(few.alias("heads"))))  # one row: the headings of one file
-    return with_heads.select(F.trim("value").alias("name"), F.element_at(F.filter("heads", lambda x: x["h"] < F.col("line_no")), -1)["section"].alias("section"))
+    return with_heads.select(F.trim("value").alias("name"), F.try_element_at(F.filter("heads", lambda x: x["h"] < F.col("line_no")), F.lit(-1))["section"].alias("section"))
