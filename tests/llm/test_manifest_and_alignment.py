@@ -54,12 +54,7 @@ def odd_texts():
     return fixed + ["".join(rng.choice("ab é日\n0９ ﷺ'x") for _ in range(rng.randint(1, 80))) for _ in range(60)] + [" ".join(rng.choice(["the", "of", "naïve", "x1", "\n", "Straße"]) for _ in range(4000))]
 
 
-@pytest.mark.parametrize(("head", "wide"), [(1 << 18, 4096), (12, 1)])
-def test_alignment(spark, make, tokenizers, monkeypatch, head, wide):
-    monkeypatch.setattr(align, "HEAD", head)
-    monkeypatch.setattr(align, "WIDE", wide)
-    texts = odd_texts()
-    ids = [None if k == 20 else k for k in range(len(texts))]
+def aligned_rows(ids, texts, tokenizers):
     all_groups = [groups_of(t, *tokenizers) for t in texts]
     links = [[(x, y) for a, b in g for x in a for y in b] for g in all_groups]
     count = Counter(p for x in links for p in set(x))
@@ -70,11 +65,34 @@ def test_alignment(spark, make, tokenizers, monkeypatch, head, wide):
     for i, g, x in zip(ids, all_groups, links, strict=True):
         said = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in g)
         want.append((i, sum(len(a) for a, _ in g), sum(len(b) for _, b in g), len(g), len(x), sum(count[p] == best[p[0]] for p in x), sum(count[p] for p in x), sha256(said.encode()).hexdigest() if g else ""))
+    return all_groups, Counter(want)
+
+
+def test_the_queries_themselves(spark, make, tokenizers, tmp_path):
+    texts = odd_texts()[:40]
+    ids = [None, *range(1, 39), 3]
+    make(texts, ids).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    assert Counter(map(tuple, queries.op11_align(spark, str(tmp_path)).collect())) == aligned_rows(ids, texts, tokenizers)[1]
+    rows = [(i, "s", "en", len(t or ""), t) for i, t in zip(ids, texts, strict=True)]
+    assert Counter(map(tuple, queries.op13_merkle(spark, str(tmp_path)).collect())) == Counter(manifest_of(rows))
+    x = np.random.default_rng(1).normal(size=(60, 6))
+    x[30:34] = 2 * x[3]
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert Counter(map(tuple, queries.op12_embed_dedup(spark, str(tmp_path)).collect())) == Counter(linked(range(60), x))
+
+
+@pytest.mark.parametrize(("head", "wide"), [(1 << 18, 4096), (12, 1)])
+def test_alignment(spark, make, tokenizers, monkeypatch, head, wide):
+    monkeypatch.setattr(align, "HEAD", head)
+    monkeypatch.setattr(align, "WIDE", wide)
+    texts = odd_texts()
+    ids = [None if k == 20 else k for k in range(len(texts))]
+    all_groups, want = aligned_rows(ids, texts, tokenizers)
     paths = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model"), queries.tokenizer_path("byte_bpe_50k.tiktoken")
     import public_tokenizers
 
     got = align.scored(make(texts, ids), *paths, public_tokenizers.PATTERN).collect()
-    assert Counter(map(tuple, got)) == Counter(want)
+    assert Counter(map(tuple, got)) == want
     if wide == 1:  # by the file's own library, and the groups themselves
         plain = align.aligned(make(texts[:30], ids[:30]), *paths[:2]).collect()
         assert sorted((str(r["doc_id"]), r["groups"]) for r in plain) == sorted((str(i), ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in g)) for i, g in zip(ids[:30], all_groups, strict=False))
