@@ -837,6 +837,20 @@ def names_bank_lines(spark, sf_dir):
     return names.loaded(table(spark, sf_dir, "customer").select(line.alias("value")), tiers=(1, 2))
 
 
+@query("""SELECT 'c' || c_nationkey AS city, CASE WHEN c_nationkey % 3 = 1 THEN 'Jörg ' ELSE 'Anna ' END || c_custkey AS name, CAST(c_custkey % 9 + 1 AS BIGINT) AS count, CASE WHEN c_custkey % 2 = 0 THEN 'm' ELSE 'w' END AS gender FROM customer WHERE c_custkey % 11 <> 0""")
+def names_registers(spark, sf_dir):
+    """Registers of cities in three encodings and with both separators, of which lines without a number are passed."""
+    k, city = F.col("c_custkey"), F.col("c_nationkey")
+    sep = F.when(city % 2 == 0, ";").otherwise(",")
+    name = F.concat(F.when(city % 3 == 1, "Jörg ").otherwise("Anna "), k.cast("string"))
+    line = F.concat(name, sep, F.when(k % 11 == 0, "many").otherwise((k % 9 + 1).cast("string")), sep, F.when(k % 2 == 0, "M").otherwise("w"))
+    text = F.concat(F.lit("Vorname"), sep, F.lit("anzahl"), sep, F.lit("GESCHLECHT\n"), F.array_join(F.collect_list(line), "\n"))
+    files = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(text.alias("text"))
+    mark = F.when(city % 3 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit("")))
+    content = F.when(city % 3 == 1, F.encode("text", "ISO-8859-1")).otherwise(F.concat(mark, F.encode("text", "UTF-8")))
+    return readers.register_rows(files.select(F.concat(F.lit("c"), city.cast("string")).alias("city"), content.alias("content")))
+
+
 _BANK_WORDS = 40
 
 

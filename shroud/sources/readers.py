@@ -15,6 +15,7 @@ import threading
 import time
 import zipfile
 import zlib
+from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -462,8 +463,14 @@ def user_lists(files: DataFrame) -> DataFrame:
 
 
 def registers(spark: SparkSession, city_paths: dict[str, str]) -> DataFrame:
-    """city -> path of newborn registers: city, name, count, gender. Each file is UTF-8 (with or without a mark) or else cp1252,
-    parted by semicolons or commas, with vorname, anzahl and geschlecht among its headings in any case."""
+    """city -> path of newborn registers, read by register_rows()."""
+    files = [spark.read.format("binaryFile").load(path).select(F.lit(city).alias("city"), "content") for city, path in city_paths.items()]
+    return register_rows(reduce(DataFrame.unionByName, files))
+
+
+def register_rows(files: DataFrame) -> DataFrame:
+    """From city, content: city, name, count, gender. Each file is UTF-8 (with or without a mark) or else cp1252, parted by semicolons
+    or commas, with vorname, anzahl and geschlecht among its headings in any case."""
 
     def run(batches):
         for b in batches:
@@ -482,11 +489,7 @@ def registers(spark: SparkSession, city_paths: dict[str, str]) -> DataFrame:
             kinds = pa.string(), pa.string(), pa.int64(), pa.string()
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["city", "name", "count", "gender"])
 
-    files = [spark.read.format("binaryFile").load(path).select(F.lit(city).alias("city"), "content") for city, path in city_paths.items()]
-    every = files[0]
-    for f in files[1:]:
-        every = every.unionByName(f)
-    return by_pieces(every, run, "city string, name string, count long, gender string")
+    return by_pieces(files.select("city", "content"), run, "city string, name string, count long, gender string")
 
 
 def arabic_library(lines: DataFrame) -> DataFrame:
