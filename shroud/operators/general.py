@@ -56,7 +56,17 @@ def tax_identification(text: Column) -> Column:
 
 
 def payment_cards(text: Column) -> Column:
-    return _only(matches(text, _B + r"[0-9]++(?:[ \-][0-9]++)*+" + _A), lambda v: V.is_a_card_number(F.regexp_replace(v, "[ -]", "")))
+    """Groups of digits that a space or hyphen joins, read as a whole. Where that is no card and the first group ends a number with
+    points (an address like 10.0.0.42 right before a card), the rest is read once more without it."""
+    card = lambda v: V.is_a_card_number(F.regexp_replace(v, "[ -]", ""))
+
+    def read(s: Column) -> Column:
+        first = F.length(F.regexp_extract(s["value"], "^[0-9]+[ -]", 0))
+        rest = F.substr(s["value"], first + 1, F.length(s["value"]))
+        pointed = (first > 0) & (s["start"] >= 2) & F.substr(text, F.greatest(s["start"] - 1, F.lit(1)), F.lit(2)).rlike(r"^[0-9]\.$")
+        return F.when(card(s["value"]), s).when(pointed & card(rest), F.struct((s["start"] + first).alias("start"), s["end"].alias("end"), rest.alias("value")))
+
+    return F.filter(F.transform(matches(text, _B + r"[0-9]++(?:[ \-][0-9]++)*+" + _A), read), lambda s: s.isNotNull())
 
 
 def _few(v: Column) -> Column:
