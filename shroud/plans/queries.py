@@ -11,6 +11,7 @@ from ..functions import text as X, validators as V
 from ..operators import adjacent, bank, contains, general, intervals, marks, names, protect, report, scan, vault
 from ..operators.lexicon import LABELS
 from ..operators.spans import matches, splice
+from ..operators.staging import kept
 from ..sources import readers, sinks
 from . import made_files, rule_cases
 from .kinds import kinds
@@ -321,6 +322,11 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan(letters(spark, sf_dir), scan.knowledge(("en",)))
 
 
+def _own_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The protected letters, written once, with a token of its own for every value of the session."""
+    return protect.reminted(kept(protect.protect(_scanned(spark, sf_dir), SECRET).select("doc_id", "text", "findings", "protections", "protected"), "letters"), SECRET)
+
+
 _FOUND_SQL = f"""
 WITH t AS ({_LETTER_SQL}), f AS (
 SELECT doc_id, 'CustomerNo' AS kind, CAST(doc_id AS VARCHAR) AS value FROM t UNION ALL SELECT doc_id, 'Email', email FROM t
@@ -365,7 +371,7 @@ def report_import(spark, sf_dir):
 @query(_FOUND_SQL + "SELECT kind, count(DISTINCT value) AS tokens FROM f GROUP BY kind")
 def report_tally(spark, sf_dir):
     """Distinct tokens by kind: as many as distinct values."""
-    return report.tally(protect.protections(protect.protect(_scanned(spark, sf_dir), SECRET)))
+    return report.tally(protect.protections(_own_tokens(spark, sf_dir)))
 
 
 @query(_FOUND_SQL + "SELECT kind, count(*) AS finds, max(n) AS most FROM (SELECT kind, count(*) OVER (PARTITION BY doc_id, kind, value) AS n FROM f) GROUP BY kind")
@@ -404,7 +410,7 @@ def protect_audit(spark, sf_dir):
 @query("SELECT count(*) AS documents, 0::BIGINT AS collisions FROM customer")
 def protect_take_out(spark, sf_dir):
     """Documents without open suggestions, and tokens that stand for two values (none)."""
-    made = protect.protect(_scanned(spark, sf_dir), SECRET)
+    made = _own_tokens(spark, sf_dir)
     out = sinks.take_out(made).agg(F.count("*").alias("documents"))
     return out.crossJoin(protect.collisions(made).agg(F.count("*").alias("collisions")))  # one row each
 
