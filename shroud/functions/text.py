@@ -63,8 +63,8 @@ def file_extension(path: Column) -> Column:
 
 
 def day_of(seconds: Column) -> Column:
-    """An epoch second as a civil date in UTC."""
-    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")), "yyyy-MM-dd")
+    """An epoch second as a civil date in UTC; years of five digits stand without the sign that the formatter sets before them."""
+    return F.regexp_replace(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")), "yyyy-MM-dd"), r"^\+", "")
 
 
 def capitalised_word_before(text: Column, start: Column) -> Column:
