@@ -24,19 +24,21 @@ class Bloom:
     def __init__(self, words: np.ndarray, bits: int) -> None:
         self.words, self.bits = words, bits
 
-    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = hashed(keys)
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return h & np.uint64(self.bits - 1), h >> np.uint64(32) & np.uint64(self.bits - 1)
 
     def may_hold(self, keys: list[str]) -> np.ndarray:
         if not keys:
             return np.zeros(0, bool)
-        return np.logical_and(*(self.words[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1 for p in self.places(np.array(keys, object)))).astype(bool)
+        return self.may_hold_hashed(hashed(np.array(keys, object)))
 
+    def may_hold_hashed(self, h: np.ndarray) -> np.ndarray:
+        return np.logical_and(*(self.words[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1 for p in self.places(h))).astype(bool)
 
-def bloom(keys: DataFrame, col: str) -> Bloom:
-    """Over the non-null strings of a column."""
-    n = keys.agg(F.approx_count_distinct(col)).first()[0]
+
+def bloom(keys: DataFrame, col: str, n: int | None = None) -> Bloom:
+    """Over the non-null strings of a column, or over arrays of their hashes (as longs). n: about how many differ; without it they are counted."""
+    n = keys.agg(F.approx_count_distinct(col)).first()[0] if n is None else n
     bits = 1 << 13
     while bits < min(BITS_A_KEY * n, MOST_BITS):
         bits *= 2
@@ -46,7 +48,8 @@ def bloom(keys: DataFrame, col: str) -> Bloom:
         own = Bloom(np.zeros(bits // 8, np.uint8), bits)
         for b in batches:
             if b.num_rows:
-                for p in own.places(b.column(0).to_numpy(zero_copy_only=False)):
+                c = b.column(0)
+                for p in own.places(np.unique(c.flatten().to_numpy()).view(np.uint64) if pa.types.is_list(c.type) else hashed(c.to_numpy(zero_copy_only=False))):
                     np.bitwise_or.at(own.words, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
         parts = own.words.reshape(-1, block // 8)
         used = np.flatnonzero(parts.any(1))

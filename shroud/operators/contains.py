@@ -1,11 +1,13 @@
 """Contains join: which texts hold which of any number of spellings, without comparing all with all.
 
 Each spelling can only stand where all of its stretches of letters and digits stand (one in a script that joins words: the
-first characters of its first stretch; one of signs: its first signs). So these are its keys, and texts post those of
-their stretches that a Bloom filter takes for keys. Counting the postings tells each spelling's rarest key; spellings with a
-key that no text has are done. Spellings meet postings on that key alone, by a shuffled join in which keys with over HEAVY
-postings are dealt out. What meets is verified in Arrow by the search for one value. A text stands for all rows that have it,
-by its digest, so copies are posted and met once.
+first characters of its first stretch; one of signs: its first signs). So these are its keys, known by their hashes, and texts
+post those of their stretches that a Bloom filter takes for keys. Counters of the postings, of a fixed size and sent to all tasks,
+tell each spelling's rarest key without a shuffle; spellings with a key that no text has are done. Spellings meet postings on
+that key alone, a row each, by a shuffled join in which keys with over HEAVY postings are dealt out; 64 bits of each side's keys
+turn most of those away that lack another key. What meets is verified in Arrow by the search for one value: hashes, shared
+counters and bits only ever let more through. A text stands for all rows that have it, by its digest, so copies are posted and
+met once.
 """
 
 from __future__ import annotations
@@ -13,12 +15,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .batches import by_batch, by_pieces, spread
-from .bloom import bloom
-from .known import _BROKEN, _HYPHENS, _STRETCH, _joins, _same, occurrences
+from .bloom import bloom, hashed
+from .known import _BROKEN, _HYPHENS, _STRETCH, _joins, _same, finder
 from .staging import dropped, kept
 
 #: Postings of one key in a group of the join.
@@ -34,6 +37,8 @@ def spelling_keys(spelling: str) -> list[str]:
     same = _same(spelling).strip()
     if not same:
         return []
+    if same.isascii() and (stretches := _STRETCH.findall(same)):
+        return sorted({"s" + x for x in stretches})
     m = _STRETCH.search(same)
     first = same[0]
     if m and m.start() == 0 and _joins(first):
@@ -56,25 +61,32 @@ def text_keys(text: str) -> set[str]:
 
 
 def standing(text: str, met: Iterable[dict] | None) -> Iterator[tuple[dict, list[tuple[int, int]]]]:
-    """Rows of met() whose spelling stands in the text, with its places; only those whose keys are all there are searched for."""
+    """Rows of met() whose spelling stands in the text, with its places; in longer texts only those whose keys are all there are
+    searched for."""
     if met:
-        own = text_keys(text)
+        own, find = text_keys(text) if len(text) > 1000 else None, finder(text)
         for row in met:
-            if own.issuperset(spelling_keys(row["spelling"])) and (found := occurrences(text, row["spelling"])):
+            if (own is None or own.issuperset(spelling_keys(row["spelling"]))) and (found := find(row["spelling"])):
                 yield row, found
 
 
+#: Lengths of runs that spellings anywhere are met by: a short one as a whole, so that numbers of few digits don't meet by parts of
+#: which there are only thousands.
+_RUNS = (12, 8, 7, 6, 5, 4, 3, 2, 1)
+
+
 def substring_keys(spelling: str) -> list[str]:
-    """Keys of a spelling that may stand anywhere, inside words too, in its own writing: all runs of four characters."""
-    return sorted({spelling[k : k + 4] for k in range(max(1, len(spelling) - 3))})
+    """Keys of a spelling that may stand anywhere, inside words too, in its own writing: all runs of the greatest length that it has."""
+    n = next(n for n in _RUNS if n <= len(spelling))
+    return sorted({spelling[k : k + n] for k in range(len(spelling) - n + 1)})
 
 
 def substring_text_keys(text: str) -> set[str]:
-    return {text[k : k + n] for n in range(1, 5) for k in range(len(text) - n + 1)}
+    return {text[k : k + n] for n in _RUNS for k in range(len(text) - n + 1)}
 
 
 def text_key(text_col: str, scope: str | None = None) -> Column:
-    return F.md5(F.concat(F.coalesce(F.col(scope).cast("string"), F.lit("")), F.lit("\x00"), text_col) if scope else F.col(text_col))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(scope).cast("string"), F.lit("")), F.lit("\x00"), text_col) if scope else F.col(text_col)))
 
 
 def met(docs: DataFrame, spellings: DataFrame, text_col: str = "text", scope: str | None = None, keys_of: Callable = spelling_keys, keys_in: Callable = text_keys) -> DataFrame:
@@ -85,43 +97,102 @@ def met(docs: DataFrame, spellings: DataFrame, text_col: str = "text", scope: st
     spelling needs and a text has.
     """
     spark = docs.sparkSession
-    named = spellings.where(F.trim("spelling") != "").withColumn("at__", F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit(""))
-    named = kept(named.dropDuplicates(["at__", "spelling"]), "contains-spellings")
+    at = F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")
+    named = spellings.where(F.trim("spelling") != "").withColumn("at__", at).dropDuplicates(["at__", "spelling"])
+    shape = T.StructType([*named.schema.fields, T.StructField("keys__", T.ArrayType(T.LongType()))])
 
     def keyed(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [(at, s, f"{at}\x00{k}", len(ks)) for at, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for ks in [keys_of(s)] for k in ks]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=["at__", "spelling", "key", "n"])
+        keys = [[f"{where}\x00{k}" for k in keys_of(s)] for where, s in zip(b.column("at__").to_pylist(), b.column("spelling").to_pylist(), strict=True)]
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(_hashes([k for ks in keys for k in ks]).view(np.int64)))
+        return pa.RecordBatch.from_arrays([*b.columns, lists], names=shape.names)
 
-    keys = kept(by_batch(named.select("at__", "spelling"), keyed, "at__ string, spelling string, key string, n int"), "contains-keys")
-    filter_ = spark.sparkContext.broadcast(bloom(keys, "key"))
+    named = kept(by_batch(named, keyed, shape).where(F.size("keys__") > 0), "contains-spellings")
+    filter_ = spark.sparkContext.broadcast(bloom(named.select("keys__"), "keys__", 4 * named.count()))
 
     def posted(batches):
         for b in batches:
-            out = []
-            for at, text, where in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = [f"{where}\x00{k}" for k in keys_in(text)]
-                out += [(at, own[k]) for k in filter_.value.may_hold(own).nonzero()[0].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(2)], names=["text_key", "key"])
-
-    place = F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")
-    texts = spread(docs.where(F.length(text_col) > 0).select(text_key(text_col, scope).alias("text_key"), text_col, place.alias("at__")))
-    posts = kept(by_pieces(texts, posted, "text_key string, key string").distinct(), "contains-posts")
-    seen = posts.groupBy("key").agg(F.count("*").alias("texts"))
-    whole = keys.join(seen, "key").groupBy("at__", "spelling", "n").agg(F.count("*").alias("there"), F.min(F.struct("texts", "key")).alias("rarest")).where("there = n")
-    chosen = kept(whole.select("at__", "spelling", "rarest.*").withColumn("deals", F.ceil(F.col("texts") / HEAVY).cast("int")), "contains-chosen")
-    heavy = chosen.where("deals > 1").select("key", F.col("deals").alias("d")).distinct()
-    dealt = posts.join(chosen.select("key").distinct(), "key", "left_semi").join(heavy, "key", "left").withColumn("deal", F.pmod(F.xxhash64("text_key"), F.coalesce("d", F.lit(1))).cast("int"))
-    pairs = chosen.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).join(dealt, ["key", "deal"]).select("at__", "spelling", "text_key")
-    found = pairs.join(named, ["at__", "spelling"]).groupBy("text_key").agg(F.collect_list(F.struct(*spellings.columns)).alias("met"))
+            texts, keys, signs = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for key, text, where in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if len(own := _hashes([f"{where}\x00{k}" for k in keys_in(text)])):
+                    held = own[filter_.value.may_hold_hashed(own)]
+                    texts += [key] * len(held)
+                    keys.append(held)
+                    signs.append(np.full(len(held), np.bitwise_or.reduce(_sign(own))))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *(pa.array(np.concatenate(x).view(np.int64)) for x in (keys, signs))], names=["text_key", "key", "signs"])
+
+    texts = spread(docs.where(F.length(text_col) > 0).select(text_key(text_col, scope).alias("text_key"), text_col, at.alias("at__")))
+    posts = kept(by_pieces(texts, posted, "text_key binary, key long, signs long").distinct(), "contains-posts")
+    counts = spark.sparkContext.broadcast(_counts(posts))
+    shape_chosen = T.StructType([*named.schema.fields[:-1], *T._parse_datatype_string("key long, needs long, deals int").fields])
+
+    def rarest(b: pa.RecordBatch) -> pa.RecordBatch:
+        lists = b.column("keys__")
+        if not b.num_rows:
+            return pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32()))], names=shape_chosen.names)
+        sizes = lists.value_lengths().to_numpy()
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        keys = lists.flatten().to_numpy().view(np.uint64)
+        n = counts.value[(keys & np.uint64(_SLOTS - 1)).astype(np.int64)]
+        least = np.minimum.reduceat(n, first)
+        best = np.lexsort((n, np.repeat(np.arange(len(sizes)), sizes)))[first]  # the first of each spelling's keys by count
+        new = [pa.array(keys[best].view(np.int64)), pa.array(np.bitwise_or.reduceat(_sign(keys), first).view(np.int64)), pa.array(np.ceil(least / HEAVY).astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=shape_chosen.names).filter(pa.array(least > 0))
+
+    chosen = kept(by_batch(named, rarest, shape_chosen), "contains-chosen")
+    heavy = chosen.where("deals > 1").select("key", F.col("deals").alias("d")).distinct()  # a few: each has over HEAVY postings
+    dealt = posts.join(F.broadcast(heavy), "key", "left").withColumn("deal", F.pmod(F.xxhash64("text_key"), F.coalesce("d", F.lit(1))).cast("int")).drop("d")
+    pairs = chosen.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).join(dealt, ["key", "deal"]).where("(needs & ~signs) = 0")
+    found = pairs.groupBy("text_key").agg(F.collect_list(F.struct(*spellings.columns)).alias("met"))
     out = kept(found, "contains-met")
-    dropped(named, keys, posts, chosen)
+    dropped(named, posts, chosen)
     return out
 
 
+#: Counters of postings that are sent to all tasks (16 MB); keys that share one only look more frequent than they are.
+_SLOTS = 1 << 22
+
+
+def _hashes(keys: list[str]) -> np.ndarray:
+    return hashed(np.array(keys, object)) if keys else np.zeros(0, np.uint64)
+
+
+def _sign(h: np.ndarray) -> np.ndarray:
+    """One bit of 64 for each key: a text that lacks a spelling's bit lacks its key."""
+    return np.uint64(1) << (h >> np.uint64(40) & np.uint64(63))
+
+
+def _counts(posts: DataFrame, block: int = 1 << 16) -> np.ndarray:
+    """Postings by slot: tasks count their own, blocks are added up; nothing but the counters is collected."""
+
+    def run(batches):
+        own = np.zeros(_SLOTS, np.int64)
+        for b in batches:
+            np.add.at(own, (b.column(0).to_numpy().view(np.uint64) & np.uint64(_SLOTS - 1)).astype(np.int64), 1)
+        parts = np.minimum(own, _MOST).astype(np.int32).reshape(-1, block)
+        used = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names=["block", "counts"])
+
+    def added(t: pa.Table) -> pa.Table:
+        out = np.zeros(block, np.int64)
+        for x in t["counts"]:
+            out += np.frombuffer(x.as_py(), np.int32)
+        return pa.table({"block": t["block"][:1], "counts": pa.array([np.minimum(out, _MOST).astype(np.int32).tobytes()], pa.binary())})
+
+    counts = np.zeros(_SLOTS, np.int32).reshape(-1, block)
+    for r in posts.select("key").mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(added, "block int, counts binary").collect():
+        counts[r["block"]] = np.frombuffer(r["counts"], np.int32)
+    return counts.ravel()
+
+
+_MOST = (1 << 31) - 1
+
+
 def with_met(docs: DataFrame, spellings: DataFrame, text_col: str = "text", out_col: str = "met", scope: str | None = None, **keys) -> DataFrame:
     """docs with an array of the spellings that each text may hold (null: none)."""
     pairs = met(docs, spellings, text_col, scope, **keys).withColumnRenamed("text_key", "text_key__").withColumnRenamed("met", out_col)
-    return docs.drop(out_col).join(pairs, text_key(text_col, scope) == F.col("text_key__"), "left").drop("text_key__")
+    own = docs.drop(out_col).withColumn("text_key__", text_key(text_col, scope))  # a column, so that a text that nobody reads isn't shuffled
+    return own.join(pairs, "text_key__", "left").select(*(c for c in docs.columns if c != out_col), out_col)
 
 
 def places(docs: DataFrame, spellings: DataFrame, text_col: str = "text") -> DataFrame:

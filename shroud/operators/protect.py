@@ -183,7 +183,7 @@ def audit(protected: DataFrame, text_col: str = "text", out: str = "protected",
     Secrets are all values that any document of the session protects (session: its column; without it all rows are one).
     What leaves is `out`, the payload where a request goes along; what entered is the text and that request (a column). A
     secret may stand as often as in what entered less the places replaced. Both sides are counted by one expression, in NFC and
-    as raw substrings, so a value inside a longer word counts. Texts meet secrets by their rarest run of four characters
+    as raw substrings, so a value inside a longer word counts. Texts meet secrets by their rarest run of characters
     (contains.met), however many there are.
     """
     scope = [session] if session else []
