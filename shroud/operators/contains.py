@@ -2,10 +2,10 @@
 
 Each spelling can only stand where all of its stretches of letters and digits stand (one in a script that joins words: the
 first characters of its first stretch; one of signs: its first signs). So these are its keys, known by their hashes, and texts
-post those of their stretches that a Bloom filter takes for keys. Counters of the postings, of a fixed size and sent to all tasks,
-tell each spelling's rarest key without a shuffle; spellings with a key that no text has are done. Spellings meet postings on
-that key alone, a row each, by a shuffled join in which keys with over HEAVY postings are dealt out; 64 bits of each side's keys
-turn most of those away that lack another key. What meets is verified in Arrow by the search for one value: hashes, shared
+post those of their stretches that a Bloom filter takes for keys. Another filter, over the postings, is the end of spellings with a
+key that no text has, and counters of the postings, of a fixed size and sent to all tasks, tell each spelling's rarest key without a
+shuffle. Spellings meet postings on that key alone, a row each, by a shuffled join in which keys with over HEAVY postings are dealt
+out; 64 bits of each side's keys turn most of those away that lack another key. What meets is verified in Arrow by the search for one value: hashes, shared
 counters and bits only ever let more through. A text stands for all rows that have it, by its digest, so copies are posted and
 met once.
 """
@@ -108,21 +108,39 @@ def met(docs: DataFrame, spellings: DataFrame, text_col: str = "text", scope: st
         return pa.RecordBatch.from_arrays([*b.columns, lists], names=shape.names)
 
     named = kept(by_batch(named, keyed, shape).where(F.size("keys__") > 0), "contains-spellings")
-    filter_ = spark.sparkContext.broadcast(bloom(named.select("keys__"), "keys__", 4 * named.count()))
+    filter_ = spark.sparkContext.broadcast(bloom(named, "keys__", named.agg(F.sum(F.size("keys__"))).first()[0] or 0))
 
     def posted(batches):
+        seen = set()
         for b in batches:
-            texts, keys, signs = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for key, text, where in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(own := _hashes([f"{where}\x00{k}" for k in keys_in(text)])):
-                    held = own[filter_.value.may_hold_hashed(own)]
-                    texts += [key] * len(held)
-                    keys.append(held)
-                    signs.append(np.full(len(held), np.bitwise_or.reduce(_sign(own))))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *(pa.array(np.concatenate(x).view(np.int64)) for x in (keys, signs))], names=["text_key", "key", "signs"])
+            rows, keys, signs = [], [], []
+            for row, (key, text, where) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if key not in seen:
+                    _noted(seen, key)
+                    own = _hashes([f"{where}\x00{k}" for k in keys_in(text)])
+                    if len(own) and len(held := own[filter_.value.may_hold_hashed(own)]):
+                        rows.append(row)
+                        keys.append(held)
+                        signs.append(np.bitwise_or.reduce(_sign(own)))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(_joined(keys)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), lists, pa.array(np.array(signs, np.uint64).view(np.int64))], names=["text_key", "keys", "signs"])
+
+    def once(batches):  # all rows of a text are in one task
+        seen = set()
+        for b in batches:
+            rows = []
+            for row, key in enumerate(b.column(0).to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    rows.append(row)
+            own = b.take(pa.array(rows, pa.int64()))
+            of = pa.array(np.repeat(np.arange(len(rows)), own.column(1).value_lengths().to_numpy()))
+            yield pa.RecordBatch.from_arrays([own.column(0).take(of), own.column(1).flatten(), own.column(2).take(of)], names=["text_key", "key", "signs"])
 
     texts = spread(docs.where(F.length(text_col) > 0).select(text_key(text_col, scope).alias("text_key"), text_col, at.alias("at__")))
-    posts = kept(by_pieces(texts, posted, "text_key binary, key long, signs long").distinct(), "contains-posts")
+    lists = by_pieces(texts, posted, "text_key binary, keys array<long>, signs long").repartition("text_key")
+    posts = kept(lists.mapInArrow(once, "text_key binary, key long, signs long"), "contains-posts")
+    there = spark.sparkContext.broadcast(bloom(posts, "key"))
     counts = spark.sparkContext.broadcast(_counts(posts))
     shape_chosen = T.StructType([*named.schema.fields[:-1], *T._parse_datatype_string("key long, needs long, deals int").fields])
 
@@ -134,7 +152,7 @@ def met(docs: DataFrame, spellings: DataFrame, text_col: str = "text", scope: st
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         keys = lists.flatten().to_numpy().view(np.uint64)
         n = counts.value[(keys & np.uint64(_SLOTS - 1)).astype(np.int64)]
-        least = np.minimum.reduceat(n, first)
+        least = np.where(np.logical_and.reduceat(there.value.may_hold_hashed(keys), first), np.minimum.reduceat(n, first), 0)
         best = np.lexsort((n, np.repeat(np.arange(len(sizes)), sizes)))[first]  # the first of each spelling's keys by count
         new = [pa.array(keys[best].view(np.int64)), pa.array(np.bitwise_or.reduceat(_sign(keys), first).view(np.int64)), pa.array(np.ceil(least / HEAVY).astype(np.int32))]
         return pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=shape_chosen.names).filter(pa.array(least > 0))
@@ -143,16 +161,31 @@ def met(docs: DataFrame, spellings: DataFrame, text_col: str = "text", scope: st
     heavy = chosen.where("deals > 1").select("key", F.col("deals").alias("d")).distinct()  # a few: each has over HEAVY postings
     dealt = posts.join(F.broadcast(heavy), "key", "left").withColumn("deal", F.pmod(F.xxhash64("text_key"), F.coalesce("d", F.lit(1))).cast("int")).drop("d")
     pairs = chosen.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).join(dealt, ["key", "deal"]).where("(needs & ~signs) = 0")
-    found = pairs.groupBy("text_key").agg(F.collect_list(F.struct(*spellings.columns)).alias("met"))
-    out = kept(found, "contains-met")
+    out = kept(pairs.select("text_key", *spellings.columns), "contains-met")
     dropped(named, posts, chosen)
-    return out
+    for shared in (filter_, there, counts):
+        shared.unpersist()
+    return out.groupBy("text_key").agg(F.collect_list(F.struct(*spellings.columns)).alias("met"))
 
 
 #: Counters of postings that are sent to all tasks (16 MB); keys that share one only look more frequent than they are.
 _SLOTS = 1 << 22
 
 
+#: Texts that a task remembers, so that copies among them are posted once; those that it has forgotten go on to be told apart later.
+_SEEN = 1 << 18
+
+
+def _noted(seen: set, key: bytes) -> None:
+    if len(seen) >= _SEEN:
+        seen.clear()
+    seen.add(key)
+
+
+def _joined(keys: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
+
+
 def _hashes(keys: list[str]) -> np.ndarray:
     return hashed(np.array(keys, object)) if keys else np.zeros(0, np.uint64)
 
