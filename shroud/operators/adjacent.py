@@ -2,7 +2,7 @@
 
 A text's words are one array with their places and the space before each. A neighbour is the same array moved by one, put
 beside it by zip_with, so lag and lead take a step a word; "among the words before it on its line" is as many moves as words
-may lie between.
+may lie between. Where patterns can tell the words, only those places are looked at.
 """
 
 from __future__ import annotations
@@ -57,3 +57,27 @@ def led_by(words_: Column, test: Test, lead: Test, back: int = 6) -> Column:
     facts = F.transform(words_, lambda w: F.struct(F.coalesce(lead(w), F.lit(False)).alias("leads"), breaks(w).alias("breaks")))
     found = F.zip_with(words_, once(facts, near), lambda w, n: F.when(n["near"] & test(w), w))
     return F.filter(found, lambda w: w.isNotNull())
+
+
+#: What parts two words of a line.
+_ON_LINE = "[ \\t\\r]+"
+_BEGINS, _ENDS = f"(?<![^{SPACE}])", f"(?![^{SPACE}])"
+
+
+def pairs_like(text: Column, first: str, second: str) -> Column:
+    """array<struct<start, end, value, next>>: pairs() for words that patterns can tell. One search for the pairs themselves, so what
+    it costs hangs on them and not on all the words."""
+    text = F.coalesce(text, F.lit(""))
+    pattern = f"{_BEGINS}(?:{first})(?={_ON_LINE}((?:{second})){_ENDS})"
+    next_ = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.zip_with(matches(text, pattern), next_, lambda m, b: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), b.alias("next")))
+
+
+def led_like(text: Column, word: str, lead: str, back: int = 6) -> Column:
+    """array<struct<start, end, value>>: led_by() for words that patterns can tell. Words are looked for only behind those that lead."""
+    text = F.coalesce(text, F.lit(""))
+    pattern = f"{_BEGINS}(?:{lead}){_ENDS}(?=((?:{_ON_LINE}[^{SPACE}]+){{1,{back}}}))"
+    behind = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    moved_ = lambda by, w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), w["value"].alias("value"))
+    each = F.zip_with(matches(text, pattern), behind, lambda m, s: F.transform(matches(s, f"{_BEGINS}(?:{word}){_ENDS}"), lambda w: moved_(m["end"], w)))
+    return F.array_distinct(F.flatten(each))

@@ -286,9 +286,9 @@ SELECT doc_id, CAST(pos AS INTEGER) AS start, w || ' ' || rtrim(b, '.,;:!?') AS
 """)
 def words_name_pairs(spark, sf_dir):
     """Two words with capitals beside each other on a line, in native arrays."""
-    d = documents(spark, sf_dir).select("doc_id", adjacent.words(F.col("text")).alias("w"))
-    found = adjacent.pairs(F.col("w"), lambda w: w["value"].rlike("^[A-Z][a-z]+$"), lambda w: w["value"].rlike("^[A-Z][a-z]+[.,;:!?]*$"))
-    return d.select("doc_id", F.explode(found).alias("p")).select("doc_id", F.col("p.a.start").alias("start"), F.concat(F.col("p.a.value"), F.lit(" "), F.regexp_replace("p.b.value", "[.,;:!?]+$", "")).alias("pair"))
+    found = adjacent.pairs_like(F.col("text"), "[A-Z][a-z]+", "[A-Z][a-z]+[.,;:!?]*")
+    d = documents(spark, sf_dir).select("doc_id", F.explode(found).alias("p"))
+    return d.select("doc_id", F.col("p.start").alias("start"), F.concat(F.col("p.value"), F.lit(" "), F.regexp_replace("p.next", "[.,;:!?]+$", "")).alias("pair"))
 
 
 @query(_WORDS_SQL + r"""
@@ -298,10 +298,9 @@ SELECT doc_id, CAST(pos AS INTEGER) AS start, w AS word FROM f WHERE led = 1 AND
 """)
 def words_after_phone_words(spark, sf_dir):
     """Words with digits that a word for telephones or a country's prefix leads, up to six words back on the line."""
-    d = documents(spark, sf_dir).select("doc_id", adjacent.words(F.col("text")).alias("w"))
-    lead = lambda w: F.lower(F.regexp_replace(w["value"], "[.,;:!?]+$", "")).rlike(r"^(phone|tel|telefon|call|mobile|contact|\+[0-9]{1,3})$")
-    found = adjacent.led_by(F.col("w"), lambda w: w["value"].rlike("[0-9]{3}"), lead)
-    return d.select("doc_id", F.explode(found).alias("w")).select("doc_id", F.col("w.start").alias("start"), F.col("w.value").alias("word"))
+    found = adjacent.led_like(F.col("text"), r"[^ \t\n\r\f]*[0-9]{3}[^ \t\n\r\f]*", r"(?i:phone|tel|telefon|call|mobile|contact|\+[0-9]{1,3})[.,;:!?]*")
+    d = documents(spark, sf_dir).select("doc_id", F.explode(found).alias("w"))
+    return d.select("doc_id", F.col("w.start").alias("start"), F.col("w.value").alias("word"))
 
 
 # -- scan, protect, restore --------------------------------------------------------------------------------------------------
