@@ -289,12 +289,19 @@ def returned_statistics(resolved: DataFrame) -> DataFrame:
 
 
 def rename_all(texts: DataFrame, old_to_new: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Each token replaced by its new name (old, new); others stay. The pieces between tokens are joined again in order."""
-    like = F.regexp_extract_all(F.col(text_col), F.lit(LIKE_A_TOKEN), F.lit(0))
-    pieces = texts.select(id_col, F.posexplode(F.zip_with(F.split(F.col(text_col), LIKE_A_TOKEN, -1), like, lambda p, t: F.struct(p.alias("between"), F.coalesce(t, F.lit("")).alias("token")))).alias("n", "p"))
-    met = pieces.select(id_col, "n", "p.*").join(old_to_new.where(F.col("old").rlike(f"^{TOKEN}$")), F.col("token") == F.col("old"), "left")
-    both = F.array_sort(F.collect_list(F.struct("n", F.concat("between", F.coalesce("new", "token")).alias("s"))))
-    return met.groupBy(id_col).agg(F.array_join(F.transform(both, lambda x: x["s"]), "").alias(text_col))
+    """Each token replaced by its new name (old, new); others stay. The pieces between tokens are joined again in order.
+
+    A row a token, with what stands before it (and after the last); a text without any never meets the names, so no key of the
+    join is shared by all texts.
+    """
+    like, between = F.regexp_extract_all(F.col(text_col), F.lit(LIKE_A_TOKEN), F.lit(0)), F.split(F.col(text_col), LIKE_A_TOKEN, -1)
+    held = texts.select(id_col, F.col(text_col).alias("t__"), like.alias("k__"), between.alias("b__"))
+    last = F.when(F.col("n") == F.size("k__") - 1, F.element_at("b__", -1)).otherwise("")
+    pieces = held.where(F.size("k__") > 0).select(id_col, "k__", "b__", F.posexplode("k__").alias("n", "token")).select(id_col, "n", F.get("b__", F.col("n")).alias("before"), "token", last.alias("after"))
+    met = pieces.join(old_to_new.where(F.col("old").rlike(f"^{TOKEN}$")), F.col("token") == F.col("old"), "left").select(id_col, "n", F.concat("before", F.coalesce("new", "token"), "after").alias("s"))
+    plain = held.where(F.size("k__") == 0).select(id_col, F.lit(0).alias("n"), F.col("t__").alias("s"))
+    both = F.array_sort(F.collect_list(F.struct("n", "s")))
+    return met.unionByName(plain).groupBy(id_col).agg(F.array_join(F.transform(both, lambda x: x["s"]), "").alias(text_col))
 
 
 _KIND_OF = {word: kind for kind, word in KINDS.items()}
