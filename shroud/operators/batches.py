@@ -34,15 +34,25 @@ def by_batch(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out over all cores where it is small for them.
+    """df, dealt out so that all cores have work and no task has much of it.
 
-    A file of one row group is one task however many cores wait. Under SMALL_SHARE bytes a core (by the plan's own estimate)
-    the rows are shuffled once, which costs little; larger inputs have splits enough and stay as they are. Only the layout
-    hangs on this, never a result.
+    A file of one row group is one task however many cores wait, and of a large file a task is as large as a core's share of it. So
+    the rows are shuffled once before work that costs far more than that: into some tasks a core where the input (by the plan's own
+    estimate) is under SMALL_SHARE bytes a core, else into a task for each SMALL_SHARE bytes of the files that are read. Only the
+    layout hangs on this, never a result.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = min(4 * cores, size // LEAST_SHARE)
-    return df.repartition(tasks) if 1 < tasks and size < cores * SMALL_SHARE else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size < cores * SMALL_SHARE:
+        tasks = min(4 * cores, size // LEAST_SHARE)
+        return df.repartition(tasks) if 1 < tasks else df
+    leaves = plan.collectLeaves()  # estimates of joins are not used: they multiply
+    read = sum(n for n in (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())) if n < _UNKNOWN)
+    return df.repartition(max(4 * cores, -(-read // SMALL_SHARE)))
+
+
+#: What a plan says of rows whose size it doesn't know is more than this.
+_UNKNOWN = 1 << 50

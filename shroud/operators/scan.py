@@ -128,4 +128,4 @@ def register(spark: SparkSession, known: Knowledge | None = None) -> None:
 
 def readable(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """docs as a view for pii_scan: doc_id, text and what the general rules find."""
-    docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), general.found(F.col(text_col)).alias("general__")).createOrReplaceTempView(name)
+    spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "text", general.found(F.col(text_col)).alias("general__")).createOrReplaceTempView(name)
