@@ -66,7 +66,8 @@ def payment_cards(text: Column) -> Column:
         pointed = (first > 0) & (s["start"] >= 2) & F.substr(text, F.greatest(s["start"] - 1, F.lit(1)), F.lit(2)).rlike(r"^[0-9]\.$")
         return F.when(card(s["value"]), s).when(pointed & card(rest), F.struct((s["start"] + first).alias("start"), s["end"].alias("end"), rest.alias("value")))
 
-    return F.filter(F.transform(matches(text, _B + r"[0-9]++(?:[ \-][0-9]++)*+" + _A), read), lambda s: s.isNotNull())
+    long_ = F.filter(matches(text, _B + r"[0-9]++(?:[ \-][0-9]++)*+" + _A), lambda s: F.length(s["value"]) >= 13)
+    return F.when(~text.rlike(r"[0-9](?:[ \-]?[0-9]){12}"), F.array().cast(f"array<{SPAN}>")).otherwise(F.filter(F.transform(long_, read), lambda s: s.isNotNull()))
 
 
 def _few(v: Column) -> Column:
@@ -95,10 +96,16 @@ RULES = (
 )
 
 
+#: What every rule's spans hold: the head of an IBAN, an at sign, the ends of a social insurance or national identity number, the
+#: eleven digits of a tax number or card, a country's prefix, or eight digits from 0.
+_ANYTHING = r"[A-Z]{2}[0-9]{2}|@|[0-9]{6}(?: ?[A-Z] ?[0-9]{3}|[-+][0-9]{4})|[0-9](?:[ \-]?[0-9]){10}|\+[0-9]|0(?:[ \-/().]?[0-9]){7}"
+
+
 def found(text: Column, rules: tuple[str, ...] | None = None) -> Column:
     """array of start, end, kind, confidence, rule; every rule's spans, in the order of the rules."""
     parts = [_named(spans(text), rule, kind, sure) for rule, kind, sure, spans in RULES if rules is None or rule in rules]
-    return F.concat(*parts).cast(f"array<{FOUND}>")
+    none = F.array().cast(f"array<{FOUND}>")
+    return F.when(text.isNull() | ~text.rlike(_ANYTHING), none).otherwise(F.concat(*parts).cast(f"array<{FOUND}>"))
 
 
 def _named(spans: Column, rule: str, kind: str, sure: str) -> Column:

@@ -44,16 +44,22 @@ def scan(docs: DataFrame, known: Knowledge | None = None, text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        k, found, plain = shared.value, [], []
-        met, named = (b.column(c).to_pylist() if there else [None] * b.num_rows for c, there in (("known__", tabled), ("names__", banked)))
-        for text, spans, spellings, names in zip(b.column(text_col).to_pylist(), b.column("general__").to_pylist(), met, named, strict=True):
-            k.learn(names)
+        k, found, ends, plain = shared.value, [], [0], []
+        none = [None] * b.num_rows
+        met, named = (b.column(c).to_pylist() if there else none for c, there in (("known__", tabled), ("names__", banked)))
+        general_ = b.column("general__")
+        for text, spans, spellings, names in zip(b.column(text_col).to_pylist(), general_.to_pylist() if len(general_.flatten()) else none, met, named, strict=True):
+            if names:
+                k.learn(names)
             doc = Reading(text or "")
-            hits = scan_document(doc, [Hit(s["start"], s["end"], s["kind"], s["confidence"] == "auto", GENERAL, s["rule"]) for s in spans or []], k, spellings or ())
-            found.append([{"start": h.start, "end": h.end, "kind": h.kind, "confidence": "auto" if h.sure else "suggest", "source": h.source, "rule": h.rule, "also": h.also, "entities": h.entities} for h in hits])
+            hits = scan_document(doc, [Hit(s["start"], s["end"], s["kind"], s["confidence"] == "auto", GENERAL, s["rule"]) for s in spans or ()], k, spellings or ())
+            found += hits
+            ends.append(len(found))
             plain.append(doc.plain(hits))
+        columns = [h.start for h in found], [h.end for h in found], [h.kind for h in found], ["auto" if h.sure else "suggest" for h in found], [h.source for h in found], [h.rule for h in found], [h.also for h in found], [h.entities for h in found]
+        each = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)], fields=list(kind.value_type))
         keep = [i for i, n in enumerate(b.schema.names) if n not in _OWN]
-        return pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(found, kind), pa.array(plain, pa.int32())], names=[*(b.schema.names[i] for i in keep), out_col, "plain_words"])
+        return pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each), pa.array(plain, pa.int32())], names=[*(b.schema.names[i] for i in keep), out_col, "plain_words"])
 
     return by_batch(base, run, schema)
 
@@ -77,7 +83,8 @@ def findings(scanned: DataFrame, text_col: str = "text", col: str = "findings")
         near = F.when(first == last, F.get("p__", first.cast("int"))).otherwise(F.array_join(F.slice("p__", (first + 1).cast("int"), (last - first + 1).cast("int")), ""))
         return F.substr(near, (x["start"] - first * _PIECE + 1).cast("int"), x["end"] - x["start"])
 
-    valued = scanned.withColumn("p__", pieces).withColumn("v__", F.transform(col, lambda x: x.withField("value", value(x))))
+    pieces = F.when(F.length(text_col) > _PIECE, pieces).otherwise(F.array(text_col))
+    valued = scanned.where(F.size(col) > 0).withColumn("p__", pieces).withColumn("v__", F.transform(col, lambda x: x.withField("value", value(x))))
     ordered = F.array_sort(F.transform("v__", lambda x, i: F.struct(x["kind"].alias("a"), x["confidence"].alias("b"), x["value"].alias("c"), i.alias("i"))))
     last = F.size("s__")
     same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))

