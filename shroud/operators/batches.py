@@ -45,6 +45,8 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
+    if _dealt(plan):
+        return df
     size = int(str(plan.stats().sizeInBytes()))
     if size < cores * SMALL_SHARE:
         tasks = min(4 * cores, size // LEAST_SHARE)
@@ -54,5 +56,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(4 * cores, -(-read // SMALL_SHARE)))
 
 
+#: What leaves rows in the tasks they are in.
+_IN_PLACE = {"Project", "Filter", "ArrowEvalPython", "BatchEvalPython", "MapInArrow", "Generate"}
+
+
+def _dealt(plan) -> bool:
+    """Whether nothing but work on single rows stands between these rows and a shuffle that dealt them out."""
+    while plan.nodeName() in _IN_PLACE:
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "Repartition" and plan.shuffle()
+
+
 #: What a plan says of rows whose size it doesn't know is more than this.
 _UNKNOWN = 1 << 50

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X, validators as V
 from ..operators import adjacent, bank, contains, general, intervals, marks, names, protect, report, scan, vault
+from ..operators.batches import spread
 from ..operators.lexicon import LABELS
 from ..operators.spans import matches, splice
 from ..operators.staging import kept
@@ -649,7 +650,7 @@ def read_files(spark, sf_dir):
     """DOCX and PDF files made from customers, read or refused by name."""
     which = F.col("c_custkey") % 4
     kind = F.when(which == 0, "docx").when(which == 3, "odt").otherwise("pdf")
-    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), kind.alias("kind"), made_files.content(which, "c_name", "c_mktsegment").alias("content"))
+    files = spread(table(spark, sf_dir, "customer")).select(F.col("c_custkey").cast("string").alias("path"), kind.alias("kind"), made_files.content(which, "c_name", "c_mktsegment").alias("content"))
     read = readers.extracted(files)
     return read.select(F.col("path").cast("long").alias("doc_id"), "kind", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("refusal", F.lit("")).alias("refusal"))
 
