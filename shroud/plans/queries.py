@@ -565,7 +565,7 @@ def vault_learn(spark, sf_dir):
 @query(_FOUND_SQL + "SELECT kind, CASE WHEN kind = 'Phone' AND doc_id % 3 = 1 THEN 'Protected' ELSE 'Suggested' END AS state, count(*) AS n FROM f WHERE NOT (kind = 'Email' AND doc_id % 2 = 0) GROUP BY 1, 2")
 def vault_decisions(spark, sf_dir):
     """Answers over findings; of two answers to one finding the later counts."""
-    f = scan.findings(_scanned(spark, sf_dir)).withColumn("state", F.lit("Suggested"))
+    f = kept(scan.findings(_scanned(spark, sf_dir)).select("doc_id", "kind", "value", F.lit("Suggested").alias("state")), "findings")  # read four times
     key = f.select("doc_id", "kind", "value")
     no = key.where("kind = 'Email' AND doc_id % 2 = 0").withColumn("answer", F.lit("NotSensitive")).withColumn("act", F.lit(1))
     yes = key.where("kind = 'Phone' AND doc_id % 3 = 1").withColumn("answer", F.lit("Protect")).withColumn("act", F.lit(2))
