@@ -45,9 +45,16 @@ def column_by_example(cells_: DataFrame, example: DataFrame, id_col: str = "doc_
 
 def line_selection(findings: DataFrame, cells_: DataFrame, first: int, last: int, id_col: str = "doc_id") -> DataFrame:
     """How many findings begin on the lines of a range, by document."""
-    lines = cells_.groupBy(id_col, "line").agg(F.min("start").alias("from_"), F.max("end").alias("to_")).where(F.col("line").between(first, last))
-    met = findings.join(lines, id_col).where((F.col("start") >= F.col("from_")) & (F.col("start") < F.col("to_")))
-    return met.groupBy(id_col).agg(F.count("*").alias("marks"))
+    return line_selections(findings, cells_, [(first, last)], id_col).select(id_col, "marks")
+
+
+def line_selections(findings: DataFrame, cells_: DataFrame, ranges: list[tuple[int, int]], id_col: str = "doc_id") -> DataFrame:
+    """The same for any number of ranges (first, last), each once, by document and range; findings and cells are gone through once."""
+    all_ = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(z).alias("last")) for a, z in dict.fromkeys(ranges)])
+    of = F.filter(all_, lambda r: F.col("line").between(r["first"], r["last"]))
+    lines = cells_.groupBy(id_col, "line").agg(F.min("start").alias("from_"), F.max("end").alias("to_")).withColumn("r__", of).where(F.size("r__") > 0)
+    met = findings.select(id_col, F.col("start").alias("s__")).join(lines, id_col).where((F.col("s__") >= F.col("from_")) & (F.col("s__") < F.col("to_")))
+    return met.select(id_col, F.explode("r__").alias("r__")).groupBy(id_col, F.col("r__.first").alias("first"), F.col("r__.last").alias("last")).agg(F.count("*").alias("marks"))
 
 
 def explain(findings: DataFrame, entities: DataFrame | None = None) -> DataFrame:

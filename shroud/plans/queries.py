@@ -723,8 +723,7 @@ def marks_lines(spark, sf_dir):
     """Findings on three ranges of lines of each letter, of which half lack an address."""
     found = scan.findings(_scanned(spark, sf_dir)).where("kind != 'Email' OR doc_id % 2 = 0")
     cells = marks.cells(letters(spark, sf_dir))
-    parts = [marks.line_selection(found, cells, a, z).select("doc_id", F.lit(a).alias("first"), "marks") for a, z in ((0, 1), (1, 1), (1, 3))]
-    return reduce(DataFrame.unionByName, parts)
+    return marks.line_selections(found, cells, [(0, 1), (1, 1), (1, 3)]).select("doc_id", "first", "marks")
 
 
 @query(_VAULT_SQL + """, c AS (SELECT spelling, list_sort(list(DISTINCT entity_id)) AS ids FROM hints WHERE policy <> 'Manual' GROUP BY spelling)
