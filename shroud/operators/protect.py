@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Callable
 from hashlib import blake2b, md5
 from itertools import accumulate
 
@@ -83,7 +84,13 @@ def protect(scanned: DataFrame, secret: str, text_col: str = "text", col: str =
     already: a column of protections made before, which stay and which no other place may touch.
     """
     base = scanned.drop("protections", "protected")
-    schema = T.StructType([*base.schema.fields, *T._parse_datatype_string(f"protections {PROTECTION}, protected string").fields])
+    return by_batch(base, _protecting(secret, text_col, col, suggestions, already), T.StructType([*base.schema.fields, *T._parse_datatype_string(_PROTECTED).fields]))
+
+
+_PROTECTED = f"protections {PROTECTION}, protected string"
+
+
+def _protecting(secret: str, text_col: str, col: str, suggestions: bool, already: str | None) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("token", pa.string())]))
 
     naming = Naming(secret)
@@ -106,7 +113,7 @@ def protect(scanned: DataFrame, secret: str, text_col: str = "text", col: str =
             texts.append(None if text is None else "".join([*parts, text[at:]]).replace("\f", "\n"))
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind), pa.array(texts, pa.string())], names=[*b.schema.names, "protections", "protected"])
 
-    return by_batch(base, run, schema)
+    return run
 
 
 def protections(protected: DataFrame) -> DataFrame:
@@ -315,19 +322,20 @@ def protect_lines(lines: DataFrame, stores: DataFrame, known, secret: str, text_
 
     The store is one session's, of bounded size: it is refused beyond MOST_STORED values, never cut.
     """
-    from .scan import scan
+    from .scan import walk
 
     rows = stores.where(F.trim("value") != "").select("token", "value").distinct().orderBy("value", "token").limit(MOST_STORED + 1).collect()
     if len(rows) > MOST_STORED:
         raise ValueError(f"over {MOST_STORED} values in the store; take one session's")
     tokens = {nfc(r["value"]): r["token"] for r in reversed(rows)}
     session = lines.sparkSession.sparkContext.broadcast((Known([Hint(v, "Custom", "Always", 0) for v in tokens]), tokens))
-    scanned = scan(lines, known, text_col)
-    schema = T._parse_datatype_string(f"known__ {PROTECTION}")
+    base, walked, schema = walk(lines.drop("protections", "protected"), known, text_col)
+    protected = _protecting(secret, text_col, "findings", True, "known__")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("token", pa.string())]))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        index, names = session.value
+        """One pass, so one worker process a task: scanned, met with the session's values, protected."""
+        b, (index, names) = walked(b), session.value
         out = []
         for text in b.column(text_col).to_pylist():
             held, taken, end = token_spans(text or ""), [], 0
@@ -336,11 +344,14 @@ def protect_lines(lines: DataFrame, stores: DataFrame, known, secret: str, text_
                     taken.append({"start": a, "end": z, "kind": _KIND_OF.get(names[spelling].split("_")[4], "Custom"), "value": text[a:z], "token": names[spelling]})
                     end = z
             out.append(taken)
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], names=[*b.schema.names, "known__"])
-
-    met = by_batch(scanned, run, T.StructType([*scanned.schema.fields, *schema.fields]))
-    free = F.filter("findings", lambda f: ~F.exists("known__", lambda k: (f["start"] < k["end"]) & (k["start"] < f["end"])))
-    return protect(met.withColumn("findings", free), secret, text_col, suggestions=True, already="known__").drop("known__")
+        found = b.column("findings")
+        free = [[f for f in fs if not any(f["start"] < k["end"] and k["start"] < f["end"] for k in ks)] for fs, ks in zip(found.to_pylist(), out, strict=True)]
+        columns = [pa.array(free, found.type) if n == "findings" else c for n, c in zip(b.schema.names, b.columns, strict=True)]
+        made = protected(pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names=[*b.schema.names, "known__"]))
+        keep = [n for n in made.schema.names if n != "known__"]
+        return pa.RecordBatch.from_arrays([made.column(n) for n in keep], names=keep)
+
+    return by_batch(base, run, T.StructType([*schema.fields, *T._parse_datatype_string(_PROTECTED).fields]))
 
 
 def find_in_document(scanned: DataFrame, needle: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
