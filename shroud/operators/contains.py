@@ -17,16 +17,19 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .batches import by_batch, by_pieces, spread
-from .bloom import bloom, hashed
+from .batches import by_batch, by_pieces, pieces, spread
+from .bloom import bloom
 from .known import _BROKEN, _HYPHENS, _STRETCH, _joins, _same, finder
 from .staging import dropped, kept
+from .windows import _SLICE, Stretches, hash_strings, may_stand, plain
 
 #: Postings of one key in a group of the join.
 HEAVY = 50_000
 _SIGNS = re.compile(r"(?:[^\w\s]|_)+")
+_PLAIN_SIGNS = re.compile(r"[^0-9a-z\s]+")
 _CHAIN = re.compile(r"[^\W_]+(?:[-‐­]\n[^\W_]+)+")
 _ONE_HYPHEN = str.maketrans(dict.fromkeys(_HYPHENS, "-"))
 _GRAM = 3
@@ -48,6 +51,18 @@ def spelling_keys(spelling: str) -> list[str]:
     return ["g" + _SIGNS.match(same.translate(_ONE_HYPHEN))[0][:_GRAM]]
 
 
+def _plain_keys(b: pa.RecordBatch) -> pa.ListArray | None:
+    """Hashes of all spellings' keys at once, where all are plain and have stretches."""
+    if not pc.all(plain(b.column("spelling")), min_count=0).as_py():
+        return None
+    each = [Stretches(p.column(0)) for p in pieces(b.select(["spelling"]), _SLICE)]
+    n = np.concatenate([np.zeros(0, np.int64), *(s.n for s in each)])
+    if not n.all():
+        return None
+    h = np.concatenate([np.zeros(0, np.uint64), *(s.hashes(np.arange(len(s.k)), 1, b"\x00s") for s in each)])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(h.view(np.int64)))
+
+
 def text_keys(text: str) -> set[str]:
     """All keys that spellings in the text can have."""
     same = _same(text)
@@ -55,6 +70,8 @@ def text_keys(text: str) -> set[str]:
     for chain in _CHAIN.findall(same) if _BROKEN.search(same) else ():  # words that line ends cut, put together in all ways
         parts = _BROKEN.split(chain)
         runs.update("".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 2, len(parts) + 1))
+    if same.isascii():
+        return {"s" + r for r in runs} | {"g" + r[k : k + n] for r in set(_PLAIN_SIGNS.findall(same)) for k in range(len(r)) for n in range(1, _GRAM + 1)}
     signs = {x for x in _SIGNS.findall(same.translate(_ONE_HYPHEN))}
     grams = [r for r in runs if not r.isascii() and any(map(_joins, r))]
     return {"s" + r for r in runs} | {"g" + r[k : k + n] for r in [*grams, *signs] for k in range(len(r)) for n in range(1, _GRAM + 1)}
@@ -96,34 +113,42 @@ def met(docs: DataFrame, spellings: DataFrame, text_col: str = "text", scope: st
     scope: a column of both sides; a text meets only spellings of its own scope (null is one). keys_of and keys_in: what a
     spelling needs and a text has.
     """
-    spark = docs.sparkSession
+    spark, sent = docs.sparkSession, None
+    if keys_of is spelling_keys and keys_in is text_keys:
+        spellings, sent = may_stand(docs, spellings, text_col)
     at = F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")
     named = spellings.where(F.trim("spelling") != "").withColumn("at__", at).dropDuplicates(["at__", "spelling"])
     shape = T.StructType([*named.schema.fields, T.StructField("keys__", T.ArrayType(T.LongType()))])
 
     def keyed(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [[f"{where}\x00{k}" for k in keys_of(s)] for where, s in zip(b.column("at__").to_pylist(), b.column("spelling").to_pylist(), strict=True)]
-        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(_hashes([k for ks in keys for k in ks]).view(np.int64)))
+        lists = _plain_keys(b) if keys_of is spelling_keys and not scope else None
+        if lists is None:
+            keys = [[f"{where}\x00{k}" for k in keys_of(s)] for where, s in zip(b.column("at__").to_pylist(), b.column("spelling").to_pylist(), strict=True)]
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(_hashes([k for ks in keys for k in ks]).view(np.int64)))
         return pa.RecordBatch.from_arrays([*b.columns, lists], names=shape.names)
 
     named = kept(by_batch(named, keyed, shape).where(F.size("keys__") > 0), "contains-spellings")
+    if sent:
+        sent.unpersist()
     filter_ = spark.sparkContext.broadcast(bloom(named, "keys__", named.agg(F.sum(F.size("keys__"))).first()[0] or 0))
 
     def posted(batches):
         seen = set()
-        for b in batches:
-            rows, keys, signs = [], [], []
+
+        def fresh(b):
             for row, (key, text, where) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
                 if key not in seen:
                     _noted(seen, key)
-                    own = _hashes([f"{where}\x00{k}" for k in keys_in(text)])
-                    if len(own) and len(held := own[filter_.value.may_hold_hashed(own)]):
-                        rows.append(row)
-                        keys.append(held)
-                        signs.append(np.bitwise_or.reduce(_sign(own)))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(_joined(keys)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), lists, pa.array(np.array(signs, np.uint64).view(np.int64))], names=["text_key", "keys", "signs"])
+                    yield row, [f"{where}\x00{k}" for k in keys_in(text)]
+
+        for b in batches:
+            for rows, own, first in _hashed_lists(fresh(b)):
+                held = filter_.value.may_hold_hashed(own)
+                n = np.add.reduceat(held.astype(np.int64), first)
+                some = n > 0
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n[some]]), pa.int32()), pa.array(own[held].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[some])), lists, pa.array(np.bitwise_or.reduceat(_sign(own), first)[some].view(np.int64))], names=["text_key", "keys", "signs"])
 
     def once(batches):  # all rows of a text are in one task
         seen = set()
@@ -182,12 +207,27 @@ def _noted(seen: set, key: bytes) -> None:
     seen.add(key)
 
 
-def _joined(keys: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
+#: Keys that are hashed at once.
+_AT_ONCE = 1 << 16
+
+
+def _hashed_lists(lists: Iterable[tuple[int, list[str]]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows that have keys, all their hashes, and where each row's begin."""
+    rows, keys, first = [], [], []
+    for row, own in lists:
+        if own:
+            rows.append(row)
+            first.append(len(keys))
+            keys += own
+            if len(keys) >= _AT_ONCE:
+                yield np.array(rows), _hashes(keys), np.array(first)
+                rows, keys, first = [], [], []
+    if rows:
+        yield np.array(rows), _hashes(keys), np.array(first)
 
 
 def _hashes(keys: list[str]) -> np.ndarray:
-    return hashed(np.array(keys, object)) if keys else np.zeros(0, np.uint64)
+    return hash_strings(keys) if keys else np.zeros(0, np.uint64)
 
 
 def _sign(h: np.ndarray) -> np.ndarray:
@@ -231,12 +271,22 @@ def with_met(docs: DataFrame, spellings: DataFrame, text_col: str = "text", out_
 def places(docs: DataFrame, spellings: DataFrame, text_col: str = "text") -> DataFrame:
     """A row for each place of a spelling in a text: the columns of docs but the text, spelling, start, end. Any case, whole words."""
     rest = [c for c in docs.columns if c not in (text_col, "spelling", "start", "end", "met__")]
-    base = with_met(docs.select(*rest, text_col), spellings.select("spelling").distinct(), text_col, "met__").where(F.col("met__").isNotNull())
+    base = with_met(docs.select(*rest, text_col), spellings.select("spelling"), text_col, "met__").where(F.col("met__").isNotNull())
     schema = T.StructType([*(base.schema[c] for c in rest), *T._parse_datatype_string("at__ array<struct<spelling:string,start:int,end:int>>").fields])
-    kind = pa.list_(pa.struct([("spelling", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [[{"spelling": s["spelling"], "start": a, "end": z} for s, where in standing(text, hold) for a, z in where] for text, hold in zip(b.column(text_col).to_pylist(), b.column("met__").to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(found, kind)], names=[*rest, "at__"])
+        lists = b.column("met__")
+        spellings = lists.flatten().field("spelling")
+        rows = [{"spelling": s, "k": k} for k, s in enumerate(spellings.to_pylist())]
+        of, spans, ends, at = [], [], [0], 0
+        for text, n in zip(b.column(text_col).to_pylist(), lists.value_lengths().to_pylist(), strict=True):
+            for row, where in standing(text, rows[at : at + n]):
+                of += [row["k"]] * len(where)
+                spans += where
+            at += n
+            ends.append(len(of))
+        sides = (pa.array([x[side] for x in spans], pa.int32()) for side in (0, 1))
+        each = pa.StructArray.from_arrays([spellings.take(pa.array(of, pa.int64())), *sides], names=["spelling", "start", "end"])
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=[*rest, "at__"])
 
     return by_batch(base, run, schema).select(*rest, F.explode("at__").alias("p__")).select(*rest, "p__.*")
