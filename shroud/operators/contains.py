@@ -269,7 +269,10 @@ def with_met(docs: DataFrame, spellings: DataFrame, text_col: str = "text", out_
 
 
 def places(docs: DataFrame, spellings: DataFrame, text_col: str = "text") -> DataFrame:
-    """A row for each place of a spelling in a text: the columns of docs but the text, spelling, start, end. Any case, whole words."""
+    """A row for each place of a spelling in a text: the columns of docs but the text, spelling, start, end. Any case, whole words.
+
+    spellings: a column spelling, strings or arrays of them.
+    """
     rest = [c for c in docs.columns if c not in (text_col, "spelling", "start", "end", "met__")]
     base = with_met(docs.select(*rest, text_col), spellings.select("spelling"), text_col, "met__").where(F.col("met__").isNotNull())
     schema = T.StructType([*(base.schema[c] for c in rest), *T._parse_datatype_string("at__ array<struct<spelling:string,start:int,end:int>>").fields])

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .batches import by_batch, by_pieces, pieces, spread
 from .bloom import _GATHERED, bloom
@@ -208,28 +208,42 @@ def may_stand(docs: DataFrame, spellings: DataFrame, text_col: str = "text") ->
     """The rows of `spellings` (column spelling, and any others) that may stand in a text: no fewer, and of many hardly any other; and
     what the pass over them has sent to the workers.
 
-    All of them where they are under MANY. They are counted before they are read: what is dear to make is better kept first.
+    A row may have an array of spellings, which costs less on the way to Python; each gets a row of its own. All are taken where they
+    are under MANY. Some are read before all are: what is dear to make is better kept first.
     """
-    if spellings.count() < MANY:
-        return spellings, None
-    lengths, heads = _usual(spellings)
+    lists = isinstance(spellings.schema["spelling"].dataType, T.ArrayType)
+    each = spellings.withColumn("spelling", F.explode_outer("spelling")) if lists else spellings  # outer, else all arrays are made for a filter first
+    if each.select("spelling").limit(MANY).count() < MANY:
+        return each, None
+    lengths, heads = _usual(each)
     if not lengths:
-        return spellings, None
+        return each, None
     texts = spread(docs.select(text_col).where(F.length(text_col) > 0))
     windows = kept(by_pieces(texts, _once(lambda b: text_windows(b.column(0), lengths, heads)), "key long"), "standing-windows")
     there = docs.sparkSession.sparkContext.broadcast(bloom(windows, "key"))
     dropped(windows)
 
-    def held(b: pa.RecordBatch) -> pa.RecordBatch:
-        w = Windows(b.column("spelling"))
+    def stay(strings: pa.Array) -> np.ndarray:
+        w = Windows(strings)
         lacks = np.flatnonzero(np.isin(w.n, lengths) & _among(w.head, heads))
-        lacks = lacks[~there.value.may_hold_hashed(w.hash[lacks])]
-        stay = np.ones(b.num_rows, bool)
-        stay[w.row[lacks]] = False
-        return b.filter(pa.array(stay))
+        out = np.ones(len(strings), bool)
+        out[w.row[lacks[~there.value.may_hold_hashed(w.hash[lacks])]]] = False
+        return out
+
+    def held(b: pa.RecordBatch) -> pa.RecordBatch:
+        own = b.column("spelling")
+        if not lists:
+            return b.filter(pa.array(stay(own)))
+        strings = own.flatten()
+        left = stay(strings)
+        ends = np.append(0, np.cumsum(own.value_lengths().fill_null(0).to_numpy()))
+        ends = np.append(0, np.cumsum(left))[ends]  # of those that stay
+        column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), strings.filter(pa.array(left)))
+        return b.set_column(b.schema.get_field_index("spelling"), "spelling", column).filter(pa.array(np.diff(ends) > 0))
 
     def run(batches):
         for b in batches:
             yield from map(held, pieces(b, _SLICE))
 
-    return by_pieces(spellings, run, spellings.schema), there
+    rest = by_pieces(spellings, run, spellings.schema)
+    return rest.withColumn("spelling", F.explode("spelling")) if lists else rest, there

@@ -592,8 +592,10 @@ SELECT doc_id, count(*) AS places, CAST(sum(length('order ' || doc_id || ' line
 def vault_contains(spark, sf_dir):
     """Orders' texts against seventy spellings an order (over a million at sf0.01), most of which no text holds."""
     line = F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"), F.lit("\nline "), F.col("l_linenumber").cast("string"))
-    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "; ").alias("text"))
-    spellings = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(F.explode(F.sequence(F.lit(1), F.lit(70))).alias("n"), "o_orderkey").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" line "), F.col("n").cast("string")).alias("spelling"))
+    texts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "; ").alias("text"))
+    docs = kept(texts, "texts")  # read three times
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" line ")).alias("order"))
+    spellings = orders.select(F.transform(F.lit([str(n) for n in range(1, 71)]), lambda n: F.concat("order", n)).alias("spelling"))
     return contains.places(docs, spellings).groupBy("doc_id").agg(F.count("*").alias("places"), F.sum(F.col("end") - F.col("start")).cast("long").alias("chars"))
 
 
